@@ -45,8 +45,8 @@ def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) ->
     span = F.col("_hi") - F.col("_lo")
     spot = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
     d = d.withColumn("_bin", spot.cast("int"))
-    at = [(F.col("_n") - 1) * F.lit(float(p)) for p in ps]
-    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+    at = F.transform(F.array(*[F.lit(float(p)) for p in ps]), lambda p: (F.col("_n") - 1) * p)
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x).cast("long")), F.transform(at, lambda x: F.ceil(x).cast("long"))))
     hist = d.groupBy(*group, "_n", "_bin").agg(F.sum("_w").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hist = hist.withColumn("_before", before)
@@ -56,12 +56,14 @@ def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) ->
     w = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
 
-    def value_at(rank):
-        r = rank.cast("long")
-        return F.max(F.when((r >= F.col("_from")) & (r < F.col("_from") + F.col("_c")), F.col("_v")))
+    covered = F.filter(ranks, lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_c")))
+    found = steps.select(*group, "_n", "_v", F.explode(covered).alias("_r"))
+    # one value per wanted rank: at most twice the number of quantiles
+    known = found.groupBy(*group, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_known"))
 
-    ends = steps.groupBy(*group, "_n").agg(*[
-        e for n, x in enumerate(at) for e in (value_at(F.floor(x)).alias(f"_a{n}"), value_at(F.ceil(x)).alias(f"_b{n}"))
-    ])
-    mixed = [F.col(f"_a{n}") + (F.col(f"_b{n}") - F.col(f"_a{n}")) * (x - F.floor(x)) for n, x in enumerate(at)]
-    return ends.select(*group, F.array(*mixed).alias(out))
+    def mixed(p):
+        at = (F.col("_n") - 1) * p
+        low = F.try_element_at("_known", F.floor(at).cast("long"))
+        return low + (F.try_element_at("_known", F.ceil(at).cast("long")) - low) * (at - F.floor(at))
+
+    return known.select(*group, F.transform(F.array(*[F.lit(float(p)) for p in ps]), mixed).alias(out))

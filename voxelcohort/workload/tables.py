@@ -386,3 +386,35 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return bought.unionByName(li.select(
         F.concat(F.lit("p"), "l_partkey").alias("source"), target, F.lit("supplies").alias("relation"), F.lit("EXTRACTED").alias("confidence"),
     ))
+
+
+# --- damaged headers ---------------------------------------------------------------------------------
+
+CTE["headers"] = ((), """
+  SELECT DISTINCT vec_id // 4 AS volume_id, [4, 4, 16] AS shape, CASE (vec_id // 4) % 5 WHEN 0 THEN [0.5, 0.5, 3.0] WHEN 1 THEN [0.0, 0.5, 0.7]
+    WHEN 2 THEN ['nan'::DOUBLE, 'inf'::DOUBLE, -1.0] WHEN 3 THEN [NULL, 1.0, 101.0] ELSE [0.4, 0.4] END AS spacing,
+    CASE (vec_id // 4) % 4 WHEN 0 THEN 'mm' WHEN 1 THEN ' CM ' WHEN 2 THEN 'furlong' END AS unit FROM embeddings""")
+
+
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("volume_id") % 5
+    arr = lambda *xs: F.array(*[F.lit(x).cast("double") for x in xs])
+    spacing = (
+        F.when(turn == 0, arr(0.5, 0.5, 3.0)).when(turn == 1, arr(0, 0.5, 0.7)).when(turn == 2, arr("NaN", "Infinity", -1))
+        .when(turn == 3, arr(None, 1, 101)).otherwise(arr(0.4, 0.4))
+    )
+    unit = F.when(F.col("volume_id") % 4 == 0, "mm").when(F.col("volume_id") % 4 == 1, " CM ").when(F.col("volume_id") % 4 == 2, "furlong")
+    return volumes(spark, d).select("volume_id", "shape", spacing.alias("spacing"), unit.alias("unit"))
+
+
+# --- follow-up pairs: each volume with the patient's next one -------------------------------------------
+
+CTE["follow"] = (("volumes",), """
+  SELECT * FROM (SELECT patient_id, volume_id AS a_id, lead(volume_id) OVER (PARTITION BY patient_id ORDER BY day, volume_id) AS b_id FROM volumes) WHERE b_id IS NOT NULL""")
+
+
+def follow(spark: SparkSession, d: str) -> DataFrame:
+    from voxelcohort.operators.skew import in_order
+
+    nxt = in_order(volumes(spark, d), ["patient_id"], "day", ["volume_id"], lead={"volume_id": "b_id"})
+    return nxt.filter("b_id IS NOT NULL").select("patient_id", F.col("volume_id").alias("a_id"), "b_id")
