@@ -48,9 +48,9 @@ def repair_in_parent(df: DataFrame, files: DataFrame, row_id: str, path: str = "
     Order of preference: the path itself, the exact ``mask_name``, the most
     similar volume name at or above ``cutoff``, the only volume in the directory.
     """
-    inv = _inventory(files)
+    inv = cut_lineage(_inventory(files))
     nifti = inv.filter(F.col("name").rlike(P.NIFTI_EXT) & (F.col("name") != "image.nii.gz")).select("dir", "name")
-    rows = (
+    rows = cut_lineage(
         df.select(row_id, F.col(path).alias("_path"), F.col(mask_name).alias("_wanted"), P.parent_dir(path).alias("dir"), P.base_name(path).alias("want"))
         .filter(P.blank_to_null("_path").isNotNull())
         .join(inv.select(F.col("path").alias("_path"), F.lit(True).alias("_exact")), "_path", "left")

@@ -146,8 +146,8 @@ def dice_per_study(series: DataFrame, masks: DataFrame, pairs: DataFrame) -> Dat
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max of one column."""
     base = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
-    qs = quantiles(df, [], col, [0.25, 0.5, 0.75])
-    return base.withColumns({name: qs.select(F.get("q", n)).scalar() for n, name in enumerate(("p25", "p50", "p75"))})
+    out = base.withColumn("_q", quantiles(df, [], col, [0.25, 0.5, 0.75]).select("q").scalar())
+    return out.withColumns({f"p{p}": F.get("_q", n) for n, p in enumerate((25, 50, 75))}).drop("_q")
 
 
 def dice_by_type(per_study: DataFrame) -> DataFrame:

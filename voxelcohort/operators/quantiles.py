@@ -11,6 +11,10 @@ ROWS_PER_GROUP = 1_000_000
 BINS = 4096
 
 
+def _array(ps: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(p)!r}D" for p in ps) + ")"
+
+
 def quantiles(
     df: DataFrame, group: Sequence[str], value: str, ps: Sequence[float], weight: str | None = None,
     out: str = "q", rows_per_group: int = ROWS_PER_GROUP,
@@ -37,7 +41,7 @@ def quantiles(
 
 def quantiles_split(d: DataFrame, hot: DataFrame, group: list[str], ps: Sequence[float], out: str) -> DataFrame:
     marked = d.join(hot, group, "left")
-    few = marked.filter(F.col("_n").isNull()).groupBy(*group).agg(F.percentile("_v", [float(p) for p in ps], F.col("_w")).alias(out))
+    few = marked.filter(F.col("_n").isNull()).groupBy(*group).agg(F.expr(f"percentile(_v, {_array(ps)}, _w)").alias(out))
     return few.unionByName(_narrowed(marked.filter(F.col("_n").isNotNull()), group, ps, out))
 
 
@@ -45,7 +49,7 @@ def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) ->
     span = F.col("_hi") - F.col("_lo")
     spot = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
     d = d.withColumn("_bin", spot.cast("int"))
-    at = F.transform(F.array(*[F.lit(float(p)) for p in ps]), lambda p: (F.col("_n") - 1) * p)
+    at = F.transform(F.expr(_array(ps)), lambda p: (F.col("_n") - 1) * p)
     ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x).cast("long")), F.transform(at, lambda x: F.ceil(x).cast("long"))))
     hist = d.groupBy(*group, "_n", "_bin").agg(F.sum("_w").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -66,4 +70,4 @@ def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) ->
         low = F.try_element_at("_known", F.floor(at).cast("long"))
         return low + (F.try_element_at("_known", F.ceil(at).cast("long")) - low) * (at - F.floor(at))
 
-    return known.select(*group, F.transform(F.array(*[F.lit(float(p)) for p in ps]), mixed).alias(out))
+    return known.select(*group, F.transform(F.expr(_array(ps)), mixed).alias(out))

@@ -44,20 +44,20 @@ def place_nearest(masks: DataFrame, placements: DataFrame) -> DataFrame:
     Target voxels are listed only inside the box the source's foreground maps to.
     """
     def minor(r, c):
-        rows, cols = [x for x in range(3) if x != r], [x for x in range(3) if x != c]
-        g = lambda a, b: F.get("m", 3 * rows[a] + cols[b])
-        return (g(0, 0) * g(1, 1) - g(0, 1) * g(1, 0)) * (-1) ** (r + c)
+        (r0, r1), (c0, c1) = [x for x in range(3) if x != r], [x for x in range(3) if x != c]
+        sign = "-" if (r + c) % 2 else ""
+        return f"{sign}(m[{3 * r0 + c0}] * m[{3 * r1 + c1}] - m[{3 * r0 + c1}] * m[{3 * r1 + c0}])"
 
-    det = sum(F.get("m", c) * minor(0, c) for c in range(3))
-    inverse = F.array(*[minor(c, r) / det for r in range(3) for c in range(3)])
-    box = bounding_box(masks).join(placements, "volume_id").withColumn("_inv", inverse)
+    det = " + ".join(f"m[{c}] * {minor(0, c)}" for c in range(3))
+    inverse = ", ".join(f"{minor(c, r)} / ({det})" for r in range(3) for c in range(3))
+    box = bounding_box(masks).join(placements, "volume_id").withColumn("_inv", F.expr(f"array({inverse})"))
+    ends = (("min", "- 0.5"), ("max", "+ 0.5"))
     corners = [
-        [(F.col(f"{('min', 'max')[b >> n & 1]}_{a}") + (0.5 if b >> n & 1 else -0.5)) - F.get("offset", n) for n, a in enumerate(AXES)]
-        for b in range(8)
+        [f"({ends[b >> n & 1][0]}_{a} {ends[b >> n & 1][1]} - offset[{n}])" for n, a in enumerate(AXES)] for b in range(8)
     ]
     ranges = {}
     for r, a in enumerate(AXES):
-        reach = [sum(F.get("_inv", 3 * r + c) * p[c] for c in range(3)) for p in corners]
+        reach = [F.expr(" + ".join(f"_inv[{3 * r + c}] * {p[c]}" for c in range(3))) for p in corners]
         lo = F.greatest(F.floor(F.least(*reach)) - 1, F.lit(0)).cast("int")
         hi = F.least(F.ceil(F.greatest(*reach)) + 1, F.get("target_shape", r) - 1).cast("int")
         ranges[a] = F.when(lo <= hi, F.sequence(lo, hi))

@@ -48,8 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to reliable storage and continue from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write the frame to a table in the shared folder and continue from there.
+
+    Used between the rounds of iterative operators and where one intermediate
+    feeds several branches. The table survives lost executors, is pruned by
+    column, and its size on disk lets the planner choose joins.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from voxelcohort.operators import geometry as G
 from voxelcohort.operators import overlap as M
 from voxelcohort.operators import surface as S
 from voxelcohort.operators import voxels as V
+from voxelcohort.session import cut_lineage
 from voxelcohort.workload import tables as T
 from voxelcohort.workload.tables import CTE, with_sql
 
@@ -43,8 +44,9 @@ CTE["study"] = (("all_pairs", "volumes"), """
 
 
 def _study(spark, d):
+    """Pairs feed several branches of the summary, so they are computed once."""
     series, masks = T.volumes(spark, d), T.masks(spark, d)
-    return M.dice_per_study(series, masks, M.pairwise_dice(series, masks))
+    return M.dice_per_study(series, masks, cut_lineage(M.pairwise_dice(series, masks)))
 
 
 @q("M01_dice", with_sql("SELECT a_id, b_id, n_ab, round(2.0 * n_ab / (n_a + n_b), 6) AS dice FROM follow_n", "follow_n"))
@@ -90,7 +92,8 @@ def _(spark, d):
   SELECT count(dice) AS count, round(avg(dice), 6) AS mean, round(stddev_samp(dice), 6) AS std, round(min(dice), 6) AS min, round(max(dice), 6) AS max,
     round(quantile_cont(dice, 0.25), 6) AS p25, round(quantile_cont(dice, 0.5), 6) AS p50, round(quantile_cont(dice, 0.75), 6) AS p75 FROM all_pairs WHERE n_ab > 0""", "all_pairs"))
 def _(spark, d):
-    return _r(M.describe(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d)), "dice"), "mean", "std", "min", "max", "p25", "p50", "p75")
+    pairs = cut_lineage(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d)).select("dice"))
+    return _r(M.describe(pairs, "dice"), "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
 @q("M07_dice_by_type", with_sql("""
@@ -103,7 +106,7 @@ def _(spark, d):
   SELECT 'top' AS "end", volume_id, round(mean_dice, 6) AS mean_dice FROM (SELECT * FROM study ORDER BY mean_dice DESC, volume_id LIMIT 10)
   UNION ALL SELECT 'bottom', volume_id, round(mean_dice, 6) FROM (SELECT * FROM study ORDER BY mean_dice, volume_id LIMIT 10)""", "study"))
 def _(spark, d):
-    return _r(M.top_bottom(_study(spark, d)), "mean_dice").select("end", "volume_id", "mean_dice")
+    return _r(M.top_bottom(cut_lineage(_study(spark, d))), "mean_dice").select("end", "volume_id", "mean_dice")
 
 
 @q("M09_rvd", with_sql("SELECT a_id, b_id, round(abs(n_a - n_b) / n_b, 6) AS rvd FROM follow_n", "follow_n"))

@@ -35,7 +35,8 @@ def with_sql(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in done) + "\n" + body
+    ctes = ",\n".join(f"{n} AS ({CTE[n][1]})" for n in done)
+    return f"WITH {ctes}\n{body}" if ctes else body
 
 
 # --- imaging series ---------------------------------------------------------------------
