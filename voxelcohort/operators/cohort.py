@@ -62,9 +62,17 @@ def pick_best_mask(df: DataFrame, keys: Sequence[str], path: str = "path") -> Da
     return ranked.filter(F.col("_rn") <= 1).drop("_rn", "_priority")
 
 
-def list_masks(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    """All masks of a series as one sorted text; a series has few masks."""
-    return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
+def list_masks(df: DataFrame, keys: Sequence[str], path: str = "path", most: int = 10_000) -> DataFrame:
+    """All masks of a series as one sorted text, ``part`` 0.
+
+    A series with more than ``most`` masks is listed in several parts, each a
+    sorted text of about that many paths, so no task collects it whole.
+    """
+    keys = list(keys)
+    hot = df.groupBy(*keys).agg(F.count(path).alias("_n")).filter(F.col("_n") > most)
+    part = F.coalesce(F.pmod(F.xxhash64(path), F.ceil(F.col("_n") / F.lit(most))), F.lit(0))
+    listed = df.join(hot, keys, "left").groupBy(*keys, part.cast("int").alias("part"))
+    return listed.agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
 
 
 def attach_masks(images: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:

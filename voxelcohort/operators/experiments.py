@@ -52,7 +52,9 @@ def fold_views(folds: DataFrame, k: int) -> DataFrame:
 def cv_summary(log: DataFrame, group: Sequence[str] = ("run_id", "metric")) -> DataFrame:
     """Mean and population deviation over folds, also as text with four decimals."""
     per = log.groupBy(*group).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return per.withColumn("summary", F.format_string("%.4f +/- %.4f", "mean", "std"))
+    # this pattern rounds the exact binary value, half to even
+    text = lambda c: F.expr(f"format_number({c}, '0.0000')")
+    return per.withColumn("summary", F.concat(text("mean"), F.lit(" +/- "), text("std")))
 
 
 def grid_results(grid: DataFrame, cv: DataFrame, metrics: Sequence[str], item: str = "item") -> DataFrame:

@@ -167,25 +167,33 @@ def result_path(df: DataFrame, files: DataFrame, folder: str, path: str = "image
     return named.join(known, "_result", "left").drop("_result")
 
 
+def _is_segmentation():
+    return F.lower("name").contains("uvauser")
+
+
 def discover_files(series: DataFrame, files: DataFrame, dir_col: str = "dir") -> DataFrame:
     """Image and segmentation of each series directory.
 
     The image's name contains ``image``, a segmentation's contains ``uvauser``;
-    a segmentation named ``copy`` is preferred and several ones are flagged and listed.
+    of several segmentations one named ``copy`` is preferred and the series is flagged.
     """
     inv = _inventory(files).withColumnsRenamed({"dir": dir_col}).filter(F.col("name").endswith(".nii.gz"))
-    low = F.lower("name")
-    is_seg = low.contains("uvauser")
-    seg_rank = F.struct(F.when(low.contains("copy"), 0).otherwise(1), F.col("name"))
+    is_seg = _is_segmentation()
+    seg_rank = F.struct(F.when(F.lower("name").contains("copy"), 0).otherwise(1), F.col("name"))
     per_dir = inv.groupBy(dir_col).agg(
-        F.min(F.when(low.contains("image"), F.col("path"))).alias("image"),
+        F.min(F.when(F.lower("name").contains("image"), F.col("path"))).alias("image"),
         F.min_by(F.when(is_seg, F.col("path")), F.when(is_seg, seg_rank)).alias("segmentation"),
         F.count_if(is_seg).alias("n_segmentations"),
-        F.array_sort(F.collect_list(F.when(is_seg, F.col("name")))).alias("segmentations"),
     )
     return series.join(per_dir, dir_col, "left").withColumn("multiple", F.coalesce(F.col("n_segmentations") > 1, F.lit(False)))
 
 
+def list_segmentations(series: DataFrame, files: DataFrame, dir_col: str = "dir") -> DataFrame:
+    """Every segmentation file of each series directory, one row per file."""
+    inv = _inventory(files).withColumnsRenamed({"dir": dir_col}).filter(F.col("name").endswith(".nii.gz") & _is_segmentation())
+    return series.join(inv.select(dir_col, F.col("path").alias("segmentation")), dir_col)
+
+
 # fixed values: file names in order of preference; ``*`` matches any text
 IMAGE_NAMES = (
     "{scan}_T1_pre.nii.gz", "{scan}_t1p_pre.nii.gz", "{scan}_pre_tpl.nii.gz",

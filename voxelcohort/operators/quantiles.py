@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_GROUP = 1_000_000
-BINS = 4096
+ROWS_PER_BIN = 10_000
+MIN_BINS, MAX_BINS = 4_096, 1_048_576
 
 
 def _array(ps: Sequence[float]) -> str:
@@ -47,7 +48,8 @@ def quantiles_split(d: DataFrame, hot: DataFrame, group: list[str], ps: Sequence
 
 def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) -> DataFrame:
     span = F.col("_hi") - F.col("_lo")
-    spot = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
+    bins = F.least(F.greatest(F.ceil(F.col("_n") / F.lit(ROWS_PER_BIN)), F.lit(MIN_BINS)), F.lit(MAX_BINS))
+    spot = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * bins), bins - 1)).otherwise(0)
     d = d.withColumn("_bin", spot.cast("int"))
     at = F.transform(F.expr(_array(ps)), lambda p: (F.col("_n") - 1) * p)
     ranks = F.array_distinct(F.concat(F.transform(at, lambda x: F.floor(x).cast("long")), F.transform(at, lambda x: F.ceil(x).cast("long"))))

@@ -84,7 +84,7 @@ def in_order(
     return data.select(*keep)
 
 
-def global_position(df: DataFrame, order: Sequence[str], position: str, buckets: int = 4096) -> DataFrame:
+def global_position(df: DataFrame, order: Sequence[str], position: str, buckets: int = 65_536) -> DataFrame:
     """1-based position in one total order over the whole frame.
 
     The order must start with a column that spreads evenly (a hash). Rows are

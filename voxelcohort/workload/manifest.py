@@ -290,7 +290,7 @@ def _(spark, d):
     return C.pick_best_mask(T.mask_rows(spark, d), ["accession"]).select("accession", "path", "mask_user")
 
 
-@q("C10_list_masks", with_sql("SELECT accession, string_agg(path, '; ' ORDER BY path) AS all_masks FROM mask_rows GROUP BY accession", "mask_rows"))
+@q("C10_list_masks", with_sql("SELECT accession, CAST(0 AS INTEGER) AS part, string_agg(path, '; ' ORDER BY path) AS all_masks FROM mask_rows GROUP BY accession", "mask_rows"))
 def _(spark, d):
     return C.list_masks(T.mask_rows(spark, d), ["accession"])
 
