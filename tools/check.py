@@ -1,6 +1,6 @@
 """Compare registered queries with their oracle SQL, as an independent check.
 
-usage: python tools/check.py [--sf DIR] [--no-explain] [prefix ...]
+usage: python tools/check.py [--sf DIR] [prefix ...]
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import math
 import os
 import sys
 import time
-import traceback
 from collections import Counter
 
 import duckdb
@@ -25,12 +24,33 @@ def norm(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return repr(v)
+        return "NaN" if math.isnan(v) else repr(v)
     return f"{type(v).__name__}:{v}"
 
 
+def connect(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return con
+
+
+def compare(cols, rows, con, sql):
+    """None when the rows equal the oracle's as a multiset, else a description of the difference."""
+    cur = con.execute(sql)
+    theirs = [c[0] for c in cur.description]
+    other = cur.fetchall()
+    if sorted(cols) != sorted(theirs):
+        return f"columns {sorted(cols)} vs {sorted(theirs)}"
+    mine, yours = [cols.index(c) for c in sorted(cols)], [theirs.index(c) for c in sorted(cols)]
+    a = Counter(tuple(norm(r[i]) for i in mine) for r in rows)
+    b = Counter(tuple(norm(r[i]) for i in yours) for r in other)
+    if a == b:
+        return None
+    show = lambda c: "\n      ".join(map(str, sorted(c.elements())[:3]))
+    return f"{len(rows)} vs {len(other)} rows; {sorted(cols)}\n   spark only\n      {show(a - b)}\n   oracle only\n      {show(b - a)}"
+
+
 def main():
     args = sys.argv[1:]
     sf = "/root/testdata/sf0.01"
@@ -40,63 +60,27 @@ def main():
         del args[i : i + 2]
     from voxelcohort.session import local_session
 
+    entry = importlib.import_module("__spark_entry__")
+    queries, oracles = entry.queries(), entry.oracle_sql()
     spark = local_session(8, 8)
     spark.sparkContext.setLogLevel("ERROR")
-    entry = importlib.import_module("__spark_entry__")
-    qs, sqls = entry.queries(), entry.oracle_sql()
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    bad = []
-    for name, fn in qs.items():
+    con, bad = connect(sf), []
+    for name, fn in queries.items():
         if args and not any(name.startswith(a) for a in args):
             continue
-        t0 = time.time()
+        start = time.time()
         try:
             df = fn(spark, sf)
-            cols = df.columns
             rows = [tuple(r) for r in df.collect()]
+            took = f"{len(rows)} rows {time.time() - start:.2f}s"
+            problem = compare(df.columns, rows, con, oracles[name]) if name in oracles else None
         except Exception as e:
-            msg = str(e).strip().splitlines()
-            print(f"FAIL {name}: spark {type(e).__name__} {' | '.join(msg[:4])[:600]}")
-            if os.environ.get("TRACE"):
-                traceback.print_exc()
-            bad.append(name)
-            continue
-        dt = time.time() - t0
-        sql = sqls.get(name)
-        if sql is None:
-            print(f"rows {name}: {len(rows)} rows {dt:.2f}s (no oracle)")
-            if not rows:
-                bad.append(name)
-            continue
-        try:
-            cur = con.execute(sql)
-            dcols = [c[0] for c in cur.description]
-            drows = cur.fetchall()
-        except Exception as e:
-            print(f"FAIL {name}: duckdb {str(e)[:900]}")
-            bad.append(name)
-            continue
-        if sorted(cols) != sorted(dcols):
-            print(f"FAIL {name}: columns {sorted(cols)} vs {sorted(dcols)}")
-            bad.append(name)
-            continue
-        si = [cols.index(c) for c in sorted(cols)]
-        di = [dcols.index(c) for c in sorted(cols)]
-        a = Counter(tuple(norm(r[i]) for i in si) for r in rows)
-        b = Counter(tuple(norm(r[i]) for i in di) for r in drows)
-        if a != b:
-            print(f"FAIL {name}: {len(rows)} vs {len(drows)} rows; cols {sorted(cols)}")
-            for r in sorted((a - b).elements())[:3]:
-                print("   spark only", r)
-            for r in sorted((b - a).elements())[:3]:
-                print("   duck  only", r)
+            took, problem = "", f"{type(e).__name__} {str(e).strip()[:900]}"
+        if problem:
             bad.append(name)
-        else:
-            flag = "" if rows else "  EMPTY!"
-            print(f"ok   {name}: {len(rows)} rows {dt:.2f}s{flag}")
+        print(f"FAIL {name}: {problem}" if problem else f"{'ok  ' if name in oracles else 'rows'} {name}: {took}", flush=True)
     print(f"{len(bad)} bad: {bad}")
+    spark.stop()
 
 
 if __name__ == "__main__":

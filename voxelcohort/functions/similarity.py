@@ -6,18 +6,19 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(candidate: pd.Series, word: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of each candidate to the word it might stand for."""
+    known: dict[tuple[str, str], float] = {}  # file names repeat from directory to directory
     out = []
-    matcher = SequenceMatcher()
-    for c, w in zip(candidate, word):
-        if c is None or w is None:
+    for pair in zip(candidate, word):
+        if None in pair:
             out.append(None)
             continue
-        matcher.set_seq2(w)
-        matcher.set_seq1(c)
-        out.append(matcher.ratio())
+        if pair not in known:
+            known[pair] = SequenceMatcher(None, *pair).ratio()
+        out.append(known[pair])
     return pd.Series(out, dtype="float64")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelcohort.operators.skew import hot_groups
+
 
 def keep_types(df: DataFrame, types: Sequence[str], col: str = "study_type") -> DataFrame:
     return df.filter(F.col(col).isin(*types))
@@ -69,10 +71,13 @@ def list_masks(df: DataFrame, keys: Sequence[str], path: str = "path", most: int
     sorted text of about that many paths, so no task collects it whole.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count(path).alias("_n")).filter(F.col("_n") > most)
-    part = F.coalesce(F.pmod(F.xxhash64(path), F.ceil(F.col("_n") / F.lit(most))), F.lit(0))
-    listed = df.join(hot, keys, "left").groupBy(*keys, part.cast("int").alias("part"))
-    return listed.agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
+    hot = hot_groups(df, keys, most, size=F.count(path))
+    if hot is None:
+        listed = df.withColumn("part", F.lit(0))
+    else:
+        part = F.coalesce(F.pmod(F.xxhash64(path), F.ceil(F.col("_n") / F.lit(most))), F.lit(0))
+        listed = df.join(hot, keys, "left").withColumn("part", part.cast("int"))
+    return listed.groupBy(*keys, "part").agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
 
 
 def attach_masks(images: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:

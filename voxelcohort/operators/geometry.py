@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelcohort.session import cut_lineage
 
@@ -111,7 +112,7 @@ def inertia(masks: DataFrame, volumes: DataFrame) -> DataFrame:
                        tensor(lambda a: F.get("spacing", AXES.index(a))).alias("tensor_mm"))
 
 
-@F.pandas_udf("struct<axis_vox: array<double>, axis_mm: array<double>>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("axis_vox", "axis_mm")]))
 def _long_axes(vox: pd.Series, mm: pd.Series, spacing: pd.Series) -> pd.DataFrame:
     def axis(t):
         m = np.stack(t.to_numpy()).reshape(-1, 3, 3)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelcohort.operators.skew import hot_groups
+
 ROWS_PER_GROUP = 1_000_000
 ROWS_PER_BIN = 10_000
 MIN_BINS, MAX_BINS = 4_096, 1_048_576
@@ -30,20 +32,15 @@ def quantiles(
     group = list(group)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     d = df.select(*group, F.col(value).cast("double").alias("_v"), w.alias("_w")).filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
-    sizes = d.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    hot = sizes.filter(F.col("_rows") > rows_per_group).drop("_rows")
     if not group:
-        d, hot, group = d.withColumn("_all", F.lit(1)), hot.withColumn("_all", F.lit(1)), ["_all"]
-        return quantiles_split(d, hot, group, ps, out).drop("_all")
-    return quantiles_split(d, hot, group, ps, out)
-
-
-def quantiles_split(d: DataFrame, hot: DataFrame, group: list[str], ps: Sequence[float], out: str) -> DataFrame:
-    marked = d.join(hot, group, "left")
-    few = marked.filter(F.col("_n").isNull()).groupBy(*group).agg(F.expr(f"percentile(_v, {_array(ps)}, _w)").alias(out))
-    return few.unionByName(_narrowed(marked.filter(F.col("_n").isNotNull()), group, ps, out))
+        return quantiles(d.withColumn("_all", F.lit(1)), ["_all"], "_v", ps, "_w", out, rows_per_group).drop("_all")
+    hot = hot_groups(d, group, rows_per_group, F.sum("_w").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    small = d if hot is None else d.join(hot.select(*group), group, "left_anti")
+    few = small.groupBy(*group).agg(F.expr(f"percentile(_v, {_array(ps)}, _w)").alias(out))
+    if hot is None:
+        return few
+    big = d.join(hot.drop("_n").withColumnRenamed("_total", "_n"), group)
+    return few.unionByName(_narrowed(big, group, ps, out))
 
 
 def _narrowed(d: DataFrame, group: list[str], ps: Sequence[float], out: str) -> DataFrame:

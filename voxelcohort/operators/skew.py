@@ -12,10 +12,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelcohort.session import cut_lineage
+
 ROWS_PER_SPLIT = 1_000_000
 ROWS_PER_TILE = 4_096
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int, *stats: Column, size: Column | None = None) -> DataFrame | None:
+    """Groups of more than ``limit`` rows with their size ``_n`` and ``stats``; None when there are none.
+
+    One pass over the key columns with partial aggregation. The result has at
+    most rows/limit rows and is stored, so the planner knows its size: it is
+    broadcast where that is small and joined by shuffle where it is not.
+    """
+    n = F.count(F.lit(1)) if size is None else size
+    hot = cut_lineage(df.groupBy(*keys).agg(n.alias("_n"), *stats).filter(F.col("_n") > limit))
+    return None if hot.isEmpty() else hot
+
+
 def in_order(
     df: DataFrame,
     group: Sequence[str],
@@ -37,51 +51,54 @@ def in_order(
     rows carry counts and neighbours across the cuts.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
-    group = list(group)
+    group, order = list(group), [key, *ties]
     num = F.col(key).cast("double")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(num).alias("_lo"), F.max(num).alias("_hi"))
-    hot = sizes.filter(F.col("_n") > rows_per_split)
-    ranged = F.floor((num - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / F.lit(rows_per_split)))
-    data = df.join(hot, group, "left").withColumn(
-        "_split", F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0)).otherwise(ranged).cast("long")
-    )
-    order = [key, *ties]
+    hot = hot_groups(df, group, rows_per_split, F.min(num).alias("_lo"), F.max(num).alias("_hi"))
+    split = [] if hot is None else ["_split"]
+    data = df
+    if hot is not None:
+        ranged = F.floor((num - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / F.lit(rows_per_split)))
+        cut = F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0)).otherwise(ranged).cast("long")
+        data = df.join(hot, group, "left").withColumn("_split", cut)
+
+    w = Window.partitionBy(*group, *split).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pos, cnt = F.row_number().over(w), F.count(F.lit(1)).over(whole)
+    if hot is None:
+        out = [F.col(c) for c in df.columns]
+        out += [pos.cast("long").alias(position)] if position else []
+        out += [cnt.cast("long").alias(size)] if size else []
+        out += [F.lag(src).over(w).alias(name) for src, name in lag.items()]
+        out += [F.lead(src).over(w).alias(name) for src, name in lead.items()]
+        return df.select(*out)
+
     rank = F.struct(*order)
-    edges = (
-        data.filter(F.col("_n").isNotNull())
-        .groupBy(*group, "_split")
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.max_by(F.struct(*lag), rank).alias("_last") if lag else F.lit(None).alias("_last"),
-            F.min_by(F.struct(*lead), rank).alias("_first") if lead else F.lit(None).alias("_first"),
-        )
+    ends = data.filter(F.col("_n").isNotNull()).groupBy(*group, "_split").agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.max_by(F.struct(F.lit(True), *lag), rank).alias("_last"),
+        F.min_by(F.struct(F.lit(True), *lead), rank).alias("_first"),
     )
-    along = Window.partitionBy(*group).orderBy("_split")
-    edges = edges.select(
-        *group,
-        "_split",
+    along = Window.partitionBy(*group).orderBy("_split")  # a few rows per hot group
+    edges = ends.select(
+        *group, "_split",
         F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.lag("_last").over(along).alias("_prev"),
-        F.lead("_first").over(along).alias("_next"),
+        F.lag("_last").over(along).alias("_prev"), F.lead("_first").over(along).alias("_next"),
     )
-    inside = Window.partitionBy(*group, "_split").orderBy(*order)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    data = data.withColumn("_rn", F.row_number().over(inside))
-    if lead or size:
-        data = data.withColumn("_cnt", F.count(F.lit(1)).over(whole))
-    data = data.withColumns({f"_lag_{out}": F.lag(src).over(inside) for src, out in lag.items()})
-    data = data.withColumns({f"_lead_{out}": F.lead(src).over(inside) for src, out in lead.items()})
-    data = data.join(edges, [*group, "_split"], "left")
-    keep: list[Column] = [F.col(c) for c in df.columns]
+    data = data.withColumns({
+        "_rn": pos, "_cnt": cnt,
+        **{f"_lag_{name}": F.lag(src).over(w) for src, name in lag.items()},
+        **{f"_lead_{name}": F.lead(src).over(w) for src, name in lead.items()},
+    }).join(edges, [*group, "_split"], "left")
+    out = [F.col(c) for c in df.columns]
     if position:
-        keep.append((F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long").alias(position))
+        out.append((F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long").alias(position))
     if size:
-        keep.append(F.coalesce("_n", "_cnt").cast("long").alias(size))
-    for src, out in lag.items():
-        keep.append(F.when(F.col("_rn") == 1, F.col(f"_prev.{src}")).otherwise(F.col(f"_lag_{out}")).alias(out))
-    for src, out in lead.items():
-        keep.append(F.when(F.col("_rn") == F.col("_cnt"), F.col(f"_next.{src}")).otherwise(F.col(f"_lead_{out}")).alias(out))
-    return data.select(*keep)
+        out.append(F.coalesce("_n", "_cnt").cast("long").alias(size))
+    for src, name in lag.items():
+        out.append(F.when(F.col("_rn") == 1, F.col(f"_prev.{src}")).otherwise(F.col(f"_lag_{name}")).alias(name))
+    for src, name in lead.items():
+        out.append(F.when(F.col("_rn") == F.col("_cnt"), F.col(f"_next.{src}")).otherwise(F.col(f"_lead_{name}")).alias(name))
+    return data.select(*out)
 
 
 def global_position(df: DataFrame, order: Sequence[str], position: str, buckets: int = 65_536) -> DataFrame:
@@ -119,27 +136,25 @@ def self_pairs(
     tiles becomes its own join key, so no task joins more than one tile with
     another.
     """
-    keys, payload = list(keys), list(payload)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_tile)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_tile)).cast("int").alias("_tiles"))
-    )
+    keys, names = list(keys), [id_col, *payload]
+    hot = hot_groups(df, keys, rows_per_tile)
+    ordered = F.col(f"a_{id_col}") < F.col(f"b_{id_col}")
+
+    def side(frame, prefix, *keep):
+        return frame.select(*keys, *keep, *[F.col(c).alias(f"{prefix}_{c}") for c in names])
+
+    if hot is None:
+        return side(df, "a").join(side(df, "b"), keys).filter(ordered)
     tiled = (
-        df.select(*keys, id_col, *payload)
-        .join(hot, keys, "left")
+        df.select(*keys, *names)
+        .join(hot.select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_tile)).cast("int").alias("_tiles")), keys, "left")
         .withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
         .withColumn("_tile", F.pmod(F.xxhash64(id_col), F.col("_tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .withColumn("_t1", F.least("_tile", "_other"))
         .withColumn("_t2", F.greatest("_tile", "_other"))
     )
-    names = [id_col, *payload]
-    left = tiled.select(*keys, "_t1", "_t2", "_tile", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = tiled.select(*keys, "_t1", "_t2", F.col("_tile").alias("_tile_b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    met = side(tiled, "a", "_t1", "_t2", "_tile").join(side(tiled.withColumnRenamed("_tile", "_tile_b"), "b", "_t1", "_t2", "_tile_b"), [*keys, "_t1", "_t2"])
     # two rows of one tile meet under every tile pair it belongs to: keep them on the diagonal only
-    meets = (F.col(f"a_{id_col}") < F.col(f"b_{id_col}")) & (
-        (F.col("_tile") != F.col("_tile_b")) | (F.col("_t1") == F.col("_t2"))
-    )
-    return left.join(right, [*keys, "_t1", "_t2"]).filter(meets).drop("_t1", "_t2", "_tile", "_tile_b")
+    once = (F.col("_tile") != F.col("_tile_b")) | (F.col("_t1") == F.col("_t2"))
+    return met.filter(ordered & once).drop("_t1", "_t2", "_tile", "_tile_b")

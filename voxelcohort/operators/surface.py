@@ -10,11 +10,15 @@ from voxelcohort.operators.quantiles import quantiles
 from voxelcohort.session import cut_lineage
 
 
-def _side(pairs: DataFrame, shell: DataFrame, mine: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """Points of one side with the pair they ask for, and the other side's points."""
-    pair = pairs.select(F.struct("a_id", "b_id").alias("pair"), F.col(mine).alias("_m"), F.col(other).alias("_o"))
-    asks = pair.join(shell.withColumnRenamed("volume_id", "_m"), "_m").select("pair", *AXES)
-    found = pair.join(shell.withColumnRenamed("volume_id", "_o"), "_o").select("pair", *[F.col(a).alias(f"o{a}") for a in AXES])
+def _sides(pairs: DataFrame, shell: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points that ask, and the points of the other mask, for both directions of each pair."""
+    both = F.array(
+        F.struct(F.lit("a").alias("side"), F.col("a_id").alias("_m"), F.col("b_id").alias("_o")),
+        F.struct(F.lit("b").alias("side"), F.col("b_id").alias("_m"), F.col("a_id").alias("_o")),
+    )
+    asked = pairs.select("a_id", "b_id", F.inline(both)).select(F.struct("a_id", "b_id", "side").alias("pair"), "_m", "_o")
+    asks = asked.join(shell.withColumnRenamed("volume_id", "_m"), "_m").select("pair", *AXES)
+    found = asked.join(shell.withColumnRenamed("volume_id", "_o"), "_o").select("pair", *[F.col(a).alias(f"o{a}") for a in AXES])
     return asks, found
 
 
@@ -37,23 +41,19 @@ def surface_distances(pairs: DataFrame, masks: DataFrame, first_cell: int = 4, m
     A neighbour found within one cell is the nearest; other points search again
     with doubled cells until none is left. Pairs with an empty side have no rows.
     """
-    shell = cut_lineage(surface(masks))
-    result = None
-    for mine, other in (("a_id", "b_id"), ("b_id", "a_id")):
-        asks, found = _side(pairs, shell, mine, other)
-        asks = asks.join(found.select("pair").distinct(), "pair", "left_semi")
-        cell = first_cell
-        for _ in range(max_rounds):
-            near = asks.join(_near(asks, found, cell), ["pair", *AXES], "left")
-            near = cut_lineage(near)
-            sure = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
-            done = near.filter(sure).select("pair", F.lit(mine[0]).alias("side"), F.sqrt("d2").alias("d"))
-            result = done if result is None else result.unionByName(done)
-            asks = near.filter(~sure).drop("d2")
-            if asks.isEmpty():
-                break
-            cell *= 2
-    return result.select("pair.a_id", "pair.b_id", "side", "d")
+    asks, found = _sides(pairs, cut_lineage(surface(masks)))
+    asks = asks.join(found.select("pair").distinct(), "pair", "left_semi")
+    result, cell = None, first_cell
+    for _ in range(max_rounds):
+        near = cut_lineage(asks.join(_near(asks, found, cell), ["pair", *AXES], "left"))
+        sure = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
+        done = near.filter(sure).select("pair", F.sqrt("d2").alias("d"))
+        result = done if result is None else result.unionByName(done)
+        asks = near.filter(~sure).drop("d2")
+        if asks.isEmpty():
+            return result.select("pair.a_id", "pair.b_id", "pair.side", "d")
+        cell *= 2
+    raise RuntimeError(f"surfaces further apart than {cell} voxels")
 
 
 def hausdorff95(pairs: DataFrame, masks: DataFrame, q: float = 0.95) -> DataFrame:
@@ -67,12 +67,8 @@ def surface_dice(pairs: DataFrame, masks: DataFrame, tolerance: float = 2.0) ->
     """Share of surface points within ``tolerance`` of the other surface; null when both are empty."""
     shell = surface(masks)
     cell = max(int(-(-tolerance // 1)), 1)
-    close = None
-    for mine, other in (("a_id", "b_id"), ("b_id", "a_id")):
-        asks, found = _side(pairs, shell, mine, other)
-        part = _near(asks, found, cell).filter(F.col("d2") <= tolerance * tolerance).groupBy("pair").agg(F.count(F.lit(1)).alias("c"))
-        close = part if close is None else close.unionByName(part)
-    close = close.groupBy("pair").agg(F.sum("c").alias("_c")).select("pair.a_id", "pair.b_id", "_c")
+    close = _near(*_sides(pairs, shell), cell).filter(F.col("d2") <= tolerance * tolerance)
+    close = close.groupBy("pair.a_id", "pair.b_id").agg(F.count(F.lit(1)).alias("_c"))
     sizes = shell.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
     out = pairs.select("a_id", "b_id").join(close, ["a_id", "b_id"], "left")
     for side in "ab":

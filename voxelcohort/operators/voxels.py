@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelcohort.operators.quantiles import quantiles
 
@@ -108,7 +109,7 @@ def standardise(chunks: DataFrame, low: float = 1, high: float = 99, lo: float =
     return map_values(chunks.join(q, "volume_id"), one).select(*chunks.columns)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _interp(data: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([np.interp(np.asarray(d, dtype="f8"), x, y) for d, x, y in zip(data, xs, ys)])
 

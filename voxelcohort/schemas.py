@@ -1,8 +1,6 @@
-"""Explicit schemas of the canonical tables."""
+"""Explicit schemas of the canonical tables, as DDL."""
 
-from pyspark.sql import types as T
-
-SERIES = T.StructType.fromDDL(
+SERIES = (
     "series_id STRING, accession STRING, series_index INT, patient_id STRING, timepoint STRING,"
     " scan_order INT, days INT, tracker STRING, study_type STRING, study_labels STRING,"
     " image_path STRING, seg_path STRING, file_size_mb DOUBLE, entropy DOUBLE, voxel_volume DOUBLE,"
@@ -10,17 +8,14 @@ SERIES = T.StructType.fromDDL(
     " multiple_masks BOOLEAN, coreg_image STRING, coreg_seg STRING, overlay STRING,"
     " preprocessing_version STRING, anchor STRING, mi DOUBLE, error_details STRING, error_ts TIMESTAMP"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "volume_id STRING, shape ARRAY<INT>, spacing ARRAY<DOUBLE>, unit STRING,"
     " bi INT, bj INT, bk INT, origin ARRAY<INT>, dims ARRAY<INT>, data ARRAY<FLOAT>"
 )
-SPLITS = T.StructType.fromDDL(
-    ", ".join(
-        f"{name} ARRAY<STRUCT<patient_id: STRING, scans: ARRAY<STRUCT<scan_id: STRING, days_since_first: DOUBLE>>>>"
-        for name in ("train", "val", "test")
-    )
-)
-GRAPH = T.StructType.fromDDL(
+SPLIT_NAMES = ("train", "val", "test")
+SPLIT_TYPE = "ARRAY<STRUCT<patient_id: STRING, scans: ARRAY<STRUCT<scan_id: STRING, days_since_first: DOUBLE>>>>"
+SPLITS = ", ".join(f"{name} {SPLIT_TYPE}" for name in SPLIT_NAMES)
+GRAPH = (
     "nodes ARRAY<STRUCT<id: STRING, label: STRING, community: INT, file_type: STRING, source_file: STRING,"
     " source_location: STRING, summary: STRING, description: STRING, note: STRING>>,"
     " links ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING, confidence: STRING>>"

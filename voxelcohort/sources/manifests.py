@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelcohort import schemas
-
-SPLIT_NAMES = ("train", "val", "test")
+from voxelcohort.schemas import SPLIT_NAMES
 
 
 def read_manifest(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
@@ -37,7 +36,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     named = [
         F.struct(
             F.lit(n).alias("split"),
-            F.coalesce(F.col(n), F.raise_error(F.lit(f"split {n!r} is missing")).cast(schemas.SPLITS[n].dataType)).alias("patients"),
+            F.coalesce(F.col(n), F.raise_error(F.lit(f"split {n!r} is missing")).cast(schemas.SPLIT_TYPE)).alias("patients"),
         )
         for n in SPLIT_NAMES
     ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxelcohort.operators import anchors as A
 from voxelcohort.operators import incremental as I
 from voxelcohort.operators import qc as R
+from voxelcohort.session import cut_lineage
 from voxelcohort.workload import tables as T
 from voxelcohort.workload.tables import CTE, with_sql
 
@@ -112,9 +113,10 @@ def _edge_matrix():
   LEFT JOIN (SELECT row_id AS k, 1 + metric / 200000 AS s, metric / 10000 AS t FROM review) me ON me.k = a.row_id AND a.row_id <> a.patient_anchor AND a.row_id <> a.timepoint_anchor""", "anchored"))
 def _(spark, d):
     r = T.review(spark, d)
-    steps = A.chain_edges(A.transform_chain(A.with_anchors(r, **HOW)))
-    edges = steps.select("fixed", "moving").distinct().join(r.select(F.col("row_id").alias("moving"), _edge_matrix().alias("m")), "moving")
-    return A.compose_chain(steps, edges).select("row_id", F.round(F.get("m", 0), 6).alias("scale"), F.round(F.get("m", 3), 6).alias("shift"))
+    rows = cut_lineage(A.with_anchors(r, **HOW).select("row_id", "patient_anchor", "timepoint_anchor"))
+    # registrations are a stored result that every hop looks up
+    edges = cut_lineage(A.chain_edges(rows).join(r.select(F.col("row_id").alias("moving"), _edge_matrix().alias("m")), "moving"))
+    return A.compose_chain(rows, edges).select("row_id", F.round(F.get("m", 0), 6).alias("scale"), F.round(F.get("m", 3), 6).alias("shift"))
 
 
 @q("A08_resume_template", with_sql(f"""
