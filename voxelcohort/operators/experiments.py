@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import prod
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,29 +97,36 @@ def early_stop(log: DataFrame, patience: int, delta: float = 0.0, alpha: float =
     run_type = log.schema[run].dataType.simpleString()
 
     def scan(batches):
-        now, state = None, None
-        for pdf in batches:
-            out = []
-            for key, epoch, x in zip(pdf[run], pdf["epoch"], pdf["value"]):
+        import pyarrow as pa
+
+        def emit(rows):
+            columns = [pa.array([r[n] for r in rows], t) for n, t in enumerate((key_type, pa.int64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, [run, "stop_epoch", "best"])
+
+        now, state, key_type = None, None, None
+        for batch in batches:
+            key_type, out = batch.schema.field(run).type, []
+            for key, epoch, x in zip(*(batch.column(c).to_pylist() for c in (run, "epoch", "value"))):
                 if state is None or key != now:
                     if state is not None:
-                        out.append((now, state[3], state[1]))
-                    now, state = key, [0.0, float("inf"), 0, None]
-                if state[3] is not None:
+                        out.append((now, state["stop"], state["best"]))
+                    now, state = key, {"s": 0.0, "best": float("inf"), "idle": 0, "stop": None}
+                if state["stop"] is not None:
                     continue
-                state[0] = alpha * x + (1 - alpha) * state[0]
-                if state[0] < state[1] - delta:
-                    state[1], state[2] = state[0], 0
+                state["s"] = alpha * x + (1 - alpha) * state["s"]
+                if state["s"] < state["best"] - delta:
+                    state["best"], state["idle"] = state["s"], 0
                 else:
-                    state[2] += 1
-                    if state[2] > patience:
-                        state[3] = epoch
-            yield pd.DataFrame({run: [r[0] for r in out], "stop_epoch": pd.array([r[1] for r in out], dtype="Int64"), "best": [r[2] for r in out]})
+                    state["idle"] += 1
+                    if state["idle"] > patience:
+                        state["stop"] = epoch
+            yield emit(out)
         if state is not None:
-            yield pd.DataFrame({run: [now], "stop_epoch": pd.array([state[3]], dtype="Int64"), "best": [state[1]]})
+            yield emit([(now, state["stop"], state["best"])])
 
-    ordered = log.select(run, F.col("epoch").cast("long").alias("epoch"), F.col("value").cast("double").alias("value")).repartition(run).sortWithinPartitions(run, "epoch")
-    return ordered.mapInPandas(scan, f"{run} {run_type}, stop_epoch long, best double")
+    typed = log.select(run, F.col("epoch").cast("long").alias("epoch"), F.col("value").cast("double").alias("value"))
+    ordered = typed.repartition(run).sortWithinPartitions(run, "epoch")
+    return ordered.mapInArrow(scan, f"{run} {run_type}, stop_epoch long, best double")
 
 
 def best_epoch(scores: DataFrame, group: Sequence[str] = ("run_id",)) -> DataFrame:

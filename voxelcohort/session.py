@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,25 +25,28 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: a cluster without
-    the setting is an error, because a machine-local folder dies with its machine.
+    Without the setting a checkpoint folder given to the context is used. Only a
+    local master may fall back to a temporary folder: on a cluster that is an
+    error, because a machine-local folder dies with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="voxelcohort-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="voxelcohort-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
