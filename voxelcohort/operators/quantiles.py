@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators.skew import hot_groups
 
-ROWS_PER_GROUP = 1_000_000
+ROWS_PER_GROUP = 250_000
 ROWS_PER_BIN = 10_000
 MIN_BINS, MAX_BINS = 4_096, 1_048_576
 
