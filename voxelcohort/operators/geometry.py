@@ -17,11 +17,20 @@ AXES = ("i", "j", "k")
 
 # --- connected components --------------------------------------------------------------------------
 
+# a coordinate triple as one number that sorts like the triple; coordinates stay below 2^21
+COORD_BITS = 21
+
+
+def _node(i, j, k) -> Column:
+    return F.shiftleft(i.cast("long"), 2 * COORD_BITS) + F.shiftleft(j.cast("long"), COORD_BITS) + k.cast("long")
+
+
 def _runs(masks: DataFrame) -> DataFrame:
     """Unbroken stretches along the third axis, the nodes of the component search."""
     line = Window.partitionBy("volume_id", "i", "j").orderBy("k")  # one scan line
     gap = masks.withColumn("_g", F.col("k") - F.row_number().over(line))
-    return gap.groupBy("volume_id", "i", "j", "_g").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).drop("_g")
+    runs = gap.groupBy("volume_id", "i", "j", "_g").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).drop("_g")
+    return runs.withColumn("n", _node(F.col("i"), F.col("j"), F.col("k0")))
 
 
 def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -30,46 +39,41 @@ def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
     Runs that touch in a neighbouring scan line are linked; every round hooks
     each root to its smallest neighbour, halves the parent paths and keeps only
     links between different roots, so rounds grow with the logarithm of the
-    component size. Each round is checkpointed.
+    component size. Each round is stored.
     """
-    node = F.struct("i", "j", "k0")
-    runs = cut_lineage(_runs(masks).withColumn("n", node))
-    nxt = [
-        runs.select("volume_id", (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("n").alias("u"))
-        for di, dj in ((1, 0), (0, 1))
-    ]
-    links = nxt[0].unionByName(nxt[1]).join(runs, ["volume_id", "i", "j"]).filter(
-        (F.col("a0") <= F.col("k1")) & (F.col("k0") <= F.col("a1"))
-    ).select("volume_id", "u", F.col("n").alias("v"))
-    links = cut_lineage(links)
+    runs = cut_lineage(_runs(masks))
+    hops = F.array(*[F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((1, 0), (0, 1))])
+    nxt = runs.select("volume_id", F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("n").alias("u"), F.inline(hops))
+    links = cut_lineage(
+        nxt.join(runs, ["volume_id", "i", "j"]).filter((F.col("a0") <= F.col("k1")) & (F.col("k0") <= F.col("a1")))
+        .select("volume_id", F.least("u", "n").alias("u"), F.greatest("u", "n").alias("v"))
+    )
     parent = runs.select("volume_id", "n", F.col("n").alias("root"))
     for _ in range(max_rounds):
         if links.isEmpty():
             break
-        high, low = F.greatest("u", "v"), F.least("u", "v")
-        hook = links.groupBy("volume_id", high.alias("root")).agg(F.min(low).alias("to"))
-        hook = cut_lineage(hook)
+        hook = cut_lineage(links.groupBy("volume_id", F.col("v").alias("root")).agg(F.min("u").alias("to")))
         up = hook.select("volume_id", F.col("root").alias("to"), F.col("to").alias("further"))
-        jumped = hook.join(up, ["volume_id", "to"], "left").select("volume_id", "root", F.coalesce("further", "to").alias("to"))
+        jumped = cut_lineage(hook.join(up, ["volume_id", "to"], "left").select("volume_id", "root", F.coalesce("further", "to").alias("to")))
         parent = parent.join(jumped, ["volume_id", "root"], "left").select("volume_id", "n", F.coalesce("to", "root").alias("root"))
         for end in ("u", "v"):
-            moved = jumped.withColumnsRenamed({"root": end, "to": "_to"})
-            links = links.join(moved, ["volume_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        links = cut_lineage(links.filter(F.col("u") != F.col("v")).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        parent = cut_lineage(parent)
+            links = links.join(jumped.withColumnRenamed("root", end), ["volume_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        links = links.filter(F.col("u") != F.col("v")).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        links, parent = cut_lineage(links.distinct()), cut_lineage(parent)
     else:
         if not links.isEmpty():
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # roots may have hooked onward: follow until every parent is its own root
     while True:
         up = parent.select("volume_id", F.col("n").alias("root"), F.col("root").alias("further"))
-        hop = parent.join(up, ["volume_id", "root"]).select("volume_id", "n", "root", "further")
+        hop = cut_lineage(parent.join(up, ["volume_id", "root"]).select("volume_id", "n", "root", "further"))
         if hop.filter(F.col("root") != F.col("further")).isEmpty():
             break
-        parent = cut_lineage(hop.select("volume_id", "n", F.col("further").alias("root")))
-    named = runs.join(parent, ["volume_id", "n"])
-    cells = named.select("volume_id", "i", "j", F.explode(F.sequence("k0", "k1")).alias("k"), "root")
-    return cells.select("volume_id", *AXES, F.concat_ws(",", "root.i", "root.j", "root.k0").alias("component"))
+        parent = hop.select("volume_id", "n", F.col("further").alias("root"))
+    low = F.lit((1 << COORD_BITS) - 1)
+    first = F.concat_ws(",", *[F.shiftright("root", s * COORD_BITS).bitwiseAND(low) for s in (2, 1, 0)])
+    named = runs.join(parent, ["volume_id", "n"]).withColumn("component", first)
+    return named.select("volume_id", "i", "j", F.explode(F.sequence("k0", "k1")).alias("k"), "component")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators.quantiles import quantiles
 from voxelcohort.operators.skew import ROWS_PER_TILE, self_pairs
+from voxelcohort.session import cut_lineage
 
 BLOCK = ["bi", "bj", "bk"]
 
@@ -33,6 +34,10 @@ def mask_sizes(masks: DataFrame) -> DataFrame:
     return masks.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sizes(words: DataFrame) -> DataFrame:
+    return words.groupBy("volume_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
+
+
 def _common(a: str = "a_bits", b: str = "b_bits") -> Column:
     return F.bit_count(F.col(a).bitwiseAND(F.col(b))).cast("long")
 
@@ -43,7 +48,7 @@ def intersections(pairs: DataFrame, masks: DataFrame) -> DataFrame:
     left = pairs.select("a_id", "b_id").join(words.withColumnsRenamed({"volume_id": "a_id", "bits": "a_bits"}), "a_id")
     met = left.join(words.withColumnsRenamed({"volume_id": "b_id", "bits": "b_bits"}), ["b_id", *BLOCK])
     inter = met.groupBy("a_id", "b_id").agg(F.sum(_common()).alias("n_ab"))
-    sizes = mask_sizes(masks)
+    sizes = _sizes(words)
     out = pairs.join(inter, ["a_id", "b_id"], "left")
     for side in "ab":
         out = out.join(sizes.withColumnsRenamed({"volume_id": f"{side}_id", "n": f"n_{side}"}), f"{side}_id", "left")
@@ -64,11 +69,12 @@ def overlapping_pairs(members: DataFrame, masks: DataFrame, group: str, payload:
     block they both fill; a block filled by very many volumes of one group is
     tiled.
     """
-    words = pack(masks).join(members.select("volume_id", group), "volume_id")
+    # packed once: the search for hot blocks, both sides of the join and the sizes read it
+    words = cut_lineage(pack(masks).join(members.select("volume_id", group), "volume_id"))
     met = self_pairs(words, [group, *BLOCK], "volume_id", ["bits"], rows_per_tile)
     inter = met.groupBy(group, F.col("a_volume_id").alias("a_id"), F.col("b_volume_id").alias("b_id")).agg(F.sum(_common()).alias("n_ab"))
     inter = inter.filter(F.col("n_ab") > 0)
-    facts = members.select("volume_id", *payload).join(mask_sizes(masks), "volume_id")
+    facts = members.select("volume_id", *payload).join(_sizes(words), "volume_id")
     for side in "ab":
         inter = inter.join(facts.withColumnsRenamed({"volume_id": f"{side}_id", "n": f"n_{side}", **{p: f"{side}_{p}" for p in payload}}), f"{side}_id")
     return inter.withColumn("dice", 2.0 * F.col("n_ab") / (F.col("n_a") + F.col("n_b")))
