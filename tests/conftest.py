@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from voxelcohort.session import local_session
 
-    session = local_session(8, 4, "tests")
+    session = local_session(8, 2, "tests", spark__sql__codegen__wholeStage="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

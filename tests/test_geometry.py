@@ -43,7 +43,9 @@ def snake(n):
 def test_components(masks_of):
     rng = np.random.default_rng(4)
     noise = [tuple(map(int, p)) for p in np.argwhere(rng.random((8, 8, 8)) < 0.32)]
-    cases = {0: CORNER, 1: noise, 2: snake(12), 3: [(0, 0, 0), (0, 0, 1), (4, 4, 4), (4, 4, 5)]}
+    stairs = [((n + 1) // 2, n // 2, 0) for n in range(150)]  # 150 runs in a row, each the next one's smallest neighbour
+    zigzag = [(n, 40 * (n % 2) + j, 3) for n in range(40) for j in range(1)] + [(n, j, 3) for n in range(1, 40, 2) for j in range(1, 40)]
+    cases = {0: CORNER, 1: noise, 2: snake(12), 3: [(0, 0, 0), (0, 0, 1), (4, 4, 4), (4, 4, 5)], 4: stairs, 5: sorted(set(zigzag))}
     rows = G.components(masks_of(cases)).collect()
     for v, pts in cases.items():
         groups = {}

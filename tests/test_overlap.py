@@ -86,3 +86,19 @@ def test_surfaces_far_apart_and_empty(spark, masks_of):
 def test_describe_of_one_value(spark):
     row = M.describe(spark.createDataFrame([(2.0,), (None,)], "v double"), "v").first()
     assert row.asDict() == {"count": 1, "mean": 2.0, "std": None, "min": 2.0, "max": 2.0, "p25": 2.0, "p50": 2.0, "p75": 2.0}
+
+
+def test_descent_finds_the_nearest_point(spark, masks_of):
+    rng = np.random.default_rng(11)
+    clouds = {1: rng.integers(0, 12, (40, 3)), 2: rng.integers(0, 12, (30, 3)) + [60, 25, 3], 3: rng.integers(0, 100, (50, 3))}
+    clouds = {v: np.unique(c, axis=0) for v, c in clouds.items()}
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a_id long, b_id long")
+    masks = masks_of({v: [tuple(p) for p in c] for v, c in clouds.items()})
+    for cells in ((1,), (4, 12)):
+        got = {}
+        for r in S.surface_distances(pairs, masks, cells).collect():
+            got.setdefault((r["a_id"], r["b_id"], r["side"]), []).append(r["d"])
+        for a, b in ((1, 2), (2, 3)):
+            d = np.sqrt(((clouds[a][:, None] - clouds[b][None]) ** 2).sum(-1))
+            np.testing.assert_allclose(sorted(got[a, b, "a"]), sorted(d.min(1)))
+            np.testing.assert_allclose(sorted(got[a, b, "b"]), sorted(d.min(0)))

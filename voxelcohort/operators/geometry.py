@@ -36,10 +36,9 @@ def _runs(masks: DataFrame) -> DataFrame:
 def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Adds ``component`` (6-neighbour connectivity), numbered by its first voxel.
 
-    Runs that touch in a neighbouring scan line are linked; every round hooks
-    each root to its smallest neighbour, halves the parent paths and keeps only
-    links between different roots, so rounds grow with the logarithm of the
-    component size. Each round is stored.
+    Runs that touch in a neighbouring scan line are linked. Every round hooks
+    each root to its smallest neighbour, follows the hooks to their ends by
+    doubling and keeps only links between different roots. Each round is stored.
     """
     runs = cut_lineage(_runs(masks))
     hops = F.array(*[F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((1, 0), (0, 1))])
@@ -52,24 +51,22 @@ def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if links.isEmpty():
             break
-        hook = cut_lineage(links.groupBy("volume_id", F.col("v").alias("root")).agg(F.min("u").alias("to")))
-        up = hook.select("volume_id", F.col("root").alias("to"), F.col("to").alias("further"))
-        jumped = cut_lineage(hook.join(up, ["volume_id", "to"], "left").select("volume_id", "root", F.coalesce("further", "to").alias("to")))
-        parent = parent.join(jumped, ["volume_id", "root"], "left").select("volume_id", "n", F.coalesce("to", "root").alias("root"))
+        hook = links.groupBy("volume_id", F.col("v").alias("root")).agg(F.min("u").alias("to"))
+        while True:  # jump until every hook ends at a root; path lengths halve each time
+            hook = cut_lineage(hook)
+            up = hook.select("volume_id", F.col("root").alias("to"), F.col("to").alias("further"))
+            jump = hook.join(up, ["volume_id", "to"])
+            if jump.isEmpty():
+                break
+            hook = hook.join(up, ["volume_id", "to"], "left").select("volume_id", "root", F.coalesce("further", "to").alias("to"))
+        parent = parent.join(hook, ["volume_id", "root"], "left").select("volume_id", "n", F.coalesce("to", "root").alias("root"))
         for end in ("u", "v"):
-            links = links.join(jumped.withColumnRenamed("root", end), ["volume_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            links = links.join(hook.withColumnRenamed("root", end), ["volume_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = links.filter(F.col("u") != F.col("v")).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         links, parent = cut_lineage(links.distinct()), cut_lineage(parent)
     else:
         if not links.isEmpty():
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # roots may have hooked onward: follow until every parent is its own root
-    while True:
-        up = parent.select("volume_id", F.col("n").alias("root"), F.col("root").alias("further"))
-        hop = cut_lineage(parent.join(up, ["volume_id", "root"]).select("volume_id", "n", "root", "further"))
-        if hop.filter(F.col("root") != F.col("further")).isEmpty():
-            break
-        parent = hop.select("volume_id", "n", F.col("further").alias("root"))
     low = F.lit((1 << COORD_BITS) - 1)
     first = F.concat_ws(",", *[F.shiftright("root", s * COORD_BITS).bitwiseAND(low) for s in (2, 1, 0)])
     named = runs.join(parent, ["volume_id", "n"]).withColumn("component", first)

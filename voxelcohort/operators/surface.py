@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelcohort.operators.geometry import AXES, surface
@@ -35,25 +35,52 @@ def _near(asks: DataFrame, found: DataFrame, cell: int) -> DataFrame:
     return met.groupBy("pair", *AXES).agg(F.min(d2).alias("d2"))
 
 
-def surface_distances(pairs: DataFrame, masks: DataFrame, first_cell: int = 4, max_rounds: int = 24) -> DataFrame:
+def _descend(asks: DataFrame, shell: DataFrame) -> DataFrame:
+    """Squared distance of far points to the nearest point of the other mask.
+
+    Starts from one cell around the whole mask and splits cells in eight, level
+    by level, keeping for each point only cells that can still hold its nearest
+    one: those whose least distance does not exceed the smallest greatest distance.
+    """
+    top = max(int(shell.agg(F.max(F.greatest(*AXES))).first()[0] or 0).bit_length(), 1)
+    other = F.when(F.col("pair.side") == "a", F.col("pair.b_id")).otherwise(F.col("pair.a_id"))
+    left = asks.select("pair", *AXES, other.alias("_o"), *[F.lit(0).alias(f"_p{a}") for a in AXES])
+    point = Window.partitionBy("pair", *AXES)  # the cells still open for one point
+    for level in range(top - 1, -1, -1):
+        cells = shell.select(
+            F.col("volume_id").alias("_o"), *[F.shiftright(a, level + 1).alias(f"_p{a}") for a in AXES], *[F.shiftright(a, level).alias(f"_c{a}") for a in AXES]
+        ).distinct()
+        low = {a: F.shiftleft(f"_c{a}", level) for a in AXES}
+        high = {a: low[a] + ((1 << level) - 1) for a in AXES}
+        least = sum(F.greatest(low[a] - F.col(a), F.col(a) - high[a], F.lit(0)) ** 2 for a in AXES)
+        most = sum(F.greatest(F.abs(F.col(a) - low[a]), F.abs(F.col(a) - high[a])) ** 2 for a in AXES)
+        met = left.join(cells, ["_o", *[f"_p{a}" for a in AXES]]).withColumn("d2", least).withColumn("_best", F.min(most).over(point))
+        left = met.filter(F.col("d2") <= F.col("_best")).select("pair", *AXES, "_o", *[F.col(f"_c{a}").alias(f"_p{a}") for a in AXES], "d2")
+        left = cut_lineage(left)
+    return left.groupBy("pair", *AXES).agg(F.min("d2").alias("d2"))
+
+
+def surface_distances(pairs: DataFrame, masks: DataFrame, near_cells: tuple[int, ...] = (4, 12)) -> DataFrame:
     """``(a_id, b_id, side, d)``: distance of every surface point to the nearest one of the other mask.
 
-    A neighbour found within one cell is the nearest; other points search again
-    with doubled cells until none is left. Pairs with an empty side have no rows.
+    Most points have a neighbour close by: one found within a cell's length is
+    the nearest. Points further from the other mask than ``near_cells`` descend
+    through a hierarchy of cells instead, so far masks never meet point by
+    point. Pairs with an empty side have no rows.
     """
-    asks, found = _sides(pairs, cut_lineage(surface(masks)))
+    shell = cut_lineage(surface(masks))
+    asks, found = _sides(pairs, shell)
     asks = asks.join(found.select("pair").distinct(), "pair", "left_semi")
-    result, cell = None, first_cell
-    for _ in range(max_rounds):
+    result = None
+    for cell in near_cells:
         near = cut_lineage(asks.join(_near(asks, found, cell), ["pair", *AXES], "left"))
         sure = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
         done = near.filter(sure).select("pair", F.sqrt("d2").alias("d"))
         result = done if result is None else result.unionByName(done)
         asks = near.filter(~sure).drop("d2")
-        if asks.isEmpty():
-            return result.select("pair.a_id", "pair.b_id", "pair.side", "d")
-        cell *= 2
-    raise RuntimeError(f"surfaces further apart than {cell} voxels")
+    if not asks.isEmpty():
+        result = result.unionByName(_descend(asks, shell).select("pair", F.sqrt("d2").alias("d")))
+    return result.select("pair.a_id", "pair.b_id", "pair.side", "d")
 
 
 def hausdorff95(pairs: DataFrame, masks: DataFrame, q: float = 0.95) -> DataFrame:
