@@ -79,7 +79,7 @@ def test_histogram_match(spark, arrays):
     mask = spark.createDataFrame([(v, *map(int, p)) for v in (0, 9) for p in pts], "volume_id long, i int, j int, k int")
     levels = np.linspace(0, 100, 16)
     for m, sel in ((None, np.ones_like(inside)), (mask, inside), (mask.filter("volume_id > 99"), np.ones_like(inside))):
-        got = dense(V.explode_voxels(V.histogram_match(chunked(spark, src), chunked(spark, ref), pairs, m, points=16)), inside.shape)
+        got = dense(V.explode_voxels(V.histogram_match(chunked(spark, src), chunked(spark, ref), pairs, m, points=16, edge=(EDGE,) * 3)), inside.shape)
         want = np.interp(src[0].astype("f8"), np.percentile(src[0].astype("f8")[sel], levels), np.percentile(ref[9].astype("f8")[sel], levels))
         np.testing.assert_allclose(got, want, rtol=1e-9)
 
@@ -147,3 +147,16 @@ def test_otsu_splits_two_modes(spark):
     arr = np.concatenate([rng.normal(0, 0.1, (4, 4, 4)), rng.normal(5, 0.1, (2, 4, 4))]).astype("f4")
     assert arr[:4].max() <= V.otsu_threshold(chunked(spark, {0: arr}), 64).first()["threshold"] <= arr[4:].min()
     assert V.otsu_mask(chunked(spark, {0: arr}), 64).count() == 32
+
+
+def test_composite_touches_only_alpha_voxels(spark, arrays):
+    base = {0: arrays[0]}
+    alpha = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 4, 3, 6, 0.25), (0, 2, 2, 2, 0.5)], "volume_id long, i int, j int, k int, alpha double")
+    over = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 4, 3, 6, 0.5), (0, 1, 1, 1, 0.9)], "volume_id long, i int, j int, k int, value double")
+    low = spark.createDataFrame([(0, -1.0, 3.0)], "volume_id long, p1 double, p99 double")
+    got = dense(V.explode_voxels(V.composite(chunked(spark, base), over, alpha, low, (EDGE,) * 3)), arrays[0].shape)
+    want = arrays[0].astype("f8")
+    want[0, 0, 0] = 3.0
+    want[4, 3, 6] = 0.75 * want[4, 3, 6] + 0.25 * 1.0
+    want[2, 2, 2] = 0.5 * want[2, 2, 2] + 0.5 * -1.0
+    np.testing.assert_allclose(got, want)

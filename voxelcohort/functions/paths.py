@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the file name endings a volume can have
+# fixed values: the file name endings a volume can have, and those of the results of one image
 NIFTI_EXT = r"\.nii(\.gz)?$"
+RESULT_SUFFIXES = ("_bet", "_bet_mask", "_mask")
 
 
 def _c(col: Column | str) -> Column:
@@ -121,6 +122,6 @@ def pair_metric(a: Column | str, b: Column | str) -> Column:
     return F.when(F.coalesce(same, F.lit(False)), "GC").otherwise("mattes")
 
 
-def expected_names(base: Column | str, suffixes: Sequence[str] = ("_bet", "_bet_mask", "_mask")) -> Column:
+def expected_names(base: Column | str, suffixes: Sequence[str] = RESULT_SUFFIXES) -> Column:
     """The result file names a processed image leaves, as an array."""
     return F.array(*[F.concat(_c(base), F.lit(f"{s}.nii.gz")) for s in suffixes])

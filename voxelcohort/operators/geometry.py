@@ -343,14 +343,3 @@ def feather_alpha(dist: DataFrame, width_mm: float) -> DataFrame:
     t = F.least(F.greatest(F.col("dist_mm") / width_mm, F.lit(0.0)), F.lit(1.0))
     return dist.withColumn("alpha", t * t * (3.0 - 2.0 * t))
 
-
-def composite(base: DataFrame, overlay: DataFrame, alpha: DataFrame, low: DataFrame) -> DataFrame:
-    """Blend overlay into base where ``alpha`` has rows; overlay values in [0, 1] are scaled to [p1, p99].
-
-    ``low`` has ``(volume_id, p1, p99)`` of the base volumes.
-    """
-    key = ["volume_id", *AXES]
-    out = base.join(alpha.select(*key, "alpha"), key, "left").join(overlay.withColumnRenamed("value", "_o"), key, "left").join(low, "volume_id")
-    scaled = F.coalesce("_o", F.lit(0.0)) * (F.col("p99") - F.col("p1")) + F.col("p1")
-    mixed = (1 - F.col("alpha")) * F.col("value") + F.col("alpha") * scaled
-    return out.withColumn("value", F.when(F.col("alpha").isNull(), F.col("value")).otherwise(mixed)).select(*base.columns)

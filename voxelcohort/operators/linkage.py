@@ -156,7 +156,7 @@ def drop_phi(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*cols)
 
 
-def expected_outputs(df: DataFrame, base: str, suffixes: Sequence[str] = ("_bet", "_bet_mask", "_mask")) -> DataFrame:
+def expected_outputs(df: DataFrame, base: str, suffixes: Sequence[str] = P.RESULT_SUFFIXES) -> DataFrame:
     return df.withColumn("output", F.explode(P.expected_names(base, suffixes)))
 
 

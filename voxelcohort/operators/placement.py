@@ -27,6 +27,22 @@ THRESHOLDS: Mapping[str, float] = {
     "monotone_drop_warn_fraction": 0.02,
 }
 
+# fixed values: severity and message of each finding
+FINDINGS: Mapping[str, tuple[str, str]] = {
+    "empty_output": ("hard_failure", "Primary placed mask is empty."),
+    "centroid_offset_fail": ("hard_failure", "Centroid offset %.2f mm exceeds failure threshold."),
+    "centroid_offset_warn": ("warning", "Centroid offset %.2f mm exceeds warning threshold."),
+    "retained_fraction_fail": ("hard_failure", "Retained fraction %.3f is too low."),
+    "retained_fraction_warn": ("warning", "Retained fraction %.3f is below the warning threshold."),
+    "worst_clipping_fail": ("hard_failure", "Worst retained fraction %.3f indicates severe clipping."),
+    "worst_clipping_warn": ("warning", "Worst retained fraction %.3f indicates clipping."),
+    "non_monotone_growth": ("warning", "Placed mask voxel counts are not monotone non-decreasing across timepoints."),
+    "orientation_low_confidence": ("warning", "Orientation confidence %.4f is low (margin %.4f)."),
+    "strategy_disagreement": ("warning", "Orientation strategies disagree on the selected signed axis."),
+    "placed_to_seg_ratio_fail": ("hard_failure", "Placed/seg volume ratio %.3f is implausible."),
+    "placed_to_seg_ratio_warn": ("warning", "Placed/seg volume ratio %.3f is outside the warning band."),
+}
+
 
 def placement_metrics(tp: DataFrame, voxel_mm3: float = 1.0) -> DataFrame:
     """Adds volumes in mm3, the retained fraction and whether the mask was clipped.
@@ -106,27 +122,24 @@ def validate(cases: DataFrame, thresholds: Mapping[str, float] = THRESHOLDS) ->
     offset, kept, clip = F.col("centroid_offset_mm"), F.col("retained_fraction"), F.col("worst_clipping")
     ratio, sure = F.col("placed_to_seg_ratio"), F.col("confidence")
 
-    def finding(severity, code, text, *args):
+    def finding(code, *args):
+        severity, text = FINDINGS[code]
         message = F.format_string(text, *args) if args else F.lit(text)
         return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
 
-    fail, warn = "hard_failure", "warning"
+    def graded(name, value, breach):
+        """Failure before warning on one metric."""
+        return F.when(breach("fail"), finding(f"{name}_fail", value)).when(breach("warn"), finding(f"{name}_warn", value))
+
     rules = [
-        F.when(F.col("placed_voxels") <= 0, finding(fail, "empty_output", "Primary placed mask is empty.")),
-        F.when(offset >= t["centroid_offset_fail_mm"], finding(fail, "centroid_offset_fail", "Centroid offset %.2f mm exceeds failure threshold.", offset))
-        .when(offset >= t["centroid_offset_warn_mm"], finding(warn, "centroid_offset_warn", "Centroid offset %.2f mm exceeds warning threshold.", offset)),
-        F.when(kept <= t["retained_fraction_fail"], finding(fail, "retained_fraction_fail", "Retained fraction %.3f is too low.", kept))
-        .when(kept <= t["retained_fraction_warn"], finding(warn, "retained_fraction_warn", "Retained fraction %.3f is below the warning threshold.", kept)),
-        F.when(clip <= t["worst_clipping_fail"], finding(fail, "worst_clipping_fail", "Worst retained fraction %.3f indicates severe clipping.", clip))
-        .when(clip <= t["worst_clipping_warn"], finding(warn, "worst_clipping_warn", "Worst retained fraction %.3f indicates clipping.", clip)),
-        F.when(~F.col("monotone_growth"), finding(warn, "non_monotone_growth", "Placed mask voxel counts are not monotone non-decreasing across timepoints.")),
-        F.when(F.col("low_confidence") | (sure <= t["orientation_confidence_warn"]),
-               finding(warn, "orientation_low_confidence", "Orientation confidence %.4f is low (margin %.4f).", sure, F.col("score_margin"))),
-        F.when(~F.col("strategy_agreement"), finding(warn, "strategy_disagreement", "Orientation strategies disagree on the selected signed axis.")),
-        F.when((ratio <= t["placed_to_seg_ratio_fail_low"]) | (ratio >= t["placed_to_seg_ratio_fail_high"]),
-               finding(fail, "placed_to_seg_ratio_fail", "Placed/seg volume ratio %.3f is implausible.", ratio))
-        .when((ratio <= t["placed_to_seg_ratio_warn_low"]) | (ratio >= t["placed_to_seg_ratio_warn_high"]),
-              finding(warn, "placed_to_seg_ratio_warn", "Placed/seg volume ratio %.3f is outside the warning band.", ratio)),
+        F.when(F.col("placed_voxels") <= 0, finding("empty_output")),
+        graded("centroid_offset", offset, lambda g: offset >= t[f"centroid_offset_{g}_mm"]),
+        graded("retained_fraction", kept, lambda g: kept <= t[f"retained_fraction_{g}"]),
+        graded("worst_clipping", clip, lambda g: clip <= t[f"worst_clipping_{g}"]),
+        F.when(~F.col("monotone_growth"), finding("non_monotone_growth")),
+        F.when(F.col("low_confidence") | (sure <= t["orientation_confidence_warn"]), finding("orientation_low_confidence", sure, F.col("score_margin"))),
+        F.when(~F.col("strategy_agreement"), finding("strategy_disagreement")),
+        graded("placed_to_seg_ratio", ratio, lambda g: (ratio <= t[f"placed_to_seg_ratio_{g}_low"]) | (ratio >= t[f"placed_to_seg_ratio_{g}_high"])),
     ]
     return cases.withColumn("findings", F.array_compact(F.array(*rules)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelcohort.operators.skew import global_position, in_order
+from voxelcohort.session import cut_lineage
 
 SCAN_ID = r"^(\d+)_(\d+)_(\d+)$"
 
@@ -128,6 +129,7 @@ def pad_batch(assembled: DataFrame, batch: str) -> DataFrame:
 def growth(masks: DataFrame, scans: DataFrame) -> DataFrame:
     """Foreground voxels per scan and the change since the patient's previous scan."""
     counts = masks.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_voxels"))
-    sized = scans.select("patient_id", "volume_id", "day").join(counts, "volume_id", "left").fillna(0, ["n_voxels"])
+    # one row per scan from many voxels: stored, because the ordering reads it twice
+    sized = cut_lineage(scans.select("patient_id", "volume_id", "day").join(counts, "volume_id", "left").fillna(0, ["n_voxels"]))
     out = in_order(sized, ["patient_id"], "day", ["volume_id"], lag={"n_voxels": "_prev"})
     return out.withColumn("change", F.col("n_voxels") - F.col("_prev")).drop("_prev")

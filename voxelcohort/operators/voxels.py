@@ -114,20 +114,21 @@ def _interp(data: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([np.interp(np.asarray(d, dtype="f8"), x, y) for d, x, y in zip(data, xs, ys)])
 
 
-def histogram_match(source: DataFrame, reference: DataFrame, pairs: DataFrame, mask: DataFrame | None = None, points: int = 256) -> DataFrame:
+def histogram_match(
+    source: DataFrame, reference: DataFrame, pairs: DataFrame, mask: DataFrame | None = None, points: int = 256, edge: Sequence[int] = (64, 64, 64)
+) -> DataFrame:
     """Map each source volume onto the intensity distribution of its reference volume.
 
     ``pairs`` has ``volume_id`` and ``reference_id``. Quantile knots are taken
     inside ``mask`` (the whole volume where it is empty); values between knots
-    are interpolated and clamped at the ends.
+    are interpolated and clamped at the ends. ``edge`` is the chunk grid's block size.
     """
     ps = [100 * n / (points - 1) for n in range(points)]
 
     def knots(chunks, name):
         if mask is None:
             return percentiles(chunks, ps).select("volume_id", F.col("q").alias(name))
-        inside = explode_voxels(chunks).join(mask, ["volume_id", "i", "j", "k"], "left_semi")
-        masked = quantiles(inside, ["volume_id"], "value", [p / 100 for p in ps])
+        masked = percentiles(inside_mask(chunks, mask, edge), ps)
         bare = chunks.join(masked.select("volume_id"), "volume_id", "left_anti")
         return masked.unionByName(percentiles(bare, ps)).select("volume_id", F.col("q").alias(name))
 
@@ -231,19 +232,39 @@ def coverage_guard(masks: DataFrame, volumes: DataFrame, min_pct: float = 10.0)
     return out.select("volume_id", pct.alias("coverage_pct")).withColumn("use_all", F.col("coverage_pct") < min_pct)
 
 
-def mask_by_chunk(masks: DataFrame, edge: Sequence[int]) -> DataFrame:
-    """Foreground of each chunk as local positions on the full ``edge`` grid, at most one chunk per row."""
+def by_chunk(cells: DataFrame, edge: Sequence[int], *values: str) -> DataFrame:
+    """Sparse voxel rows gathered per chunk: local positions on the full ``edge`` grid and their values.
+
+    A gathered list holds at most the voxels of one chunk.
+    """
     ei, ej, ek = edge
     spot = ((F.col("i") % ei) * ej + F.col("j") % ej) * ek + F.col("k") % ek
     at = [F.floor(F.col(c) / e).cast("int").alias(f"b{c}") for c, e in zip("ijk", edge)]
-    return masks.groupBy("volume_id", *at).agg(F.collect_list(spot.cast("int")).alias("_spots"))
+    lists = F.collect_list(F.struct(spot.cast("int").alias("_spots"), *values))
+    return cells.groupBy("volume_id", *at).agg(lists.alias("_l")).select("volume_id", "bi", "bj", "bk", *[f"_l.{c}" for c in ("_spots", *values)])
+
+
+CHUNK_KEY = ["volume_id", "bi", "bj", "bk"]
+
+
+def inside_mask(chunks: DataFrame, masks: DataFrame, edge: Sequence[int] = (64, 64, 64)) -> DataFrame:
+    """Chunks reduced to the values inside the mask; chunks without foreground are left out."""
+    grid = tuple(int(e) for e in edge)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def pick(data: pd.Series, dims: pd.Series, spots: pd.Series) -> pd.Series:
+        return pd.Series([
+            np.asarray(d, dtype="f8").reshape(tuple(n))[np.unravel_index(np.asarray(s, dtype="i8"), grid)] for d, n, s in zip(data, dims, spots)
+        ])
+
+    return chunks.join(by_chunk(masks, grid), CHUNK_KEY).withColumn("data", pick("data", "dims", "_spots")).drop("_spots")
 
 
 def apply_mask(chunks: DataFrame, masks: DataFrame, edge: Sequence[int] = (64, 64, 64)) -> DataFrame:
     """Zero the voxels outside the mask; ``edge`` is the chunk grid's block size."""
     grid = tuple(int(e) for e in edge)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def keep(data: pd.Series, dims: pd.Series, spots: pd.Series) -> pd.Series:
         out = []
         for d, n, s in zip(data, dims, spots):
@@ -254,10 +275,37 @@ def apply_mask(chunks: DataFrame, masks: DataFrame, edge: Sequence[int] = (64, 6
             out.append(block.ravel())
         return pd.Series(out)
 
-    told = chunks.join(mask_by_chunk(masks, grid), ["volume_id", "bi", "bj", "bk"], "left")
+    told = chunks.join(by_chunk(masks, grid), CHUNK_KEY, "left")
     return told.withColumn("data", keep("data", "dims", "_spots")).select(*chunks.columns)
 
 
+def composite(chunks: DataFrame, overlay: DataFrame, alpha: DataFrame, low: DataFrame, edge: Sequence[int] = (64, 64, 64)) -> DataFrame:
+    """Blend overlay voxels into chunks where ``alpha`` has rows; overlay values in [0, 1] are scaled to [p1, p99].
+
+    ``overlay`` and ``alpha`` are sparse voxel rows (a missing overlay value is
+    0), ``low`` has ``(volume_id, p1, p99)`` of the base volumes. The sparse
+    rows travel to their chunk; the dense volume is not exploded.
+    """
+    grid = tuple(int(e) for e in edge)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def blend(data: pd.Series, dims: pd.Series, spots: pd.Series, weights: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for d, n, s, w, v in zip(data, dims, spots, weights, values):
+            block = np.array(d, dtype="f8").reshape(tuple(n))
+            if s is not None and len(s):
+                at, w = np.unravel_index(np.asarray(s, dtype="i8"), grid), np.asarray(w, dtype="f8")
+                block[at] = (1 - w) * block[at] + w * np.asarray(v, dtype="f8")
+            out.append(block.ravel())
+        return pd.Series(out)
+
+    key = ["volume_id", "i", "j", "k"]
+    cells = alpha.select(*key, "alpha").join(overlay.select(*key, F.col("value").alias("_o")), key, "left").join(low, "volume_id")
+    cells = cells.withColumn("_v", F.coalesce("_o", F.lit(0.0)) * (F.col("p99") - F.col("p1")) + F.col("p1"))
+    told = chunks.join(by_chunk(cells, grid, "alpha", "_v"), CHUNK_KEY, "left")
+    return told.withColumn("data", blend("data", "dims", "_spots", "alpha", "_v")).select(*chunks.columns)
+
+
 def otsu_threshold(chunks: DataFrame, bins: int = 256) -> DataFrame:
     """Threshold per volume that maximises the between-class variance of its histogram."""
     hist = histogram(chunks, bins)

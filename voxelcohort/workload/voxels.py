@@ -396,7 +396,7 @@ def _(spark, d):
     vox = V.explode_voxels(c)
     alpha = G.feather_alpha(G.inner_distance(T.masks(spark, d), T.volumes(spark, d), 1.25), 1.25)
     low = V.percentiles(c, [1, 99]).select("volume_id", F.get("q", 0).alias("p1"), F.get("q", 1).alias("p99"))
-    return _ints(_r(G.composite(vox, vox.withColumn("value", F.abs("value")), alpha, low), "value"))
+    return _flat(V.composite(c, vox.withColumn("value", F.abs("value")), alpha, low, EDGE))
 
 
 _WIN = "(SELECT * FROM (VALUES (0), (1)) a(wi), (VALUES (0), (1)) b(wj), (VALUES (0), (4), (8), (9)) c(wk))"
