@@ -105,8 +105,8 @@ def _edge_matrix():
 
 
 @q("A07_compose_chain", with_sql("""
-  SELECT row_id, round(coalesce(pa.s, 1) * coalesce(ta.s, 1) * coalesce(me.s, 1), 6) AS scale,
-    round(pa.t + pa.s * (coalesce(ta.t, 0) + coalesce(ta.s, 1) * coalesce(me.t, 0)), 6) AS shift
+  SELECT row_id, round(coalesce(pa.s, 1) * coalesce(ta.s, 1) * coalesce(me.s, 1), 6) + 0.0 AS scale,
+    round(pa.t + pa.s * (coalesce(ta.t, 0) + coalesce(ta.s, 1) * coalesce(me.t, 0)), 6) + 0.0 AS shift
   FROM anchored a
   JOIN (SELECT row_id AS k, 1 + metric / 200000 AS s, metric / 10000 AS t FROM review) pa ON pa.k = a.patient_anchor
   LEFT JOIN (SELECT row_id AS k, 1 + metric / 200000 AS s, metric / 10000 AS t FROM review) ta ON ta.k = a.timepoint_anchor AND a.timepoint_anchor <> a.patient_anchor
@@ -313,7 +313,7 @@ def _(spark, d):
 
 @q("Q04_category_share", with_sql("""
   SELECT CASE WHEN manual THEN 'manual_correction' ELSE 'acceptable' END AS category, count(*) AS n_rows,
-    round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM flags GROUP BY 1""", "flags"))
+    round(100.0 * count(*) / sum(count(*)) OVER (), 6) + 0.0 AS percent FROM flags GROUP BY 1""", "flags"))
 def _(spark, d):
     return R.category_share(flagged(spark, d)).withColumn("percent", F.round("percent", 6))
 
@@ -325,7 +325,7 @@ def _(spark, d):
 
 
 @q("Q06_manual_per_patient", with_sql("""
-  SELECT count(*) AS n_patients, min(n) AS min_rows, max(n) AS max_rows, round(avg(n), 6) AS mean_rows FROM (SELECT patient_id, count(*) AS n FROM flags WHERE manual GROUP BY 1)""", "flags"))
+  SELECT count(*) AS n_patients, min(n) AS min_rows, max(n) AS max_rows, round(avg(n), 6) + 0.0 AS mean_rows FROM (SELECT patient_id, count(*) AS n FROM flags WHERE manual GROUP BY 1)""", "flags"))
 def _(spark, d):
     return R.manual_per_patient(flagged(spark, d)).withColumn("mean_rows", F.round("mean_rows", 6))
 

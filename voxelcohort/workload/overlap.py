@@ -49,19 +49,19 @@ def _study(spark, d):
     return M.dice_per_study(series, masks, cut_lineage(M.pairwise_dice(series, masks)))
 
 
-@q("M01_dice", with_sql("SELECT a_id, b_id, n_ab, round(2.0 * n_ab / (n_a + n_b), 6) AS dice FROM follow_n", "follow_n"))
+@q("M01_dice", with_sql("SELECT a_id, b_id, n_ab, round(2.0 * n_ab / (n_a + n_b), 6) + 0.0 AS dice FROM follow_n", "follow_n"))
 def _(spark, d):
     return _r(M.dice(T.follow(spark, d), T.masks(spark, d)), "dice").select("a_id", "b_id", "n_ab", "dice")
 
 
 @q("M02_cross_type_dice", with_sql("""
-  SELECT a_tracker AS tracker, CASE WHEN a_type = 'T1_post' THEN a_id ELSE b_id END AS a_id, CASE WHEN a_type = 'T1_post' THEN b_id ELSE a_id END AS b_id, n_ab, round(dice, 6) AS dice
+  SELECT a_tracker AS tracker, CASE WHEN a_type = 'T1_post' THEN a_id ELSE b_id END AS a_id, CASE WHEN a_type = 'T1_post' THEN b_id ELSE a_id END AS b_id, n_ab, round(dice, 6) + 0.0 AS dice
   FROM all_pairs WHERE a_tracker = b_tracker AND a_type <> b_type AND n_ab > 0""", "all_pairs"))
 def _(spark, d):
     return _r(M.cross_type_dice(T.volumes(spark, d), T.masks(spark, d), "t1", "T2"), "dice")
 
 
-@q("M03_pairwise_dice", with_sql("SELECT patient_id, a_id, b_id, a_type, b_type, n_ab, round(dice, 6) AS dice FROM all_pairs WHERE n_ab > 0", "all_pairs"))
+@q("M03_pairwise_dice", with_sql("SELECT patient_id, a_id, b_id, a_type, b_type, n_ab, round(dice, 6) + 0.0 AS dice FROM all_pairs WHERE n_ab > 0", "all_pairs"))
 def _(spark, d):
     out = _r(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d)), "dice")
     return out.select("patient_id", "a_id", "b_id", F.col("a_study_type").alias("a_type"), F.col("b_study_type").alias("b_type"), "n_ab", "dice")
@@ -75,7 +75,7 @@ def _(spark, d):
 
 
 @q("M04_comparison_stats", with_sql("""
-  SELECT round(avg(n), 6) AS mean_pairs, min(n) AS min_pairs, max(n) AS max_pairs FROM (SELECT patient_id, count(*) AS n FROM all_pairs GROUP BY 1)""", "all_pairs"))
+  SELECT round(avg(n), 6) + 0.0 AS mean_pairs, min(n) AS min_pairs, max(n) AS max_pairs FROM (SELECT patient_id, count(*) AS n FROM all_pairs GROUP BY 1)""", "all_pairs"))
 def _(spark, d):
     return _r(M.comparison_stats(M.pair_counts(T.volumes(spark, d))), "mean_pairs")
 
@@ -83,38 +83,38 @@ def _(spark, d):
 _STATS = ["mean_dice", "std_dice", "min_dice", "max_dice", "median_dice"]
 
 
-@q("M05_dice_per_study", with_sql(f"SELECT volume_id, patient_id, study_type, n_comparisons, {', '.join(f'round({c}, 6) AS {c}' for c in _STATS)} FROM study ORDER BY mean_dice DESC", "study"))
+@q("M05_dice_per_study", with_sql(f"SELECT volume_id, patient_id, study_type, n_comparisons, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _STATS)} FROM study ORDER BY mean_dice DESC", "study"))
 def _(spark, d):
     return _r(_study(spark, d), *_STATS).orderBy(F.desc("mean_dice"))
 
 
 @q("M06_describe", with_sql("""
-  SELECT count(dice) AS count, round(avg(dice), 6) AS mean, round(stddev_samp(dice), 6) AS std, round(min(dice), 6) AS min, round(max(dice), 6) AS max,
-    round(quantile_cont(dice, 0.25), 6) AS p25, round(quantile_cont(dice, 0.5), 6) AS p50, round(quantile_cont(dice, 0.75), 6) AS p75 FROM all_pairs WHERE n_ab > 0""", "all_pairs"))
+  SELECT count(dice) AS count, round(avg(dice), 6) + 0.0 AS mean, round(stddev_samp(dice), 6) + 0.0 AS std, round(min(dice), 6) + 0.0 AS min, round(max(dice), 6) + 0.0 AS max,
+    round(quantile_cont(dice, 0.25), 6) + 0.0 AS p25, round(quantile_cont(dice, 0.5), 6) + 0.0 AS p50, round(quantile_cont(dice, 0.75), 6) + 0.0 AS p75 FROM all_pairs WHERE n_ab > 0""", "all_pairs"))
 def _(spark, d):
     pairs = cut_lineage(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d)).select("dice"))
     return _r(M.describe(pairs, "dice"), "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
 @q("M07_dice_by_type", with_sql("""
-  SELECT study_type, round(avg(mean_dice), 4) AS mean_dice, round(stddev_samp(mean_dice), 4) AS std_dice, count(mean_dice) AS n_studies, round(avg(n_comparisons), 4) AS mean_comparisons FROM study GROUP BY 1""", "study"))
+  SELECT study_type, round(avg(mean_dice), 4) + 0.0 AS mean_dice, round(stddev_samp(mean_dice), 4) + 0.0 AS std_dice, count(mean_dice) AS n_studies, round(avg(n_comparisons), 4) + 0.0 AS mean_comparisons FROM study GROUP BY 1""", "study"))
 def _(spark, d):
     return M.dice_by_type(_study(spark, d))
 
 
 @q("M08_top_bottom", with_sql("""
-  SELECT 'top' AS "end", volume_id, round(mean_dice, 6) AS mean_dice FROM (SELECT * FROM study ORDER BY mean_dice DESC, volume_id LIMIT 10)
-  UNION ALL SELECT 'bottom', volume_id, round(mean_dice, 6) FROM (SELECT * FROM study ORDER BY mean_dice, volume_id LIMIT 10)""", "study"))
+  SELECT 'top' AS "end", volume_id, round(mean_dice, 6) + 0.0 AS mean_dice FROM (SELECT * FROM study ORDER BY mean_dice DESC, volume_id LIMIT 10)
+  UNION ALL SELECT 'bottom', volume_id, round(mean_dice, 6) + 0.0 FROM (SELECT * FROM study ORDER BY mean_dice, volume_id LIMIT 10)""", "study"))
 def _(spark, d):
     return _r(M.top_bottom(cut_lineage(_study(spark, d))), "mean_dice").select("end", "volume_id", "mean_dice")
 
 
-@q("M09_rvd", with_sql("SELECT a_id, b_id, round(abs(n_a - n_b) / n_b, 6) AS rvd FROM follow_n", "follow_n"))
+@q("M09_rvd", with_sql("SELECT a_id, b_id, round(abs(n_a - n_b) / n_b, 6) + 0.0 AS rvd FROM follow_n", "follow_n"))
 def _(spark, d):
     return _r(M.rvd(T.follow(spark, d), T.masks(spark, d)), "rvd").select("a_id", "b_id", "rvd")
 
 
-@q("M10_precision_recall", with_sql('SELECT a_id, b_id, round(n_ab / n_a, 6) AS "precision", round(n_ab / n_b, 6) AS recall FROM follow_n', "follow_n"))
+@q("M10_precision_recall", with_sql('SELECT a_id, b_id, round(n_ab / n_a, 6) + 0.0 AS "precision", round(n_ab / n_b, 6) + 0.0 AS recall FROM follow_n', "follow_n"))
 def _(spark, d):
     return _r(M.precision_recall(T.follow(spark, d), T.masks(spark, d)), "precision", "recall").select("a_id", "b_id", "precision", "recall")
 
@@ -139,18 +139,18 @@ def _(spark, d):
 
 
 @q("M12_hausdorff95", with_sql("""
-  SELECT a_id, b_id, round(max(h), 6) AS hd95 FROM (SELECT a_id, b_id, side, quantile_cont(d, 0.95) AS h FROM dists GROUP BY ALL) GROUP BY ALL""", "dists"))
+  SELECT a_id, b_id, round(max(h), 6) + 0.0 AS hd95 FROM (SELECT a_id, b_id, side, quantile_cont(d, 0.95) AS h FROM dists GROUP BY ALL) GROUP BY ALL""", "dists"))
 def _(spark, d):
     return _r(S.hausdorff95(T.follow(spark, d), _big(spark, d)), "hd95")
 
 
-@q("M13_surface_dice", with_sql("SELECT a_id, b_id, round(avg(CASE WHEN d <= 1.0 THEN 1 ELSE 0 END), 6) AS surface_dice FROM dists GROUP BY ALL", "dists"))
+@q("M13_surface_dice", with_sql("SELECT a_id, b_id, round(avg(CASE WHEN d <= 1.0 THEN 1 ELSE 0 END), 6) + 0.0 AS surface_dice FROM dists GROUP BY ALL", "dists"))
 def _(spark, d):
     return _r(S.surface_dice(T.follow(spark, d), _big(spark, d), 1.0), "surface_dice")
 
 
 @q("M14_persistence_baseline", with_sql("""
-  SELECT count(dice) AS n, round(avg(dice), 6) AS mean_dice, round(stddev_pop(dice), 6) AS std_dice FROM all_pairs JOIN volumes v ON v.volume_id = a_id JOIN volumes w ON w.volume_id = b_id WHERE v.day = 0 AND w.day = 1""", "all_pairs", "volumes"))
+  SELECT count(dice) AS n, round(avg(dice), 6) + 0.0 AS mean_dice, round(stddev_pop(dice), 6) + 0.0 AS std_dice FROM all_pairs JOIN volumes v ON v.volume_id = a_id JOIN volumes w ON w.volume_id = b_id WHERE v.day = 0 AND w.day = 1""", "all_pairs", "volumes"))
 def _(spark, d):
     return _r(M.persistence_baseline(T.volumes(spark, d), T.masks(spark, d)), "mean_dice", "std_dice")
 

@@ -123,7 +123,7 @@ def _nifti_files(spark, d):
 
 
 @q("S07_decode_volumes", """
-  SELECT 'vault/' || vec_id || '.nii' AS volume_id, pos // 16 AS i, pos // 4 % 4 AS j, pos % 4 AS k, round(CAST(v AS DOUBLE), 6) AS value, 3.0::DOUBLE AS dz, 'mm' AS unit
+  SELECT 'vault/' || vec_id || '.nii' AS volume_id, pos // 16 AS i, pos // 4 % 4 AS j, pos % 4 AS k, round(CAST(v AS DOUBLE), 6) + 0.0 AS value, 3.0::DOUBLE AS dz, 'mm' AS unit
   FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""")
 def _(spark, d):
     chunks = SV.decode_volumes(_nifti_files(spark, d), edge=3).withColumnRenamed("path", "volume_id")

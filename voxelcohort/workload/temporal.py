@@ -51,7 +51,7 @@ def _(spark, d):
 
 
 @q("T04_flatten_sequences", """
-  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS image, round(CAST(unnest(embedding) AS DOUBLE) * 2, 6) AS date FROM embeddings""")
+  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS image, round(CAST(unnest(embedding) AS DOUBLE) * 2, 6) + 0.0 AS date FROM embeddings""")
 def _(spark, d):
     nested = T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("image"), F.transform("embedding", lambda x: x.cast("double") * 2).alias("date"))
     flat = S.flatten_sequences(nested, ["image", "date"], ["vec_id"])
@@ -71,7 +71,7 @@ def _(spark, d):
 CTE["deltas"] = (("scans",), f"SELECT *, row_number() {_W} - 1 AS pos, day - lag(day) {_W} AS delta FROM scans")
 
 
-@q("T06_time_deltas", with_sql("SELECT scan_id, pos, delta, round(ln(1 + greatest(delta, 0) / 360), 6) AS log_delta FROM deltas", "deltas"))
+@q("T06_time_deltas", with_sql("SELECT scan_id, pos, delta, round(ln(1 + greatest(delta, 0) / 360), 6) + 0.0 AS log_delta FROM deltas", "deltas"))
 def _(spark, d):
     return _r(S.time_deltas(T.scans(spark, d)), "log_delta").select("scan_id", "pos", "delta", "log_delta")
 
@@ -96,9 +96,9 @@ CTE["dims"] = ((), """
 
 
 @q("T09_aggregate_sequence", with_sql("""
-  SELECT 'mean' AS how, patient_id, dim, round(avg(v), 6) AS value FROM dims GROUP BY ALL UNION ALL SELECT 'max', patient_id, dim, round(max(v), 6) FROM dims GROUP BY ALL
-  UNION ALL SELECT 'last', patient_id, dim, round(arg_max(v, step), 6) FROM dims GROUP BY ALL UNION ALL SELECT 'cat', patient_id, dim, round(avg(v), 6) FROM dims GROUP BY ALL
-  UNION ALL SELECT 'cat', patient_id, dim + 64, round(arg_max(v, step), 6) FROM dims GROUP BY ALL""", "dims"))
+  SELECT 'mean' AS how, patient_id, dim, round(avg(v), 6) + 0.0 AS value FROM dims GROUP BY ALL UNION ALL SELECT 'max', patient_id, dim, round(max(v), 6) + 0.0 FROM dims GROUP BY ALL
+  UNION ALL SELECT 'last', patient_id, dim, round(arg_max(v, step), 6) + 0.0 FROM dims GROUP BY ALL UNION ALL SELECT 'cat', patient_id, dim, round(avg(v), 6) + 0.0 FROM dims GROUP BY ALL
+  UNION ALL SELECT 'cat', patient_id, dim + 64, round(arg_max(v, step), 6) + 0.0 FROM dims GROUP BY ALL""", "dims"))
 def _(spark, d):
     vecs = T.table(spark, d, "embeddings").select(F.expr("vec_id div 20").alias("patient_id"), F.col("vec_id").alias("step"), F.col("embedding").alias("vec"))
     part = lambda how: S.aggregate_sequence(vecs, how).select(F.lit(how).alias("how"), "patient_id", "dim", F.round("value", 6).alias("value"))
@@ -186,7 +186,7 @@ def _cv(spark, d):
     return E.cv_summary(best)
 
 
-@q("E04_cv_summary", with_sql("SELECT run_id, metric, round(mean, 6) AS mean, round(std, 6) AS std, summary FROM cv", "cv"))
+@q("E04_cv_summary", with_sql("SELECT run_id, metric, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, summary FROM cv", "cv"))
 def _(spark, d):
     return _r(_cv(spark, d), "mean", "std")
 
@@ -204,7 +204,7 @@ def _(spark, d):
 CTE["losses"] = (("metric_log",), "SELECT * REPLACE (CASE WHEN metric IN ('rvd', 'hausdorff') THEN value ELSE 1 - value END AS value) FROM metric_log")
 
 
-@q("E06_to_losses", with_sql("SELECT run_id, fold, epoch, metric, round(value, 6) AS value FROM losses", "losses"))
+@q("E06_to_losses", with_sql("SELECT run_id, fold, epoch, metric, round(value, 6) + 0.0 AS value FROM losses", "losses"))
 def _(spark, d):
     return _r(E.to_losses(T.metric_log(spark, d)), "value")
 
@@ -221,7 +221,7 @@ def _scores(spark, d):
     return E.composite_score(E.to_losses(T.metric_log(spark, d)), {"dice": 0.6, "hausdorff": 0.4}, ["hausdorff"])
 
 
-@q("E07_composite_score", with_sql("SELECT run_id, fold, epoch, round(score, 6) AS score FROM scores", "scores"))
+@q("E07_composite_score", with_sql("SELECT run_id, fold, epoch, round(score, 6) + 0.0 AS score FROM scores", "scores"))
 def _(spark, d):
     return _r(_scores(spark, d), "score")
 
@@ -231,7 +231,7 @@ def _(spark, d):
   f AS (SELECT run_id, n, epoch, 0.6 * v AS s, 0.6 * v AS best, 0 AS idle FROM x WHERE n = 1
     UNION ALL SELECT x.run_id, x.n, x.epoch, 0.6 * x.v + 0.4 * f.s, CASE WHEN 0.6 * x.v + 0.4 * f.s < f.best - 0.01 THEN 0.6 * x.v + 0.4 * f.s ELSE f.best END,
       CASE WHEN 0.6 * x.v + 0.4 * f.s < f.best - 0.01 THEN 0 ELSE f.idle + 1 END FROM f JOIN x ON x.run_id = f.run_id AND x.n = f.n + 1 WHERE f.idle <= 3)
-  SELECT run_id, min(CASE WHEN idle > 3 THEN epoch END) AS stop_epoch, round(min(best), 6) AS best FROM f GROUP BY run_id""".lstrip(), "metric_log").replace("WITH ", "WITH RECURSIVE ", 1))
+  SELECT run_id, min(CASE WHEN idle > 3 THEN epoch END) AS stop_epoch, round(min(best), 6) + 0.0 AS best FROM f GROUP BY run_id""".lstrip(), "metric_log").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     loss = T.metric_log(spark, d).filter("metric = 'loss'")
     per = E.epoch_loss(loss).withColumnRenamed("mean_loss", "value")
@@ -239,11 +239,11 @@ def _(spark, d):
 
 
 @q("E09_best_epoch", with_sql("""
-  SELECT run_id, fold, epoch AS best_epoch, round(score, 6) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, fold ORDER BY score, epoch) AS rn FROM scores WHERE score < 1.0) WHERE rn = 1""", "scores"))
+  SELECT run_id, fold, epoch AS best_epoch, round(score, 6) + 0.0 AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, fold ORDER BY score, epoch) AS rn FROM scores WHERE score < 1.0) WHERE rn = 1""", "scores"))
 def _(spark, d):
     return _r(E.best_epoch(_scores(spark, d), ["run_id", "fold"]), "best_score")
 
 
-@q("E10_epoch_loss", with_sql("SELECT run_id, epoch, round(avg(value), 6) AS mean_loss FROM metric_log WHERE metric = 'loss' GROUP BY ALL", "metric_log"))
+@q("E10_epoch_loss", with_sql("SELECT run_id, epoch, round(avg(value), 6) + 0.0 AS mean_loss FROM metric_log WHERE metric = 'loss' GROUP BY ALL", "metric_log"))
 def _(spark, d):
     return _r(E.epoch_loss(T.metric_log(spark, d).filter("metric = 'loss'")), "mean_loss")

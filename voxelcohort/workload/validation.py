@@ -106,14 +106,14 @@ def _flat(spark, d):
     return R.with_exceptions(R.flatten_cases(P.validate(_cases(spark, d))), _failed(spark, d))
 
 
-@q("P01_placement_metrics", with_sql("SELECT case_id, tp, source_mm3, placed_mm3, round(retained, 6) AS retained, clipped FROM tp_metrics", "tp_metrics"))
+@q("P01_placement_metrics", with_sql("SELECT case_id, tp, source_mm3, placed_mm3, round(retained, 6) + 0.0 AS retained, clipped FROM tp_metrics", "tp_metrics"))
 def _(spark, d):
     return _r(P.placement_metrics(T.case_tp(spark, d)), "retained").select("case_id", "tp", "source_mm3", "placed_mm3", "retained", "clipped")
 
 
 @q("P02_case_rollup", with_sql("""
-  SELECT case_id, max_placed_voxels, max_placed_mm3, round(worst_clipping, 6) AS worst_clipping, round(placed_to_seg_ratio, 6) AS placed_to_seg_ratio, primary_tp, placed_voxels,
-    round(centroid_offset_mm, 6) AS centroid_offset_mm, round(retained_fraction, 6) AS retained_fraction FROM rollup""", "rollup"))
+  SELECT case_id, max_placed_voxels, max_placed_mm3, round(worst_clipping, 6) + 0.0 AS worst_clipping, round(placed_to_seg_ratio, 6) + 0.0 AS placed_to_seg_ratio, primary_tp, placed_voxels,
+    round(centroid_offset_mm, 6) + 0.0 AS centroid_offset_mm, round(retained_fraction, 6) + 0.0 AS retained_fraction FROM rollup""", "rollup"))
 def _(spark, d):
     return _r(P.case_rollup(P.placement_metrics(T.case_tp(spark, d))), "worst_clipping", "placed_to_seg_ratio", "centroid_offset_mm", "retained_fraction")
 
@@ -130,12 +130,12 @@ def _(spark, d):
     return f.withColumn("message", F.when(told, F.col("message")))
 
 
-@q("P05_confidence", with_sql("SELECT case_id, strategy, round(best_score, 6) AS best_score, round(worst_score, 6) AS worst_score, round(score_margin, 6) AS score_margin, round(confidence, 6) AS confidence, low_confidence FROM conf", "conf"))
+@q("P05_confidence", with_sql("SELECT case_id, strategy, round(best_score, 6) + 0.0 AS best_score, round(worst_score, 6) + 0.0 AS worst_score, round(score_margin, 6) + 0.0 AS score_margin, round(confidence, 6) + 0.0 AS confidence, low_confidence FROM conf", "conf"))
 def _(spark, d):
     return _r(P.confidence(T.candidates(spark, d)), "best_score", "worst_score", "score_margin", "confidence")
 
 
-@q("P06_best_candidate", with_sql("SELECT case_id, strategy, round(score, 6) AS score, tie, ax + 0.0 AS ax, ay + 0.0 AS ay, az + 0.0 AS az FROM best", "best"))
+@q("P06_best_candidate", with_sql("SELECT case_id, strategy, round(score, 6) + 0.0 AS score, tie, ax + 0.0 AS ax, ay + 0.0 AS ay, az + 0.0 AS az FROM best", "best"))
 def _(spark, d):
     return _r(P.best_candidate(T.candidates(spark, d)), "score").select("case_id", "strategy", "score", "tie", *[(F.get("axis", n) + 0.0).alias(f"a{c}") for n, c in enumerate("xyz")])
 
@@ -149,34 +149,34 @@ _CONE = "(pi() * 10.0 / 3.0 * (3.5 ^ 2 + 3.5 * 2.0 + 2.0 ^ 2))"
 
 
 @q("P08_expected_radius", f"""
-  SELECT o_orderkey, round(greatest(0, o_totalprice / 500 - {_CONE}), 6) AS bulb_mm3,
-    round(CASE WHEN o_totalprice / 500 > {_CONE} THEN (3.0 * (o_totalprice / 500 - {_CONE}) / (4.0 * pi())) ^ (1.0 / 3.0) ELSE 3.5 END, 6) AS radius_mm FROM orders""")
+  SELECT o_orderkey, round(greatest(0, o_totalprice / 500 - {_CONE}), 6) + 0.0 AS bulb_mm3,
+    round(CASE WHEN o_totalprice / 500 > {_CONE} THEN (3.0 * (o_totalprice / 500 - {_CONE}) / (4.0 * pi())) ^ (1.0 / 3.0) ELSE 3.5 END, 6) + 0.0 AS radius_mm FROM orders""")
 def _(spark, d):
     o = T.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 500).alias("seg_mm3"))
     return _r(P.expected_radius(o), "bulb_mm3", "radius_mm").select("o_orderkey", "bulb_mm3", "radius_mm")
 
 
 @q("P09_centroid_offset", with_sql("""
-  SELECT a_id, b_id, round(sqrt((a.i - b.i) ^ 2 + (a.j - b.j) ^ 2 + (a.k - b.k) ^ 2), 6) AS offset_vox, round(sqrt((a.i - b.i) ^ 2 * 0.25 + (a.j - b.j) ^ 2 * 0.25 + (a.k - b.k) ^ 2 * 9), 6) AS offset_mm
+  SELECT a_id, b_id, round(sqrt((a.i - b.i) ^ 2 + (a.j - b.j) ^ 2 + (a.k - b.k) ^ 2), 6) + 0.0 AS offset_vox, round(sqrt((a.i - b.i) ^ 2 * 0.25 + (a.j - b.j) ^ 2 * 0.25 + (a.k - b.k) ^ 2 * 9), 6) + 0.0 AS offset_mm
   FROM follow JOIN (SELECT volume_id, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM masks GROUP BY 1) a ON a.volume_id = a_id JOIN (SELECT volume_id, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM masks GROUP BY 1) b ON b.volume_id = b_id""", "follow", "masks"))
 def _(spark, d):
     vols = T.volumes(spark, d)
     return _r(P.centroid_offset(T.follow(spark, d), G.centroid(T.masks(spark, d), vols), vols), "offset_vox", "offset_mm")
 
 
-@q("R01_flatten_cases", with_sql("SELECT case_id, status, warning_count, hard_failure_count, round(worst_clipping, 6) AS worst_clipping, strategy_agreement FROM flat WHERE status = 'completed'", "flat"))
+@q("R01_flatten_cases", with_sql("SELECT case_id, status, warning_count, hard_failure_count, round(worst_clipping, 6) + 0.0 AS worst_clipping, strategy_agreement FROM flat WHERE status = 'completed'", "flat"))
 def _(spark, d):
     flat = R.flatten_cases(P.validate(_cases(spark, d)))
     return _r(flat, "worst_clipping").select("case_id", "status", "warning_count", "hard_failure_count", "worst_clipping", "strategy_agreement")
 
 
-@q("R02_with_exceptions", with_sql("SELECT case_id, status, warning_count, hard_failure_count, round(centroid_offset_mm, 6) AS centroid_offset_mm, exception_message FROM flat", "flat"))
+@q("R02_with_exceptions", with_sql("SELECT case_id, status, warning_count, hard_failure_count, round(centroid_offset_mm, 6) + 0.0 AS centroid_offset_mm, exception_message FROM flat", "flat"))
 def _(spark, d):
     return _r(_flat(spark, d), "centroid_offset_mm").select("case_id", "status", "warning_count", "hard_failure_count", "centroid_offset_mm", "exception_message")
 
 
 @q("R03_batch_summary", with_sql("""
-  SELECT *, round(clipping_case_count / completed_cases, 6) AS clipping_frequency, round(strategy_disagreement_count / completed_cases, 6) AS strategy_disagreement_frequency FROM (
+  SELECT *, round(clipping_case_count / completed_cases, 6) + 0.0 AS clipping_frequency, round(strategy_disagreement_count / completed_cases, 6) + 0.0 AS strategy_disagreement_frequency FROM (
     SELECT count(*) AS total_cases, count(*) FILTER (status = 'completed') AS completed_cases, count(*) FILTER (status = 'exception') AS exception_count,
       count(*) FILTER (status = 'completed' AND hard_failure_count = 0) AS success_count, count(*) FILTER (status = 'completed' AND warning_count > 0) AS warning_count,
       count(*) FILTER (hard_failure_count > 0) AS hard_failure_count, count(*) FILTER (status = 'completed' AND worst_clipping < 0.999999) AS clipping_case_count,
@@ -189,7 +189,7 @@ _METRICS = ("confidence", "centroid_offset_mm", "retained_fraction", "placed_to_
 
 
 @q("R04_numeric_summary", with_sql(" UNION ALL ".join(f"""
-  SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(min({m}), 6) AS min, round(quantile_cont({m}, 0.25), 6) AS p25, round(quantile_cont({m}, 0.5), 6) AS median, round(quantile_cont({m}, 0.75), 6) AS p75, round(max({m}), 6) AS max
+  SELECT '{m}' AS metric, round(avg({m}), 6) + 0.0 AS mean, round(min({m}), 6) + 0.0 AS min, round(quantile_cont({m}, 0.25), 6) + 0.0 AS p25, round(quantile_cont({m}, 0.5), 6) + 0.0 AS median, round(quantile_cont({m}, 0.75), 6) + 0.0 AS p75, round(max({m}), 6) + 0.0 AS max
   FROM flat WHERE status = 'completed'""" for m in _METRICS), "flat"))
 def _(spark, d):
     cases = cut_lineage(_flat(spark, d))
@@ -197,8 +197,8 @@ def _(spark, d):
 
 
 @q("R05_worst_cases", with_sql("""
-  SELECT 'confidence' AS metric, case_id, round(confidence, 6) AS value FROM (SELECT * FROM flat WHERE status = 'completed' ORDER BY confidence NULLS LAST, case_id LIMIT 5)
-  UNION ALL SELECT 'worst_clipping', case_id, round(worst_clipping, 6) FROM (SELECT * FROM flat WHERE status = 'completed' ORDER BY worst_clipping NULLS LAST, case_id LIMIT 5)""", "flat"))
+  SELECT 'confidence' AS metric, case_id, round(confidence, 6) + 0.0 AS value FROM (SELECT * FROM flat WHERE status = 'completed' ORDER BY confidence NULLS LAST, case_id LIMIT 5)
+  UNION ALL SELECT 'worst_clipping', case_id, round(worst_clipping, 6) + 0.0 FROM (SELECT * FROM flat WHERE status = 'completed' ORDER BY worst_clipping NULLS LAST, case_id LIMIT 5)""", "flat"))
 def _(spark, d):
     cases = cut_lineage(_flat(spark, d))
     part = lambda m: R.worst_cases(cases, m).select(F.lit(m).alias("metric"), "case_id", F.round(m, 6).alias("value"))

@@ -50,7 +50,7 @@ _RNG = "(SELECT *, min(value) OVER (PARTITION BY volume_id) AS lo, max(value) OV
 
 
 @q("V02_entropy", with_sql(f"""
-  SELECT volume_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (
+  SELECT volume_id, round(-sum(c / n * log2(c / n)), 6) + 0.0 AS entropy FROM (
     SELECT volume_id, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER (PARTITION BY volume_id) AS DOUBLE) AS n
     FROM (SELECT volume_id, {_BIN.format(n=256, m=255)} AS bin FROM {_RNG}) GROUP BY volume_id, bin) GROUP BY volume_id""", "voxels"))
 def _(spark, d):
@@ -62,7 +62,7 @@ def _(spark, d):
     return V.stride_sample(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), max_n=50)
 
 
-_PCT = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (1, 25, 50, 99))
+_PCT = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in (1, 25, 50, 99))
 
 
 @q("V04_percentiles", with_sql(f"SELECT volume_id, {_PCT} FROM voxels GROUP BY volume_id", "voxels"))
@@ -72,7 +72,7 @@ def _(spark, d):
 
 
 @q("V05_standardise", with_sql(f"""
-  SELECT {_VOX}, round((greatest(least(value, b), a) - a) / (b - a), 6) AS value FROM voxels
+  SELECT {_VOX}, round((greatest(least(value, b), a) - a) / (b - a), 6) + 0.0 AS value FROM voxels
   JOIN (SELECT volume_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM voxels GROUP BY 1) USING (volume_id)""", "voxels"))
 def _(spark, d):
     return _flat(V.standardise(T.chunks(spark, d)))
@@ -85,7 +85,7 @@ _KNOTS = "[" + ", ".join(f"{n}.0 / 255" for n in range(256)) + "]"
   , q AS (SELECT volume_id, quantile_cont(value, {_KNOTS}) AS ks FROM voxels GROUP BY 1),
   knots AS (SELECT volume_id, unnest(range(256)) AS n, unnest(ks) AS x, unnest(list_concat(ks[2:], [NULL])) AS x1 FROM q),
   hit AS (SELECT v.*, s.n, s.x, s.x1 FROM voxels v ASOF JOIN knots s ON v.volume_id = s.volume_id AND v.value >= s.x)
-  SELECT h.volume_id, i, j, k, round(CASE WHEN h.x1 IS NULL OR h.x1 = h.x THEN r.x ELSE r.x + (h.value - h.x) / (h.x1 - h.x) * (r.x1 - r.x) END, 5) AS value
+  SELECT h.volume_id, i, j, k, round(CASE WHEN h.x1 IS NULL OR h.x1 = h.x THEN r.x ELSE r.x + (h.value - h.x) / (h.x1 - h.x) * (r.x1 - r.x) END, 5) + 0.0 AS value
   FROM hit h JOIN knots r ON r.volume_id = h.volume_id // 5 * 5 AND r.n = h.n""".lstrip(), "voxels"))
 def _(spark, d):
     c = T.chunks(spark, d)
@@ -94,7 +94,7 @@ def _(spark, d):
 
 
 @q("V07_sanitise", with_sql(f"""
-  SELECT {_VOX}, CASE WHEN value < -0.3 THEN 0 WHEN value < -0.2 THEN -3.4028235e38 WHEN value > 0.3 THEN 3.4028235e38 ELSE round(value, 6) END AS value FROM voxels""", "voxels"))
+  SELECT {_VOX}, CASE WHEN value < -0.3 THEN 0 WHEN value < -0.2 THEN -3.4028235e38 WHEN value > 0.3 THEN 3.4028235e38 ELSE round(value, 6) + 0.0 END AS value FROM voxels""", "voxels"))
 def _(spark, d):
     def spoil(v):
         x = lambda s: F.lit(s).cast("double")
@@ -109,7 +109,7 @@ _GOOD = "list_filter(spacing, lambda x: x IS NOT NULL AND NOT isnan(x) AND x >=
 
 
 @q("V08_repair_spacing", with_sql(f"""
-  SELECT volume_id, round(s[1], 6) AS d0, round(s[2], 6) AS d1, round(s[3], 6) AS d2 FROM (
+  SELECT volume_id, round(s[1], 6) + 0.0 AS d0, round(s[2], 6) + 0.0 AS d1, round(s[3], 6) + 0.0 AS d2 FROM (
     SELECT volume_id, list_transform(spacing, lambda x: CASE WHEN x IS NOT NULL AND NOT isnan(x) AND x >= 1e-6 AND x <= 100 THEN x ELSE coalesce(list_median({_GOOD}), 1.0) END) AS s FROM headers)""", "headers"))
 def _(spark, d):
     return V.repair_spacing(T.headers(spark, d)).select("volume_id", *[F.round(F.get("spacing", n), 6).alias(f"d{n}") for n in range(3)])
@@ -121,7 +121,7 @@ def _(spark, d):
 
 
 @q("V10_voxel_volume", with_sql("""
-  SELECT volume_id, round(list_product(spacing), 6) AS voxel_volume, CASE trim(unit) WHEN 'mm' THEN 'mm³' WHEN 'CM' THEN 'cm³' WHEN 'furlong' THEN 'furlong³' END AS volume_unit
+  SELECT volume_id, round(list_product(spacing), 6) + 0.0 AS voxel_volume, CASE trim(unit) WHEN 'mm' THEN 'mm³' WHEN 'CM' THEN 'cm³' WHEN 'furlong' THEN 'furlong³' END AS volume_unit
   FROM headers WHERE len(list_filter(spacing, lambda x: x IS NULL OR isnan(x) OR x > 100)) = 0""", "headers"))
 def _(spark, d):
     ok = V.voxel_volume(T.headers(spark, d)).filter(~F.exists("spacing", lambda x: x.isNull() | F.isnan(x) | (x > 100)))
@@ -129,12 +129,12 @@ def _(spark, d):
 
 
 @q("V11_segmentation_volume", with_sql("""
-  SELECT volume_id, count(m.i) AS n_voxels, round(CAST(count(m.i) AS DOUBLE) * 0.75, 6) AS segmentation_volume FROM volumes LEFT JOIN masks m USING (volume_id) GROUP BY 1""", "volumes", "masks"))
+  SELECT volume_id, count(m.i) AS n_voxels, round(CAST(count(m.i) AS DOUBLE) * 0.75, 6) + 0.0 AS segmentation_volume FROM volumes LEFT JOIN masks m USING (volume_id) GROUP BY 1""", "volumes", "masks"))
 def _(spark, d):
     return _r(V.segmentation_volume(T.masks(spark, d), T.volumes(spark, d)), "segmentation_volume")
 
 
-@q("V12_file_size_mb", with_sql("SELECT path, round(length / 1048576, 6) AS file_size_mb FROM files", "files"))
+@q("V12_file_size_mb", with_sql("SELECT path, round(length / 1048576, 6) + 0.0 AS file_size_mb FROM files", "files"))
 def _(spark, d):
     return _r(V.file_size_mb(T.files(spark, d)), "file_size_mb").select("path", "file_size_mb")
 
@@ -152,14 +152,14 @@ def _mi_sql(n):
     return _MI.format(a=bin_("va"), b=bin_("vb"), rng=_RNG)
 
 
-@q("V13_mutual_information", with_sql(f"SELECT a_id, b_id, round(mi, 6) AS mi FROM {_mi_sql(8)}", "follow", "voxels"))
+@q("V13_mutual_information", with_sql(f"SELECT a_id, b_id, round(mi, 6) + 0.0 AS mi FROM {_mi_sql(8)}", "follow", "voxels"))
 def _(spark, d):
     c = T.chunks(spark, d)
     return _r(V.mutual_information(c, c, T.follow(spark, d), 8), "mi")
 
 
 @q("V14_mi_gain", with_sql(f"""
-  SELECT a_id, b_id, round(x.mi, 6) AS mi_before, round(y.mi, 6) AS mi_after, round(y.mi - x.mi, 6) AS gain FROM {_mi_sql(8)} x JOIN {_mi_sql(16)} y USING (a_id, b_id)""", "follow", "voxels"))
+  SELECT a_id, b_id, round(x.mi, 6) + 0.0 AS mi_before, round(y.mi, 6) + 0.0 AS mi_after, round(y.mi - x.mi, 6) + 0.0 AS gain FROM {_mi_sql(8)} x JOIN {_mi_sql(16)} y USING (a_id, b_id)""", "follow", "voxels"))
 def _(spark, d):
     c, pairs = T.chunks(spark, d), T.follow(spark, d)
     gain = V.mi_gain(V.mutual_information(c, c, pairs, 8), V.mutual_information(c, c, pairs, 16))
@@ -167,12 +167,12 @@ def _(spark, d):
 
 
 @q("V15_coverage_guard", with_sql("""
-  SELECT volume_id, round(count(m.i) * 100.0 / 256, 6) AS coverage_pct, count(m.i) * 100.0 / 256 < 20 AS use_all FROM volumes LEFT JOIN masks m USING (volume_id) GROUP BY 1""", "volumes", "masks"))
+  SELECT volume_id, round(count(m.i) * 100.0 / 256, 6) + 0.0 AS coverage_pct, count(m.i) * 100.0 / 256 < 20 AS use_all FROM volumes LEFT JOIN masks m USING (volume_id) GROUP BY 1""", "volumes", "masks"))
 def _(spark, d):
     return _r(V.coverage_guard(T.masks(spark, d), T.volumes(spark, d), 20.0), "coverage_pct")
 
 
-@q("V16_apply_mask", with_sql(f"SELECT {_VOX}, CASE WHEN value > 0.1 THEN round(value, 6) ELSE 0.0 END AS value FROM voxels", "voxels"))
+@q("V16_apply_mask", with_sql(f"SELECT {_VOX}, CASE WHEN value > 0.1 THEN round(value, 6) + 0.0 ELSE 0.0 END AS value FROM voxels", "voxels"))
 def _(spark, d):
     return _flat(V.apply_mask(T.chunks(spark, d), T.masks(spark, d), EDGE))
 
@@ -196,25 +196,25 @@ def _(spark, d):
 
 @q("V19_normalise_nonzero", with_sql(f"""
   , m AS (SELECT {_VOX}, CASE WHEN abs(value) < 0.05 THEN 0 ELSE value END AS value FROM voxels)
-  SELECT {_VOX}, CASE WHEN value = 0 THEN 0 ELSE round((value - mu) / sd, 6) END AS value FROM m
+  SELECT {_VOX}, CASE WHEN value = 0 THEN 0 ELSE round((value - mu) / sd, 6) + 0.0 END AS value FROM m
   JOIN (SELECT volume_id, avg(value) AS mu, stddev_pop(value) AS sd FROM m WHERE value <> 0 GROUP BY 1) USING (volume_id)""".lstrip(), "voxels"))
 def _(spark, d):
     holes = V.map_values(T.chunks(spark, d), lambda v: F.when(F.abs(v) < 0.05, 0.0).otherwise(v))
     return _flat(V.normalise_nonzero(holes))
 
 
-@q("V20_crop_range", with_sql("SELECT volume_id, i, j, k - 3 AS k, round(value, 6) AS value FROM voxels WHERE k >= 3 AND k < 11", "voxels"))
+@q("V20_crop_range", with_sql("SELECT volume_id, i, j, k - 3 AS k, round(value, 6) + 0.0 AS value FROM voxels WHERE k >= 3 AND k < 11", "voxels"))
 def _(spark, d):
     return _ints(_r(V.crop_range(V.explode_voxels(T.chunks(spark, d)), "k", 3, 11), "value"))
 
 
-@q("V21_reorient", with_sql("SELECT volume_id, k AS i, 3 - i AS j, j AS k, round(value, 6) AS value FROM voxels", "voxels"))
+@q("V21_reorient", with_sql("SELECT volume_id, k AS i, 3 - i AS j, j AS k, round(value, 6) + 0.0 AS value FROM voxels", "voxels"))
 def _(spark, d):
     return _ints(_r(V.reorient(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), "RAS", "SLA"), "value"))
 
 
 @q("V22_intensity_profile", with_sql(f"""
-  SELECT volume_id, CAST(bin AS INT) AS bin, count(*) AS n, round(any_value(mp), 6) AS mean_positive, round(any_value(hi), 6) AS max_value FROM (
+  SELECT volume_id, CAST(bin AS INT) AS bin, count(*) AS n, round(any_value(mp), 6) + 0.0 AS mean_positive, round(any_value(hi), 6) + 0.0 AS max_value FROM (
     SELECT *, avg(CASE WHEN value > 0 THEN value END) OVER (PARTITION BY volume_id) AS mp, {_BIN.format(n=50, m=49)} AS bin FROM {_RNG}) GROUP BY volume_id, bin""", "voxels"))
 def _(spark, d):
     stats, hist = V.intensity_profile(T.chunks(spark, d))
@@ -245,14 +245,14 @@ def _(spark, d):
 
 
 @q("G02_centroid", with_sql("""
-  SELECT volume_id, round(avg(i), 6) AS ci, round(avg(j), 6) AS cj, round(avg(k), 6) AS ck, round(avg(i) * 0.5, 6) AS mm_i, round(avg(j) * 0.5, 6) AS mm_j, round(avg(k) * 3, 6) AS mm_k
+  SELECT volume_id, round(avg(i), 6) + 0.0 AS ci, round(avg(j), 6) + 0.0 AS cj, round(avg(k), 6) + 0.0 AS ck, round(avg(i) * 0.5, 6) + 0.0 AS mm_i, round(avg(j) * 0.5, 6) + 0.0 AS mm_j, round(avg(k) * 3, 6) + 0.0 AS mm_k
   FROM masks GROUP BY 1""", "masks"))
 def _(spark, d):
     return _r(G.centroid(T.masks(spark, d), T.volumes(spark, d)), "ci", "cj", "ck", "mm_i", "mm_j", "mm_k")
 
 
 @q("G03_inertia", with_sql("""
-  SELECT volume_id, round(var_pop(j) + var_pop(k), 6) AS vox_ii, round(-covar_pop(i, k), 6) AS vox_ik, round(var_pop(i) * 0.25 + var_pop(j) * 0.25, 6) AS mm_kk, round(-covar_pop(j, k) * 1.5, 6) AS mm_jk
+  SELECT volume_id, round(var_pop(j) + var_pop(k), 6) + 0.0 AS vox_ii, round(-covar_pop(i, k), 6) + 0.0 AS vox_ik, round(var_pop(i) * 0.25 + var_pop(j) * 0.25, 6) + 0.0 AS mm_kk, round(-covar_pop(j, k) * 1.5, 6) + 0.0 AS mm_jk
   FROM masks GROUP BY 1""", "masks"))
 def _(spark, d):
     t = G.inertia(T.masks(spark, d), T.volumes(spark, d))
@@ -271,7 +271,7 @@ _CEN = "(SELECT volume_id, avg(i) AS ci, avg(j) AS cj, avg(k) AS ck FROM masks G
 
 
 @q("G05_angle_deg", with_sql(f"""
-  SELECT a_id, b_id, round(degrees(acos(least(abs{_DOT} / (sqrt(ca.ci^2 + ca.cj^2 + ca.ck^2) * sqrt(cb.ci^2 + cb.cj^2 + cb.ck^2)), 1))), 5) AS angle
+  SELECT a_id, b_id, round(degrees(acos(least(abs{_DOT} / (sqrt(ca.ci^2 + ca.cj^2 + ca.ck^2) * sqrt(cb.ci^2 + cb.cj^2 + cb.ck^2)), 1))), 5) + 0.0 AS angle
   FROM follow JOIN {_CEN} ca ON ca.volume_id = a_id JOIN {_CEN} cb ON cb.volume_id = b_id""", "follow", "masks"))
 def _(spark, d):
     c = G.centroid(T.masks(spark, d), T.volumes(spark, d)).select("volume_id", F.array("ci", "cj", "ck").alias("v"))
@@ -280,7 +280,7 @@ def _(spark, d):
 
 
 @q("G06_axis_to_mm", with_sql(f"""
-  SELECT volume_id, round(ci * 0.5 / n, 6) AS x, round(cj * 0.5 / n, 6) AS y, round(ck * 3 / n, 6) AS z FROM (SELECT *, sqrt(ci^2 * 0.25 + cj^2 * 0.25 + ck^2 * 9) AS n FROM {_CEN})""", "masks"))
+  SELECT volume_id, round(ci * 0.5 / n, 6) + 0.0 AS x, round(cj * 0.5 / n, 6) + 0.0 AS y, round(ck * 3 / n, 6) + 0.0 AS z FROM (SELECT *, sqrt(ci^2 * 0.25 + cj^2 * 0.25 + ck^2 * 9) AS n FROM {_CEN})""", "masks"))
 def _(spark, d):
     c = G.centroid(T.masks(spark, d), T.volumes(spark, d)).join(T.volumes(spark, d).select("volume_id", "spacing"), "volume_id")
     u = c.withColumn("u", G.axis_to_mm(F.array("ci", "cj", "ck"), F.col("spacing")))
@@ -306,7 +306,7 @@ _BOX = "SELECT volume_id, min(i) - 1 AS li, max(i) + 2 AS hi, min(j) - 1 AS lj,
 @q("G09_crop_foreground", with_sql(f"""
   , small AS (SELECT {_VOX} FROM voxels WHERE value > 0.25), box AS ({_BOX}),
   st AS (SELECT volume_id, {', '.join(f"CAST(ceil((h{a} - l{a}) / 4.0) * 4 AS BIGINT) AS n{a}, l{a} - CAST(ceil((h{a} - l{a}) / 4.0) * 4 - (h{a} - l{a}) AS BIGINT) // 2 AS s{a}" for a in 'ijk')} FROM box)
-  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) AS value FROM voxels JOIN st USING (volume_id)
+  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) + 0.0 AS value FROM voxels JOIN st USING (volume_id)
   WHERE i >= si AND i < si + ni AND j >= sj AND j < sj + nj AND k >= sk AND k < sk + nk""".lstrip(), "voxels"))
 def _(spark, d):
     vox = V.explode_voxels(T.chunks(spark, d))
@@ -314,7 +314,7 @@ def _(spark, d):
 
 
 @q("G10_crop_center", with_sql(f"""
-  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) AS value FROM voxels JOIN (
+  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) + 0.0 AS value FROM voxels JOIN (
     SELECT volume_id, CAST(floor(greatest(1, least(ci, 3))) AS BIGINT) - 1 AS si, CAST(floor(greatest(1, least(cj, 3))) AS BIGINT) - 1 AS sj, CAST(floor(greatest(4, least(ck, 12))) AS BIGINT) - 4 AS sk FROM {_CEN}) USING (volume_id)
   WHERE i >= si AND i < si + 2 AND j >= sj AND j < sj + 2 AND k >= sk AND k < sk + 8""", "voxels", "masks"))
 def _(spark, d):
@@ -327,7 +327,7 @@ def _ck(c, half, dim, m):
 
 
 @q("G11_crop_center_k", with_sql(f"""
-  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) AS value FROM voxels JOIN (
+  SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) + 0.0 AS value FROM voxels JOIN (
     SELECT volume_id, CAST({_ck('ci', 1, 4, 2)} AS BIGINT) AS si, CAST({_ck('cj', 1, 4, 2)} AS BIGINT) AS sj, CAST({_ck('ck', 4, 16, 2)} AS BIGINT) AS sk FROM {_CEN}) USING (volume_id)
   WHERE i >= si AND i < si + 2 AND j >= sj AND j < sj + 2 AND k >= sk AND k < sk + 8""", "voxels", "masks"))
 def _(spark, d):
@@ -335,7 +335,7 @@ def _(spark, d):
     return _ints(_r(G.crop_center_k(vox, T.volumes(spark, d), T.masks(spark, d), (2, 2, 8), 2), "value"))
 
 
-@q("G12_pad_to", with_sql("SELECT volume_id, i + 2 AS i, j + 1 AS j, k, round(value, 6) AS value, 9 AS ni, 6 AS nj, 16 AS nk FROM voxels", "voxels"))
+@q("G12_pad_to", with_sql("SELECT volume_id, i + 2 AS i, j + 1 AS j, k, round(value, 6) + 0.0 AS value, 9 AS ni, 6 AS nj, 16 AS nk FROM voxels", "voxels"))
 def _(spark, d):
     vox, head = G.pad_to(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (9, 6, 8))
     out = _ints(_r(vox, "value")).join(head.select("volume_id", "shape"), "volume_id")
@@ -349,7 +349,7 @@ def _lin(a, out, dim):
 
 
 @q("G13_resample_trilinear", with_sql(f"""
-  SELECT volume_id, ti AS i, tj AS j, tk AS k, round(sum(value * wi * wj * wk), 6) AS value FROM voxels
+  SELECT volume_id, ti AS i, tj AS j, tk AS k, round(sum(value * wi * wj * wk), 6) + 0.0 AS value FROM voxels
   JOIN ({_lin('i', 7, 4)}) a ON i = least(si, 3) JOIN ({_lin('j', 3, 4)}) b ON j = least(sj, 3) JOIN ({_lin('k', 10, 16)}) c ON k = least(sk, 15) GROUP BY ALL""", "voxels"))
 def _(spark, d):
     return _ints(_r(RS.resample_trilinear(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (7, 3, 10)), "value"))
@@ -376,19 +376,19 @@ _DIST = """(SELECT m.volume_id, m.i, m.j, m.k, least(coalesce(min(sqrt(((m.i - b
   FROM masks m LEFT JOIN (SELECT volume_id, i, j, k FROM voxels WHERE value <= 0.1) b USING (volume_id) GROUP BY ALL)"""
 
 
-@q("G15_inner_distance", with_sql(f"SELECT {_VOX}, round(dist_mm, 6) AS dist_mm FROM {_DIST.format(cap='1.25')}", "masks", "voxels"))
+@q("G15_inner_distance", with_sql(f"SELECT {_VOX}, round(dist_mm, 6) + 0.0 AS dist_mm FROM {_DIST.format(cap='1.25')}", "masks", "voxels"))
 def _(spark, d):
     return _ints(_r(G.inner_distance(T.masks(spark, d), T.volumes(spark, d), 1.25), "dist_mm"))
 
 
-@q("G16_feather_alpha", with_sql(f"SELECT {_VOX}, round((dist_mm / 1.25) ^ 2 * (3 - 2 * dist_mm / 1.25), 6) AS alpha FROM {_DIST.format(cap='1.25')}", "masks", "voxels"))
+@q("G16_feather_alpha", with_sql(f"SELECT {_VOX}, round((dist_mm / 1.25) ^ 2 * (3 - 2 * dist_mm / 1.25), 6) + 0.0 AS alpha FROM {_DIST.format(cap='1.25')}", "masks", "voxels"))
 def _(spark, d):
     dist = G.inner_distance(T.masks(spark, d), T.volumes(spark, d), 1.25)
     return _ints(_r(G.feather_alpha(dist, 1.25), "alpha").drop("dist_mm"))
 
 
 @q("G17_composite", with_sql(f"""
-  SELECT v.volume_id, v.i, v.j, v.k, round(CASE WHEN al IS NULL THEN value ELSE (1 - al) * value + al * (abs(value) * (b - a) + a) END, 6) AS value
+  SELECT v.volume_id, v.i, v.j, v.k, round(CASE WHEN al IS NULL THEN value ELSE (1 - al) * value + al * (abs(value) * (b - a) + a) END, 6) + 0.0 AS value
   FROM voxels v JOIN (SELECT volume_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM voxels GROUP BY 1) USING (volume_id)
   LEFT JOIN (SELECT *, (dist_mm / 1.25) ^ 2 * (3 - 2 * dist_mm / 1.25) AS al FROM {_DIST.format(cap='1.25')}) d USING (volume_id, i, j, k)""", "masks", "voxels"))
 def _(spark, d):
@@ -416,14 +416,14 @@ def _(spark, d):
 
 
 @q("G20_blend_patches", with_sql(f"""
-  SELECT {_VOX}, round(sum((1 + wk) * (value + wk * 0.01)) / greatest(sum(1 + wk), 1e-5), 6) AS value FROM {_ASSIGN} GROUP BY ALL""", "voxels"))
+  SELECT {_VOX}, round(sum((1 + wk) * (value + wk * 0.01)) / greatest(sum(1 + wk), 1e-5), 6) + 0.0 AS value FROM {_ASSIGN} GROUP BY ALL""", "voxels"))
 def _(spark, d):
     p = G.assign_patches(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (3, 3, 7), 0.4)
     preds = p.withColumns({"value": F.col("value") + F.col("wk") * 0.01, "w": 1.0 + F.col("wk")})
     return _ints(_r(G.blend_patches(preds, "w"), "value"))
 
 
-@q("U01_predict_patches", with_sql(f"SELECT {_VOX}, round(value * 2, 6) AS value FROM voxels", "voxels"))
+@q("U01_predict_patches", with_sql(f"SELECT {_VOX}, round(value * 2, 6) + 0.0 AS value FROM voxels", "voxels"))
 def _(spark, d):
     def double(batches):
         for b in batches:
