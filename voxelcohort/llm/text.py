@@ -81,6 +81,11 @@ class Slice:
         starts, ends = starts[keep], ends[keep]
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def words_and_first(self, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``words``; the first words stay at hand as ``first``."""
+        hashes, self.first = self.words(values)
+        return hashes, self.first
+
     def words(self, values: np.ndarray = BYTE_VALUES, classes: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and the first word of each text (one more at the end)."""
         starts, ends, first = self.runs(classes)

@@ -1,7 +1,11 @@
 """Queries of the subpackage on the supplied tables, each with its oracle SQL where SQL can express it."""
 
 from .bpe import op5_bpe
+from .jaccard import OP1_SQL, op1_jaccard
+from .shared_text import OP6_SQL, op6_substring_dedup
 
 Q = {
+    "op1_jaccard": (op1_jaccard, OP1_SQL),
     "op5_bpe": (op5_bpe, None),
+    "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
 }
