@@ -2,10 +2,18 @@
 
 from .bpe import op5_bpe
 from .jaccard import OP1_SQL, op1_jaccard
+from .langid import op2_language_id
+from .mixing import OP3_SQL, op3_mixing
+from .quality import op9_quality
 from .shared_text import OP6_SQL, op6_substring_dedup
+from .toxicity import op8_toxicity
 
 Q = {
     "op1_jaccard": (op1_jaccard, OP1_SQL),
+    "op2_language_id": (op2_language_id, None),
+    "op3_mixing": (op3_mixing, OP3_SQL),
     "op5_bpe": (op5_bpe, None),
     "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
+    "op8_toxicity": (op8_toxicity, None),
+    "op9_quality": (op9_quality, None),
 }
