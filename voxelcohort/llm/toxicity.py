@@ -231,12 +231,13 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     equal. Repeated ids are scored row by row. Columns ``score``, ``passages``
     and those of the features are replaced.
 
-    One join of text and labels feeds the counts. The features of all rows are
+    One join of text and labels feeds the counts; it is a sort-merge join at every
+    size, as labels grow with the input. The features of all rows are
     stored in the shared folder and read for the fit and for the result.
     """
     rows = df if usable is None else df.filter(usable)
     known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
-    train = rows.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
+    train = rows.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(known.hint("merge"), "_id")
     lexicon = log_odds(cell_counts(train, "_text", "_label"))
     features = cut_lineage(segment_features(df, lexicon, text).drop(text))
     rows = features if usable is None else features.filter(usable)
