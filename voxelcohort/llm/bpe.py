@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import slices
+from .text import slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Pieces above this many bytes are merged one by one with a heap, in n log n.
@@ -244,6 +244,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
     own text only. Work is done in slices of about two megabytes of whole texts,
     so memory does not grow with the partition.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _with_column(df, out, T.ArrayType(T.IntegerType(), False))
     drop = None if keep_text else text

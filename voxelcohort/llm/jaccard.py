@@ -14,7 +14,7 @@ from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
 from .graph import components
-from .text import LOWER_VALUES, mix, shingles, slices
+from .text import LOWER_VALUES, mix, shingles, slices, small_batches
 
 GROWTH = 1.35
 CHECK_BITS = 1024
@@ -177,6 +177,7 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
                     names=["id", "n_shingles", "node", "keys"],
                 )
 
+    small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id]
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     signed = cut_lineage(docs.mapInArrow(signatures, f"id {kind}, n_shingles long, node long, keys array<long>"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import Slice, slices
+from .text import Slice, slices, small_batches
 
 #: Bytes a window; the state starts at zero in each, in training and in use.
 WINDOW = 128
@@ -224,6 +224,7 @@ def predict(df: DataFrame, net: GatedNetwork | None, text: str = "text") -> Data
     ``und``, score 0 and no counts. Other columns are kept; those three names are
     replaced. Nothing is exchanged; memory is bounded by half a megabyte of text.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
     names = [c for c in df.columns if c not in ("lang_pred", "score", "lang_bytes")]
     marked = df.select(*names, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from voxelcohort.session import cut_lineage
 
 from .langid import crc_remainder
-from .text import BYTE_VALUES, Slice, mix, slices, span_hashes
+from .text import BYTE_VALUES, Slice, mix, slices, small_batches, span_hashes
 
 WORDS = 1 << 13
 DIMENSIONS = 32
@@ -56,6 +56,7 @@ def context_sums(df: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
+    small_batches(df.sparkSession)
     got = df.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(WORDS * DIMENSIONS)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import map_groups
-from .text import slices, windows
+from .text import slices, small_batches, windows
 
 #: Bytes of text that one task holds as arrays at a time.
 BUCKET_BYTES = 1 << 21
@@ -129,6 +129,7 @@ def mark_repeats(df: DataFrame, text: str = "text", window: int = 35) -> DataFra
     55 bits travel.
     """
     spark = df.sparkSession
+    small_batches(spark)
     block = (window + 1) // 2
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size, n_rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()

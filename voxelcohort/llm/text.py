@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 #: Class 1: bytes outside [\x20\x09-\x0D]; these make words.
@@ -27,6 +28,17 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of whole texts have 1,000 rows, where the session keeps Spark's own 10,000.
+
+    A batch is held several times over by the executor and its Python worker, and
+    texts are long rows.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all 64."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,7 +58,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 16, 1 << int(n).bit_length()))
+    return _powers(max(1 << 16, 1 << int(n - 1).bit_length()) if n > 0 else 1 << 16)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from voxelcohort.session import cut_lineage
 
 from .langid import crc_remainder
-from .text import LOWER_VALUES, Slice, mix, slices, span_hashes
+from .text import LOWER_VALUES, Slice, mix, slices, small_batches, span_hashes
 
 #: Tokens are counted in this many hash cells, so that the lexicon has a fixed size.
 CELLS = 1 << 18
@@ -64,6 +64,7 @@ def cell_counts(df: DataFrame, text: str = "text", label: str = "toxic") -> np.n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
+    small_batches(df.sparkSession)
     rows = df.select(text, F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
     got = rows.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * CELLS, np.float64)
@@ -131,6 +132,7 @@ def segment_features(df: DataFrame, lexicon: np.ndarray, text: str = "text") ->
     Null and empty texts have no words and no segments. Columns with those names
     are replaced, all others kept; nothing is exchanged.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
     own = T.StructType.fromDDL(FEATURES) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(FEATURES)
     names = [c for c in df.columns if c not in own.fieldNames()]
