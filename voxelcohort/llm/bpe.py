@@ -241,7 +241,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
     is already named ``out`` is replaced. Texts are split by ``pattern``; each
     match is merged on its own, special tokens are ordinary text. The input is
     not exchanged. Repeated rows and ties need no rule: a row's ids depend on its
-    own text only. Work is done in slices of about two megabytes of whole texts,
+    own text only. Work is done in slices of about a megabyte of whole texts,
     so memory does not grow with the partition.
     """
     small_batches(df.sparkSession)

@@ -53,12 +53,11 @@ def _window_links(reach: int, least: float):
 
     def fn(table: pa.Table) -> pa.RecordBatch:
         order = np.argsort(table["rank"].to_numpy(), kind="stable")
-        ids, turn, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("id", "turn", "own"))
+        ids, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("id", "own"))
         x = unpacked(table["vec"])[order]
         a, b = [], []
         for step in range(1, min(reach, len(x) - 1) + 1):
-            same = own[:-step] & (turn[:-step] == turn[step:])
-            at = np.flatnonzero(same)
+            at = np.flatnonzero(own[:-step])
             near = at[(x[at] * x[at + step]).sum(1) >= least]
             a.append(near)
             b.append(near + step)
@@ -130,7 +129,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
     block = F.expr(f"rank div {BLOCK}")
     dealt = numbered.withColumn("own", F.lit(True)).withColumn("block", block).select("block", "rank", "turn", "id", "vec", "own")
     ahead = numbered.filter(F.col("rank") % BLOCK < reach).withColumn("own", F.lit(False)).withColumn("block", block - 1).select("block", "rank", "turn", "id", "vec", "own")
-    links = map_groups(dealt.unionByName(ahead), ["block"], _window_links(reach, least), "a long, b long")
+    links = map_groups(dealt.unionByName(ahead), ["turn", "block"], _window_links(reach, least), "a long, b long")
     found = cut_lineage(components(links))
 
     member = reps.join(found, F.col("id") == F.col("node")).select("id", "vec", "copies", "component")
