@@ -14,12 +14,18 @@ from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
 from .graph import components
+from .shared_text import BUCKET, PART_ROWS, cells, is_in, known_keys, part_keys, repeated
 from .text import LOWER_VALUES, mix, shingles, slices, small_batches
 
-GROWTH = 1.35
+GROWTH = 2.0
 CHECK_BITS = 1024
 TILE_TEXTS = 1024
 TILE_BYTES = 1 << 22
+#: Sets whose keys one task holds at a time, and bits of a key that travel beside its part.
+BUCKET_SETS = 4096
+KEY_BITS = 46
+#: Copies that a task may forget after.
+REMEMBERED = 200_000
 
 
 def _band_edges(top: int) -> np.ndarray:
@@ -140,6 +146,40 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype("<u8").view(np.int64)
 
 
+def _shared_keys(sets: DataFrame, n_sets: int) -> DataFrame:
+    """Keys that more than one set has, as rows ``(key, node)``; nearly all keys belong to one set and stay where they are.
+
+    Sets ``(node, keys)`` are dealt into buckets by node, which also brings
+    copies together. A bucket sends each of its keys once, as a packed
+    fingerprint, to the key's hash part, which tells it the keys that others
+    hold as well.
+    """
+    spark = sets.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, 2 * partitions, math.ceil(n_sets * 100 / PART_ROWS))
+    base = sets.select("node", "keys", F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(n_sets / BUCKET_SETS)))).alias(BUCKET)).repartition(partitions, BUCKET)
+
+    def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the bucket's different nodes, and whose they are."""
+        node, at = np.unique(table["node"].to_numpy(), return_index=True)
+        keys = table["keys"].combine_chunks().take(pa.array(at))
+        size = keys.value_lengths().to_numpy()
+        return keys.flatten().to_numpy().view(np.uint64), np.repeat(node, size)
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, _ = distinct(table)
+        return pa.Table.from_batches([cells(table[BUCKET][0].as_py(), part_keys(keys, parts, KEY_BITS), np.zeros(len(keys), np.uint8), KEY_BITS)])
+
+    def pick(table: pa.Table, told: pa.Table) -> pa.Table:
+        keys, node = distinct(table) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        hit = is_in(part_keys(keys, parts, KEY_BITS), known_keys(told))
+        return pa.table({"key": keys[hit].view(np.int64), "node": node[hit]})
+
+    sent = base.groupBy(BUCKET).applyInArrow(send, f"part long, {BUCKET} long, packed binary")
+    told = map_groups(sent, ["part"], repeated(KEY_BITS, False), f"{BUCKET} long, packed binary")
+    return base.groupBy(BUCKET).cogroup(told.groupBy(BUCKET)).applyInArrow(pick, "key long, node long")
+
+
 def _gather_keys(keys: DataFrame) -> DataFrame:
     """Star edges of every block key that more than one set has: ``(a, b)``, b the smallest set of the key."""
     shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b != _last").drop("_last")
@@ -157,8 +197,9 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     an id are judged by their own text. Extra columns are not read; an empty table
     gives none.
 
-    Method. Equal sets are one node at once (hash of the set). Every node sends
-    the keys of its sketch blocks (``band_keys``); nodes that share a key are
+    Method. Equal sets are one node at once (hash of the set). Every node has the
+    keys of its sketch blocks (``band_keys``); keys that others have too are
+    found by packed fingerprints (``_shared_keys``), and nodes that share one are
     gathered into families through the smallest node of the key, so a key costs
     as many edges as it has nodes and not pairs. Families are cut into tiles of
     bounded texts and bytes; every pair of tiles is one task group, in which
@@ -171,18 +212,36 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
         for batch in batches:
             for s in slices(batch.column(1)):
                 values, first = shingles(*s.words(LOWER_VALUES), words)
+                columns = [batch.column(0).slice(s.lo, len(s)), pa.array(np.diff(first).astype(np.int64)), pa.array(_signed(_set_hashes(values, first)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node"])
+
+    def sketches(batches):
+        """Keys of each set, once for all copies that this task meets in a while."""
+        seen: set[int] = set()
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                values, first = shingles(*s.words(LOWER_VALUES), words)
+                node = _signed(_set_hashes(values, first)).tolist()
+                fresh = np.zeros(len(node), bool)
+                for k, x in enumerate(node):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[k] = True
+                keep = np.repeat(fresh, np.diff(first))
+                values, first = values[keep], np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
                 keys, at = band_keys(values, first, num, den)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.lo, len(s)), pa.array(np.diff(first).astype(np.int64)), pa.array(_signed(_set_hashes(values, first))), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(_signed(keys)))],
-                    names=["id", "n_shingles", "node", "keys"],
-                )
+                some = np.flatnonzero(np.diff(at))
+                ends = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.int64)[fresh][some]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_signed(keys)))], names=["node", "keys"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
 
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id]
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    signed = cut_lineage(docs.mapInArrow(signatures, f"id {kind}, n_shingles long, node long, keys array<long>"))
-    sets = signed.filter("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    edges = cut_lineage(_gather_keys(sets.select("node", F.explode("keys").alias("key"))))
+    signed = cut_lineage(docs.mapInArrow(signatures, f"id {kind}, n_shingles long, node long"))
+    sets = docs.select("text").mapInArrow(sketches, "node long, keys array<long>")
+    edges = cut_lineage(_gather_keys(cut_lineage(_shared_keys(sets, signed.count()))))
     family = components(edges)
 
     reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"))

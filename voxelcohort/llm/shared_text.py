@@ -31,7 +31,7 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _keys(hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
+def part_keys(hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Part from the low bits, fingerprint from the high bits, in one number that sorts by part."""
     part = (hashes & np.uint64((1 << 26) - 1)) % np.uint64(parts)
     return part << np.uint64(bits) | hashes >> np.uint64(64 - bits)
@@ -46,7 +46,7 @@ def _fold(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[cut], np.maximum.reduceat(flags[order], cut) if len(cut) else flags[:0], count
 
 
-def _cells(bucket: int, keys: np.ndarray, flags: np.ndarray, bits: int) -> pa.RecordBatch:
+def cells(bucket: int, keys: np.ndarray, flags: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row for each hash part: the part, the bucket that sends it and its packed fingerprints.
 
     Two low bits of a fingerprint say whether it is that of a reference block and
@@ -64,7 +64,7 @@ def _cells(bucket: int, keys: np.ndarray, flags: np.ndarray, bits: int) -> pa.Re
     )
 
 
-def _repeated(bits: int, reference: bool):
+def repeated(bits: int, reference: bool):
     """For one hash part: tell each bucket which of its fingerprints start more than once in the corpus.
 
     With ``reference``, only those that some reference block has.
@@ -95,13 +95,13 @@ def _repeated(bits: int, reference: bool):
     return fn
 
 
-def _is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+def is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), bool)
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _known(table: pa.Table) -> np.ndarray:
+def known_keys(table: pa.Table) -> np.ndarray:
     parts = [np.frombuffer(x, "<u8") for x in table["packed"].to_pylist()]
     return np.sort(np.concatenate(parts)).astype(np.uint64) if parts else np.zeros(0, np.uint64)
 
@@ -147,35 +147,35 @@ def mark_repeats(df: DataFrame, text: str = "text", window: int = 35) -> DataFra
             own, starts = windows(*s.words_and_first(), block)
             first = s.first
             owner = np.searchsorted(first, starts, "right") - 1
-            keys.append(_keys(own, parts, anchor_bits))
+            keys.append(part_keys(own, parts, anchor_bits))
             flags.append(((starts - first[owner]) % block == 0).astype(np.uint8))
-        return pa.Table.from_batches([_cells(table[BUCKET][0].as_py(), np.concatenate(keys), np.concatenate(flags), anchor_bits)])
+        return pa.Table.from_batches([cells(table[BUCKET][0].as_py(), np.concatenate(keys), np.concatenate(flags), anchor_bits)])
 
     def extended(table: pa.Table, told: pa.Table) -> pa.Table:
-        known, keys = _known(told), [np.zeros(0, np.uint64)]
+        known, keys = known_keys(told), [np.zeros(0, np.uint64)]
         if table.num_rows:
             for s in slices(table[text]) if len(known) else ():
                 hashes, first = s.words_and_first()
                 own, starts = windows(hashes, first, block)
                 hits = np.zeros(len(hashes) + 1, np.int64)
-                hits[starts[_is_in(_keys(own, parts, anchor_bits), known)] + 1] = 1
+                hits[starts[is_in(part_keys(own, parts, anchor_bits), known)] + 1] = 1
                 hits = np.cumsum(hits)
                 own, starts = windows(hashes, first, window)
                 near = hits[starts + window - block + 1] > hits[starts]
-                keys.append(_keys(own[near], parts, window_bits))
+                keys.append(part_keys(own[near], parts, window_bits))
         found = np.concatenate(keys)
         bucket = table[BUCKET][0].as_py() if table.num_rows else 0
-        return pa.Table.from_batches([_cells(bucket, found, np.zeros(len(found), np.uint8), window_bits)])
+        return pa.Table.from_batches([cells(bucket, found, np.zeros(len(found), np.uint8), window_bits)])
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
-        known = _known(told)
+        known = known_keys(told)
         n_words, n_removed, kept, spans = [], [], [], []
         for s in slices(table[text]) if table.num_rows else ():
             hashes, first = s.words_and_first()
             gone = np.zeros(len(hashes) + 1, np.int64)
             if len(known):
                 own, starts = windows(hashes, first, window)
-                starts = starts[_is_in(_keys(own, parts, window_bits), known)]
+                starts = starts[is_in(part_keys(own, parts, window_bits), known)]
                 gone[starts] += 1
                 gone[starts + window] -= 1
             gone = np.cumsum(gone)[:-1] > 0
@@ -198,9 +198,9 @@ def mark_repeats(df: DataFrame, text: str = "text", window: int = 35) -> DataFra
         return pa.table([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "spans", "kept"])
 
     sent = base.groupBy(BUCKET).applyInArrow(anchors, cell)
-    hits = map_groups(sent, ["part"], _repeated(anchor_bits, True), reply)
+    hits = map_groups(sent, ["part"], repeated(anchor_bits, True), reply)
     sent = base.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(extended, cell)
-    again = map_groups(sent, ["part"], _repeated(window_bits, False), reply)
+    again = map_groups(sent, ["part"], repeated(window_bits, False), reply)
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     schema = T.StructType([*(f for f in df.schema.fields if f.name in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.StringType())])
     return base.groupBy(BUCKET).cogroup(again.groupBy(BUCKET)).applyInArrow(cut, schema)
