@@ -10,10 +10,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from voxelcohort.session import local_session
 
-    session = local_session(8, 2, "tests", spark__sql__codegen__wholeStage="false")
+    session = local_session(8, 2, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

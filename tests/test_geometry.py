@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import geometry as G
 from voxelcohort.operators import resample as RS
+from voxelcohort.operators import windows as W
 
 CORNER = [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
 HOPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -31,6 +32,16 @@ def flood(pts):
     return set(out)
 
 
+def chunk_rows(spark, arrays, edge=3):
+    """Chunk rows of id -> array, cut into blocks of ``edge``."""
+    rows = []
+    for v, arr in arrays.items():
+        for at in itertools.product(*[range(0, n, edge) for n in arr.shape]):
+            part = arr[tuple(slice(a, a + edge) for a in at)]
+            rows.append((v, list(arr.shape), list(at), list(part.shape), [float(x) for x in part.ravel()]))
+    return spark.createDataFrame(rows, "volume_id long, shape array<int>, origin array<int>, dims array<int>, data array<double>")
+
+
 def snake(n):
     """A winding path: the worst case for label spreading."""
     out = []
@@ -56,6 +67,14 @@ def test_components(masks_of):
         assert all(c == ",".join(map(str, min(g))) for c, g in groups.items())
 
 
+def test_components_at_any_coordinate(masks_of):
+    far = 1 << 21
+    pts = [(0, 0, 0), (0, 0, far), (0, 1, 0), (far, 0, 0), (far, 0, 1), (-3, -2, -1), (-3, -2, 0), (-2, -2, 0), (1 << 30, 5, 5)]
+    rows = G.components(masks_of({0: pts})).collect()
+    assert sorted((r["i"], r["j"], r["k"]) for r in rows) == sorted(pts)
+    assert {r["component"] for r in rows} == {"0,0,0", f"0,0,{far}", f"{far},0,0", "-3,-2,-1", f"{1 << 30},5,5"}
+
+
 def test_largest_component_takes_the_first_of_equals(masks_of):
     got = G.largest_component(masks_of({0: [(4, 4, 4), (4, 4, 5), (0, 0, 0), (0, 0, 1), (9, 9, 9)]}))
     assert points(got) == {(0, 0, 0), (0, 0, 1)}
@@ -73,6 +92,18 @@ def test_principal_axes_of_a_rod(masks_of, volumes_of):
     np.testing.assert_allclose(axes[1]["axis_mm"], np.array([0.5, 0, 3]) / np.hypot(0.5, 3), atol=1e-9)
 
 
+def test_principal_axes_equal_an_eigen_solver(spark):
+    rng = np.random.default_rng(13)
+    flats = [np.diag(d) for d in ([1.0, 2.0, 3.0], [3.0, 1.0, 2.0], [1.0, 1.0, 1.0], [1.0, 1.0, 4.0], [0.0, 0.0, 0.0], [2.0, 5.0, 2.0])]
+    tensors = flats + [(lambda m: m @ m.T)(rng.normal(size=(3, 3))) for _ in range(40)]
+    df = spark.createDataFrame([(n, [float(x) for x in t.ravel()], [float(x) for x in t.ravel()]) for n, t in enumerate(tensors)], "volume_id int, tensor_vox array<double>, tensor_mm array<double>")
+    for r in G.principal_axes(df).collect():
+        t, v = tensors[r["volume_id"]], np.array(r["axis_vox"])
+        low = np.linalg.eigvalsh(t)[0]
+        assert np.linalg.norm(v) == pytest.approx(1) and v[np.abs(v).argmax()] > 0 and r["axis_mm"] == r["axis_vox"]
+        np.testing.assert_allclose(t @ v, low * v, atol=1e-7 * max(1, np.abs(t).max()))
+
+
 def test_inertia_matches_numpy(masks_of, volumes_of):
     rng = np.random.default_rng(5)
     pts = np.argwhere(rng.random((6, 5, 4)) < 0.4)
@@ -116,9 +147,37 @@ def test_windows_and_blend(spark, volumes_of):
     head = volumes_of({0: (5, 4, 9)})
     starts = {a: sorted({r[f"w{a}"] for r in G.patch_windows(head, (3, 4, 4), 0.5).collect()}) for a in "ijk"}
     assert starts == {"i": [0, 1, 2], "j": [0], "k": [0, 2, 4, 5]}
-    vox = spark.createDataFrame([(0, i, j, k, 7.25) for i in range(5) for j in range(4) for k in range(9)], "volume_id long, i int, j int, k int, value double")
-    blended = G.blend_patches(G.assign_patches(vox, head, (3, 4, 4), 0.5)).collect()
-    assert len(blended) == 180 and {round(r["value"], 9) for r in blended} == {7.25}
+    for a, n, r in zip("ijk", (5, 4, 9), (3, 4, 4)):
+        assert W.window_starts(n, r, 0.5) == starts[a]
+
+
+def test_whole_windows_are_predicted_and_blended(spark):
+    rng = np.random.default_rng(12)
+    arr, small = rng.normal(size=(5, 4, 9)), rng.normal(size=(2, 3, 4))
+    c, roi = chunk_rows(spark, {0: arr, 1: small}), (3, 4, 4)
+    windows = W.cut_windows(c, roi, 0.5)
+    for r in windows.collect():
+        full = arr if r["volume_id"] == 0 else small
+        want = full[r["wi"] : r["wi"] + 3, r["wj"] : r["wj"] + 4, r["wk"] : r["wk"] + 4]
+        np.testing.assert_array_equal(np.reshape(r["data"], r["dims"]), want)
+    centred = W.predict_windows(windows, lambda x: x - x.mean((1, 2, 3), keepdims=True))
+    for weights, importance in ((np.ones, None), (W.gaussian_importance, W.gaussian_importance)):
+        top, low = np.zeros(arr.shape), np.zeros(arr.shape)
+        for i, k in itertools.product((0, 1, 2), (0, 2, 4, 5)):
+            at = (slice(i, i + 3), slice(0, 4), slice(k, k + 4))
+            top[at] += weights(roi) * (arr[at] - arr[at].mean())
+            low[at] += weights(roi)
+        got = np.full(arr.shape, np.nan)
+        for r in W.blend_windows(centred, 2, importance).filter("volume_id = 0").collect():
+            got[tuple(slice(o, o + d) for o, d in zip(r["origin"], r["dims"]))] = np.reshape(r["data"], r["dims"])
+        np.testing.assert_allclose(got, top / low)
+    with pytest.raises(Exception, match="the predictor returned"):
+        W.predict_windows(windows, lambda x: x[:, :1]).collect()
+
+
+def test_importance_is_highest_in_the_middle():
+    w = W.gaussian_importance((3, 4, 9))
+    assert w.argmax() == np.ravel_multi_index((1, 1, 4), w.shape) and w.min() >= 1e-3 * w.max() and np.allclose(w, w[::-1, ::-1, ::-1])
 
 
 @pytest.mark.parametrize("target", [(5, 4, 3), (9, 8, 3), (2, 3, 1), (5, 1, 7)])
@@ -158,13 +217,19 @@ def test_place_nearest(spark, masks_of):
 
 
 def test_padding_is_symmetric(spark, volumes_of):
-    vox = spark.createDataFrame([(0, 0, 0, 0, 1.0)], "volume_id long, i int, j int, k int, value double")
-    moved, head = G.pad_to(vox, volumes_of({0: (3, 5, 4)}), (6, 5, 9))
-    assert tuple(moved.first())[:4] == (0, 1, 0, 2) and head.first()["shape"] == [6, 5, 9]
+    moved, head = G.pad_to(chunk_rows(spark, {0: np.ones((3, 5, 4))}, 9), volumes_of({0: (3, 5, 4)}), (6, 5, 9))
+    assert moved.first()["origin"] == [1, 0, 2] and head.first()["shape"] == [6, 5, 9]
 
 
 def test_crops_without_a_mask_take_the_middle(spark, volumes_of, masks_of):
-    vox = spark.createDataFrame([(0, i, 0, 0, float(i)) for i in range(9)], "volume_id long, i int, j int, k int, value double")
-    none = masks_of({5: [(0, 0, 0)]})
-    assert sorted(r["value"] for r in G.crop_center(vox, volumes_of({0: (9, 1, 1)}), none, (4, 1, 1)).collect()) == [2, 3, 4, 5]
-    assert sorted(r["value"] for r in G.crop_center_k(vox, volumes_of({0: (9, 1, 1)}), none, (4, 1, 1), 4).collect()) == [0, 1, 2, 3]
+    c, none = chunk_rows(spark, {0: np.arange(9.0).reshape(9, 1, 1)}), masks_of({5: [(0, 0, 0)]})
+    values = lambda df: sorted(x for r in df.collect() for x in r["data"])
+    assert values(G.crop_center(c, volumes_of({0: (9, 1, 1)}), none, (4, 1, 1))) == [2, 3, 4, 5]
+    assert values(G.crop_center_k(c, volumes_of({0: (9, 1, 1)}), none, (4, 1, 1), 4)) == [0, 1, 2, 3]
+
+
+def test_dense_plans_keep_arrays(spark, volumes_of, masks_of):
+    c, head, mask = chunk_rows(spark, {0: np.ones((3, 5, 4))}), volumes_of({0: (3, 5, 4)}), masks_of({0: [(1, 1, 1)]})
+    for df in (G.crop_foreground(c, mask), G.crop_center(c, head, mask, (2, 2, 2)), G.pad_to(c, head, (6, 6, 6))[0], W.reorient_chunks(c, "RAS", "LPS"), W.stride_chunks(c, 10),
+               W.blend_windows(W.predict_windows(W.cut_windows(c, (2, 2, 2), 0.5), lambda x: x))):
+        assert "posexplode(data" not in df._jdf.queryExecution().optimizedPlan().toString()

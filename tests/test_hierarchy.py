@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelcohort.operators import anchors as A
 from voxelcohort.operators import incremental as I
 from voxelcohort.operators import qc as R
+from voxelcohort.plans.cohort import close_run, plan_cohort
 
 DDL = "patient_id string, timepoint string, row_id string, study_type string, metric double, coreg_image string, coreg_seg string, version string"
 
@@ -90,11 +92,23 @@ def test_updates_last_write_wins_and_null_overwrites(spark):
 
 
 def test_error_grains(spark):
-    df = spark.createDataFrame([("p", "t1", "a"), ("p", "t1", "b"), ("p", "t2", "c"), ("q", "t3", "d")], "patient_id string, timepoint string, row_id string")
-    errors = spark.createDataFrame([("patient", "p", "P"), ("timepoint", "t1", "T"), ("row", "a", "R")], "grain string, key string, message string")
+    df = spark.createDataFrame([("p", "t1", "a"), ("p", "t1", "b"), ("p", "t2", "c"), ("q", "t1", "d")], "patient_id string, timepoint string, row_id string")
+    errors = spark.createDataFrame([("patient", "p", "p", "P"), ("timepoint", "p", "t1", "T"), ("row", "p", "a", "R")], "grain string, patient_id string, key string, message string")
     assert {r["row_id"]: r["error_details"] for r in I.attribute_errors(df, errors).collect()} == {"a": "R", "b": "T", "c": "P", "d": None}
 
 
+def test_a_run_keeps_flags_and_errors_with_their_patient(spark):
+    rows = [(p, f"{p}_{t}", s, f"{p}-{t}-{s}", m) for p in ("1", "2") for t in ("0_0", "1_30") for s, m in (("T2", 2.0), ("T1", 1.0))]
+    manifest = spark.createDataFrame([(*r, None, None, None) for r in rows], "patient string, tracker string, study_type string, row_id string, metric double, coreg_image string, coreg_seg string, version string")
+    plan = plan_cohort(manifest, ["T1", "T2"], "force_reprocess", "A", modality="T2")
+    errors = spark.createDataFrame([("timepoint", "1", "1_30", "late")], "grain string, patient_id string, key string, message string")
+    none = spark.createDataFrame([], "row_id string, seq long, column string, value string")
+    done, _ = close_run(plan, none, errors, ["coreg_image"])
+    assert {r["row_id"] for r in done.filter("error_details is not null").collect()} == {"1-1_30-T2", "1-1_30-T1"}
+    flagged = R.propagate_flags(done.withColumn("flagged", F.col("row_id") == "1-1_30-T2"))
+    assert {r["row_id"] for r in flagged.filter("manual").collect()} == {"1-1_30-T2", "1-1_30-T1"}
+
+
 def test_flags_spread_from_anchors_only(spark):
     df = spark.createDataFrame([
         ("p", "t1", "a", "patient_anchor", True), ("p", "t2", "b", None, False), ("q", "t3", "c", "timepoint_anchor", True), ("q", "t3", "d", None, False),

@@ -28,7 +28,7 @@ def test_clean_path_strict(spark, path, want):
     assert one(spark, P.clean_path_strict("p"), p=path) == want
 
 
-@pytest.mark.parametrize("tracker, want", [("120_0_0", ("120", 0, 0)), ("120_10_400", ("120", 10, 400)), ("x_1", ("x", 1, None)), (None, (None, None, None))])
+@pytest.mark.parametrize("tracker, want", [("120_0_0", ("120", 0, 0)), ("120_10_400", ("120", 10, 400)), ("x_1", ("x", 1, None)), ("7_0_-30", ("7", 0, -30)), ("7_12345678901_12345678901", ("7", 12345678901, 12345678901)), ("7_a_1.5", ("7", None, None)), (None, (None, None, None))])
 def test_split_tracker(spark, tracker, want):
     df = spark.createDataFrame([(tracker,)], "tracker string")
     assert tuple(L.split_tracker(df).select("patient_id", "scan_order", "days").first()) == want

@@ -55,8 +55,17 @@ def test_per_study_summary_equals_listing_every_pair(series, masks_of):
 
 
 def test_cross_type(series, masks_of):
-    got = {(r["a_id"], r["b_id"]) for r in M.cross_type_dice(series, masks_of(MASKS), "T1", "T2").collect()}
-    assert got == {(1, 2), (3, 2)}
+    got = {(r["a_id"], r["b_id"]): r["dice"] for r in M.cross_type_dice(series, masks_of(MASKS), "T1", "T2").collect()}
+    assert got == {(a, b): dice_of(a, b) for a in (1, 3, 5) for b in (2, 4, 6)}
+
+
+def test_describe_counts_the_zeros(series, masks_of):
+    masks = masks_of(MASKS)
+    pairs = M.pairwise_dice(series, masks)
+    row = M.describe(M.scored_dice(pairs, M.pair_counts(series, masks, pairs)), "dice", "w").first()
+    scores = [s for a, b in itertools.combinations(range(1, 7), 2) if (s := dice_of(a, b)) is not None]
+    assert row["count"] == len(scores) and row["mean"] == pytest.approx(statistics.mean(scores)) and row["std"] == pytest.approx(statistics.stdev(scores))
+    assert (row["min"], row["p50"], row["max"]) == (0.0, statistics.median(scores), 1.0)
 
 
 def test_volume_metrics(spark, masks_of):

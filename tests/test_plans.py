@@ -49,7 +49,7 @@ def test_cohort_lifecycle(spark, sf):
     todo = plan.todo
     assert todo.filter("coreg_image IS NOT NULL AND version = 'v3'").isEmpty() and todo.count() > 0
     updates = todo.select("row_id", F.lit(1).alias("seq"), F.lit("coreg_image").alias("column"), F.concat(F.lit("new/"), "row_id").alias("value"))
-    errors = spark.createDataFrame([("patient", "1", "lost")], "grain string, key string, message string")
+    errors = spark.createDataFrame([("patient", "1", "1", "lost")], "grain string, patient_id string, key string, message string")
     done, summary = close_run(plan, updates, errors, ["coreg_image"])
     row = summary.first()
     assert row["n_rows"] == row["n_coreg_images"] == plan.roles.count()

@@ -162,6 +162,12 @@ def test_labels_spread_along_a_chain(spark):
     assert got == {"a": "G", "b": "G", "c": "G", "d": "G", "alone": "rest", "x": "H", "y": "A", "tie": "A"}
 
 
+def test_labels_spread_along_a_long_chain(spark):
+    nodes = spark.createDataFrame([(n, "G" if n == 0 else None) for n in range(12)], "id long, group string")
+    edges = spark.createDataFrame([(n, n + 1) for n in range(11)], "source long, target long")
+    assert {r["group"] for r in N.propagate_labels(nodes, edges, "rest").collect()} == {"G"}
+
+
 def test_adjacency_drops_duplicates_and_unknown_ends(spark):
     nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, label string")
     edges = spark.createDataFrame([("a", "b", "r", "c"), ("a", "b", "r", "c"), ("a", "z", "r", "c")], "source string, target string, relation string, confidence string")
@@ -169,6 +175,16 @@ def test_adjacency_drops_duplicates_and_unknown_ends(spark):
     assert got == {("a", "outgoing", "b", "B"), ("b", "incoming", "a", "A")} and N.adjacency(nodes, edges).count() == 2
 
 
+def test_rules_give_groups_and_hints_follow(spark):
+    nodes = spark.createDataFrame([("a", "An Experiment", None, "code"), ("b", "x", "src/b.py", "code"), ("c", "y", "", "document"), ("d", "z", "lib/d", "code")], "id string, label string, source_file string, file_type string")
+    rules = [(3, "label", "EXPERIMENT", "trial", ("one", "src")), (1, "prefix", "src/", "src"), (2, "type", "document", "docs"), (4, "prefix", "lib/", "lib", ("src",))]
+    told = N.classify(nodes, rules)
+    assert {r["id"]: (r["group"], r["secondary"]) for r in told.collect()} == {"a": ("trial", ["one", "src"]), "b": ("src", []), "c": ("docs", []), "d": ("lib", ["src"])}
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "a"), ("c", "b")], "source string, target string")
+    got = sorted(map(tuple, N.secondary_groups(told, edges).collect()), key=str)
+    assert got == sorted([("a", 1, "one", None), ("a", 2, "src", None), ("a", 3, "docs", 1), ("c", 1, "src", 1), ("c", 2, "trial", 1), ("d", 1, "src", None)], key=str)
+
+
 def test_names_stay_unique(spark):
     df = spark.createDataFrame([(0, 1, "a b"), (1, 1, "a_b"), (2, 2, "a b"), (3, None, "a b"), (4, 1, "a  b")], "n int, community int, id string")
     got = {r["n"]: (r["folder"], r["note"]) for r in N.unique_names(df, "n").collect()}

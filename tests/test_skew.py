@@ -52,13 +52,18 @@ def test_self_pairs(spark, tile):
 @pytest.mark.parametrize("limit", [5, 100_000])
 def test_quantiles(spark, limit):
     rng = np.random.default_rng(3)
-    data = {"spike": np.r_[np.zeros(200), rng.normal(size=100)], "flat": np.full(50, 2.0), "wide": rng.exponential(size=333) ** 4, "one": np.array([1.5])}
+    data = {"spike": np.r_[np.zeros(200), rng.normal(size=100)], "flat": np.full(50, 2.0), "wide": rng.exponential(size=333) ** 4, "one": np.array([1.5]), "far": np.r_[rng.normal(size=300), 1e300, -1e200, np.inf], "nan": np.r_[np.full(20, np.nan), np.arange(300.0)]}
     df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [("spike", None)], "g string, v double")
     ps = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     got = {r["g"]: r["q"] for r in quantiles(df, ["g"], "v", ps, rows_per_group=limit).collect()}
     assert got.keys() == data.keys()
     for g, xs in data.items():
-        np.testing.assert_allclose(got[g], np.quantile(xs, ps), rtol=1e-12, atol=1e-12)
+        if g == "nan":  # NaN is above everything
+            np.testing.assert_allclose(got[g][:4], np.interp(np.array(ps[:4]) * 319, np.arange(300), np.arange(300)))
+            assert np.isnan(got[g][4:]).all()
+            continue
+        want = np.append(np.quantile(xs, ps[:-1]), xs.max())
+        np.testing.assert_allclose(got[g], want, rtol=1e-12, atol=1e-12)
 
 
 @pytest.mark.parametrize("limit", [2, 1000])
@@ -75,13 +80,23 @@ def test_global_position(spark):
     assert [r["h"] for r in got] == sorted(r["h"] for r in got)
 
 
-def test_list_masks_splits_a_hot_series(spark):
-    df = spark.createDataFrame([("hot", f"p{n:03d}") for n in range(50)] + [("few", "b"), ("few", "a")], "s string, path string")
-    got = cohort.list_masks(df, ["s"], most=10).collect()
-    assert [r["all_masks"] for r in got if r["s"] == "few"] == ["a; b"]
-    parts = [r["all_masks"].split("; ") for r in got if r["s"] == "hot"]
-    assert len(parts) > 1 and all(p == sorted(p) for p in parts)
-    assert sorted(x for p in parts for x in p) == [f"p{n:03d}" for n in range(50)]
+def test_list_masks_has_one_shape(spark):
+    rows = [("hot", f"p{n:03d}") for n in range(50)] + [("few", "b"), ("few", "a"), (None, "z"), (None, "y"), ("none", None)]
+    df = spark.createDataFrame(rows, "s string, path string").repartition(7)
+    got = {(r["s"], r["position"], r["path"]) for r in cohort.list_masks(df, ["s"]).collect()}
+    assert got == {("hot", n + 1, f"p{n:03d}") for n in range(50)} | {("few", 1, "a"), ("few", 2, "b"), (None, 1, "y"), (None, 2, "z")}
+    text = {r["s"]: r["all_masks"] for r in cohort.list_masks(df, ["s"], joined=True).collect()}
+    assert text["few"] == "a; b" and text[None] == "y; z" and text["hot"].count("; ") == 49
+
+
+@pytest.mark.parametrize("limit", [2, 100])
+def test_in_order_with_null_keys_and_outliers(spark, limit):
+    rows = [("g", None, 1), ("g", None, 2), ("g", -1e12, 3), ("g", 1.0, 4), ("g", 1.5, 5), ("g", 2.0, 6), ("g", 2.5, 7), ("g", float("nan"), 8), (None, 1.0, 9), (None, None, 10), (None, 2.0, 11)]
+    df = spark.createDataFrame(rows, "g string, k double, id long")
+    got = in_order(df, ["g"], "k", ["id"], "pos", {"id": "before"}, {"id": "after"}, "n", rows_per_split=limit)
+    order = {"g": [1, 2, 3, 4, 5, 6, 7, 8], None: [10, 9, 11]}
+    want = {(g, i, p + 1, len(o), o[p - 1] if p else None, o[p + 1] if p + 1 < len(o) else None) for g, o in order.items() for p, i in enumerate(o)}
+    assert {(r["g"], r["id"], r["pos"], r["n"], r["before"], r["after"]) for r in got.collect()} == want
 
 
 def test_history_of_a_hot_patient(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.operators import incremental as I
 from voxelcohort.operators.voxels import explode_voxels
-from voxelcohort.session import scratch_path, shared_dir
+from voxelcohort.session import cut_lineage, scratch_path, scratch_scope, shared_dir
 from voxelcohort.sources import manifests as S
 from voxelcohort.sources import volumes as SV
 from voxelcohort.streaming.intake import clean, stream_intake
@@ -55,6 +55,39 @@ def test_read_volumes(spark, volume_files):
         assert heads[n]["shape"] == list(got[n].shape)
 
 
+def test_frames_scaling_and_offsets(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(3, 4, 5, 2)).astype("f4")
+    (tmp_path / "four.nii").write_bytes(nifti(a, "f4", 16, spacing=(1.0, 2.0, 3.0, 9.0)))
+    np.save(tmp_path / "four.npy", a)
+    np.save(tmp_path / "fortran.npy", np.asfortranarray(a))
+    np.save(tmp_path / "line.npy", a[0, 0, 0])
+    flat = a[..., 0]
+    (tmp_path / "zero.nii").write_bytes(nifti(flat, "f4", 16, slope=0.0, inter=7.0))
+    (tmp_path / "nan.nii").write_bytes(nifti(flat, "f4", 16, slope=float("nan"), inter=7.0))
+    (tmp_path / "inter.nii").write_bytes(nifti(flat, "f4", 16, slope=1.0, inter=float("nan")))
+    low = bytearray(nifti(flat, "f4", 16))
+    struct.pack_into("<f", low, 108, 0.0)
+    (tmp_path / "low.nii").write_bytes(bytes(low))
+    head, chunks = SV.read_volumes(spark, str(tmp_path), edge=2)
+    names = {r["volume_id"].split("/")[-1]: r for r in head.collect()}
+    assert set(names) == {f"{n}#{t}" for n in ("four.nii", "four.npy", "fortran.npy") for t in (0, 1)} | {"line.npy", "zero.nii", "nan.nii", "inter.nii", "low.nii"}
+    assert names["four.nii#1"]["shape"] == [3, 4, 5] and names["four.nii#1"]["spacing"] == [1.0, 2.0, 3.0]
+    got = {}
+    for r in explode_voxels(chunks).collect():
+        got.setdefault(r["volume_id"].split("/")[-1], {})[r["i"], r["j"], r["k"]] = r["value"]
+    for n, cells in got.items():
+        want = a[0, 0, 0].reshape(2, 1, 1) if n == "line.npy" else a[..., int(n[-1])] if "#" in n else flat
+        assert len(cells) == want.size and all(abs(want[at] - v) < 1e-6 for at, v in cells.items()), n
+    assert set(got) == set(names)
+
+
+def test_a_short_file_is_an_error(spark, tmp_path):
+    (tmp_path / "short.nii").write_bytes(nifti(np.zeros((3, 3, 3)), "f4", 16)[:-8])
+    with pytest.raises(Exception, match="ends before"):
+        SV.read_volumes(spark, str(tmp_path))[1].collect()
+
+
 def test_inventory(spark, volume_files):
     files = S.list_files(spark, str(volume_files[0]))
     assert files.count() == 5 and files.filter("path LIKE '%notes.txt'").first()["length"] == 9
@@ -143,3 +176,15 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(sink).select(*cols).collect()]
     want = {tuple(r) for r in I.plan_todo(clean(df), outputs, inputs, row_id="series_id").select(*cols).collect()}
     assert len(got) == 20 and set(got) == want
+
+
+def test_a_scope_removes_its_tables_and_a_loop_its_rounds(spark):
+    import os
+
+    path = scratch_path(spark, "result")
+    with scratch_scope(spark):
+        first = cut_lineage(spark.range(3))
+        second = cut_lineage(first.withColumn("x", F.lit(1)), instead_of=first)
+        assert not os.path.exists(first._stored_at) and os.path.exists(second._stored_at)
+        second.write.parquet(path)
+    assert not os.path.exists(second._stored_at) and spark.read.parquet(path).count() == 3

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelcohort.operators import voxels as V
+from voxelcohort.operators import windows as W
 
 EDGE = 3
 
@@ -127,6 +128,20 @@ def test_mutual_information_is_symmetric_and_bounded(spark, arrays):
     assert got[0, 5] == pytest.approx(got[5, 0]) and 0 < got[0, 5] < got[0, 0]
 
 
+def test_mutual_information_leaves_missing_voxels_out(spark, arrays):
+    x, y = arrays[0].copy(), (arrays[0] ** 2).astype("f4")
+    x[0, 0, :3], y[1, 1, 1] = np.nan, np.nan
+    pairs = spark.createDataFrame([(0, 5)], "a_id long, b_id long")
+    got = V.mutual_information(chunked(spark, {0: x}), chunked(spark, {5: y}), pairs, 4).first()["mi"]
+    spot = lambda a: np.minimum(((a - np.nanmin(a)) / (np.nanmax(a) - np.nanmin(a)) * 4), 3).astype(float) // 1
+    ok = ~np.isnan(x) & ~np.isnan(y)
+    joint = np.histogram2d(spot(x)[ok], spot(y)[ok], bins=[range(5), range(5)])[0] / ok.sum()
+    want = sum(p * np.log(p / (joint[i].sum() * joint[:, j].sum())) for (i, j), p in np.ndenumerate(joint) if p)
+    assert got == pytest.approx(want)
+    with pytest.raises(Exception, match="different grids"):
+        V.mutual_information(chunked(spark, {0: x}), chunked(spark, {5: y}, 4), pairs, 4).collect()
+
+
 def test_coverage(masks_of, volumes_of):
     got = {r["volume_id"]: (r["coverage_pct"], r["use_all"]) for r in V.coverage_guard(masks_of({0: [(0, 0, 0)]}), volumes_of({0: (2, 2, 2), 1: (2, 2, 2)}), 12.5).collect()}
     assert got == {0: (12.5, False), 1: (0.0, True)}
@@ -134,12 +149,21 @@ def test_coverage(masks_of, volumes_of):
         V.coverage_guard(masks_of({0: [(0, 0, 0)]}), volumes_of({3: (0, 2, 2)})).collect()
 
 
-def test_reorient_round_trip(spark, arrays, volumes_of):
-    vox, head = V.explode_voxels(chunked(spark, {0: arrays[0]})), volumes_of({0: arrays[0].shape})
-    turned = V.reorient(vox, head, "RAS", "SPL")
-    np.testing.assert_array_equal(dense(turned, (7, 4, 5)), arrays[0].transpose(2, 1, 0)[:, ::-1, ::-1])
-    back = V.reorient(turned, volumes_of({0: (7, 4, 5)}), "SPL", "RAS")
-    np.testing.assert_array_equal(dense(back, arrays[0].shape), arrays[0])
+def test_reorient_round_trip(spark, arrays):
+    turned = W.reorient_chunks(chunked(spark, {0: arrays[0]}), "RAS", "SPL")
+    np.testing.assert_array_equal(dense(V.explode_voxels(turned), (7, 4, 5)), arrays[0].transpose(2, 1, 0)[:, ::-1, ::-1])
+    back = W.reorient_chunks(turned.withColumn("shape", F.array(*[F.lit(n) for n in (7, 4, 5)])), "SPL", "RAS")
+    np.testing.assert_array_equal(dense(V.explode_voxels(back), arrays[0].shape), arrays[0])
+
+
+def test_stride_and_range_on_chunks(spark, arrays):
+    c = chunked(spark, arrays)
+    got = {v: {(r["i"], r["j"], r["k"]): r["value"] for r in W.stride_chunks(c, 30).filter(F.col("volume_id") == v).collect()} for v in arrays}
+    for v, arr in arrays.items():
+        step = -(-arr.size // 30)
+        assert got[v] == {tuple(map(int, p)): float(arr[tuple(p)]) for n, p in enumerate(np.argwhere(arr == arr)) if n % step == 0}
+    cut = V.explode_voxels(V.crop_range(c, "k", 2, 6))
+    np.testing.assert_array_equal(dense(cut, (5, 4, 4)), arrays[0][:, :, 2:6])
 
 
 def test_otsu_splits_two_modes(spark):

@@ -58,7 +58,7 @@ def main():
         i = args.index("--sf")
         sf = args[i + 1]
         del args[i : i + 2]
-    from voxelcohort.session import local_session
+    from voxelcohort.session import local_session, scratch_scope
 
     entry = importlib.import_module("__spark_entry__")
     queries, oracles = entry.queries(), entry.oracle_sql()
@@ -70,8 +70,9 @@ def main():
             continue
         start = time.time()
         try:
-            df = fn(spark, sf)
-            rows = [tuple(r) for r in df.collect()]
+            with scratch_scope(spark):
+                df = fn(spark, sf)
+                rows = [tuple(r) for r in df.collect()]
             took = f"{len(rows)} rows {time.time() - start:.2f}s"
             problem = compare(df.columns, rows, con, oracles[name]) if name in oracles else None
         except Exception as e:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelcohort.operators.skew import hot_groups
+from voxelcohort.operators.skew import range_position
 
 
 def keep_types(df: DataFrame, types: Sequence[str], col: str = "study_type") -> DataFrame:
@@ -64,20 +64,18 @@ def pick_best_mask(df: DataFrame, keys: Sequence[str], path: str = "path") -> Da
     return ranked.filter(F.col("_rn") <= 1).drop("_rn", "_priority")
 
 
-def list_masks(df: DataFrame, keys: Sequence[str], path: str = "path", most: int = 10_000) -> DataFrame:
-    """All masks of a series as one sorted text, ``part`` 0.
+def list_masks(df: DataFrame, keys: Sequence[str], path: str = "path", joined: bool = False) -> DataFrame:
+    """All masks of each series in path order, one row a mask: ``keys``, ``position`` from 1, ``path``.
 
-    A series with more than ``most`` masks is listed in several parts, each a
-    sorted text of about that many paths, so no task collects it whole.
+    Null paths are no masks. With ``joined`` a series is one row with the sorted
+    paths as one text ``all_masks`` instead; ask for it only where a series'
+    masks fit into one value.
     """
     keys = list(keys)
-    hot = hot_groups(df, keys, most, size=F.count(path))
-    if hot is None:
-        listed = df.withColumn("part", F.lit(0))
-    else:
-        part = F.coalesce(F.pmod(F.xxhash64(path), F.ceil(F.col("_n") / F.lit(most))), F.lit(0))
-        listed = df.join(hot, keys, "left").withColumn("part", part.cast("int"))
-    return listed.groupBy(*keys, "part").agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
+    named = df.filter(F.col(path).isNotNull()).select(*keys, path)
+    if joined:
+        return named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(path)), "; ").alias("all_masks"))
+    return range_position(named, keys, [path], "position")
 
 
 def attach_masks(images: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:

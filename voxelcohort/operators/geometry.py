@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from voxelcohort.operators.windows import cut_boxes, shift
 from voxelcohort.session import cut_lineage
 
 AXES = ("i", "j", "k")
@@ -17,12 +16,9 @@ AXES = ("i", "j", "k")
 
 # --- connected components --------------------------------------------------------------------------
 
-# a coordinate triple as one number that sorts like the triple; coordinates stay below 2^21
-COORD_BITS = 21
-
-
 def _node(i, j, k) -> Column:
-    return F.shiftleft(i.cast("long"), 2 * COORD_BITS) + F.shiftleft(j.cast("long"), COORD_BITS) + k.cast("long")
+    """A coordinate triple; structs compare field by field, so any coordinates do, negative ones too."""
+    return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), k.cast("long").alias("k"))
 
 
 def _runs(masks: DataFrame) -> DataFrame:
@@ -33,7 +29,7 @@ def _runs(masks: DataFrame) -> DataFrame:
     return runs.withColumn("n", _node(F.col("i"), F.col("j"), F.col("k0")))
 
 
-def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(masks: DataFrame) -> DataFrame:
     """Adds ``component`` (6-neighbour connectivity), numbered by its first voxel.
 
     Runs that touch in a neighbouring scan line are linked. Every round hooks
@@ -48,9 +44,7 @@ def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
         .select("volume_id", F.least("u", "n").alias("u"), F.greatest("u", "n").alias("v"))
     )
     parent = runs.select("volume_id", "n", F.col("n").alias("root"))
-    for _ in range(max_rounds):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():  # every round merges all roots that have a smaller neighbour
         hook = links.groupBy("volume_id", F.col("v").alias("root")).agg(F.min("u").alias("to"))
         while True:  # jump until every hook ends at a root; path lengths halve each time
             hook = cut_lineage(hook)
@@ -64,11 +58,7 @@ def components(masks: DataFrame, max_rounds: int = 50) -> DataFrame:
             links = links.join(hook.withColumnRenamed("root", end), ["volume_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = links.filter(F.col("u") != F.col("v")).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         links, parent = cut_lineage(links.distinct()), cut_lineage(parent)
-    else:
-        if not links.isEmpty():
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    low = F.lit((1 << COORD_BITS) - 1)
-    first = F.concat_ws(",", *[F.shiftright("root", s * COORD_BITS).bitwiseAND(low) for s in (2, 1, 0)])
+    first = F.concat_ws(",", "root.i", "root.j", "root.k")
     named = runs.join(parent, ["volume_id", "n"]).withColumn("component", first)
     return named.select("volume_id", "i", "j", F.explode(F.sequence("k0", "k1")).alias("k"), "component")
 
@@ -113,26 +103,46 @@ def inertia(masks: DataFrame, volumes: DataFrame) -> DataFrame:
                        tensor(lambda a: F.get("spacing", AXES.index(a))).alias("tensor_mm"))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("axis_vox", "axis_mm")]))
-def _long_axes(vox: pd.Series, mm: pd.Series, spacing: pd.Series) -> pd.DataFrame:
-    def axis(t):
-        m = np.stack(t.to_numpy()).reshape(-1, 3, 3)
-        return np.linalg.eigh((m + m.transpose(0, 2, 1)) / 2)[1][:, :, 0]  # smallest eigenvalue first
+def _cross(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    return [a[(n + 1) % 3] * b[(n + 2) % 3] - a[(n + 2) % 3] * b[(n + 1) % 3] for n in range(3)]
 
-    def upright(v):
-        lead = np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1)
-        return np.where(lead < 0, -v, v)
 
-    a, b = upright(axis(vox)), axis(mm)
-    scaled = a * np.stack(spacing.to_numpy())
-    b = np.where((b * scaled).sum(1, keepdims=True) < 0, -b, b)
-    return pd.DataFrame({"axis_vox": list(a), "axis_mm": list(upright(b))})
+def _long_axis(df: DataFrame, tensor: str, out: str) -> DataFrame:
+    """Adds ``out``, the unit eigenvector of the smallest eigenvalue of a symmetric 3x3 tensor, dominant component positive.
+
+    Eigenvalues of a symmetric 3x3 matrix have a closed trigonometric form. The
+    rows of the tensor less the eigenvalue span the plane across the axis, so the
+    longest of their cross products points along it. Where that plane is a line
+    or a point (equal smallest eigenvalues) any vector across it serves: the one
+    with most of the first possible coordinate axis.
+    """
+    cell = lambda r, c: (F.get(tensor, 3 * r + c) + F.get(tensor, 3 * c + r)) / 2
+    mean = (cell(0, 0) + cell(1, 1) + cell(2, 2)) / 3
+    df = df.withColumns({"_m": mean, "_size": F.sqrt(sum((cell(r, c) - (mean if r == c else 0)) ** 2 for r in range(3) for c in range(3)) / 6)})
+    df = df.withColumn("_b", F.array(*[F.when(F.col("_size") > 0, (cell(r, c) - (F.col("_m") if r == c else 0)) / F.col("_size")).otherwise(0.0) for r in range(3) for c in range(3)]))
+    b = [[F.get("_b", 3 * r + c) for c in range(3)] for r in range(3)]
+    half = sum(x * y for x, y in zip(b[0], _cross(b[1], b[2]))) / 2
+    angle = F.acos(F.least(F.greatest(half, F.lit(-1.0)), F.lit(1.0))) / 3
+    df = df.withColumn("_l", 2 * F.cos(angle + 2 * math.pi / 3))
+    rows = [[b[r][c] - (F.col("_l") if r == c else 0) for c in range(3)] for r in range(3)]
+    unit = [[F.lit(float(r == c)) for c in range(3)] for r in range(3)]
+    length = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    pick = lambda vs: F.array_max(F.array(*[F.struct(length(v).alias("n"), F.lit(-k).alias("k"), F.array(*v).alias("v")) for k, v in enumerate(vs)]))
+    df = df.withColumn("_c", pick([_cross(rows[0], rows[1]), _cross(rows[0], rows[2]), _cross(rows[1], rows[2])])).withColumn("_r", pick(rows))
+    row = [F.get("_r.v", n) for n in range(3)]
+    across = pick([_cross(row, _cross(u, row)) for u in unit])
+    tiny = F.lit(1e-12)
+    v = F.when(F.col("_c.n") > tiny, F.col("_c.v")).when(F.col("_r.n") > tiny, across["v"]).otherwise(F.array(*unit[0]))
+    df = df.withColumn("_v", v)
+    lead = F.array_max(F.transform("_v", lambda x, n: F.struct(F.abs(x).alias("a"), (-n).alias("n"), x.alias("x"))))["x"]
+    scale = F.signum(lead) / F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
+    return df.withColumn(out, F.transform("_v", lambda x: x * scale)).drop("_m", "_size", "_b", "_l", "_c", "_r", "_v")
 
 
 def principal_axes(tensors: DataFrame) -> DataFrame:
     """Long axis of each volume in voxel and mm space: unit length, dominant component positive."""
-    axes = _long_axes("tensor_vox", "tensor_mm", "spacing")
-    return tensors.withColumn("_a", axes).select("volume_id", "_a.axis_vox", "_a.axis_mm")
+    both = _long_axis(_long_axis(tensors, "tensor_vox", "axis_vox"), "tensor_mm", "axis_mm")
+    return both.select("volume_id", "axis_vox", "axis_mm")
 
 
 def _dot(a, b) -> Column:
@@ -171,27 +181,23 @@ def max_area_slices(masks: DataFrame, volumes: DataFrame) -> DataFrame:
     return out.select("volume_id", "axis", F.coalesce("_b.slice", "_mid").alias("slice"), F.coalesce("_b.area", F.lit(0)).alias("area"))
 
 
-def _cut(voxels: DataFrame, starts: DataFrame, sizes: Sequence[Column]) -> DataFrame:
-    """Keep the box beginning at ``s_i, s_j, s_k`` and shift it to the origin."""
-    out = voxels.join(starts, "volume_id")
-    for a, size in zip(AXES, sizes):
-        out = out.filter((F.col(a) >= F.col(f"s_{a}")) & (F.col(a) < F.col(f"s_{a}") + size))
-    return out.withColumns({a: (F.col(a) - F.col(f"s_{a}")).cast("int") for a in AXES}).select(*voxels.columns)
+def _boxes(starts: DataFrame, sizes: Sequence[Column]) -> DataFrame:
+    return starts.select("volume_id", F.array(*[F.col(f"s_{a}").cast("int") for a in AXES]).alias("lo"), F.array(*[n.cast("int") for n in sizes]).alias("size"))
 
 
-def crop_foreground(voxels: DataFrame, masks: DataFrame, margin: int = 16, multiple: int = 16) -> DataFrame:
-    """Crop to the foreground box with a margin, each size rounded up to a ``multiple``, the box kept centred.
-
-    Parts of the box outside the volume carry no rows.
-    """
+def foreground_boxes(masks: DataFrame, margin: int = 16, multiple: int = 16) -> DataFrame:
+    """Foreground boxes ``(volume_id, lo, size)`` with a margin, each size rounded up to a ``multiple``, the foreground kept centred."""
     box = bounding_box(masks)
-    cols, sizes = [], []
     for a in AXES:
         lo, hi = F.col(f"min_{a}") - margin, F.col(f"max_{a}") + margin + 1
         size = F.ceil((hi - lo) / F.lit(multiple)) * multiple
-        cols += [(lo - F.floor((size - (hi - lo)) / 2)).cast("int").alias(f"s_{a}"), size.cast("int").alias(f"n_{a}")]
-        sizes.append(F.col(f"n_{a}"))
-    return _cut(voxels, box.select("volume_id", *cols), sizes)
+        box = box.withColumns({f"s_{a}": lo - F.floor((size - (hi - lo)) / 2), f"n_{a}": size})
+    return _boxes(box, [F.col(f"n_{a}") for a in AXES])
+
+
+def crop_foreground(chunks: DataFrame, masks: DataFrame, margin: int = 16, multiple: int = 16) -> DataFrame:
+    """Chunk pieces of the foreground box of :func:`foreground_boxes`; parts of the box outside the volume have no values."""
+    return cut_boxes(chunks, foreground_boxes(masks, margin, multiple))
 
 
 def _centres(volumes: DataFrame, masks: DataFrame, fallback) -> DataFrame:
@@ -201,41 +207,38 @@ def _centres(volumes: DataFrame, masks: DataFrame, fallback) -> DataFrame:
     return out.withColumns({f"c_{a}": F.coalesce(f"c_{a}", fallback(F.col(f"n_{a}"))) for a in AXES})
 
 
-def crop_center(voxels: DataFrame, volumes: DataFrame, masks: DataFrame, roi: Sequence[int]) -> DataFrame:
+def crop_center(chunks: DataFrame, volumes: DataFrame, masks: DataFrame, roi: Sequence[int]) -> DataFrame:
     """Crop around the mask's centroid, clamped to ``[half, dim - half]``; without a mask the middle."""
     c = _centres(volumes, masks, lambda n: F.floor(n / 2).cast("double"))
-    cols = []
     for a, r in zip(AXES, roi):
         centre = F.greatest(F.lit(float(r // 2)), F.least(F.col(f"c_{a}"), (F.col(f"n_{a}") - r // 2).cast("double")))
-        cols.append(F.greatest(F.floor(centre) - r // 2, F.lit(0)).cast("int").alias(f"s_{a}"))
-    return _cut(voxels, c.select("volume_id", *cols), [F.lit(r) for r in roi])
+        c = c.withColumn(f"s_{a}", F.greatest(F.floor(centre) - r // 2, F.lit(0)))
+    return cut_boxes(chunks, _boxes(c, [F.lit(r) for r in roi]))
 
 
-def crop_center_k(voxels: DataFrame, volumes: DataFrame, masks: DataFrame, roi: Sequence[int], multiple: int | None = None) -> DataFrame:
+def crop_center_k(chunks: DataFrame, volumes: DataFrame, masks: DataFrame, roi: Sequence[int], multiple: int | None = None) -> DataFrame:
     """Like :func:`crop_center` with the centre rounded (half to even) and the start floored to a ``multiple``."""
     c = _centres(volumes, masks, lambda n: n / 2.0)
-    cols = []
     for a, r in zip(AXES, roi):
         half = r // 2
         centre = F.bround(F.col(f"c_{a}"), 0)
         if multiple:
             centre = F.floor((centre - half) / multiple) * multiple + half
         centre = F.least(F.greatest(centre.cast("int"), F.lit(half)), F.col(f"n_{a}") - half - 1)
-        cols.append(F.greatest(centre - half, F.lit(0)).alias(f"s_{a}"))
-    return _cut(voxels, c.select("volume_id", *cols), [F.lit(r) for r in roi])
+        c = c.withColumn(f"s_{a}", F.greatest(centre - half, F.lit(0)))
+    return cut_boxes(chunks, _boxes(c, [F.lit(r) for r in roi]))
 
 
-def pad_to(voxels: DataFrame, volumes: DataFrame, size: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """Pad symmetrically to a minimum size: shifted voxels and new headers.
+def pad_to(chunks: DataFrame, volumes: DataFrame, size: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Pad symmetrically to a minimum size: moved chunk pieces and new headers.
 
-    Padding itself is not written: a coordinate without a row has the pad value.
+    Padding itself is not written: a place without a value has the pad value.
     """
     pads = [F.greatest(F.lit(s) - F.get("shape", n), F.lit(0)) for n, s in enumerate(size)]
     head = volumes.withColumns({f"_p_{a}": p for a, p in zip(AXES, pads)})
-    left = head.select("volume_id", *[F.floor(F.col(f"_p_{a}") / 2).cast("int").alias(f"s_{a}") for a in AXES])
-    moved = voxels.join(left, "volume_id").withColumns({a: F.col(a) + F.col(f"s_{a}") for a in AXES}).select(*voxels.columns)
+    left = head.select("volume_id", F.array(*[F.floor(F.col(f"_p_{a}") / 2).cast("int") for a in AXES]).alias("by"))
     shape = F.array(*[F.get("shape", n) + F.col(f"_p_{a}") for n, a in enumerate(AXES)])
-    return moved, head.withColumn("shape", shape).drop(*[f"_p_{a}" for a in AXES])
+    return shift(chunks, left), head.withColumn("shape", shape).drop(*[f"_p_{a}" for a in AXES])
 
 
 # --- sliding windows -------------------------------------------------------------------------------------
@@ -254,30 +257,6 @@ def patch_windows(volumes: DataFrame, roi: Sequence[int], overlap: float) -> Dat
     return out.drop("shape")
 
 
-def assign_patches(voxels: DataFrame, volumes: DataFrame, roi: Sequence[int], overlap: float) -> DataFrame:
-    """Each voxel once per window that contains it; adds ``wi, wj, wk``.
-
-    A voxel's windows follow from its own coordinates, so nothing is joined but
-    the header.
-    """
-    out = voxels.join(volumes.select("volume_id", "shape"), "volume_id")
-    for n, (a, r) in enumerate(zip(AXES, roi)):
-        mine = F.filter(_starts(F.get("shape", n), r, overlap), lambda s: (s <= F.col(a)) & (F.col(a) < s + r))
-        out = out.withColumn(f"w{a}", F.explode(mine))
-    return out.drop("shape")
-
-
-def blend_patches(preds: DataFrame, weight: str | None = None) -> DataFrame:
-    """Weighted mean of overlapping predictions per voxel: sum(w v) / max(sum(w), 1e-5)."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    return preds.groupBy("volume_id", *AXES).agg((F.sum(w * F.col("value")) / F.greatest(F.sum(w), F.lit(1e-5))).alias("value"))
-
-
-def predict_patches(patches: DataFrame, fn, schema: str) -> DataFrame:
-    """Run a caller's predictor over Arrow batches of patch rows."""
-    return patches.mapInPandas(fn, schema)
-
-
 # --- growth ------------------------------------------------------------------------------------------------
 
 def neighbour_counts(masks: DataFrame) -> DataFrame:
@@ -301,19 +280,30 @@ def _inside_shape(shape: str = "shape") -> Column:
     return ok
 
 
+def _sweep(points: DataFrame, radius: dict[str, Column], step: dict[str, Column], limit: Column, keep: Sequence[str]) -> DataFrame:
+    """Least squared distance ``_d`` from ``points`` to every place within ``limit``, one axis after the other.
+
+    The square of a distance is a sum over axes, so the least one needs three
+    passes of 2r + 1 rows with a minimum between them instead of (2r + 1)^3 rows.
+    ``points`` carry ``_d`` = 0 and the columns ``keep``.
+    """
+    for a in AXES:
+        reached = points.withColumn("_s", F.explode(F.sequence(-radius[a], radius[a])))
+        reached = reached.withColumn("_d", F.col("_d") + F.pow(F.col("_s") * step[a], F.lit(2.0))).filter(F.col("_d") <= limit)
+        points = reached.withColumn(a, F.col(a) + F.col("_s")).groupBy("volume_id", *AXES, *keep).agg(F.min("_d").alias("_d"))
+    return points
+
+
 def dilate(masks: DataFrame, volumes: DataFrame, mm: float) -> DataFrame:
     """Grow masks by a ball of ceil(mm / smallest spacing) voxels, cut at the volume's edge.
 
     Only surface voxels spread: a voxel nearest to a point outside is on the surface.
     """
     head = volumes.select("volume_id", "shape", F.ceil(F.lit(float(mm)) / F.array_min("spacing")).cast("int").alias("_r"))
-    out = surface(masks).join(head, "volume_id")
-    reach = F.sequence(-F.col("_r"), F.col("_r"))
-    for a in AXES:
-        out = out.withColumn(f"_d{a}", F.explode(reach))
-    out = out.filter(sum(F.col(f"_d{a}") * F.col(f"_d{a}") for a in AXES) <= F.col("_r") * F.col("_r"))
-    out = out.withColumns({a: F.col(a) + F.col(f"_d{a}") for a in AXES}).filter(_inside_shape()).select("volume_id", *AXES)
-    return out.unionByName(masks.select("volume_id", *AXES)).distinct()
+    shell = surface(masks).join(head, "volume_id").withColumn("_d", F.lit(0.0))
+    r, one = {a: F.col("_r") for a in AXES}, {a: F.lit(1.0) for a in AXES}
+    grown = _sweep(shell, r, one, F.pow(F.col("_r").cast("double"), F.lit(2.0)), ["shape", "_r"]).filter(_inside_shape())
+    return grown.select("volume_id", *AXES).unionByName(masks.select("volume_id", *AXES)).distinct()
 
 
 def inner_distance(masks: DataFrame, volumes: DataFrame, cap_mm: float) -> DataFrame:
@@ -322,16 +312,11 @@ def inner_distance(masks: DataFrame, volumes: DataFrame, cap_mm: float) -> DataF
     The nearest background voxel touches the mask, so only those spread inwards.
     """
     head = volumes.select("volume_id", "shape", "spacing")
-    shell = neighbour_counts(masks).filter(~F.col("inside")).join(head, "volume_id").filter(_inside_shape())
-    for n, a in enumerate(AXES):
-        r = F.floor(F.lit(float(cap_mm)) / F.get("spacing", n)).cast("int")
-        shell = shell.withColumn(f"_d{a}", F.explode(F.sequence(-r, r)))
-    dist = F.sqrt(sum((F.col(f"_d{a}") * F.get("spacing", n)) ** 2 for n, a in enumerate(AXES)))
-    near = (
-        shell.withColumn("_d", dist).filter(F.col("_d") <= cap_mm)
-        .select("volume_id", *[(F.col(a) + F.col(f"_d{a}")).alias(a) for a in AXES], "_d")
-        .groupBy("volume_id", *AXES).agg(F.min("_d").alias("_d"))
-    )
+    shell = neighbour_counts(masks).filter(~F.col("inside")).join(head, "volume_id").filter(_inside_shape()).withColumn("_d", F.lit(0.0))
+    step = {a: F.get("spacing", n) for n, a in enumerate(AXES)}
+    radius = {a: F.floor(F.lit(float(cap_mm)) / step[a]).cast("int") for a in AXES}
+    near = _sweep(shell.select("volume_id", *AXES, "spacing", "_d"), radius, step, F.lit(float(cap_mm) ** 2), ["spacing"])
+    near = near.select("volume_id", *AXES, F.sqrt("_d").alias("_d"))
     return masks.select("volume_id", *AXES).join(near, ["volume_id", *AXES], "left").select(
         "volume_id", *AXES, F.coalesce("_d", F.lit(float(cap_mm))).alias("dist_mm"))
 

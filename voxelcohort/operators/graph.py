@@ -32,24 +32,28 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # fixed values of a rule's ``test`` column
-TESTS = ("equals", "prefix", "suffix", "contains", "type")
+TESTS = ("equals", "prefix", "suffix", "contains", "type", "label")
 
 
-def classify(nodes: DataFrame, rules: Sequence[tuple[int, str, str, str]]) -> DataFrame:
-    """Adds ``group`` by the first matching rule ``(priority, test, text, group)``, null without one.
+def classify(nodes: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+    """Adds ``group`` and ``secondary`` by the first matching rule: null and an empty array without one.
 
-    The tests look at ``source_file``, ``type`` at ``file_type``; rules are a
-    short configuration list and become one conditional expression.
+    A rule is ``(priority, test, text, group)`` or has its further groups as a
+    fifth entry. The tests look at ``source_file``, ``type`` at ``file_type`` and
+    ``label`` for a part of the label, whatever its case. Rules are a short
+    configuration list and become one conditional expression.
     """
     source = F.coalesce("source_file", F.lit(""))
     tests = {
         "equals": lambda t: source == t, "prefix": lambda t: source.startswith(t), "suffix": lambda t: source.endswith(t),
-        "contains": lambda t: source.contains(t), "type": lambda t: F.col("file_type") == t,
+        "contains": lambda t: source.contains(t), "type": lambda t: F.col("file_type") == t, "label": lambda t: F.lower("label").contains(t.lower()),
     }
-    group = F
-    for _, test, text, name in sorted(rules):
-        group = group.when(tests[test](text), name)
-    return nodes.withColumn("group", group.otherwise(F.lit(None).cast("string")))
+    found = F
+    for _, test, text, name, *more in sorted(rules, key=lambda r: r[0]):
+        others = F.array(*[F.lit(m) for m in (more[0] if more else ())]).cast("array<string>")
+        found = found.when(tests[test](text), F.struct(F.lit(name).alias("group"), others.alias("secondary")))
+    told = nodes.withColumn("_rule", found.otherwise(F.lit(None).cast("struct<group:string,secondary:array<string>>")))
+    return told.withColumns({"group": F.col("_rule.group"), "secondary": F.coalesce("_rule.secondary", F.array().cast("array<string>"))}).drop("_rule")
 
 
 def _votes(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -66,11 +70,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
-def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str, max_rounds: int = 100) -> DataFrame:
+def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str) -> DataFrame:
     """Fill null ``group`` from the majority of the neighbours, round by round, until nothing changes.
 
     Rounds are synchronous and ties go to the smallest name. Only edges out of
-    still open nodes stay in play. Nodes never reached get ``default``.
+    still open nodes stay in play, and a round without a new label is the last.
+    Nodes never reached get ``default``.
     """
     known = cut_lineage(nodes.select("id", "group"))
     links = _both_ways(valid_edges(nodes, edges))
@@ -78,7 +83,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str, max_round
     links = cut_lineage(links.join(open_ids, "id", "left_semi"))
     labels = known.filter(F.col("group").isNotNull())
     fresh = labels
-    for _ in range(max_rounds):
+    while True:
         # an open node had no labelled neighbour before, so only new labels vote
         votes = _votes(links, fresh)
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "group")).alias("_b"))
@@ -86,19 +91,26 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str, max_round
         if fresh.isEmpty():
             break
         labels = labels.unionByName(fresh)
-        links = cut_lineage(links.join(fresh.select("id"), "id", "left_anti"))
-    else:
-        raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+        links = cut_lineage(links.join(fresh.select("id"), "id", "left_anti"), instead_of=links)
     return nodes.drop("group").join(labels, "id", "left").withColumn("group", F.coalesce("group", F.lit(default)))
 
 
 def secondary_groups(nodes: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
-    """The most common neighbour groups other than the own one, for nodes without a source file."""
-    bare = nodes.filter(F.coalesce("source_file", F.lit("")) == "").select("id", F.col("group").alias("_own"))
+    """Further groups of each node, ``(id, rank, group, n)``: those its rule gave, then hints from its neighbours.
+
+    Nodes without a source file get the ``n`` most common neighbour groups other
+    than their own as hints, unless a rule gave them already; a hint's ``n`` counts
+    its edges, a given group's is null.
+    """
+    known = "secondary" in nodes.columns
+    given = nodes.select("id", F.posexplode("secondary").alias("_at", "group")) if known else nodes.limit(0).select("id", F.lit(0).alias("_at"), F.lit("").alias("group"))
+    bare = nodes.filter(F.coalesce("source_file", F.lit("")) == "").select("id", F.col("group").alias("_own"), (F.size("secondary") if known else F.lit(0)).alias("_given"))
     votes = _votes(_both_ways(valid_edges(nodes, edges)), nodes)
     w = Window.partitionBy("id").orderBy(F.desc("n"), "group")
-    ranked = votes.join(bare, "id").filter(F.col("group") != F.col("_own")).withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= n).select("id", "rank", "group", "n")
+    ranked = votes.join(bare, "id").filter(F.col("group") != F.col("_own")).withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n)
+    fresh = ranked.join(given.select("id", "group"), ["id", "group"], "left_anti")
+    hints = fresh.withColumn("rank", F.col("_given") + F.row_number().over(Window.partitionBy("id").orderBy("_at")))
+    return given.select("id", (F.col("_at") + 1).alias("rank"), "group", F.lit(None).cast("long").alias("n")).unionByName(hints.select("id", "rank", "group", "n"))
 
 
 def group_counts(nodes: DataFrame) -> DataFrame:

@@ -101,17 +101,19 @@ GRAINS: Mapping[str, int] = {"row": 0, "timepoint": 1, "patient": 2}
 def attribute_errors(df: DataFrame, errors: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Adds ``error_details``: an error of the row, else of its timepoint, else of its patient.
 
-    ``errors`` has ``(grain, key, message)``; several messages of one key keep
-    the greatest text.
+    ``errors`` has ``(grain, patient_id, key, message)``; ``key`` is the id of the
+    row or patient or the name of the timepoint, and ``patient_id`` says whose
+    timepoint it is. Several messages of one key keep the greatest text.
     """
-    best = errors.groupBy("grain", "key").agg(F.max("message").alias("message"))
 
-    def part(grain, col):
-        return best.filter(F.col("grain") == grain).select(F.col("key").alias(col), F.col("message").alias(f"_{grain}"))
+    def part(grain, *cols):
+        own = errors.filter(F.col("grain") == grain)
+        own = own.select(*[F.col(c).cast("string").alias(k) for c, k in zip(("key", "patient_id"), cols)], "message")
+        return own.groupBy(*cols).agg(F.max("message").alias(f"_{grain}"))
 
     out = df.withColumns({"_r": F.col(row_id).cast("string"), "_t": F.col("timepoint").cast("string"), "_p": F.col("patient_id").cast("string")})
-    for grain, col in (("row", "_r"), ("timepoint", "_t"), ("patient", "_p")):
-        out = out.join(part(grain, col), col, "left")
+    for grain, cols in (("row", ["_r"]), ("timepoint", ["_t", "_p"]), ("patient", ["_p"])):
+        out = out.join(part(grain, *cols), cols, "left")
     return out.withColumn("error_details", F.coalesce(*[f"_{g}" for g in sorted(GRAINS, key=GRAINS.get)])).drop(
         "_r", "_t", "_p", *[f"_{g}" for g in GRAINS])
 

@@ -111,11 +111,10 @@ def clean_timeline(df: DataFrame, col: str = "tracker") -> DataFrame:
 
 
 def split_tracker(df: DataFrame, col: str = "tracker") -> DataFrame:
-    """``patient_order_days`` into its three fields; absent fields are null."""
+    """``patient_order_days`` into its three fields; absent fields, and what is no whole number, are null."""
     part = F.split(col, "_")
     return df.withColumns({
-        "patient_id": F.get(part, 0), "scan_order": F.try_to_number(F.get(part, 1), F.lit("999999999")).cast("int"),
-        "days": F.try_to_number(F.get(part, 2), F.lit("999999999")).cast("int"),
+        "patient_id": F.get(part, 0), "scan_order": F.get(part, 1).try_cast("long"), "days": F.get(part, 2).try_cast("long"),
     })
 
 

@@ -85,19 +85,17 @@ def pairwise_dice(series: DataFrame, masks: DataFrame, **how) -> DataFrame:
     return overlapping_pairs(series, masks, "patient_id", ["study_type"], **how)
 
 
-def cross_type_dice(series: DataFrame, masks: DataFrame, a: str, b: str, **how) -> DataFrame:
-    """Dice of the overlapping pairs of types ``a`` and ``b`` within each timepoint.
+def cross_type_dice(series: DataFrame, masks: DataFrame, a: str, b: str) -> DataFrame:
+    """Dice of all pairs of types ``a`` and ``b`` within each timepoint, those that miss each other too.
 
-    Types match by substring, ignoring case; ``a_id`` is the row of type ``a``.
+    Types match by substring, ignoring case; ``a_id`` is the row of type ``a``. A
+    timepoint holds a few series of each type. Two empty masks have no Dice.
     """
-    kinds = series.withColumns({"_ka": F.lower("study_type").contains(a.lower()), "_kb": F.lower("study_type").contains(b.lower())})
-    met = overlapping_pairs(kinds.filter(F.col("_ka") | F.col("_kb")), masks, "tracker", ["_ka", "_kb"], **how)
-    straight, turned = F.col("a__ka") & F.col("b__kb"), F.col("b__ka") & F.col("a__kb")
-    sides = F.array_compact(F.array(
-        F.when(straight, F.struct(F.col("a_id").alias("x"), F.col("b_id").alias("y"))),
-        F.when(turned, F.struct(F.col("b_id").alias("x"), F.col("a_id").alias("y"))),
-    ))
-    return met.select("tracker", F.explode(sides).alias("s"), "n_ab", "dice").select("tracker", F.col("s.x").alias("a_id"), F.col("s.y").alias("b_id"), "n_ab", "dice")
+    kind = F.lower("study_type")
+    left = series.filter(kind.contains(a.lower())).select("tracker", F.col("volume_id").alias("a_id"))
+    right = series.filter(kind.contains(b.lower())).select("tracker", F.col("volume_id").alias("b_id"))
+    pairs = left.join(right, "tracker").filter("a_id != b_id")
+    return dice(pairs, masks).select("tracker", "a_id", "b_id", "n_ab", "dice")
 
 
 def pair_counts(series: DataFrame, masks: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
@@ -149,10 +147,20 @@ def dice_per_study(series: DataFrame, masks: DataFrame, pairs: DataFrame) -> Dat
     )
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample deviation, min, quartiles and max of one column."""
-    base = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
-    out = base.withColumn("_q", quantiles(df, [], col, [0.25, 0.5, 0.75]).select("q").scalar())
+def scored_dice(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """All scored comparisons as ``(dice, w)``: the overlapping pairs, and zeros by their number from :func:`pair_counts`."""
+    zeros = counts.filter("n_zero > 0").select(F.lit(0.0).alias("dice"), F.col("n_zero").alias("w"))
+    return pairs.select("dice", F.lit(1).cast("long").alias("w")).unionByName(zeros)
+
+
+def describe(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
+    """Count, mean, sample deviation, min, quartiles and max of one column; a row counts ``weight`` times."""
+    x, w = F.col(col).cast("double"), F.lit(1).cast("long") if weight is None else F.col(weight)
+    rows = df.filter(x.isNotNull() & (w > 0))
+    n, s = F.sum(w), F.sum(w * x)
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.sum(w * x * x) - s * s / n, F.lit(0.0)) / (n - 1)))
+    base = rows.agg(F.coalesce(n, F.lit(0)).alias("count"), (s / n).alias("mean"), spread.alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    out = base.withColumn("_q", quantiles(rows, [], col, [0.25, 0.5, 0.75], weight=weight).select("q").scalar())
     return out.withColumns({f"p{p}": F.get("_q", n) for n, p in enumerate((25, 50, 75))}).drop("_q")
 
 

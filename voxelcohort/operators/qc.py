@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def propagate_flags(df: DataFrame) -> DataFrame:
-    """Adds ``manual``: flagged anchors spread to their patient or timepoint, other flags stay on the row."""
+    """Adds ``manual``: flagged anchors spread to their patient or timepoint, other flags stay on the row.
+
+    A timepoint is named by its patient too, as patients share timepoint names.
+    """
     hit = df.filter(F.col("flagged"))
     patients = hit.filter(F.col("anchor") == "patient_anchor").select("patient_id", F.lit(True).alias("_p")).distinct()
-    points = hit.filter(F.col("anchor") == "timepoint_anchor").select("timepoint", F.lit(True).alias("_t")).distinct()
+    points = hit.filter(F.col("anchor") == "timepoint_anchor").select("patient_id", "timepoint", F.lit(True).alias("_t")).distinct()
     own = F.col("flagged") & F.col("anchor").isNull()
     return (
-        df.join(patients, "patient_id", "left").join(points, "timepoint", "left")
+        df.join(patients, "patient_id", "left").join(points, ["patient_id", "timepoint"], "left")
         .withColumn("manual", F.coalesce("_p", "_t", own, F.lit(False)))
         .drop("_p", "_t")
     )

@@ -16,6 +16,8 @@ from voxelcohort.session import cut_lineage
 
 ROWS_PER_SPLIT = 1_000_000
 ROWS_PER_TILE = 4_096
+# ranges that a hot group is cut into
+PIECES = 200
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int, *stats: Column, size: Column | None = None) -> DataFrame | None:
@@ -30,6 +32,25 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int, *stats: Column, s
     return None if hot.isEmpty() else hot
 
 
+def range_position(df: DataFrame, group: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
+    """1-based position of each row in its group, for order columns of any type.
+
+    The frame is sorted by ranges of (group, order), so a group may span many
+    tasks; the ranges are stored, and a row's place is its number in its range
+    plus the rows before that range, less those of the groups before. Only one
+    count a range and one a group travel besides. Equal rows may swap places.
+    """
+    group = list(group)
+    done = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_id", F.monotonically_increasing_id())
+    done = cut_lineage(done).withColumn("_part", F.shiftright("_id", 33)).withColumn("_id", F.col("_id").bitwiseAND((1 << 33) - 1))
+    parts = done.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = parts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    placed = done.join(before, "_part").withColumn("_at", F.col("_id") + F.col("_before"))
+    first = placed.groupBy(*group).agg(F.min("_at").alias("_first")).withColumnsRenamed({g: f"_g_{g}" for g in group})
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return placed.join(first, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).cast("long").alias(position))
+
+
 def in_order(
     df: DataFrame,
     group: Sequence[str],
@@ -46,19 +67,22 @@ def in_order(
     Rows are ordered by the numeric column ``key``, then by ``ties``, which must
     make the order total. ``position`` is 1-based; ``lag`` and ``lead`` map a
     source column to the name of its previous/next value; ``size`` is the group
-    size. A group above ``rows_per_split`` rows is cut into equal ranges of
-    ``key``; each range is its own window partition and small per-range edge
-    rows carry counts and neighbours across the cuts.
+    size. A group above ``rows_per_split`` rows is cut into ranges of ``key`` of
+    about equal counts (approximate quantiles only choose the cuts); each range
+    is its own window partition and small per-range edge rows carry counts and
+    neighbours across the cuts. Null keys come first, NaN last.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     group, order = list(group), [key, *ties]
     num = F.col(key).cast("double")
-    hot = hot_groups(df, group, rows_per_split, F.min(num).alias("_lo"), F.max(num).alias("_hi"))
+    cuts = F.percentile_approx(num, F.lit([k / PIECES for k in range(1, PIECES)]), 100 * PIECES)
+    hot = hot_groups(df, group, rows_per_split, cuts.alias("_cuts"))
     split = [] if hot is None else ["_split"]
     data = df
     if hot is not None:
-        ranged = F.floor((num - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / F.lit(rows_per_split)))
-        cut = F.when(F.col("_n").isNull() | (F.col("_hi") <= F.col("_lo")), F.lit(0)).otherwise(ranged).cast("long")
+        # a null group key meets no cuts and stays one range; a null order key is a range of its own, the first
+        ranged = F.size(F.filter("_cuts", lambda c: c <= num))
+        cut = F.when(F.col("_cuts").isNull(), F.lit(0)).when(num.isNull(), F.lit(-1)).otherwise(ranged).cast("long")
         data = df.join(hot, group, "left").withColumn("_split", cut)
 
     w = Window.partitionBy(*group, *split).orderBy(*order)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelcohort.operators.quantiles import quantiles
+from voxelcohort.operators.windows import cut_boxes
 
 # fixed values: largest finite float32, and cubic unit names
 FLOAT32_MAX = 3.4028234663852886e38
@@ -84,14 +85,6 @@ def entropy(chunks: DataFrame, bins: int = 256, integer: bool = False) -> DataFr
     return rng.select("volume_id").join(bits, "volume_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
 
 
-def stride_sample(voxels: DataFrame, volumes: DataFrame, max_n: int = 1_000_000) -> DataFrame:
-    """Every ``ceil(n / max_n)``-th voxel in row-major order; small volumes stay whole."""
-    n = F.get("shape", 0) * F.get("shape", 1) * F.get("shape", 2)
-    head = volumes.select("volume_id", F.get("shape", 1).alias("_nj"), F.get("shape", 2).alias("_nk"), F.ceil(n / F.lit(max_n)).alias("_step"))
-    index = (F.col("i") * F.col("_nj") + F.col("j")) * F.col("_nk") + F.col("k")
-    return voxels.join(head, "volume_id").filter(index % F.col("_step") == 0).select(*voxels.columns)
-
-
 def percentiles(chunks: DataFrame, ps: Sequence[float], **how) -> DataFrame:
     """Array ``q`` of exact percentiles (0..100) per volume, linearly interpolated."""
     return quantiles(_values(chunks).filter(~F.isnan("v")), ["volume_id"], "v", [p / 100 for p in ps], **how)
@@ -174,8 +167,8 @@ def valid_header(volumes: DataFrame) -> DataFrame:
 
 
 def voxel_volume(volumes: DataFrame) -> DataFrame:
-    """Adds ``voxel_volume``; a 2-D spacing has depth 1."""
-    return volumes.withColumn("voxel_volume", F.aggregate("spacing", F.lit(1.0), lambda acc, x: acc * x))
+    """Adds ``voxel_volume``; a 2-D spacing has depth 1, an unknown spacing (null or NaN) gives null."""
+    return volumes.withColumn("voxel_volume", F.aggregate("spacing", F.lit(1.0), lambda acc, x: acc * F.when(~F.isnan(x), x)))
 
 
 def cubic_unit(col: str) -> Column:
@@ -198,19 +191,23 @@ def file_size_mb(files: DataFrame) -> DataFrame:
 def mutual_information(a: DataFrame, b: DataFrame, pairs: DataFrame, bins: int = 32) -> DataFrame:
     """Mutual information (nats) of aligned volume pairs ``(a_id, b_id)`` from the joint histogram.
 
-    Chunks of both volumes meet on their block position; both volumes must be
-    chunked on one grid.
+    Chunks of both volumes meet on their block position; volumes on different
+    grids are an error. A voxel that either volume lacks (null or NaN) counts in
+    neither.
     """
 
     def side(chunks, ids, name):
         needed = chunks.join(pairs.select(F.col(ids).alias("volume_id")).distinct(), "volume_id", "left_semi")
         with_range = needed.join(value_range(needed), "volume_id")
-        spots = F.transform("data", lambda v: bin_of(v, F.col("lo"), F.col("hi"), bins))
-        return with_range.select(F.col("volume_id").alias(ids), "bi", "bj", "bk", spots.alias(name))
-
-    left = pairs.select("a_id", "b_id").join(side(a, "a_id", "x"), "a_id")
-    joint = left.join(side(b, "b_id", "y"), ["b_id", "bi", "bj", "bk"])
-    cells = joint.select("a_id", "b_id", F.explode(F.arrays_zip("x", "y")).alias("z")).groupBy("a_id", "b_id", "z.x", "z.y").agg(F.count(F.lit(1)).alias("c"))
+        spots = F.transform("data", lambda v: F.when(~F.isnan(v), bin_of(v, F.col("lo"), F.col("hi"), bins)))
+        here = with_range.select(F.col("volume_id").alias(ids), "bi", "bj", "bk", F.col("dims").alias(f"{name}_dims"), spots.alias(name))
+        return pairs.select("a_id", "b_id").distinct().join(here, ids)
+
+    joint = side(a, "a_id", "x").join(side(b, "b_id", "y"), ["a_id", "b_id", "bi", "bj", "bk"], "full")
+    odd = F.raise_error(F.lit("volumes of a pair are chunked on different grids"))
+    met = F.when(F.col("x_dims") == F.col("y_dims"), F.arrays_zip("x", "y")).otherwise(F.array(F.struct(odd.cast("int").alias("x"), F.lit(0).alias("y"))))
+    known = joint.select("a_id", "b_id", F.explode(met).alias("z")).filter("z.x is not null and z.y is not null")
+    cells = known.groupBy("a_id", "b_id", "z.x", "z.y").agg(F.count(F.lit(1)).alias("c"))
     # at most bins * bins rows per pair from here on
     w = lambda *by: Window.partitionBy("a_id", "b_id", *by)
     total = F.sum("c").over(w())
@@ -340,24 +337,12 @@ def normalise_nonzero(chunks: DataFrame) -> DataFrame:
     return map_values(chunks.join(stats, "volume_id", "left"), one).select(*chunks.columns)
 
 
-def crop_range(voxels: DataFrame, axis: str, start: int, end: int) -> DataFrame:
-    """Keep ``[start, end)`` of one axis and shift it to 0."""
-    return voxels.filter((F.col(axis) >= start) & (F.col(axis) < end)).withColumn(axis, F.col(axis) - start)
-
-
-def reorient(voxels: DataFrame, volumes: DataFrame, source: str, target: str) -> DataFrame:
-    """Permute and flip axes between orientation codes such as ``RAS`` and ``LPS``."""
-    axis = {c: n for n, pair in enumerate(("RL", "AP", "SI")) for c in pair}
-    from_axes = [axis[c] for c in source]
-    head = volumes.select("volume_id", F.col("shape").alias("_shape"))
-    out = voxels.join(head, "volume_id")
-    cols = {}
-    for name, code in zip("ijk", target):
-        at = from_axes.index(axis[code])
-        c = F.col("ijk"[at])
-        cols[f"_{name}"] = c if source[at] == code else F.get("_shape", at) - 1 - c
-    out = out.withColumns(cols)
-    return out.select("volume_id", *[F.col(f"_{n}").cast("int").alias(n) for n in "ijk"], "value")
+def crop_range(chunks: DataFrame, axis: str, start: int, end: int) -> DataFrame:
+    """Chunk pieces of ``[start, end)`` of one axis, moved to 0."""
+    at = "ijk".index(axis)
+    lo = F.array(*[F.lit(start if n == at else 0) for n in range(3)])
+    size = F.array(*[F.lit(max(end - start, 0)) if n == at else F.get("shape", n) for n in range(3)])
+    return cut_boxes(chunks, chunks.select("volume_id", "shape").distinct().select("volume_id", lo.alias("lo"), size.alias("size")))
 
 
 def intensity_profile(chunks: DataFrame, bins: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +46,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="voxelcohort-"))
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; the innermost open scope owns it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that operators store inside it and removes them at its end.
+
+    Frames are lazy: write the result inside the scope, to a path taken before
+    it. Without a scope the tables stay until the folder is cleaned.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write the frame to a table in the shared folder and continue from there.
 
     Used between the rounds of iterative operators and where one intermediate
     feeds several branches. The table survives lost executors, is pruned by
-    column, and its size on disk lets the planner choose joins.
+    column, and its size on disk lets the planner choose joins. ``instead_of`` is
+    an earlier result of this function that nothing reads any more; its table is
+    removed once the new one is there, so a loop holds one round and not all.
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    old = getattr(instead_of, "_stored_at", None)
+    if old is not None:
+        _remove(df.sparkSession, old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out

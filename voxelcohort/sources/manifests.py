@@ -27,12 +27,13 @@ def read_batches(spark: SparkSession, batches: Mapping[int, str], schemas_by_bat
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(b) for b in batches])
 
 
-def read_splits(spark: SparkSession, path: str) -> DataFrame:
+def read_splits(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Split specification JSON as ``(split, patient_id, scan_id, days_since_first)``.
 
-    The file must have all of train, val and test.
+    A file is one document, or one a line with ``lines``, which many tasks can
+    read. Each document must have all of train, val and test.
     """
-    spec = spark.read.schema(schemas.SPLITS).json(path, multiLine=True)
+    spec = spark.read.schema(schemas.SPLITS).json(path, multiLine=not lines)
     named = [
         F.struct(
             F.lit(n).alias("split"),
@@ -44,9 +45,9 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return patients.select("split", "patient_id", F.inline("scans"))
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of a nested graph JSON."""
-    graph = spark.read.schema(schemas.GRAPH).json(path, multiLine=True)
+def read_graph(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of a nested graph JSON, a document a file or, with ``lines``, a line."""
+    graph = spark.read.schema(schemas.GRAPH).json(path, multiLine=not lines)
     return graph.select(F.inline("nodes")), graph.select(F.inline("links"))
 
 

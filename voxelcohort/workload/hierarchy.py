@@ -37,7 +37,7 @@ CTE["anchored"] = (("review",), f"""
   JOIN (SELECT patient_id, timepoint, row_id FROM (SELECT *, {_rank('patient_id, timepoint', _PREF)} AS rn FROM review) WHERE rn = 1) t USING (patient_id, timepoint)""")
 CTE["flags"] = (("anchored",), """
   SELECT a.*, coalesce(a.patient_id IN (SELECT patient_id FROM anchored WHERE flagged AND anchor = 'patient_anchor')
-    OR a.timepoint IN (SELECT timepoint FROM anchored WHERE flagged AND anchor = 'timepoint_anchor')
+    OR (a.patient_id, a.timepoint) IN (SELECT (patient_id, timepoint) FROM anchored WHERE flagged AND anchor = 'timepoint_anchor')
     OR (flagged AND anchor IS NULL), false) AS manual FROM anchored a""")
 
 HOW = {"modality": "T2", "prefer_coreg": True}
@@ -241,13 +241,13 @@ def _(spark, d):
 
 
 CTE["errors"] = (("review",), """
-  SELECT 'row' AS grain, row_id AS key, 'bad discount' AS message FROM review WHERE flagged
-  UNION ALL SELECT 'timepoint', CAST(timepoint AS VARCHAR), 'late' FROM review WHERE metric > 100000
-  UNION ALL SELECT 'patient', CAST(patient_id AS VARCHAR), 'lost ' || study_type FROM review WHERE metric < 1000""")
+  SELECT 'row' AS grain, patient_id, row_id AS key, 'bad discount' AS message FROM review WHERE flagged
+  UNION ALL SELECT 'timepoint', patient_id, CAST(timepoint AS VARCHAR), 'late' FROM review WHERE metric > 100000
+  UNION ALL SELECT 'patient', patient_id, CAST(patient_id AS VARCHAR), 'lost ' || study_type FROM review WHERE metric < 1000""")
 _ATTR = """
   SELECT r.*, coalesce(e.m, t.m, p.m) AS error_details FROM review r
   LEFT JOIN (SELECT key, max(message) AS m FROM errors WHERE grain = 'row' GROUP BY key) e ON e.key = r.row_id
-  LEFT JOIN (SELECT key, max(message) AS m FROM errors WHERE grain = 'timepoint' GROUP BY key) t ON t.key = CAST(r.timepoint AS VARCHAR)
+  LEFT JOIN (SELECT patient_id, key, max(message) AS m FROM errors WHERE grain = 'timepoint' GROUP BY ALL) t ON t.key = CAST(r.timepoint AS VARCHAR) AND t.patient_id = r.patient_id
   LEFT JOIN (SELECT key, max(message) AS m FROM errors WHERE grain = 'patient' GROUP BY key) p ON p.key = CAST(r.patient_id AS VARCHAR)"""
 
 
@@ -255,7 +255,7 @@ def _attributed(spark, d, rows=None):
     r = T.review(spark, d)
 
     def part(cond, grain, key, message):
-        return r.filter(cond).select(F.lit(grain).alias("grain"), F.col(key).cast("string").alias("key"), message.alias("message"))
+        return r.filter(cond).select(F.lit(grain).alias("grain"), "patient_id", F.col(key).cast("string").alias("key"), message.alias("message"))
 
     errors = (
         part("flagged", "row", "row_id", F.lit("bad discount"))

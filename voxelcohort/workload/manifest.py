@@ -103,8 +103,8 @@ def _(spark, d):
 
 
 @q("L10_split_tracker", with_sql("""
-  SELECT accession, split_part(tracker, '_', 1) AS patient_id, try_cast(nullif(split_part(tracker, '_', 2), '') AS INT) AS scan_order,
-    try_cast(nullif(split_part(tracker, '_', 3), '') AS INT) AS days FROM timeline""", "timeline"))
+  SELECT accession, split_part(tracker, '_', 1) AS patient_id, try_cast(nullif(split_part(tracker, '_', 2), '') AS BIGINT) AS scan_order,
+    try_cast(nullif(split_part(tracker, '_', 3), '') AS BIGINT) AS days FROM timeline""", "timeline"))
 def _(spark, d):
     return L.split_tracker(T.timeline(spark, d)).drop("tracker")
 
@@ -290,7 +290,7 @@ def _(spark, d):
     return C.pick_best_mask(T.mask_rows(spark, d), ["accession"]).select("accession", "path", "mask_user")
 
 
-@q("C10_list_masks", with_sql("SELECT accession, CAST(0 AS INTEGER) AS part, string_agg(path, '; ' ORDER BY path) AS all_masks FROM mask_rows GROUP BY accession", "mask_rows"))
+@q("C10_list_masks", with_sql("SELECT accession, row_number() OVER (PARTITION BY accession ORDER BY path) AS position, path FROM mask_rows WHERE path IS NOT NULL", "mask_rows"))
 def _(spark, d):
     return C.list_masks(T.mask_rows(spark, d), ["accession"])
 

@@ -11,8 +11,8 @@ from voxelcohort.workload.tables import CTE, with_sql
 
 Q: dict[str, tuple] = {}
 RULES = [
-    (1, "prefix", "src/building/", "construction"), (2, "contains", "/house", "household"), (3, "suffix", "7.py", "lucky"),
-    (4, "equals", "src/machinery/1.py", "special"), (5, "prefix", "src/", "other-source"), (6, "type", "document", "docs"),
+    (1, "prefix", "src/building/", "construction", ("docs", "special")), (2, "contains", "/house", "household"), (3, "suffix", "7.py", "lucky"),
+    (4, "equals", "src/machinery/1.py", "special"), (5, "prefix", "src/", "other-source"), (6, "type", "document", "docs", ("household",)), (7, "label", "R#00000001", "early", ("other-source",)),
 ]
 
 
@@ -27,7 +27,8 @@ def q(name, sql=None):
 CTE["known"] = (("nodes", "edges"), "SELECT * FROM edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)")
 CTE["grouped"] = (("nodes",), """
   SELECT *, CASE WHEN source_file LIKE 'src/building/%' THEN 'construction' WHEN source_file LIKE '%/house%' THEN 'household' WHEN source_file LIKE '%7.py' THEN 'lucky' WHEN source_file = 'src/machinery/1.py' THEN 'special'
-    WHEN source_file LIKE 'src/%' THEN 'other-source' WHEN file_type = 'document' THEN 'docs' END AS "group" FROM nodes""")
+    WHEN source_file LIKE 'src/%' THEN 'other-source' WHEN file_type = 'document' THEN 'docs' WHEN lower(label) LIKE '%r#00000001%' THEN 'early' END AS "group",
+    CASE WHEN source_file LIKE 'src/building/%' THEN ['docs', 'special'] WHEN source_file LIKE 'src/%' THEN [] WHEN file_type = 'document' THEN ['household'] WHEN lower(label) LIKE '%r#00000001%' THEN ['other-source'] ELSE [] END AS secondary FROM nodes""")
 CTE["ends"] = (("known",), "SELECT source AS id, target AS other FROM known UNION ALL SELECT target, source FROM known")
 
 
@@ -37,9 +38,9 @@ def _round(n, prev):
 
 
 CTE["l0"] = (("grouped", "ends"), 'SELECT id, "group" FROM grouped WHERE "group" IS NOT NULL')
-for _n in range(1, 7):
+for _n in range(1, 5):
     CTE[f"l{_n}"] = ((f"l{_n - 1}",), _round(_n, _n - 1))
-CTE["spread"] = (("l6", "grouped"), 'SELECT g.* EXCLUDE ("group"), coalesce(l."group", \'infra\') AS "group" FROM grouped g LEFT JOIN l6 l USING (id)')
+CTE["spread"] = (("l4", "grouped"), 'SELECT g.* EXCLUDE ("group"), coalesce(l."group", \'infra\') AS "group" FROM grouped g LEFT JOIN l4 l USING (id)')
 
 
 def _spread(spark, d):
@@ -58,9 +59,9 @@ def _(spark, d):
     return G.adjacency(T.nodes(spark, d), T.edges(spark, d))
 
 
-@q("N03_classify", with_sql('SELECT id, "group" FROM grouped', "grouped"))
+@q("N03_classify", with_sql("SELECT id, \"group\", array_to_string(secondary, ',') AS secondary FROM grouped", "grouped"))
 def _(spark, d):
-    return G.classify(T.nodes(spark, d), RULES).select("id", "group")
+    return G.classify(T.nodes(spark, d), RULES).select("id", "group", F.array_join("secondary", ",").alias("secondary"))
 
 
 @q("N04_propagate_labels", with_sql('SELECT id, "group" FROM spread', "spread"))
@@ -69,8 +70,10 @@ def _(spark, d):
 
 
 @q("N05_secondary_groups", with_sql("""
-  SELECT id, CAST(rank AS INTEGER) AS rank, "group", n FROM (SELECT e.id, o."group", count(*) AS n, row_number() OVER (PARTITION BY e.id ORDER BY count(*) DESC, o."group") AS rank
-    FROM ends e JOIN spread o ON o.id = e.other JOIN spread me ON me.id = e.id WHERE coalesce(me.source_file, '') = '' AND o."group" <> me."group" GROUP BY e.id, o."group") WHERE rank <= 2""", "spread"))
+  , hints AS (SELECT e.id, o."group", count(*) AS n, row_number() OVER (PARTITION BY e.id ORDER BY count(*) DESC, o."group") AS rank, any_value(me.secondary) AS given
+    FROM ends e JOIN spread o ON o.id = e.other JOIN spread me ON me.id = e.id WHERE coalesce(me.source_file, '') = '' AND o."group" <> me."group" GROUP BY e.id, o."group")
+  SELECT id, CAST(len(given) + row_number() OVER (PARTITION BY id ORDER BY rank) AS INTEGER) AS rank, "group", n FROM hints WHERE rank <= 2 AND NOT list_contains(given, "group")
+  UNION ALL SELECT id, CAST(generate_subscripts(secondary, 1) AS INTEGER), unnest(secondary), NULL FROM grouped""".lstrip(), "spread"))
 def _(spark, d):
     return G.secondary_groups(_spread(spark, d), T.edges(spark, d))
 

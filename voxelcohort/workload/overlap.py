@@ -56,7 +56,7 @@ def _(spark, d):
 
 @q("M02_cross_type_dice", with_sql("""
   SELECT a_tracker AS tracker, CASE WHEN a_type = 'T1_post' THEN a_id ELSE b_id END AS a_id, CASE WHEN a_type = 'T1_post' THEN b_id ELSE a_id END AS b_id, n_ab, round(dice, 6) + 0.0 AS dice
-  FROM all_pairs WHERE a_tracker = b_tracker AND a_type <> b_type AND n_ab > 0""", "all_pairs"))
+  FROM all_pairs WHERE a_tracker = b_tracker AND a_type <> b_type""", "all_pairs"))
 def _(spark, d):
     return _r(M.cross_type_dice(T.volumes(spark, d), T.masks(spark, d), "t1", "T2"), "dice")
 
@@ -90,10 +90,12 @@ def _(spark, d):
 
 @q("M06_describe", with_sql("""
   SELECT count(dice) AS count, round(avg(dice), 6) + 0.0 AS mean, round(stddev_samp(dice), 6) + 0.0 AS std, round(min(dice), 6) + 0.0 AS min, round(max(dice), 6) + 0.0 AS max,
-    round(quantile_cont(dice, 0.25), 6) + 0.0 AS p25, round(quantile_cont(dice, 0.5), 6) + 0.0 AS p50, round(quantile_cont(dice, 0.75), 6) + 0.0 AS p75 FROM all_pairs WHERE n_ab > 0""", "all_pairs"))
+    round(quantile_cont(dice, 0.25), 6) + 0.0 AS p25, round(quantile_cont(dice, 0.5), 6) + 0.0 AS p50, round(quantile_cont(dice, 0.75), 6) + 0.0 AS p75 FROM all_pairs""", "all_pairs"))
 def _(spark, d):
-    pairs = cut_lineage(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d)).select("dice"))
-    return _r(M.describe(pairs, "dice"), "mean", "std", "min", "max", "p25", "p50", "p75")
+    series, masks = T.volumes(spark, d), T.masks(spark, d)
+    pairs = cut_lineage(M.pairwise_dice(series, masks).select("patient_id", "dice"))
+    scored = cut_lineage(M.scored_dice(pairs, M.pair_counts(series, masks, pairs)))
+    return _r(M.describe(scored, "dice", "w"), "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
 @q("M07_dice_by_type", with_sql("""

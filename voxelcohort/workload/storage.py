@@ -52,15 +52,13 @@ def _(spark, d):
 def _(spark, d):
     s = T.scans(spark, d)
     part = F.when(F.col("split") == "val", "val").when(F.col("patient_id").cast("long") % 7 == 0, "test").otherwise("train")
-    # one specification file per patient keeps the nested lists short
-    scans = F.collect_list(F.struct("scan_id", F.col("day").alias("days_since_first")))
-    per = s.groupBy("patient_id", part.alias("split")).agg(scans.alias("scans"))
-    person = F.struct("patient_id", "scans")
+    # one document a scan, so nothing is gathered; Spark chooses the number of files
+    person = F.struct("patient_id", F.array(F.struct("scan_id", F.col("day").alias("days_since_first"))).alias("scans"))
     none = F.array().cast("array<struct<patient_id:string,scans:array<struct<scan_id:string,days_since_first:double>>>>")
-    spec = per.select(*[F.when(F.col("split") == n, F.array(person)).otherwise(none).alias(n) for n in S.SPLIT_NAMES])
+    spec = s.select(*[F.when(part == n, F.array(person)).otherwise(none).alias(n) for n in S.SPLIT_NAMES])
     path = scratch_path(spark, "splits")
-    spec.write.option("maxRecordsPerFile", 1).json(path)
-    return S.read_splits(spark, path)
+    spec.write.json(path)
+    return S.read_splits(spark, path, lines=True)
 
 
 @q("S04_read_graph", with_sql("""
@@ -71,12 +69,8 @@ def _(spark, d):
     n = T.nodes(spark, d).select(F.array(F.struct("id", "label", "community", "file_type", "source_file")).alias("nodes"), F.array().cast(link_type).alias("links"))
     e = T.edges(spark, d).select(F.array().cast(node_type).alias("nodes"), F.array(F.struct("source", "target", "relation", "confidence")).alias("links"))
     path = scratch_path(spark, "graph")
-    items = n.unionByName(e)
-    # documents of about 500 items, however large the graph is
-    n_docs = F.floor(items.agg(F.count(F.lit(1))).scalar() / 500) + 1
-    docs = items.withColumn("doc", F.pmod(F.xxhash64(F.to_json("nodes"), F.to_json("links"), F.monotonically_increasing_id()), n_docs))
-    docs.groupBy("doc").agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("links")).alias("links")).drop("doc").write.option("maxRecordsPerFile", 1).json(path)
-    nodes, links = S.read_graph(spark, path)
+    n.unionByName(e).write.json(path)
+    nodes, links = S.read_graph(spark, path, lines=True)
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("file_type").alias("c")).unionByName(
         links.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("c")))
 
@@ -86,14 +80,15 @@ def _(spark, d):
     return require_columns(T.series(spark, d), ["series_id", "study_type"]).select("series_id", "study_type")
 
 
-@q("S06_list_files", with_sql("SELECT count(*) AS n_rows, true AS all_sized FROM series", "series"))
+@q("S06_list_files", with_sql("""
+  SELECT 'study_type=' || study_type || '/kind.txt' AS place, length(study_type) + 1 AS length, true AS recent FROM (SELECT DISTINCT study_type FROM series)""", "series"))
 def _(spark, d):
     path = scratch_path(spark, "inventory")
-    s = T.series(spark, d).select("series_id", "study_type")
-    s.write.partitionBy("study_type").parquet(path)
-    files = S.list_files(spark, path, "*.parquet")
-    kinds = files.agg(F.bool_and(F.col("length") > 0)).scalar()
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("all_sized", kinds)
+    kinds = T.series(spark, d).select("study_type").distinct().withColumn("value", F.col("study_type"))
+    kinds.repartition("study_type").write.partitionBy("study_type").text(path)
+    files = S.list_files(spark, path, "*.txt")
+    place = F.concat(F.regexp_extract("path", "(study_type=[^/]*/)[^/]*$", 1), F.lit("kind.txt"))
+    return files.select(place.alias("place"), F.col("length").cast("long").alias("length"), (F.col("mtime") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"))
 
 
 def _nifti_files(spark, d):

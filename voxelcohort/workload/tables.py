@@ -223,14 +223,14 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 _LINE = "l_extendedprice, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_shipdate"
 
 CTE["review"] = ((), f"""
-  SELECT CAST(o_custkey AS BIGINT) AS patient_id, CAST(o_orderkey AS BIGINT) AS timepoint,
+  SELECT CAST(o_custkey AS BIGINT) AS patient_id, timepoint,
     o_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(l_extendedprice * 100 AS BIGINT) AS row_id,
     CASE l_linestatus || l_returnflag WHEN 'FA' THEN 'T1_post' WHEN 'FN' THEN 'T1_pre' WHEN 'FR' THEN 'T2_thin' WHEN 'OA' THEN 'T2_FLAIR' WHEN 'ON' THEN 'DWI' ELSE 'T2' END AS study_type,
     l_extendedprice AS metric, l_returnflag = 'R' AND l_discount >= 0.09 AS flagged,
     CASE WHEN l_linestatus = 'F' THEN 'out/' || o_orderkey || '/' || l_linenumber || '.nii.gz' END AS coreg_image,
     CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN 'out/' || o_orderkey || '/' || l_linenumber || '_seg.nii.gz' END AS coreg_seg,
     CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' THEN l_returnflag END AS version
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+  FROM lineitem JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS timepoint FROM orders) ON l_orderkey = o_orderkey""")
 
 
 def review(spark: SparkSession, d: str) -> DataFrame:
@@ -243,9 +243,12 @@ def review(spark: SparkSession, d: str) -> DataFrame:
         F.when(state == "FA", "T1_post").when(state == "FN", "T1_pre").when(state == "FR", "T2_thin")
         .when(state == "OA", "T2_FLAIR").when(state == "ON", "DWI").otherwise("T2")
     )
-    return li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey).select(
+    # the patient's first order is timepoint 1, so patients share timepoint names
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = o.select("o_orderkey", "o_custkey", turn.cast("long").alias("timepoint"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("patient_id"),
-        F.col("o_orderkey").alias("timepoint"),
+        "timepoint",
         F.concat_ws("-", "o_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("row_id"),
         kind.alias("study_type"),
         F.col("l_extendedprice").alias("metric"),
@@ -360,8 +363,8 @@ CTE["nodes"] = ((), """
 CTE["edges"] = ((), """
   SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, o_orderpriority AS relation,
     CASE WHEN l_quantity >= 25 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.1
-  UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'supplies', 'EXTRACTED' FROM lineitem WHERE l_discount >= 0.1""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'supplies', 'EXTRACTED' FROM lineitem""")
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -378,7 +381,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter(F.col("l_discount") >= 0.1)
+    li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     target = F.concat(F.lit("s"), "l_suppkey").alias("target")
     bought = li.join(o, li.l_orderkey == o.o_orderkey).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxelcohort.operators import geometry as G
 from voxelcohort.operators import resample as RS
 from voxelcohort.operators import voxels as V
+from voxelcohort.operators import windows as W
 from voxelcohort.workload import tables as T
 from voxelcohort.workload.tables import with_sql
 
@@ -59,7 +60,7 @@ def _(spark, d):
 
 @q("V03_stride_sample", with_sql(f"SELECT {_VOX}, value FROM voxels WHERE ((i * 4 + j) * 16 + k) % 6 = 0", "voxels"))
 def _(spark, d):
-    return V.stride_sample(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), max_n=50)
+    return W.stride_chunks(T.chunks(spark, d), max_n=50)
 
 
 _PCT = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in (1, 25, 50, 99))
@@ -121,11 +122,10 @@ def _(spark, d):
 
 
 @q("V10_voxel_volume", with_sql("""
-  SELECT volume_id, round(list_product(spacing), 6) + 0.0 AS voxel_volume, CASE trim(unit) WHEN 'mm' THEN 'mm³' WHEN 'CM' THEN 'cm³' WHEN 'furlong' THEN 'furlong³' END AS volume_unit
-  FROM headers WHERE len(list_filter(spacing, lambda x: x IS NULL OR isnan(x) OR x > 100)) = 0""", "headers"))
+  SELECT volume_id, CASE WHEN len(list_filter(spacing, lambda x: x IS NULL OR isnan(x))) = 0 THEN round(list_product(spacing), 6) + 0.0 END AS voxel_volume, CASE trim(unit) WHEN 'mm' THEN 'mm³' WHEN 'CM' THEN 'cm³' WHEN 'furlong' THEN 'furlong³' END AS volume_unit
+  FROM headers""", "headers"))
 def _(spark, d):
-    ok = V.voxel_volume(T.headers(spark, d)).filter(~F.exists("spacing", lambda x: x.isNull() | F.isnan(x) | (x > 100)))
-    return ok.select("volume_id", F.round("voxel_volume", 6).alias("voxel_volume"), V.cubic_unit("unit").alias("volume_unit"))
+    return V.voxel_volume(T.headers(spark, d)).select("volume_id", F.round("voxel_volume", 6).alias("voxel_volume"), V.cubic_unit("unit").alias("volume_unit"))
 
 
 @q("V11_segmentation_volume", with_sql("""
@@ -205,12 +205,12 @@ def _(spark, d):
 
 @q("V20_crop_range", with_sql("SELECT volume_id, i, j, k - 3 AS k, round(value, 6) + 0.0 AS value FROM voxels WHERE k >= 3 AND k < 11", "voxels"))
 def _(spark, d):
-    return _ints(_r(V.crop_range(V.explode_voxels(T.chunks(spark, d)), "k", 3, 11), "value"))
+    return _ints(_r(V.explode_voxels(V.crop_range(T.chunks(spark, d), "k", 3, 11)), "value"))
 
 
 @q("V21_reorient", with_sql("SELECT volume_id, k AS i, 3 - i AS j, j AS k, round(value, 6) + 0.0 AS value FROM voxels", "voxels"))
 def _(spark, d):
-    return _ints(_r(V.reorient(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), "RAS", "SLA"), "value"))
+    return _ints(_r(V.explode_voxels(W.reorient_chunks(T.chunks(spark, d), "RAS", "SLA")), "value"))
 
 
 @q("V22_intensity_profile", with_sql(f"""
@@ -260,7 +260,24 @@ def _(spark, d):
     return t.select("volume_id", cell("tensor_vox", 0, "vox_ii"), cell("tensor_vox", 2, "vox_ik"), cell("tensor_mm", 8, "mm_kk"), cell("tensor_mm", 5, "mm_jk"))
 
 
-@q("G04_principal_axes")
+def _axis_sql(name, cov):
+    """Long axis by the closed form, on the covariance ``(a, b, c, d, e, f)`` = ii, jj, kk, ij, ik, jk: its largest eigenvalue's vector."""
+    return f"""{name} AS (SELECT volume_id, {cov} FROM masks GROUP BY 1),
+  {name}1 AS (SELECT *, (a + b + c) / 3 AS m FROM {name}),
+  {name}2 AS (SELECT *, sqrt(((a - m)^2 + (b - m)^2 + (c - m)^2 + 2 * (d*d + e*e + f*f)) / 6) AS p FROM {name}1),
+  {name}3 AS (SELECT *, ((a-m)*((b-m)*(c-m) - f*f) - d*(d*(c-m) - f*e) + e*(d*f - (b-m)*e)) / (2 * p^3) AS h FROM {name}2),
+  {name}4 AS (SELECT *, m + 2 * p * cos(acos(least(greatest(h, -1), 1)) / 3) AS l FROM {name}3),
+  {name}5 AS (SELECT volume_id, unnest([[d*f - e*(b-l), e*d - (a-l)*f, (a-l)*(b-l) - d*d], [d*(c-l) - e*f, e*e - (a-l)*(c-l), (a-l)*f - d*e], [(b-l)*(c-l) - f*f, f*e - d*(c-l), d*f - (b-l)*e]]) AS v FROM {name}4),
+  {name}6 AS (SELECT volume_id, arg_max(v, v[1]^2 + v[2]^2 + v[3]^2) AS v FROM {name}5 GROUP BY 1),
+  {name}7 AS (SELECT volume_id, list_transform(v, lambda x: x / sqrt(v[1]^2 + v[2]^2 + v[3]^2) * CASE WHEN greatest(v[1], v[2], v[3]) >= -least(v[1], v[2], v[3]) THEN 1 ELSE -1 END) AS v FROM {name}6)"""
+
+
+_COV = "var_pop(i) * {x} AS a, var_pop(j) * {x} AS b, var_pop(k) * {z} AS c, covar_pop(i, j) * {x} AS d, covar_pop(i, k) * {y} AS e, covar_pop(j, k) * {y} AS f"
+
+
+@q("G04_principal_axes", with_sql(f"""
+  , {_axis_sql('vx', _COV.format(x=1, y=1, z=1))}, {_axis_sql('mm', _COV.format(x=0.25, y=1.5, z=9))}
+  SELECT volume_id, {', '.join(f'round({t}.v[{n + 1}], 6) + 0.0 AS {s}_{a}' for t, s in (('vx7', 'vox'), ('mm7', 'mm')) for n, a in enumerate('ijk'))} FROM vx7 JOIN mm7 USING (volume_id)""".lstrip(), "masks"))
 def _(spark, d):
     axes = G.principal_axes(G.inertia(T.masks(spark, d), T.volumes(spark, d)))
     return axes.select("volume_id", *[F.round(F.get(f"axis_{s}", n), 6).alias(f"{s}_{a}") for s in ("vox", "mm") for n, a in enumerate("ijk")])
@@ -309,8 +326,8 @@ _BOX = "SELECT volume_id, min(i) - 1 AS li, max(i) + 2 AS hi, min(j) - 1 AS lj,
   SELECT volume_id, i - si AS i, j - sj AS j, k - sk AS k, round(value, 6) + 0.0 AS value FROM voxels JOIN st USING (volume_id)
   WHERE i >= si AND i < si + ni AND j >= sj AND j < sj + nj AND k >= sk AND k < sk + nk""".lstrip(), "voxels"))
 def _(spark, d):
-    vox = V.explode_voxels(T.chunks(spark, d))
-    return _ints(_r(G.crop_foreground(vox, V.to_mask(vox, 0.25), margin=1, multiple=4), "value"))
+    c = T.chunks(spark, d)
+    return _ints(_r(V.explode_voxels(G.crop_foreground(c, V.to_mask(V.explode_voxels(c), 0.25), margin=1, multiple=4)), "value"))
 
 
 @q("G10_crop_center", with_sql(f"""
@@ -318,8 +335,7 @@ def _(spark, d):
     SELECT volume_id, CAST(floor(greatest(1, least(ci, 3))) AS BIGINT) - 1 AS si, CAST(floor(greatest(1, least(cj, 3))) AS BIGINT) - 1 AS sj, CAST(floor(greatest(4, least(ck, 12))) AS BIGINT) - 4 AS sk FROM {_CEN}) USING (volume_id)
   WHERE i >= si AND i < si + 2 AND j >= sj AND j < sj + 2 AND k >= sk AND k < sk + 8""", "voxels", "masks"))
 def _(spark, d):
-    vox = V.explode_voxels(T.chunks(spark, d))
-    return _ints(_r(G.crop_center(vox, T.volumes(spark, d), T.masks(spark, d), (2, 2, 8)), "value"))
+    return _ints(_r(V.explode_voxels(G.crop_center(T.chunks(spark, d), T.volumes(spark, d), T.masks(spark, d), (2, 2, 8))), "value"))
 
 
 def _ck(c, half, dim, m):
@@ -331,14 +347,13 @@ def _ck(c, half, dim, m):
     SELECT volume_id, CAST({_ck('ci', 1, 4, 2)} AS BIGINT) AS si, CAST({_ck('cj', 1, 4, 2)} AS BIGINT) AS sj, CAST({_ck('ck', 4, 16, 2)} AS BIGINT) AS sk FROM {_CEN}) USING (volume_id)
   WHERE i >= si AND i < si + 2 AND j >= sj AND j < sj + 2 AND k >= sk AND k < sk + 8""", "voxels", "masks"))
 def _(spark, d):
-    vox = V.explode_voxels(T.chunks(spark, d))
-    return _ints(_r(G.crop_center_k(vox, T.volumes(spark, d), T.masks(spark, d), (2, 2, 8), 2), "value"))
+    return _ints(_r(V.explode_voxels(G.crop_center_k(T.chunks(spark, d), T.volumes(spark, d), T.masks(spark, d), (2, 2, 8), 2)), "value"))
 
 
 @q("G12_pad_to", with_sql("SELECT volume_id, i + 2 AS i, j + 1 AS j, k, round(value, 6) + 0.0 AS value, 9 AS ni, 6 AS nj, 16 AS nk FROM voxels", "voxels"))
 def _(spark, d):
-    vox, head = G.pad_to(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (9, 6, 8))
-    out = _ints(_r(vox, "value")).join(head.select("volume_id", "shape"), "volume_id")
+    moved, head = G.pad_to(T.chunks(spark, d), T.volumes(spark, d), (9, 6, 8))
+    out = _ints(_r(V.explode_voxels(moved), "value")).join(head.select("volume_id", "shape"), "volume_id")
     return out.select(*KEY, "value", *[F.get("shape", n).alias(f"n{a}") for n, a in enumerate("ijk")])
 
 
@@ -410,25 +425,40 @@ def _(spark, d):
 _ASSIGN = f"(SELECT v.*, wi, wj, wk FROM voxels v, {_WIN} w WHERE i >= wi AND i < wi + 3 AND j >= wj AND j < wj + 3 AND k >= wk AND k < wk + 7)"
 
 
+def _windows(spark, d):
+    return W.cut_windows(T.chunks(spark, d), (3, 3, 7), 0.4)
+
+
 @q("G19_assign_patches", with_sql(f"SELECT {_VOX}, wi, wj, wk FROM {_ASSIGN}", "voxels"))
 def _(spark, d):
-    return _ints(G.assign_patches(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (3, 3, 7), 0.4).drop("value"))
+    return _ints(W.window_voxels(_windows(spark, d)).drop("value"))
+
+
+@q("G19_cut_windows", with_sql(f"SELECT volume_id, wi, wj, wk, count(*) AS n, round(sum(value * ((i - wi) * 21 + (j - wj) * 7 + k - wk + 1)), 5) + 0.0 AS moment FROM {_ASSIGN} GROUP BY ALL", "voxels"))
+def _(spark, d):
+    place = F.aggregate(F.zip_with("data", F.sequence(F.lit(1), F.size("data")), lambda v, n: v * n), F.lit(0.0), lambda a, x: a + x)
+    return _windows(spark, d).select("volume_id", "wi", "wj", "wk", F.size("data").cast("long").alias("n"), F.round(place, 5).alias("moment"))
 
 
 @q("G20_blend_patches", with_sql(f"""
   SELECT {_VOX}, round(sum((1 + wk) * (value + wk * 0.01)) / greatest(sum(1 + wk), 1e-5), 6) + 0.0 AS value FROM {_ASSIGN} GROUP BY ALL""", "voxels"))
 def _(spark, d):
-    p = G.assign_patches(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (3, 3, 7), 0.4)
-    preds = p.withColumns({"value": F.col("value") + F.col("wk") * 0.01, "w": 1.0 + F.col("wk")})
-    return _ints(_r(G.blend_patches(preds, "w"), "value"))
+    preds = _windows(spark, d).withColumn("data", F.transform("data", lambda v: v + F.col("wk") * 0.01)).withColumn("w", 1.0 + F.col("wk"))
+    return _ints(_r(V.explode_voxels(W.blend_windows(preds, 4, weight="w")), "value"))
 
 
-@q("U01_predict_patches", with_sql(f"SELECT {_VOX}, round(value * 2, 6) + 0.0 AS value FROM voxels", "voxels"))
+_GAUSS = " * ".join(f"exp(-0.5 * (({a} - w{a} - {(n - 1) / 2}) / {0.125 * n}) ^ 2)" for a, n in zip("ijk", (3, 3, 7)))
+
+
+@q("U01_predict_windows", with_sql(f"""
+  SELECT {_VOX}, round(sum(g * (value - m)) / greatest(sum(g), 1e-5), 6) + 0.0 AS value FROM (
+    SELECT *, greatest({_GAUSS}, 0.001) AS g, avg(value) OVER (PARTITION BY volume_id, wi, wj, wk) AS m FROM {_ASSIGN}) GROUP BY ALL""", "voxels"))
 def _(spark, d):
-    def double(batches):
-        for b in batches:
-            yield b.assign(value=b["value"] * 2.0)
+    centred = W.predict_windows(_windows(spark, d), lambda x: x - x.mean((1, 2, 3), keepdims=True))
+    return _ints(_r(V.explode_voxels(W.blend_windows(centred, 4, W.gaussian_importance)), "value"))
+
 
-    p = G.assign_patches(V.explode_voxels(T.chunks(spark, d)), T.volumes(spark, d), (3, 3, 7), 0.4)
-    schema = "volume_id long, i int, j int, k int, value double, wi int, wj int, wk int"
-    return _ints(_r(G.blend_patches(G.predict_patches(p.select(*KEY, "value", "wi", "wj", "wk"), double, schema)), "value"))
+@q("U01_predict_patches", with_sql(f"SELECT {_VOX}, round(value * 2, 6) + 0.0 AS value FROM voxels", "voxels"))
+def _(spark, d):
+    doubled = W.predict_windows(_windows(spark, d), lambda x: x * 2.0)
+    return _ints(_r(V.explode_voxels(W.blend_windows(doubled, 4)), "value"))
