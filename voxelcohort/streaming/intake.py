@@ -22,7 +22,8 @@ def stream_intake(
     """Plan every arriving series once and append it to the to-do table at ``sink``.
 
     ``arrivals`` streams ``(series_id, tracker, image_path, arrived)``. Repeats of a
-    series within ``delay`` are dropped. Each micro-batch is planned against the
+    series within ``delay`` are dropped; a later repeat is planned again, and is
+    then finished work if its outputs are there. Each micro-batch is planned against the
     outputs and inputs as they are then and written to its own folder, so a
     batch run again after a failure replaces itself.
     """
@@ -30,7 +31,11 @@ def stream_intake(
 
     def plan(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by several joins; recomputed where an executor is lost
-        told = I.plan_todo(batch, outputs, inputs, row_id="series_id")
+        # the inventories are reduced to what the batch can ask for before anything else reads them
+        asked = batch.select(F.explode(P.expected_names(P.strip_ext(P.base_name("image_path")))).alias("name")).distinct()
+        done = outputs.join(asked, "name", "left_semi")
+        there = inputs.join(batch.select(F.col("image_path").alias("path")).distinct(), "path", "left_semi")
+        told = I.plan_todo(batch, done, there, row_id="series_id")
         told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         batch.unpersist()
 

@@ -84,6 +84,18 @@ def _(spark, d):
     return L.repair_path(roots, inv, "series_id").select("series_id", F.expr("substring(resolved, 7)").alias("resolved"))
 
 
+@q("L06_repair_case", with_sql("""
+  SELECT series_id, CASE WHEN seg_path IN (SELECT path FROM files) THEN seg_path END AS resolved FROM series WHERE seg_path IS NOT NULL""", "series", "files"))
+def _(spark, d):
+    # existing paths in another case have one candidate a component; the others start in a folder unlike any
+    s = T.series(spark, d).filter("seg_path IS NOT NULL").select("series_id", F.col("seg_path").alias("path"))
+    inv = T.files(spark, d).select("path").distinct()
+    there = s.join(inv, "path", "left_semi").withColumn("path", F.concat(F.lit("vault/"), F.upper("path")))
+    gone = s.join(inv, "path", "left_anti").withColumn("path", F.concat(F.lit("0000/"), "path"))
+    vault = T.files(spark, d).withColumn("path", F.concat(F.lit("vault/"), "path"))
+    return L.repair_path(there.unionByName(gone), vault, "series_id").select("series_id", F.expr("substring(resolved, 7)").alias("resolved"))
+
+
 @q("L07_seq_ratio")
 def _(spark, d):
     s = T.series(spark, d).filter("seg_path IS NOT NULL")

@@ -67,6 +67,12 @@ def _(spark, d):
     return out.select("patient_id", "a_id", "b_id", F.col("a_study_type").alias("a_type"), F.col("b_study_type").alias("b_type"), "n_ab", "dice")
 
 
+@q("M03_pairwise_dice_tiled", Q["M03_pairwise_dice"][1])  # every block above the limit, so its volumes meet in tiles
+def _(spark, d):
+    out = _r(M.pairwise_dice(T.volumes(spark, d), T.masks(spark, d), rows_per_tile=2), "dice")
+    return out.select("patient_id", "a_id", "b_id", F.col("a_study_type").alias("a_type"), F.col("b_study_type").alias("b_type"), "n_ab", "dice")
+
+
 @q("M04_pair_counts", with_sql("""
   SELECT patient_id, count(*) AS n_pairs, count(*) FILTER (n_ab > 0) AS n_overlapping, count(*) FILTER (n_ab = 0) AS n_zero FROM all_pairs GROUP BY 1""", "all_pairs"))
 def _(spark, d):

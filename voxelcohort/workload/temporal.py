@@ -91,6 +91,11 @@ def _(spark, d):
     return S.history_pairs(T.scans(spark, d)).select("patient_id", "step", "history_len", "target_scan", "target_day", "valid")
 
 
+@q("T08_history_pairs_split", Q["T08_history_pairs"][1])  # every patient above the limit, so its sequence is cut
+def _(spark, d):
+    return S.history_pairs(T.scans(spark, d), rows_per_split=2).select("patient_id", "step", "history_len", "target_scan", "target_day", "valid")
+
+
 CTE["dims"] = ((), """
   SELECT vec_id // 20 AS patient_id, generate_subscripts(embedding, 1) - 1 AS dim, vec_id AS step, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings""")
 
@@ -121,6 +126,23 @@ def _(spark, d):
     return S.epoch_order(_batches(spark, d), 42, 3)
 
 
+@q("T11_epoch_places", with_sql("""
+  , b AS (SELECT CAST(sum(ceil(n / 8)) AS BIGINT) AS n FROM (SELECT seq_len, count(*) AS n FROM (SELECT count(*) AS seq_len FROM scans GROUP BY patient_id) GROUP BY 1))
+  SELECT epoch, n AS n_batches, n AS n_places, 1::BIGINT AS first, n AS last, n = 1 AS same_as_before FROM b, range(2) e(epoch)""".lstrip(), "scans"))
+def _(spark, d):
+    batches = cut_lineage(_batches(spark, d).select("batch").distinct())
+    orders = [S.epoch_order(batches, 42, e) for e in (0, 1)]
+    before = orders[0].withColumnRenamed("place", "before")
+    out = None
+    for e, o in enumerate(orders):
+        other = orders[1].withColumnRenamed("place", "before") if e == 0 else before
+        row = o.join(other, "batch").agg(
+            F.lit(e).cast("long").alias("epoch"), F.count_distinct("batch").alias("n_batches"), F.count_distinct("place").alias("n_places"), F.min("place").alias("first"), F.max("place").alias("last"),
+            F.bool_and(F.col("place") == F.col("before")).alias("same_as_before"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @q("T12_n_batches", with_sql("""
   SELECT CAST(sum(ceil(n / 8)) AS BIGINT) AS n_batches FROM (SELECT seq_len, count(*) AS n FROM (SELECT count(*) AS seq_len FROM scans GROUP BY patient_id) GROUP BY 1)""", "scans"))
 def _(spark, d):

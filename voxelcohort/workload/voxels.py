@@ -72,6 +72,12 @@ def _(spark, d):
     return V.percentiles(T.chunks(spark, d), ps).select("volume_id", *[F.round(F.get("q", n), 6).alias(f"p{p}") for n, p in enumerate(ps)])
 
 
+@q("V04_percentiles_split", Q["V04_percentiles"][1])  # every volume above the limit, so its ranks come from histograms
+def _(spark, d):
+    ps = [1, 25, 50, 99]
+    return V.percentiles(T.chunks(spark, d), ps, rows_per_group=50).select("volume_id", *[F.round(F.get("q", n), 6).alias(f"p{p}") for n, p in enumerate(ps)])
+
+
 @q("V05_standardise", with_sql(f"""
   SELECT {_VOX}, round((greatest(least(value, b), a) - a) / (b - a), 6) + 0.0 AS value FROM voxels
   JOIN (SELECT volume_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM voxels GROUP BY 1) USING (volume_id)""", "voxels"))
