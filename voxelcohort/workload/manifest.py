@@ -63,7 +63,7 @@ def _mask_asks(spark, d):
     name = P.base_name("seg_path")
     spelled = F.when(F.col("scan_order") % 3 == 0, F.replace(name, F.lit("seg_"), F.lit("Seg "))).when(
         F.col("scan_order") % 3 == 1, F.replace(name, F.lit("uva"), F.lit(""))).otherwise(name)
-    return s.select("series_id", F.concat(P.parent_dir("seg_path"), F.lit("/"), spelled).alias("path"), F.lit("other.nii").alias("mask_name"), "seg_path")
+    return s.select("series_id", F.concat(P.parent_dir("seg_path"), F.lit("/"), spelled).alias("path"), F.when(F.col("scan_order") % 6 == 0, name).otherwise("other.nii").alias("mask_name"), "seg_path")
 
 
 _ASK_SQL = """
@@ -102,11 +102,10 @@ def _(spark, d):
     return s.select("series_id", F.round(seq_ratio(P.base_name("seg_path"), P.base_name("image_path")), 6).alias("ratio"))
 
 
-@q("L08_recover", with_sql("""
-  SELECT a.series_id, a.seg_path IN (SELECT path FROM files) AS ok FROM series a WHERE seg_path IS NOT NULL""", "series", "files"))
+@q("L08_recover", with_sql(_ASK_SQL, "series", "files"))
 def _(spark, d):
     ok, bad = L.recover(_mask_asks(spark, d), T.files(spark, d), "series_id")
-    return ok.select("series_id", F.lit(True).alias("ok")).unionByName(bad.select("series_id", F.lit(False).alias("ok")))
+    return ok.select("series_id", F.col("path").alias("resolved")).unionByName(bad.select("series_id", F.lit(None).cast("string").alias("resolved")))
 
 
 @q("L09_clean_timeline", with_sql("SELECT accession, tracker FROM timeline WHERE tracker <> '.'", "timeline"))

@@ -195,9 +195,9 @@ def _(spark, d):
   c AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS n0, sum(m) OVER w AS s0, CAST(sum(n) OVER (PARTITION BY volume_id) AS DOUBLE) AS nn, sum(m) OVER (PARTITION BY volume_id) AS ss FROM h WINDOW w AS (PARTITION BY volume_id ORDER BY bin)),
   b AS (SELECT *, CASE WHEN nn > n0 THEN round(n0 * (nn - n0) * (s0 / n0 - (ss - s0) / (nn - n0)) ^ 2, 9) ELSE -1 END AS between_, lo + (bin + 1) * (hi - lo) / 32 AS edge FROM c),
   t AS (SELECT volume_id, edge FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY between_ DESC, bin) AS rn FROM b) WHERE rn = 1)
-  SELECT volume_id, count(*) AS n_voxels FROM voxels JOIN t USING (volume_id) WHERE value >= edge GROUP BY 1""".lstrip(), "voxels"))
+  SELECT volume_id, i::INT AS i, j::INT AS j, k::INT AS k FROM voxels JOIN t USING (volume_id) WHERE value >= edge""".lstrip(), "voxels"))
 def _(spark, d):
-    return V.otsu_mask(T.chunks(spark, d), 32).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_voxels"))
+    return V.otsu_mask(T.chunks(spark, d), 32)
 
 
 @q("V19_normalise_nonzero", with_sql(f"""
@@ -257,13 +257,16 @@ def _(spark, d):
     return _r(G.centroid(T.masks(spark, d), T.volumes(spark, d)), "ci", "cj", "ck", "mm_i", "mm_j", "mm_k")
 
 
-@q("G03_inertia", with_sql("""
-  SELECT volume_id, round(var_pop(j) + var_pop(k), 6) + 0.0 AS vox_ii, round(-covar_pop(i, k), 6) + 0.0 AS vox_ik, round(var_pop(i) * 0.25 + var_pop(j) * 0.25, 6) + 0.0 AS mm_kk, round(-covar_pop(j, k) * 1.5, 6) + 0.0 AS mm_jk
-  FROM masks GROUP BY 1""", "masks"))
+def _tensor_sql(name, scale):
+    cov = lambda a, b: f"{f'var_pop({a})' if a == b else f'covar_pop({a}, {b})'} * {scale[a] * scale[b]}"
+    cell = lambda a, b: " + ".join(cov(c, c) for c in "ijk" if c != a) if a == b else f"-({cov(min(a, b), max(a, b))})"
+    return ", ".join(f"round({cell(a, b)}, 6) + 0.0 AS {name}_{a}{b}" for a in "ijk" for b in "ijk")
+
+
+@q("G03_inertia", with_sql(f"SELECT volume_id, {_tensor_sql('vox', dict.fromkeys('ijk', 1.0))}, {_tensor_sql('mm', {'i': 0.5, 'j': 0.5, 'k': 3.0})} FROM masks GROUP BY 1", "masks"))
 def _(spark, d):
     t = G.inertia(T.masks(spark, d), T.volumes(spark, d))
-    cell = lambda c, n, name: F.round(F.get(c, n), 6).alias(name)
-    return t.select("volume_id", cell("tensor_vox", 0, "vox_ii"), cell("tensor_vox", 2, "vox_ik"), cell("tensor_mm", 8, "mm_kk"), cell("tensor_mm", 5, "mm_jk"))
+    return t.select("volume_id", *[F.round(F.get(f"tensor_{n}", 3 * r + c), 6).alias(f"{n}_{'ijk'[r]}{'ijk'[c]}") for n in ("vox", "mm") for r in range(3) for c in range(3)])
 
 
 def _axis_sql(name, cov):
