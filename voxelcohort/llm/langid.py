@@ -133,41 +133,43 @@ class GatedNetwork:
             return sums, counts
         active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")  # windows longer than t
         forward: list[np.ndarray] = []
-        pooled, votes = np.zeros((n, K), np.float32), np.zeros((n, K), np.int32)
+        pooled, votes = np.zeros((K, n), np.float32), np.zeros((K, n), np.int32)
+        # one row a unit and one column a window, so every step works along contiguous memory
         for d in "fb":
-            E, U = self.p["E" + d].copy(), self.p["U" + d].copy()
-            E[:, : 2 * H] = 0.25 * E[:, : 2 * H] + 0.5
-            U[:, : 2 * H] *= 0.25
-            V, b = self.p["V" + d], self.p["b"]
-            h = np.zeros((n, H), np.float32)
+            E, U = self.p["E" + d].T.copy(), self.p["U" + d].T.copy()
+            E[: 2 * H] = 0.25 * E[: 2 * H] + 0.5
+            U[: 2 * H] *= 0.25
+            V, b = self.p["V" + d].T.copy(), self.p["b"][:, None]
+            h = np.zeros((H, n), np.float32)
             for t in range(len(active)) if d == "f" else range(len(active) - 1, -1, -1):
                 k = active[t]
-                own = h[:k]
-                gate = E.take(s.data[start[:k] + t], axis=0)
-                a = own @ U
-                gate[:, : 2 * H] += a[:, : 2 * H]
-                zr = gate[:, : 2 * H]
+                own = h[:, :k]
+                gate = E.take(s.data[start[:k] + t], axis=1)
+                a = U @ own
+                zr = gate[: 2 * H]
+                zr += a[: 2 * H]
                 np.maximum(zr, 0, out=zr)
                 np.minimum(zr, 1, out=zr)
-                c = a[:, 2 * H :]
-                c *= zr[:, H:]
-                c += gate[:, 2 * H :]
+                c = a[2 * H :]
+                c *= zr[H:]
+                c += gate[2 * H :]
                 np.tanh(c, out=c)
                 own -= c
-                own *= zr[:, :H]
+                own *= zr[:H]
                 own += c
                 if d == "f":
-                    forward.append(own @ V)
+                    forward.append(V @ own)
                 else:
-                    logit = own @ V
+                    logit = V @ own
                     logit += forward[t]
                     logit += b
-                    best = logit.argmax(1)
-                    votes[np.arange(k), best] += 1
-                    logit -= logit.max(1, keepdims=True)
+                    top = logit.max(0)
+                    votes[:, :k] += logit >= top
+                    logit -= top
                     np.exp(logit, out=logit)
-                    logit /= logit.sum(1, keepdims=True)
-                    pooled[:k] += logit
+                    logit /= logit.sum(0)
+                    pooled[:, :k] += logit
+        pooled, votes = pooled.T, votes.T
         np.add.at(sums, owner, pooled)
         np.add.at(counts, owner, votes)
         return sums, counts
