@@ -20,10 +20,10 @@ CELLS = 1 << 18
 #: A word is looked up whole and by its first bytes, so that inflected forms share evidence.
 STEMS = (0, 4, 5, 6)
 PRIOR = 2_000.0
-SURE = 4.0
+SURE = 3.5
 GAP_COST = 0.06
 #: Weaker evidence for a word counts as none.
-LEAST = 1.5
+LEAST = 1.2
 SIGNIFICANT = 0.01
 FIT_ROWS = 20_000
 
@@ -169,7 +169,7 @@ class Calibration:
     place: float = 0.0
     slope: float = 0.0
     scale: float = 1.0
-    weights: tuple = (-2.0, 0.0, 0.0, 0.0)
+    weights: tuple = (-2.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
     def standard(self, best, n_words, log):
         """Best score in units of the Gumbel law of clean texts of that length."""
@@ -190,7 +190,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: in
     return w
 
 
-def calibrate(n_words: np.ndarray, best: np.ndarray, total: np.ndarray, y: np.ndarray) -> Calibration:
+def calibrate(n_words: np.ndarray, best: np.ndarray, total: np.ndarray, hits: np.ndarray, y: np.ndarray) -> Calibration:
     """Fit the Gumbel law to texts of label 0 by moments, its place linear in the log length, then the logistic weights."""
     out = Calibration()
     clean = y == 0
@@ -203,7 +203,7 @@ def calibrate(n_words: np.ndarray, best: np.ndarray, total: np.ndarray, y: np.nd
     out.scale = max(float(rest.std()) * np.sqrt(6) / np.pi, 1e-3)
     out.slope, out.place = float(slope), float(place) - 0.5772156649 * out.scale
     z = out.standard(best, n_words, np.log)
-    x = np.stack([np.ones(len(y)), np.clip(z, -5, 20), np.log1p(total), total / (n_words + 20)], 1)
+    x = np.stack([np.ones(len(y)), np.clip(z, -5, 20), np.log1p(total), total / (n_words + 20), np.minimum(best, 12), np.log1p(hits)], 1)
     out.weights = tuple(float(v) for v in logistic_fit(x, y))
     return out
 
@@ -213,7 +213,7 @@ def probability(c: Calibration) -> Column:
     n = F.col("n_words").cast("double")
     z = (F.col("best") - c.place - F.log(n + 1) * c.slope) / c.scale
     w = c.weights
-    return 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.greatest(F.lit(-5.0), F.least(z, F.lit(20.0))) + w[2] * F.log1p("total") + w[3] * F.col("total") / (n + 20))))
+    return 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.greatest(F.lit(-5.0), F.least(z, F.lit(20.0))) + w[2] * F.log1p("total") + w[3] * F.col("total") / (n + 20) + w[4] * F.least("best", F.lit(12.0)) + w[5] * F.log1p("hits"))))
 
 
 def significant(c: Calibration) -> Column:
@@ -243,9 +243,9 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     lexicon = log_odds(cell_counts(train, "_text", "_label"))
     features = cut_lineage(segment_features(df, lexicon, text).drop(text))
     rows = features if usable is None else features.filter(usable)
-    fit = rows.select(F.col(id).alias("_id"), "n_words", "best", "total").join(known, "_id")
-    fit = fit.orderBy(F.xxhash64("_id"), "_id", "n_words", "best", "_label").limit(fit_rows).select(F.col("n_words").cast("double"), "best", "total", F.col("_label").cast("double")).toArrow()
-    c = calibrate(*(fit[k].to_numpy() for k in range(4)))
+    fit = rows.select(F.col(id).alias("_id"), "n_words", "best", "total", "hits").join(known, "_id")
+    fit = fit.orderBy(F.xxhash64("_id"), "_id", "n_words", "best", "_label").limit(fit_rows).select(F.col("n_words").cast("double"), "best", "total", F.col("hits").cast("double"), F.col("_label").cast("double")).toArrow()
+    c = calibrate(*(fit[k].to_numpy() for k in range(5)))
     return features.withColumn("score", probability(c)).withColumn("passages", significant(c))
 
 
