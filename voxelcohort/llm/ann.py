@@ -15,7 +15,7 @@ from voxelcohort.session import cut_lineage
 from .batches import map_groups
 from .vectors import as_doubles, by_dim, matrix, packed, unpacked
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 6, 5, 1.6, 32
+TABLES, PROJECTIONS, WIDTH, PROBES = 6, 5, 1.6, 64
 #: Slots to each side that a probe may lie away.
 AWAY = 2
 #: Vectors and queries that meet in one block.
