@@ -234,14 +234,16 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array, drop: str | None
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, name])
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", keep_text: bool = True, round_trip: str | None = None) -> DataFrame:
     """Add ``out`` array<int>, the BPE ids of the whole ``text``.
 
     Null and empty texts have no ids. Every other column is kept; a column that
     is already named ``out`` is replaced. Texts are split by ``pattern``; each
-    match is merged on its own, special tokens are ordinary text. The input is
+    match is merged on its own, special tokens are ordinary text. With
+    ``round_trip`` a boolean column of that name says whether decoding the ids
+    gives the text's bytes back, checked by the worker that has both. The input is
     not exchanged. Repeated rows and ties need no rule: a row's ids depend on its
-    own text only. Work is done in slices of about a megabyte of whole texts,
+    own text only. Work is done in slices of about half a megabyte of whole texts,
     so memory does not grow with the partition.
     """
     small_batches(df.sparkSession)
@@ -250,6 +252,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
     drop = None if keep_text else text
     if not keep_text:
         schema = T.StructType([f for f in schema.fields if f.name != text])
+    if round_trip:
+        schema = T.StructType([*(f for f in schema.fields if f.name != round_trip), T.StructField(round_trip, T.BooleanType())])
 
     def run(batches):
         vocabulary, split = _vocabulary(shared), regex.compile(pattern)
@@ -258,7 +262,11 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
             for s in slices(column):
                 own = pc.fill_null(column.slice(s.lo, len(s)), "").to_pylist()
                 ids, start = encode_texts(own, split, vocabulary)
-                yield _append(batch.slice(s.lo, len(s)), out, pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids, pa.int32())), drop)
+                done = _append(batch.slice(s.lo, len(s)), out, pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids, pa.int32())), drop)
+                if round_trip:
+                    same = [vocabulary.decode(ids[a:b]).tobytes() == s.text(k) for k, (a, b) in enumerate(zip(start[:-1], start[1:]))]
+                    done = _append(done, round_trip, pa.array(same, pa.bool_()), None)
+                yield done
 
     return df.mapInArrow(run, schema)
 
