@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from voxelcohort.session import cut_lineage
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """The frame with a long key that Spark does not know to be grouped already.
+
+    A join with a grouped frame keeps its grouping, and then Spark cannot split
+    the other side's hot keys. With the key computed anew both sides get an exchange
+    of their own, and skewed partitions are split.
+    """
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them; edges point from larger to smaller."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    kept = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    kept = edges.join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
@@ -35,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and u != v").distinct())
     tally = None
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = cut_lineage(_small_star(_large_star(now)), instead_of=now)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == tally:
             break

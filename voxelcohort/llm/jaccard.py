@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
-from .graph import components
+from .graph import apart, components
 from .shared_text import BUCKET, PART_ROWS, cells, is_in, known_keys, part_keys, repeated
 from .text import LOWER_VALUES, mix, shingles, slices, small_batches
 
@@ -183,7 +183,7 @@ def _shared_keys(sets: DataFrame, n_sets: int) -> DataFrame:
 def _gather_keys(keys: DataFrame) -> DataFrame:
     """Star edges of every block key that more than one set has: ``(a, b)``, b the smallest set of the key."""
     shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b != _last").drop("_last")
-    return keys.join(shared, "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    return keys.join(apart(shared, "key"), "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -247,7 +247,7 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"))
     members = family.join(reps, "node").select("node", F.col("component").alias("family"), "least", "n")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).alias("tiles"))
-    members = members.join(sizes, "family")
+    members = members.join(apart(sizes, "family"), "family")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
     dealt = members.select("node", "least", "family", tile.alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("_with")).select(
         "node", "least", "family", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
-from .graph import components
+from .graph import apart, components
 from .vectors import as_doubles, by_dim, matrix, packed, unpacked, usable
 
 PASSES, BITS, REACH = 16, 60, 64
@@ -134,7 +134,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
 
     member = reps.join(found, F.col("id") == F.col("node")).select("id", "vec", "copies", "component")
     sizes = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    member = member.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    member = member.join(apart(sizes, "component"), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     tiles = member.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tiles = tiles.select("component", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "id", "tile", "copies", "vec")
 
