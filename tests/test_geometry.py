@@ -155,12 +155,12 @@ def test_whole_windows_are_predicted_and_blended(spark):
     rng = np.random.default_rng(12)
     arr, small = rng.normal(size=(5, 4, 9)), rng.normal(size=(2, 3, 4))
     c, roi = chunk_rows(spark, {0: arr, 1: small}), (3, 4, 4)
-    windows = W.cut_windows(c, roi, 0.5)
+    windows = W.assign_patches(c, roi, 0.5)
     for r in windows.collect():
         full = arr if r["volume_id"] == 0 else small
         want = full[r["wi"] : r["wi"] + 3, r["wj"] : r["wj"] + 4, r["wk"] : r["wk"] + 4]
         np.testing.assert_array_equal(np.reshape(r["data"], r["dims"]), want)
-    centred = W.predict_windows(windows, lambda x: x - x.mean((1, 2, 3), keepdims=True))
+    centred = W.predict_patches(windows, lambda x: x - x.mean((1, 2, 3), keepdims=True))
     for weights, importance in ((np.ones, None), (W.gaussian_importance, W.gaussian_importance)):
         top, low = np.zeros(arr.shape), np.zeros(arr.shape)
         for i, k in itertools.product((0, 1, 2), (0, 2, 4, 5)):
@@ -168,11 +168,11 @@ def test_whole_windows_are_predicted_and_blended(spark):
             top[at] += weights(roi) * (arr[at] - arr[at].mean())
             low[at] += weights(roi)
         got = np.full(arr.shape, np.nan)
-        for r in W.blend_windows(centred, 2, importance).filter("volume_id = 0").collect():
+        for r in W.blend_patches(centred, 2, importance).filter("volume_id = 0").collect():
             got[tuple(slice(o, o + d) for o, d in zip(r["origin"], r["dims"]))] = np.reshape(r["data"], r["dims"])
         np.testing.assert_allclose(got, top / low)
     with pytest.raises(Exception, match="the predictor returned"):
-        W.predict_windows(windows, lambda x: x[:, :1]).collect()
+        W.predict_patches(windows, lambda x: x[:, :1]).collect()
 
 
 def test_importance_is_highest_in_the_middle():
@@ -230,6 +230,6 @@ def test_crops_without_a_mask_take_the_middle(spark, volumes_of, masks_of):
 
 def test_dense_plans_keep_arrays(spark, volumes_of, masks_of):
     c, head, mask = chunk_rows(spark, {0: np.ones((3, 5, 4))}), volumes_of({0: (3, 5, 4)}), masks_of({0: [(1, 1, 1)]})
-    for df in (G.crop_foreground(c, mask), G.crop_center(c, head, mask, (2, 2, 2)), G.pad_to(c, head, (6, 6, 6))[0], W.reorient_chunks(c, "RAS", "LPS"), W.stride_chunks(c, 10),
-               W.blend_windows(W.predict_windows(W.cut_windows(c, (2, 2, 2), 0.5), lambda x: x))):
+    for df in (G.crop_foreground(c, mask), G.crop_center(c, head, mask, (2, 2, 2)), G.pad_to(c, head, (6, 6, 6))[0], W.reorient(c, "RAS", "LPS"), W.stride_sample(c, 10),
+               W.blend_patches(W.predict_patches(W.assign_patches(c, (2, 2, 2), 0.5), lambda x: x))):
         assert "posexplode(data" not in df._jdf.queryExecution().optimizedPlan().toString()

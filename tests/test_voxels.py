@@ -150,15 +150,15 @@ def test_coverage(masks_of, volumes_of):
 
 
 def test_reorient_round_trip(spark, arrays):
-    turned = W.reorient_chunks(chunked(spark, {0: arrays[0]}), "RAS", "SPL")
+    turned = W.reorient(chunked(spark, {0: arrays[0]}), "RAS", "SPL")
     np.testing.assert_array_equal(dense(V.explode_voxels(turned), (7, 4, 5)), arrays[0].transpose(2, 1, 0)[:, ::-1, ::-1])
-    back = W.reorient_chunks(turned.withColumn("shape", F.array(*[F.lit(n) for n in (7, 4, 5)])), "SPL", "RAS")
+    back = W.reorient(turned.withColumn("shape", F.array(*[F.lit(n) for n in (7, 4, 5)])), "SPL", "RAS")
     np.testing.assert_array_equal(dense(V.explode_voxels(back), arrays[0].shape), arrays[0])
 
 
 def test_stride_and_range_on_chunks(spark, arrays):
     c = chunked(spark, arrays)
-    got = {v: {(r["i"], r["j"], r["k"]): r["value"] for r in W.stride_chunks(c, 30).filter(F.col("volume_id") == v).collect()} for v in arrays}
+    got = {v: {(r["i"], r["j"], r["k"]): r["value"] for r in W.stride_sample(c, 30).filter(F.col("volume_id") == v).collect()} for v in arrays}
     for v, arr in arrays.items():
         step = -(-arr.size // 30)
         assert got[v] == {tuple(map(int, p)): float(arr[tuple(p)]) for n, p in enumerate(np.argwhere(arr == arr)) if n % step == 0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelcohort.operators.geometry import norm
@@ -57,28 +57,46 @@ def placement_metrics(tp: DataFrame, voxel_mm3: float = 1.0) -> DataFrame:
     })
 
 
-def case_rollup(metrics: DataFrame) -> DataFrame:
-    """One row per case: largest placement, ratio to the segmentation, worst retention, smallest timepoint."""
+def _rollup(metrics: DataFrame, *more: Column) -> DataFrame:
     small = F.min_by(
         F.struct("source_voxels", "placed_voxels", "source_mm3", "placed_mm3", "offset_mm", "tp"), F.struct("source_voxels", "tp")
     )
     per = metrics.groupBy("case_id").agg(
         F.max("placed_voxels").alias("max_placed_voxels"), F.max("placed_mm3").alias("max_placed_mm3"), F.min("retained").alias("worst_clipping"),
-        F.max("seg_mm3").alias("seg_mm3"), small.alias("_p"),
+        F.max("seg_mm3").alias("seg_mm3"), small.alias("_p"), *more,
     )
+    known = {"case_id", "max_placed_voxels", "max_placed_mm3", "worst_clipping", "seg_mm3", "_p"}
     return per.select(
         "case_id", "max_placed_voxels", "max_placed_mm3", "worst_clipping",
         (F.col("max_placed_mm3") / F.greatest("seg_mm3", F.lit(1e-8))).alias("placed_to_seg_ratio"),
         F.col("_p.tp").alias("primary_tp"), F.col("_p.placed_voxels").alias("placed_voxels"), F.col("_p.offset_mm").alias("centroid_offset_mm"),
         (F.col("_p.placed_mm3") / F.greatest("_p.source_mm3", F.lit(1e-8))).alias("retained_fraction"),
+        *[c for c in per.columns if c not in known],
     )
 
 
+def case_rollup(metrics: DataFrame) -> DataFrame:
+    """One row per case: largest placement, ratio to the segmentation, worst retention, smallest timepoint."""
+    return _rollup(metrics)
+
+
+def _growth(tolerance: float) -> Column:
+    drop = (F.col("_before") > 0) & (F.col("placed_voxels") < F.col("_before") * (1.0 - tolerance))
+    return (~F.bool_or(F.coalesce(drop, F.lit(False)))).alias("monotone_growth")
+
+
+def _with_previous(tp: DataFrame) -> DataFrame:
+    return in_order(tp, ["case_id"], "tp", lag={"placed_voxels": "_before"})
+
+
 def monotone(tp: DataFrame, tolerance: float = THRESHOLDS["monotone_drop_warn_fraction"]) -> DataFrame:
     """Whether placed voxels never drop by more than the tolerance from one timepoint to the next."""
-    steps = in_order(tp, ["case_id"], "tp", lag={"placed_voxels": "_before"})
-    drop = (F.col("_before") > 0) & (F.col("placed_voxels") < F.col("_before") * (1.0 - tolerance))
-    return steps.groupBy("case_id").agg((~F.bool_or(F.coalesce(drop, F.lit(False)))).alias("monotone_growth"))
+    return _with_previous(tp).groupBy("case_id").agg(_growth(tolerance))
+
+
+def case_summary(metrics: DataFrame, tolerance: float = THRESHOLDS["monotone_drop_warn_fraction"]) -> DataFrame:
+    """:func:`case_rollup` and :func:`monotone` of the same timepoints, ordered and grouped once."""
+    return _rollup(_with_previous(metrics), _growth(tolerance))
 
 
 def confidence(candidates: DataFrame, group=("case_id", "strategy")) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelcohort.operators.skew import hot_groups
+from voxelcohort.session import cut_lineage
 
 ROWS_PER_GROUP = 250_000
 ROWS_PER_BIN = 10_000
@@ -22,7 +23,7 @@ def _array(ps: Sequence[float]) -> str:
 
 def quantiles(
     df: DataFrame, group: Sequence[str], value: str, ps: Sequence[float], weight: str | None = None,
-    out: str = "q", rows_per_group: int = ROWS_PER_GROUP,
+    out: str = "q", rows_per_group: int = ROWS_PER_GROUP, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with ``out``, the array of quantiles at ``ps``; null values are ignored.
 
@@ -31,14 +32,20 @@ def quantiles(
     finds the bins that hold the wanted ranks, and only rows in those bins are
     ordered. Bins are even in asinh((value - median) / spread), so outliers and
     infinities do not crowd the rest into one; NaN is above everything.
-    ``weight`` is an integer column of repetitions.
+    ``weight`` is an integer column of repetitions. ``sizes``, rows ``(group, _n)``
+    with upper bounds of the groups' rows, spares a pass that counts them.
     """
     group = list(group)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     d = df.select(*group, F.col(value).cast("double").alias("_v"), w.alias("_w")).filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
     if not group:
         return quantiles(d.withColumn("_all", F.lit(1)), ["_all"], "_v", ps, "_w", out, rows_per_group).drop("_all")
-    hot = hot_groups(d, group, rows_per_group, F.sum("_w").alias("_total"), F.percentile_approx("_v", [0.25, 0.5, 0.75]).alias("_q"))
+    stats = (F.sum("_w").alias("_total"), F.percentile_approx("_v", [0.25, 0.5, 0.75]).alias("_q"))
+    if sizes is None:
+        hot = hot_groups(d, group, rows_per_group, *stats)
+    else:
+        large = cut_lineage(sizes.filter(F.col("_n") > rows_per_group).select(*group))
+        hot = None if large.isEmpty() else hot_groups(d.join(large, group, "left_semi"), group, rows_per_group, *stats)
     small = d if hot is None else d.join(hot.select(*group), group, "left_anti")
     few = small.groupBy(*group).agg(F.expr(f"percentile(_v, {_array(ps)}, _w)").alias(out))
     if hot is None:

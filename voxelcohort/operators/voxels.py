@@ -87,7 +87,9 @@ def entropy(chunks: DataFrame, bins: int = 256, integer: bool = False) -> DataFr
 
 def percentiles(chunks: DataFrame, ps: Sequence[float], **how) -> DataFrame:
     """Array ``q`` of exact percentiles (0..100) per volume, linearly interpolated."""
-    return quantiles(_values(chunks).filter(~F.isnan("v")), ["volume_id"], "v", [p / 100 for p in ps], **how)
+    voxels = F.get("dims", 0).cast("long") * F.get("dims", 1) * F.get("dims", 2)
+    sizes = chunks.groupBy("volume_id").agg(F.sum(voxels).alias("_n"))  # from the headers of the chunks, not their values
+    return quantiles(_values(chunks).filter(~F.isnan("v")), ["volume_id"], "v", [p / 100 for p in ps], sizes=sizes, **how)
 
 
 def standardise(chunks: DataFrame, low: float = 1, high: float = 99, lo: float = 0.0, hi: float = 1.0) -> DataFrame:

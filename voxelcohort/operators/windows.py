@@ -85,7 +85,7 @@ def shift(chunks: DataFrame, by: DataFrame) -> DataFrame:
     return moved.select("volume_id", F.zip_with("origin", "_by", lambda a, b: a + b).alias("origin"), "dims", F.col("data").cast("array<double>").alias("data"))
 
 
-def reorient_chunks(chunks: DataFrame, source: str, target: str) -> DataFrame:
+def reorient(chunks: DataFrame, source: str, target: str) -> DataFrame:
     """Permute and flip axes between orientation codes such as ``RAS`` and ``LPS``, chunk by chunk; chunks carry ``shape``."""
     pair = {c: n for n, letters in enumerate(("RL", "AP", "SI")) for c in letters}
     order = [[pair[c] for c in source].index(pair[c]) for c in target]
@@ -104,7 +104,7 @@ def reorient_chunks(chunks: DataFrame, source: str, target: str) -> DataFrame:
     return chunks.select("volume_id", "shape", "origin", "dims", "data").mapInArrow(turn, schema)
 
 
-def stride_chunks(chunks: DataFrame, max_n: int = 1_000_000) -> DataFrame:
+def stride_sample(chunks: DataFrame, max_n: int = 1_000_000) -> DataFrame:
     """Every ``ceil(n / max_n)``-th voxel of a volume in row-major order, as ``(volume_id, i, j, k, value)``.
 
     The sample is taken on the arrays; only its own voxels become rows.
@@ -136,7 +136,7 @@ def window_starts(dim: int, size: int, overlap: float) -> list[int]:
     return sorted({min(n * step, last) for n in range(-(-last // step) + 1)})
 
 
-def cut_windows(chunks: DataFrame, roi: Sequence[int], overlap: float) -> DataFrame:
+def assign_patches(chunks: DataFrame, roi: Sequence[int], overlap: float) -> DataFrame:
     """Each window of each volume as one row ``(volume_id, shape, wi, wj, wk, dims, data)``.
 
     A chunk gives a piece to every window it touches, and a window is put
@@ -180,7 +180,7 @@ def window_voxels(windows: DataFrame) -> DataFrame:
     return flat.select("volume_id", "wi", "wj", "wk", *[(F.col(f"w{a}") + x).cast("int").alias(a) for a, x in zip(AXES, at)], "value")
 
 
-def predict_windows(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], batch: int = 4) -> DataFrame:
+def predict_patches(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], batch: int = 4) -> DataFrame:
     """Replace ``data`` by the prediction of ``fn``, which gets up to ``batch`` whole windows ``(n, i, j, k)`` and returns as many.
 
     Windows of one call have one shape.
@@ -208,7 +208,7 @@ def gaussian_importance(dims: Sequence[int], scale: float = 0.125) -> np.ndarray
     return np.maximum(out, out.max() * 1e-3)
 
 
-def blend_windows(preds: DataFrame, edge: int = 64, importance: Callable[[Sequence[int]], np.ndarray] | None = None, weight: str | None = None) -> DataFrame:
+def blend_patches(preds: DataFrame, edge: int = 64, importance: Callable[[Sequence[int]], np.ndarray] | None = None, weight: str | None = None) -> DataFrame:
     """Weighted mean of overlapping predictions, sum(w v) / max(sum(w), 1e-5), as chunk rows ``(volume_id, shape, origin, dims, data)``.
 
     A voxel's weight is ``importance`` of its place in the window (such as

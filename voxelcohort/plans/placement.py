@@ -20,6 +20,6 @@ def validate_batch(
     """
     sure = P.confidence(candidates).filter(f"strategy = '{main_strategy}'").select("case_id", "confidence", "score_margin", "low_confidence")
     agree = P.strategies_agree(P.best_candidate(candidates), main_strategy)
-    cases = P.case_rollup(P.placement_metrics(tp, voxel_mm3)).join(P.monotone(tp), "case_id").join(sure, "case_id").join(agree, "case_id")
+    cases = P.case_summary(P.placement_metrics(tp, voxel_mm3)).join(sure, "case_id").join(agree, "case_id")
     flat = R.flatten_cases(P.validate(cases, thresholds))
     return cut_lineage(flat if failed is None else R.with_exceptions(flat, failed))

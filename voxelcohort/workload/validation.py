@@ -91,7 +91,7 @@ def _orientation(spark, d):
 
 def _cases(spark, d):
     tp = cut_lineage(T.case_tp(spark, d))
-    roll = P.case_rollup(P.placement_metrics(tp)).join(P.monotone(tp), "case_id")
+    roll = P.case_summary(P.placement_metrics(tp))
     n_parts = T.table(spark, d, "part").agg(F.count(F.lit(1))).scalar()
     slot = (F.col("case_id").cast("long") % n_parts).cast("string")
     return roll.withColumn("_slot", slot).join(_orientation(spark, d).withColumnRenamed("case_id", "_slot"), "_slot").drop("_slot")

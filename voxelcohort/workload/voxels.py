@@ -60,7 +60,7 @@ def _(spark, d):
 
 @q("V03_stride_sample", with_sql(f"SELECT {_VOX}, value FROM voxels WHERE ((i * 4 + j) * 16 + k) % 6 = 0", "voxels"))
 def _(spark, d):
-    return W.stride_chunks(T.chunks(spark, d), max_n=50)
+    return W.stride_sample(T.chunks(spark, d), max_n=50)
 
 
 _PCT = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in (1, 25, 50, 99))
@@ -216,7 +216,7 @@ def _(spark, d):
 
 @q("V21_reorient", with_sql("SELECT volume_id, k AS i, 3 - i AS j, j AS k, round(value, 6) + 0.0 AS value FROM voxels", "voxels"))
 def _(spark, d):
-    return _ints(_r(V.explode_voxels(W.reorient_chunks(T.chunks(spark, d), "RAS", "SLA")), "value"))
+    return _ints(_r(V.explode_voxels(W.reorient(T.chunks(spark, d), "RAS", "SLA")), "value"))
 
 
 @q("V22_intensity_profile", with_sql(f"""
@@ -435,7 +435,7 @@ _ASSIGN = f"(SELECT v.*, wi, wj, wk FROM voxels v, {_WIN} w WHERE i >= wi AND i
 
 
 def _windows(spark, d):
-    return W.cut_windows(T.chunks(spark, d), (3, 3, 7), 0.4)
+    return W.assign_patches(T.chunks(spark, d), (3, 3, 7), 0.4)
 
 
 @q("G19_assign_patches", with_sql(f"SELECT {_VOX}, wi, wj, wk FROM {_ASSIGN}", "voxels"))
@@ -453,21 +453,21 @@ def _(spark, d):
   SELECT {_VOX}, round(sum((1 + wk) * (value + wk * 0.01)) / greatest(sum(1 + wk), 1e-5), 6) + 0.0 AS value FROM {_ASSIGN} GROUP BY ALL""", "voxels"))
 def _(spark, d):
     preds = _windows(spark, d).withColumn("data", F.transform("data", lambda v: v + F.col("wk") * 0.01)).withColumn("w", 1.0 + F.col("wk"))
-    return _ints(_r(V.explode_voxels(W.blend_windows(preds, 4, weight="w")), "value"))
+    return _ints(_r(V.explode_voxels(W.blend_patches(preds, 4, weight="w")), "value"))
 
 
 _GAUSS = " * ".join(f"exp(-0.5 * (({a} - w{a} - {(n - 1) / 2}) / {0.125 * n}) ^ 2)" for a, n in zip("ijk", (3, 3, 7)))
 
 
-@q("U01_predict_windows", with_sql(f"""
+@q("U01_predict_whole_patches", with_sql(f"""
   SELECT {_VOX}, round(sum(g * (value - m)) / greatest(sum(g), 1e-5), 6) + 0.0 AS value FROM (
     SELECT *, greatest({_GAUSS}, 0.001) AS g, avg(value) OVER (PARTITION BY volume_id, wi, wj, wk) AS m FROM {_ASSIGN}) GROUP BY ALL""", "voxels"))
 def _(spark, d):
-    centred = W.predict_windows(_windows(spark, d), lambda x: x - x.mean((1, 2, 3), keepdims=True))
-    return _ints(_r(V.explode_voxels(W.blend_windows(centred, 4, W.gaussian_importance)), "value"))
+    centred = W.predict_patches(_windows(spark, d), lambda x: x - x.mean((1, 2, 3), keepdims=True))
+    return _ints(_r(V.explode_voxels(W.blend_patches(centred, 4, W.gaussian_importance)), "value"))
 
 
 @q("U01_predict_patches", with_sql(f"SELECT {_VOX}, round(value * 2, 6) + 0.0 AS value FROM voxels", "voxels"))
 def _(spark, d):
-    doubled = W.predict_windows(_windows(spark, d), lambda x: x * 2.0)
-    return _ints(_r(V.explode_voxels(W.blend_windows(doubled, 4)), "value"))
+    doubled = W.predict_patches(_windows(spark, d), lambda x: x * 2.0)
+    return _ints(_r(V.explode_voxels(W.blend_patches(doubled, 4)), "value"))
