@@ -55,6 +55,12 @@ def test_bad_vectors_lengths_and_repeated_ids(spark):
     assert [tuple(r) for r in neardup.near_vectors(clash).collect()] == [(1, 0, 1, True)]
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0, 0.0])]
+    got = found(spark, rows)
+    assert sorted((r[0], r[1]) for r in got) == [(1, 1), (2, 0), (2, 0), (2, 1), (3, 0)] and {r[2] for r in got if r[0] in (1, 2)} == {1}
+
+
 def test_recall_on_the_supplied_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r["embedding"] for r in rows], np.float32)

@@ -13,7 +13,7 @@ from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
 from .graph import apart, components
-from .vectors import as_doubles, by_dim, matrix, packed, unpacked, usable
+from .vectors import as_doubles, by_dim, matrix, travels_as, units, usable
 
 PASSES, BITS, REACH = 16, 60, 64
 BLOCK = 4096
@@ -54,7 +54,7 @@ def _window_links(reach: int, least: float):
     def fn(table: pa.Table) -> pa.RecordBatch:
         order = np.argsort(table["rank"].to_numpy(), kind="stable")
         ids, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("id", "own"))
-        x = unpacked(table["vec"])[order]
+        x = units(table["vec"])[order]
         a, b = [], []
         for step in range(1, min(reach, len(x) - 1) + 1):
             at = np.flatnonzero(own[:-step])
@@ -73,14 +73,14 @@ def _count_links(least: float):
 
     def fn(table: pa.Table) -> pa.RecordBatch:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        ids, tile, copies = (table[c].to_numpy() for c in ("id", "tile", "copies"))
-        x = unpacked(table["vec"])
+        ids, tile, copies = (table[c].to_numpy() for c in ("rep", "tile", "copies"))
+        x = units(table["vec"])
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         near = x[left] @ x[right].T >= least
         if i == j:
             np.fill_diagonal(near, False)
-            return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(near @ copies[right])], names=["id", "n"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[left], ids[right]])), pa.array(np.concatenate([near @ copies[right], copies[left] @ near]))], names=["id", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(near @ copies[right])], names=["rep", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[left], ids[right]])), pa.array(np.concatenate([near @ copies[right], copies[left] @ near]))], names=["rep", "n"])
 
     return fn
 
@@ -92,7 +92,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
     smallest id reachable, ``kept`` whether that is the row's own. Vectors that are
     null, empty, zero or hold null or non-finite components have no links and are
     their own component; a null id has none and is not kept. Vectors of other
-    lengths never link. Equal vectors are one node from the start, so repeated
+    lengths never link, but rows of one id share its component. Equal vectors are one node from the start, so repeated
     rows (of one id, too) link with each other. An empty table gives none; extra
     columns are not read.
 
@@ -106,51 +106,42 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
     listed. A pair is missed only if no chain of windows joins it.
     """
     usable_rows = as_doubles(df, id, vector)
-    reps = cut_lineage(usable_rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    reps = usable_rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    reps = cut_lineage(reps.withColumn("rep", F.monotonically_increasing_id()))
+    thin = F.col("vec").cast(f"array<{travels_as(df, vector)}>").alias("vec")
 
     def keyed(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            rep = batch.column("rep").to_numpy()
             for dim, at in by_dim(batch).items():
                 x = matrix(batch.column("vec").take(pa.array(at)), dim)
                 x = x / np.sqrt((x * x).sum(1))[:, None]
-                vec = packed(x)
                 for turn in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn * 100_000 + dim, np.int64)), pa.array(sort_keys(x, turn)), pa.array(ids[at]), vec], names=["turn", "key", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn * 100_000 + dim, np.int64)), pa.array(sort_keys(x, turn)), pa.array(rep[at])], names=["turn", "key", "rep"])
 
+    # only keys are sorted; vectors join their places afterwards
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("dim", "id", "vec").mapInArrow(keyed, "turn long, key long, id long, vec binary")
-    ordered = rows.repartitionByRange(partitions, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
-    ordered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    rows = reps.select("dim", "rep", "vec").mapInArrow(keyed, "turn long, key long, rep long")
+    ordered = rows.repartitionByRange(partitions, "turn", "key", "rep").sortWithinPartitions("turn", "key", "rep")
+    ordered = cut_lineage(ordered.select("turn", "rep", F.monotonically_increasing_id().alias("_at")))
     numbered = ordered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
     parts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    numbered = numbered.join(parts, "_part").withColumn("rank", F.col("_base") + F.col("_at"))
+    numbered = numbered.join(parts, "_part").select("turn", "rep", (F.col("_base") + F.col("_at")).alias("rank"))
+    numbered = numbered.join(reps.select("rep", "id", thin), "rep")
     block = F.expr(f"rank div {BLOCK}")
     dealt = numbered.withColumn("own", F.lit(True)).withColumn("block", block).select("block", "rank", "turn", "id", "vec", "own")
     ahead = numbered.filter(F.col("rank") % BLOCK < reach).withColumn("own", F.lit(False)).withColumn("block", block - 1).select("block", "rank", "turn", "id", "vec", "own")
     links = map_groups(dealt.unionByName(ahead), ["turn", "block"], _window_links(reach, least), "a long, b long")
     found = cut_lineage(components(links))
 
-    member = reps.join(found, F.col("id") == F.col("node")).select("id", "vec", "copies", "component")
+    member = reps.join(found, F.col("id") == F.col("node")).select("dim", "rep", "vec", "copies", "component")
     sizes = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    member = member.join(apart(sizes, "component"), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    member = member.join(apart(sizes, "component"), "component").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     tiles = member.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select("component", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "id", "tile", "copies", "vec")
-
-    def pack(batches):
-        for batch in batches:
-            columns = {c: batch.column(c) for c in ("component", "i", "j", "id", "tile", "copies")}
-            sizes = batch.column("vec").value_lengths().to_numpy()
-            for dim in np.unique(sizes):
-                at = pa.array(np.flatnonzero(sizes == dim))
-                x = matrix(batch.column("vec").take(at), int(dim))
-                x = x / np.sqrt((x * x).sum(1))[:, None]
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in columns.values()), packed(x)], names=[*columns, "vec"])
-
-    tiles = tiles.mapInArrow(pack, "component long, i long, j long, id long, tile long, copies long, vec binary")
-    counted = map_groups(tiles, ["component", "i", "j"], _count_links(least), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    node = reps.join(counted, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
+    tiles = tiles.select("component", "dim", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "rep", "tile", "copies", thin)
+    counted = map_groups(tiles, ["component", "dim", "i", "j"], _count_links(least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    node = reps.join(counted, "rep", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
     node = node.select(F.col("dim").alias("_dim"), F.col("vec").alias("_vec"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "id").alias("_component"))
     labelled = usable_rows.join(node, (F.col("dim") == F.col("_dim")) & (F.col("vec") == F.col("_vec"))).select(F.col("id"), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"))
     rest = df.filter(~(F.col(id).isNotNull() & usable(F.col(vector)))).select(F.col(id).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id).cast("long").alias("component_id"))

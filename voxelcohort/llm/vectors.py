@@ -33,9 +33,24 @@ def packed(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(x.tobytes())])
 
 
-def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The matrix again, in double precision."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+
+
+def travels_as(df: DataFrame, vector: str) -> str:
+    """Element type in which vectors are exchanged: float for float columns, which loses nothing, else double."""
+    kind = df.schema[vector].dataType.elementType.simpleString()
+    return "float" if kind == "float" else "double"
+
+
+def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of one length, scaled to length one in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def by_dim(table: pa.Table | pa.RecordBatch) -> dict[int, np.ndarray]:
