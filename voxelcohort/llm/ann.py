@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
-from .vectors import as_doubles, by_dim, matrix, packed, unpacked
+from .vectors import as_doubles, by_dim, matrix, packed, travels_as, unpacked
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 6, 5, 1.6, 64
 #: Slots to each side that a probe may lie away.
@@ -86,10 +86,10 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.nd
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def _block(k: int):
+def _block(k: int, kind: str):
     def fn(table: pa.Table) -> pa.RecordBatch:
         asks = table["asks"].to_numpy()
-        ids, x = table["id"].to_numpy(), unpacked(table["vec"])
+        ids, x = table["id"].to_numpy(), unpacked(table["vec"], kind)
         a, b, s = nearest_in_block(ids[asks], x[asks], ids[~asks], x[~asks], k) if asks.any() and not asks.all() else nearest_in_block(ids[:0], x[:0], ids[:0], x[:0], k)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
 
@@ -99,7 +99,7 @@ def _block(k: int):
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _meet(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _meet(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, kind: str) -> DataFrame:
     """Let the queries and vectors of each key meet in blocks of bounded size; each block gives k rows a query at most."""
     sizes = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     asked = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q"))
@@ -107,7 +107,7 @@ def _meet(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     v = vectors.join(cuts, keys).select(*keys, "id", "vec", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("vs")).alias("i"), span("qs").alias("j"))
     q = queries.join(cuts, keys).select(*keys, "id", "vec", F.lit(True).alias("asks"), span("vs").alias("i"), F.pmod(F.xxhash64("id"), F.col("qs")).alias("j"))
-    return map_groups(v.unionByName(q), [*keys, "i", "j"], _block(k), FOUND)
+    return map_groups(v.unionByName(q), [*keys, "i", "j"], _block(k, kind), FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     that finds fewer than k although there are more is compared with all rows, in
     blocks.
     """
-    asks = F.coalesce(is_query, F.lit(False))
+    asks, kind = F.coalesce(is_query, F.lit(False)), {"float": "f4", "double": "f8"}[travels_as(df, vector)]
     flagged = df.select(F.col(id).alias("id"), F.col(vector).alias("vector"), asks.alias("asks"))
     rows = cut_lineage(as_doubles(flagged, "id", "vector", "asks"))
     longest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
@@ -153,7 +153,7 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
                     full = np.concatenate([x / norm[:, None], np.zeros((len(x), 1))], 1)
                 else:
                     full = np.concatenate([x / longest, np.sqrt(np.maximum(1 - (norm / longest) ** 2, 0))[:, None]], 1)
-                vec = packed(x)
+                vec = packed(x.astype(kind))
                 for t in range(tables):
                     where = place(full, dim, t, projections, width)
                     if asking:
@@ -169,7 +169,7 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     index = rows.select("id", "dim", "vec").mapInArrow(lambda b: deal(b, False), schema)
     queries = rows.filter("asks").select("id", "dim", "vec")
     asked = queries.mapInArrow(lambda b: deal(b, True), schema)
-    found = cut_lineage(_best(_meet(index, asked, ["dim", "tab", "cell"], k), k))
+    found = cut_lineage(_best(_meet(index, asked, ["dim", "tab", "cell"], k, kind), k))
 
     there = rows.groupBy("dim").agg(F.count_distinct("id").alias("_n"))
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_have"))
@@ -181,10 +181,10 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     def pack(batches):
         for batch in batches:
             for dim, at in by_dim(batch).items():
-                yield pa.RecordBatch.from_arrays([batch.column("dim").take(pa.array(at)), batch.column("id").take(pa.array(at)), packed(matrix(batch.column("vec").take(pa.array(at)), dim))], names=["dim", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([batch.column("dim").take(pa.array(at)), batch.column("id").take(pa.array(at)), packed(matrix(batch.column("vec").take(pa.array(at)), dim).astype(kind))], names=["dim", "id", "vec"])
 
     plain = lambda d: d.select("dim", "id", "vec").mapInArrow(pack, "dim int, id long, vec binary")
-    rest = _best(_meet(plain(rows), plain(short), ["dim"], k), k)
+    rest = _best(_meet(plain(rows), plain(short), ["dim"], k, kind), k)
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
 
 
