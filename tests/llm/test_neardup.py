@@ -67,3 +67,23 @@ def test_recall_on_the_supplied_table(spark, sf):
     want = {rows[a]["vec_id"]: n for a, n, _, _ in brute(x)}
     got = {r["vec_id"]: r["n_links"] for r in neardup.op7_near_vectors(spark, sf).collect()}
     assert sum(got.values()) >= 0.9 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
+def test_dense_cone_loses_no_link(spark):
+    """A third of the rows at cosine 0.9 of each other, near pairs at 0.955 among them: no sort order brings them together."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+    cone = unit(np.sqrt(0.9) * axis + np.sqrt(0.1) * unit(rng.normal(size=(1400, 64))))
+    twins = unit(cone[:100] + np.tan(np.arccos(0.955)) * unit(rng.normal(size=(100, 64))))
+    x = np.concatenate([cone, twins, unit(rng.normal(size=(3000, 64)))])
+    x = x[rng.permutation(len(x))]
+    u = unit(x)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert want.sum() >= 200
+    got = {r[0]: r[1:] for r in found(spark, [(i, v.tolist()) for i, v in enumerate(x)])}
+    assert [got[i][0] for i in range(len(x))] == want.tolist()
+    part = union_find(range(len(x)), [(a, b) for a, b in np.argwhere(near).tolist() if a < b])
+    assert [got[i][1] for i in range(len(x))] == [part[i] for i in range(len(x))]

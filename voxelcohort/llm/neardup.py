@@ -1,91 +1,92 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by all pairs of bounded tiles."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
-from .graph import apart, components
-from .vectors import as_doubles, by_dim, matrix, travels_as, units, usable
-
-PASSES, BITS, REACH = 16, 60, 64
-BLOCK = 4096
-TILE = 1024
-
-
-@lru_cache(maxsize=32)
-def _planes(dim: int, turn: int) -> np.ndarray:
-    return np.random.default_rng([20240405, dim, turn]).normal(size=(dim, BITS))
-
-
-def sort_keys(unit: np.ndarray, turn: int) -> np.ndarray:
-    """The signs of random projections, concatenated: comparing the numbers compares the bits from the first on."""
-    bits = unit @ _planes(unit.shape[1], turn) >= 0
-    return bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links join parts that were apart, taken in order."""
-    parent = list(range(n))
-    keep = np.zeros(len(a), bool)
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep[k] = True
-    return keep
-
-
-def _window_links(reach: int, least: float):
-    """Compare every row of a block with the next ``reach`` in order; a spanning set of the verified links."""
+from .graph import components
+from .vectors import as_doubles, travels_as, units, usable
+
+#: Most rows of a tile, and most bytes of its doubles.
+TILE = 8192
+TILE_BYTES = 1 << 26
+#: Rows of a tile that are multiplied at once.
+BLOCK = 512
+#: So many tiles at least, else few rows would be compared in few tasks.
+LEAST_TILES = 8
+
+
+class _Forest:
+    """Labels of the nodes of a tile; of the links given row by row, those that join parts that were apart are kept."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def joins(self, ends: np.ndarray, own: int | None) -> np.ndarray:
+        """Which of ``ends`` a node needs to be linked to; ``own`` is its place if it is a node of the tile too."""
+        labels = self.label[ends]
+        least = labels.min()
+        if least == labels.max() and own is None:
+            return ends[:1]
+        parts, first = np.unique(labels, return_index=True)
+        if own is not None:
+            mine = self.label[own]
+            first = first[parts != mine]
+            parts = np.append(parts, mine)
+        if len(first):
+            self.label[np.isin(self.label, parts)] = parts.min()
+        return ends[first]
+
+
+def _tile_links(least: float):
+    """For two tiles: how many vectors of the other (or the same) tile each vector links with, copies counted, and a spanning set of the links."""
 
     def fn(table: pa.Table) -> pa.RecordBatch:
-        order = np.argsort(table["rank"].to_numpy(), kind="stable")
-        ids, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("id", "own"))
-        x = units(table["vec"])[order]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        reps, ids, tile, copies = (table[c].to_numpy() for c in ("rep", "id", "tile", "copies"))
+        x = units(table["vec"])
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        y = x[right]
+        count = np.zeros(len(ids))
+        forest = _Forest(len(right))
         a, b = [], []
-        for step in range(1, min(reach, len(x) - 1) + 1):
-            at = np.flatnonzero(own[:-step])
-            near = at[(x[at] * x[at + step]).sum(1) >= least]
-            a.append(near)
-            b.append(near + step)
+        for lo in range(0, len(left), BLOCK):
+            rows, cols = np.nonzero(x[left[lo : lo + BLOCK]] @ y.T >= least)
+            rows += lo
+            if i == j:
+                rows, cols = (v[cols > rows] for v in (rows, cols))
+            if not len(rows):
+                continue
+            count += np.bincount(left[rows], copies[right[cols]], len(ids)) + np.bincount(right[cols], copies[left[rows]], len(ids))
+            at = np.flatnonzero(np.diff(rows, prepend=-1))
+            for row, ends in zip(rows[at].tolist(), np.split(cols, at[1:])):
+                ends = forest.joins(ends, row if i == j else None)
+                a.append(np.full(len(ends), left[row]))
+                b.append(right[ends])
+        some = np.flatnonzero(count)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        keep = _spanning(len(x), a, b)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], names=["a", "b"])
+        # counts are links of a node to itself, which join nothing; links add nothing to the counts
+        out = {"rep": np.concatenate([reps[some], reps[a]]), "n": np.concatenate([count[some].astype(np.int64), np.zeros(len(a), np.int64)])}
+        out |= {"a": ids[np.concatenate([some, a])], "b": ids[np.concatenate([some, b])]}
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
     return fn
 
 
-def _count_links(least: float):
-    """For two tiles of a component: how many vectors of the other (or the same) tile each vector links with, copies counted."""
+def _tiles_of(dims: list[tuple[int, int]]) -> dict[int, int]:
+    """Number of tiles for each vector length, from the lengths and their numbers of rows."""
+    return {d: max(LEAST_TILES, math.ceil(n / max(1, min(TILE, TILE_BYTES // (8 * d))))) for d, n in dims}
 
-    def fn(table: pa.Table) -> pa.RecordBatch:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        ids, tile, copies = (table[c].to_numpy() for c in ("rep", "tile", "copies"))
-        x = units(table["vec"])
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        near = x[left] @ x[right].T >= least
-        if i == j:
-            np.fill_diagonal(near, False)
-            return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(near @ copies[right])], names=["rep", "n"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[left], ids[right]])), pa.array(np.concatenate([near @ copies[right], copies[left] @ near]))], names=["rep", "n"])
 
-    return fn
-
-
-def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.95, passes: int = PASSES, reach: int = REACH) -> DataFrame:
+def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """Link vectors of cosine ``least`` or more: ``(id, n_links, component_id, kept)``, one row for each input row.
 
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the
@@ -96,51 +97,25 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
     rows (of one id, too) link with each other. An empty table gives none; extra
     columns are not read.
 
-    Method. In each pass the distinct vectors are sorted by the concatenated signs
-    of fresh random projections. Sorted rows are numbered and cut into blocks
-    that overlap by ``reach`` rows, each row is compared with the next ``reach`` in
-    double precision, and the verified links of all passes are united. A block
-    gives a spanning set of its links, so a large group costs rows and not pairs.
-    The links inside a component are then counted exactly, tile against tile,
-    which also finds those that no window held; the counts are added up and never
-    listed. A pair is missed only if no chain of windows joins it.
+    Method. The distinct vectors of a length are dealt over tiles, and every tile
+    meets every tile, so each pair is compared once, in double precision, and
+    none is missed whatever the vectors look like. A pair of tiles gives the
+    number of links of each vector and a spanning set of the links; the numbers are
+    added up, and links are never listed. For n distinct vectors that is n^2 / 2
+    products, and each vector travels once for every tile.
     """
     usable_rows = as_doubles(df, id, vector)
-    reps = usable_rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = cut_lineage(reps.withColumn("rep", F.monotonically_increasing_id()))
+    reps = cut_lineage(usable_rows.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     thin = F.col("vec").cast(f"array<{travels_as(df, vector)}>").alias("vec")
-
-    def keyed(batches):
-        for batch in batches:
-            rep = batch.column("rep").to_numpy()
-            for dim, at in by_dim(batch).items():
-                x = matrix(batch.column("vec").take(pa.array(at)), dim)
-                x = x / np.sqrt((x * x).sum(1))[:, None]
-                for turn in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn * 100_000 + dim, np.int64)), pa.array(sort_keys(x, turn)), pa.array(rep[at])], names=["turn", "key", "rep"])
-
-    # only keys are sorted; vectors join their places afterwards
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("dim", "rep", "vec").mapInArrow(keyed, "turn long, key long, rep long")
-    ordered = rows.repartitionByRange(partitions, "turn", "key", "rep").sortWithinPartitions("turn", "key", "rep")
-    ordered = cut_lineage(ordered.select("turn", "rep", F.monotonically_increasing_id().alias("_at")))
-    numbered = ordered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
-    parts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    numbered = numbered.join(parts, "_part").select("turn", "rep", (F.col("_base") + F.col("_at")).alias("rank"))
-    numbered = numbered.join(reps.select("rep", "id", thin), "rep")
-    block = F.expr(f"rank div {BLOCK}")
-    dealt = numbered.withColumn("own", F.lit(True)).withColumn("block", block).select("block", "rank", "turn", "id", "vec", "own")
-    ahead = numbered.filter(F.col("rank") % BLOCK < reach).withColumn("own", F.lit(False)).withColumn("block", block - 1).select("block", "rank", "turn", "id", "vec", "own")
-    links = map_groups(dealt.unionByName(ahead), ["turn", "block"], _window_links(reach, least), "a long, b long")
-    found = cut_lineage(components(links))
-
-    member = reps.join(found, F.col("id") == F.col("node")).select("dim", "rep", "vec", "copies", "component")
-    sizes = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    member = member.join(apart(sizes, "component"), "component").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    tiles = member.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select("component", "dim", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "rep", "tile", "copies", thin)
-    counted = map_groups(tiles, ["component", "dim", "i", "j"], _count_links(least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    dims = [tuple(r) for r in reps.groupBy("dim").agg(F.count(F.lit(1))).collect()]
+    lookup = [F.lit(v).cast("long") for pair in _tiles_of(dims).items() for v in pair]
+    tiles = F.element_at(F.create_map(*lookup), F.col("dim").cast("long")) if lookup else F.lit(1).cast("long")
+    dealt = reps.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("dim", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "rep", "id", "tile", "copies", thin)
+    linked = cut_lineage(map_groups(dealt, ["dim", "i", "j"], _tile_links(least), "rep long, n long, a long, b long"))
+    found = cut_lineage(components(linked.select("a", "b")))
+    counted = linked.groupBy("rep").agg(F.sum("n").alias("n"))
     node = reps.join(counted, "rep", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
     node = node.select(F.col("dim").alias("_dim"), F.col("vec").alias("_vec"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "id").alias("_component"))
     labelled = usable_rows.join(node, (F.col("dim") == F.col("_dim")) & (F.col("vec") == F.col("_vec"))).select(F.col("id"), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"))
@@ -151,5 +126,3 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors at cosine 0.95."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
