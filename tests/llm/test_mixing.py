@@ -57,6 +57,21 @@ def test_oracle_on_nulls_and_repeated_rows(spark, tmp_path):
     assert sum(r[4] for r in want) > 0
 
 
+def test_a_small_source_beside_a_huge_one(docs_of):
+    """3,000,000 words make slots of 5 words, and small sources still get their targets to the word."""
+    huge, small = " ".join(["w"] * 15_000), " ".join(["w"] * 10)
+    rows = [(i, huge, "en", "a") for i in range(200)] + [(1000 + i, small, "en", "b") for i in range(100)] + [(2000, "one two three", "en", "c"), (2001, "", "en", "c")]
+    got = mixing.mix_sources(docs_of(rows)).collect()
+    sizes, taken = {}, {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert sizes == {"a": 3_000_000, "b": 1000, "c": 3}
+    want = expected_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.51 for s in sizes) and taken["b"] == 2000 and taken["c"] == 6
+
+
 def test_no_words_and_no_rows(docs_of):
     got = mixing.mix_sources(docs_of([(1, "", "en", "a"), (2, None, "en", "b")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2

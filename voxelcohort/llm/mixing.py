@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks; DataFrame functions only."""
+"""Mixing sources to target weights, to the word or by a low-discrepancy schedule of equal-token blocks; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -70,14 +70,17 @@ def schedule(spark: SparkSession, targets: DataFrame, slots: int, block: int, mo
     return ranked.select("slot", "place", F.expr("r div blocks").alias("epoch"), (F.col("r") % F.col("blocks")).alias("block"))
 
 
-def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, slots: int = SLOTS) -> DataFrame:
+def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, slots: int | None = None) -> DataFrame:
     """What a mix takes of every document: ``id, source, size, source_size, target, taken``, one row for each input row.
 
     ``size`` counts words (null and empty texts: 0), ``taken`` the words that the
     mix takes, repeats counted, at most ``most`` times the size. A source is laid
-    out in the order of a hash of the ids and cut into blocks of equal tokens;
-    ``schedule`` says how often each block is used. Null sources are a source of
-    their own, null ids a key like others; rows that repeat an id lie side by
+    out in the order of a hash of the ids and taken from its beginning, again and
+    again, until it has given its target, rounded to whole words: large or small,
+    a source has its share to the word. With ``slots`` it is cut into blocks of
+    equal tokens instead, and ``schedule`` says how often each block is used; a
+    block is a slot's share of all words, so a source below some thousand blocks
+    misses its target. Null sources are a source of their own, null ids a key like others; rows that repeat an id lie side by
     side, equal rows being interchangeable. An empty table gives none; with no
     words at all nothing is taken. Extra columns are not read. Reruns agree.
 
@@ -90,9 +93,6 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     rows = cut_lineage(rows.withColumn("cell", F.substring("h", 1, 3)))
     sizes = rows.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     targets = cut_lineage(source_targets(sizes.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most))
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, math.ceil(total * share / slots))
-    uses = schedule(spark, targets, math.ceil(total * share / block), block, most).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
     at = targets.select(F.col("source").alias("_source"), "place", "source_size", "target")
     cells = sizes.select("source", "cell", (F.sum("n").over(Window.partitionBy("source").orderBy("cell")) - F.col("n")).alias("base"))
     cells = cells.join(at, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumnsRenamed({"source": "_source", "cell": "_cell"})
@@ -100,16 +100,24 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     placed = rows.withColumn("upto", F.sum("size").over(inside))
     placed = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell"))).withColumn("lo", F.col("base") + F.col("upto") - F.col("size")).withColumn("hi", F.col("base") + F.col("upto"))
     kept = ["id", "source", "size", "source_size", "target", "place", "lo"]
+    result = [F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "taken"]
+    if slots is None:
+        whole, rest = (F.expr(f"cast(round(target) as long) {op} source_size") for op in ("div", "%"))
+        taken = F.col("size") * whole + F.greatest(F.least("hi", rest) - F.col("lo"), F.lit(0))
+        return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long")).select(*result)
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
+    block = max(1, math.ceil(total * share / slots))
+    uses = schedule(spark, targets, math.ceil(total * share / block), block, most).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
     parts = placed.filter("size > 0").select(*kept, "hi", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("block"))
     parts = parts.withColumn("words", F.least(F.col("hi"), (F.col("block") + 1) * block) - F.greatest(F.col("lo"), F.col("block") * block))
     taken = parts.join(uses, ["place", "block"], "left").groupBy(*kept).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     empty = placed.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
-    return taken.unionAll(empty).select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "taken")
+    return taken.unionAll(empty).select(*result)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all sources, weights 3, 1, 2 in turn, half as many words again."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of all sources, weights 3, 1, 2 in turn, half as many words again, in the blocks that ``OP3_SQL`` states."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), slots=SLOTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
