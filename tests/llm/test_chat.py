@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,41 @@ def test_long_chain_and_empty_table(spark):
     got = chat.link_quotes(spark.createDataFrame(rows, SCHEMA)).orderBy("turn").collect()
     assert [r["depth"] for r in got] == list(range(40)) and {r["thread"] for r in got} == {0}
     assert chat.link_quotes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_parents(rows):
+    """Per (conv, turn), from messages whose quoted lines all have one mark: the earlier turn that wrote most quoted characters, the later on a tie."""
+    wrote, out = {}, {}
+    for conv, turn, _, text in sorted(rows):
+        lines = text.split("\n")
+        quoted = [x[2:] for x in lines if x.startswith("> ")]
+        scores = [(sum(len(q) for q in quoted if q in said), t) for (c, t), said in wrote.items() if c == conv]
+        best = max((s for s in scores if s[0]), default=None)
+        matched = sum(any(q in said for (c, _), said in wrote.items() if c == conv) for q in quoted)
+        out[conv, turn] = (best and best[1], matched)
+        wrote[conv, turn] = {x for x in lines if not x.startswith("> ")}
+    return out
+
+
+def parents(spark, rows):
+    return {(r["conv_id"], r["turn"]): (r["reply_to"], r["matched_lines"]) for r in chat.link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_repeated_signature_and_resent_message(spark):
+    sign = "-" * 60
+    rows = [(1, 0, "u", f"a long question\n{sign}"), (1, 1, "b", "what?"), (1, 2, "u", f"yes.\n{sign}"), (1, 3, "b", f"> yes.\n> {sign}\nfine")]
+    rows += [(2, 0, "u", "is anyone here?"), (2, 1, "u", "is anyone here?"), (2, 2, "b", "> is anyone here?\nme"), (2, 3, "u", "is anyone here?")]
+    got = parents(spark, rows)
+    assert got == brute_parents(rows)
+    assert got[1, 3] == (2, 2) and got[2, 2] == (1, 1)
+
+
+def test_frequent_lines_equal_brute_force(spark):
+    rng = random.Random(4)
+    lines = ["hello", "best wishes, anna", "sent from my phone", *(f"line {i}" for i in range(30))]
+    rows = []
+    for conv in range(6):
+        for turn in range(25):
+            own = rng.sample(lines[:3], rng.randrange(3)) + rng.sample(lines[3:], rng.randrange(3))
+            rows.append((conv, turn, "u", "\n".join(["> " + rng.choice(lines) for _ in range(rng.randrange(4))] + own)))
+    assert parents(spark, rows) == brute_parents(rows)

@@ -51,7 +51,7 @@ def _roots(parents: DataFrame) -> DataFrame:
         now = now.drop("moved")
 
 
-def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", first_writer: bool = False) -> DataFrame:
     """Reply-ordered conversations without quotes.
 
     Adds to every message ``own_text`` (its text without quoted lines and the
@@ -62,28 +62,40 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     kept; columns with those names are replaced.
 
     Method. A line's leading ">" marks are its quote level. Lines are
-    normalised and hashed, and a quoted line is joined to the message of the same
-    conversation that wrote it first, outside any quotation; that must be an
-    earlier turn. A message answers the one from which most characters of its
+    normalised and hashed, and a quoted line is joined to every earlier message of
+    the same conversation that wrote it outside any quotation, or with
+    ``first_writer`` only to the first. A message answers the one from which most characters of its
     outermost quotations come, the later one on a tie. Lines two levels deep are
     what that message had quoted itself and say nothing more.
 
     Null texts stay null and have no lines; a null conversation or turn is kept
     and links with nothing; rows that repeat a turn share what any of them
-    links to. An empty table gives none. A line that a third of all
-    messages hold is reduced to its first writer before it is joined, and no
+    links to. An empty table gives none. A line that w messages of a conversation
+    write and q quote costs up to w * q rows, which are summed before they are
+    exchanged; Spark splits the join of a hot line. With ``first_writer`` it is reduced to one row, but
+    a reply that quotes a signature or a message sent again counts for the first to write it. No
     conversation is gathered into one task.
     """
     added = ("own_text", "reply_to", "thread", "depth", "quoted_lines", "matched_lines")
     base = df.drop(*added)
     lines = message_lines(base.filter(F.col(conv).isNotNull() & F.col(turn).isNotNull()).withColumn("message", F.lit(0)), conv, turn, text)
-    said = lines.filter("level = 0 and passage is not null").groupBy("conv", "passage").agg(F.min("turn").alias("_first"))
+    written = lines.filter("level = 0 and passage is not null")
+    said = written.groupBy("conv", "passage").agg(F.min("turn").alias("_first"))
     quoted = lines.filter("level > 0 and passage is not null").groupBy("conv", "turn", "level", "passage").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     quoted = cut_lineage(quoted)
     outermost = quoted.groupBy("conv", "turn").agg(F.min("level").alias("_outer"), F.sum("n").alias("quoted_lines"))
     matched = quoted.join(said, ["conv", "passage"]).filter("_first < turn").join(outermost.select("conv", "turn", "_outer"), ["conv", "turn"])
-    votes = matched.filter("level = _outer").groupBy("conv", "turn", F.col("_first").alias("parent")).agg(F.sum("chars").alias("chars"), F.sum("n").alias("lines"))
-    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("chars", "parent")).alias("_b"), F.sum("lines").alias("matched_lines"))
+    outer = matched.filter("level = _outer")
+    if first_writer:
+        votes = outer.groupBy("conv", "turn", F.col("_first").alias("parent")).agg(F.sum("chars").alias("chars"), F.sum("n").alias("lines"))
+        best = votes.groupBy("conv", "turn").agg(F.max(F.struct("chars", "parent")).alias("_b"), F.sum("lines").alias("matched_lines"))
+    else:
+        outer = cut_lineage(outer.select("conv", "turn", "passage", "n", "chars"))
+        every = written.select(F.col("conv").alias("_conv"), F.col("passage").alias("_passage"), F.col("turn").alias("parent")).distinct()
+        pairs = outer.join(every, (F.col("conv") == F.col("_conv")) & (F.col("passage") == F.col("_passage")) & (F.col("parent") < F.col("turn")))
+        votes = pairs.groupBy("conv", "turn", "parent").agg(F.sum("chars").alias("chars"))
+        counted = outer.groupBy("conv", "turn").agg(F.sum("n").alias("matched_lines"))
+        best = votes.groupBy("conv", "turn").agg(F.max(F.struct("chars", "parent")).alias("_b")).join(counted, ["conv", "turn"])
     best = cut_lineage(best.select("conv", "turn", F.col("_b.parent").alias("parent"), "matched_lines"))
     chains = _roots(best)
     facts = outermost.select("conv", "turn", "quoted_lines").join(best, ["conv", "turn"], "left").join(chains, ["conv", "turn"], "left")
@@ -101,8 +113,8 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
 
 
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages with what they answer, and their own text as a digest."""
-    linked = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All messages with what they answer, each line standing for its first writer as ``OP10_SQL`` states, and their own text as a digest."""
+    linked = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"), first_writer=True)
     return linked.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "quoted_lines", "matched_lines", F.sha2("own_text", 256).alias("own_sha256"))
 
 
