@@ -35,6 +35,14 @@ def test_language_keeps_clean_documents(tables):
     assert all(kept[i]["text"] == raw[i]["text"] for i in kept)
 
 
+def test_low_confidence_keeps_documents_with_letters(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "eins two trois", "en", "a", 14), (2, "a b", None, "a", 3), (3, "12", "en", "a", 2)], DOCS)
+    judged = F.when(F.col("text").rlike(r"\p{L}"), F.lit("en")).otherwise(F.lit("und"))
+    monkeypatch.setattr(cp.langid, "train", lambda df: object())
+    monkeypatch.setattr(cp.langid, "predict", lambda df, net: df.withColumn("lang_pred", judged).withColumn("score", F.lit(0.35)))
+    assert {i: r["lang"] for i, r in rows(cp.language(spark, docs, "")).items()} == {1: "en", 2: "en"}
+
+
 def test_near_duplicates_equal_all_pairs(tables):
     before = rows(tables[1])
     sets = {i: shingle_set(r["text"], 5) for i, r in before.items()}
