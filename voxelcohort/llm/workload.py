@@ -3,6 +3,7 @@
 from .ann import op4_nearest
 from .bpe import op5_bpe
 from .chat import OP10_SQL, op10_quotes
+from .exact import OP13_SQL, op13_exact
 from .jaccard import OP1_SQL, op1_jaccard
 from .langid import op2_language_id
 from .mixing import OP3_SQL, op3_mixing
@@ -22,4 +23,5 @@ Q = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_quality": (op9_quality, None),
     "op10_quotes": (op10_quotes, OP10_SQL),
+    "op13_exact": (op13_exact, OP13_SQL),
 }
