@@ -9,7 +9,9 @@ from .langid import op2_language_id
 from .mixing import OP3_SQL, op3_mixing
 from .neardup import op7_near_vectors
 from .quality import op9_quality
+from .repair import OP11_SQL, op11_repair
 from .shared_text import OP6_SQL, op6_substring_dedup
+from .spelling import OP12_SQL, op12_spelling
 from .toxicity import op8_toxicity
 
 Q = {
@@ -23,5 +25,7 @@ Q = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_quality": (op9_quality, None),
     "op10_quotes": (op10_quotes, OP10_SQL),
+    "op11_repair": (op11_repair, OP11_SQL),
+    "op12_spelling": (op12_spelling, OP12_SQL),
     "op13_exact": (op13_exact, OP13_SQL),
 }
