@@ -61,29 +61,58 @@ def test_one_id_with_several_vectors(spark):
     assert sorted((r[0], r[1]) for r in got) == [(1, 1), (2, 0), (2, 0), (2, 1), (3, 0)] and {r[2] for r in got if r[0] in (1, 2)} == {1}
 
 
+def test_scales_and_limits_of_doubles(spark):
+    df = spark.createDataFrame([(1, [1e-200, 2e-200]), (2, [1.0, 0.001]), (3, [1e200, 2e200]), (4, [3.0, 6.0]), (5, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in neardup.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 3: (2, 1), 4: (2, 1), 2: (1, 2), 5: (1, 2)}
+
+
+def counts(x, least=0.95):
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    out = np.zeros(len(u), int)
+    for lo in range(0, len(u), 1000):
+        out[lo : lo + 1000] = (u[lo : lo + 1000] @ u.T >= least).sum(1)
+    return out - 1
+
+
 def test_recall_on_the_supplied_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
-    x = np.array([r["embedding"] for r in rows], np.float32)
-    want = {rows[a]["vec_id"]: n for a, n, _, _ in brute(x)}
+    want = counts(np.array([r["embedding"] for r in rows], np.float64))
     got = {r["vec_id"]: r["n_links"] for r in neardup.op7_near_vectors(spark, sf).collect()}
-    assert sum(got.values()) >= 0.9 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+    have = np.array([got[r["vec_id"]] for r in rows])
+    assert have.sum() >= 0.98 * want.sum() and (have <= want).all()
 
 
-def test_dense_cone_loses_no_link(spark):
-    """A third of the rows at cosine 0.9 of each other, near pairs at 0.955 among them: no sort order brings them together."""
-    rng = np.random.default_rng(5)
+def cone_and_twins(rng, n_cone, n_twins, n_rest, cosine=0.9):
+    """Rows at a cosine of each other, pairs at 0.955 among them, and rows around them in all directions."""
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     axis = unit(rng.normal(size=64))
-    cone = unit(np.sqrt(0.9) * axis + np.sqrt(0.1) * unit(rng.normal(size=(1400, 64))))
-    twins = unit(cone[:100] + np.tan(np.arccos(0.955)) * unit(rng.normal(size=(100, 64))))
-    x = np.concatenate([cone, twins, unit(rng.normal(size=(3000, 64)))])
-    x = x[rng.permutation(len(x))]
-    u = unit(x)
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    want = near.sum(1)
-    assert want.sum() >= 200
-    got = {r[0]: r[1:] for r in found(spark, [(i, v.tolist()) for i, v in enumerate(x)])}
-    assert [got[i][0] for i in range(len(x))] == want.tolist()
-    part = union_find(range(len(x)), [(a, b) for a, b in np.argwhere(near).tolist() if a < b])
-    assert [got[i][1] for i in range(len(x))] == [part[i] for i in range(len(x))]
+    cone = unit(np.sqrt(cosine) * axis + np.sqrt(1 - cosine) * unit(rng.normal(size=(n_cone, 64))))
+    twins = unit(cone[:n_twins] + np.tan(np.arccos(0.955)) * unit(rng.normal(size=(n_twins, 64))))
+    x = np.concatenate([cone, twins, unit(rng.normal(size=(n_rest, 64)))])
+    return x[rng.permutation(len(x))].astype(np.float32)
+
+
+@pytest.mark.parametrize("size, crowded_reach", [(1400, neardup.CROWDED_REACH), (4000, 512)])
+def test_dense_cone(spark, monkeypatch, size, crowded_reach):
+    """A third of the rows at cosine 0.9 of each other, near pairs at 0.955 among them; also with cells far above the reach."""
+    monkeypatch.setattr(neardup, "BLOCK", 1024)
+    x = cone_and_twins(np.random.default_rng(5), size, size // 10, 2 * size)
+    want = counts(x)
+    assert want.sum() >= size // 5
+    got = {r[0]: r[1] for r in found(spark, [(i, v.tolist()) for i, v in enumerate(x)], crowded_reach=crowded_reach)}
+    have = np.array([got[i] for i in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+
+
+def test_passes_grow_with_the_logarithm():
+    turns = [neardup.plan_passes(n, 64, 0.95, 0.002)[1] for n in (10, 10**4, 10**6, 10**8)]
+    assert turns[0] == 1 and turns == sorted(turns) and turns[-1] < 100
+
+
+def test_windows_reach_over_blocks(spark, monkeypatch):
+    """With a reach of several blocks every pair is compared in one pass."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 3)).astype(np.float32)
+    assert found(spark, [(i, v.tolist()) for i, v in enumerate(x)], reach=90) == sorted(brute(x), key=str)

@@ -46,10 +46,11 @@ def travels_as(df: DataFrame, vector: str) -> str:
 
 
 def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of one length, scaled to length one in double precision."""
+    """Rows of one length, scaled to length one in double precision; by the largest component first, so that no square overflows or vanishes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
