@@ -88,6 +88,18 @@ def test_one_edit_and_deletions():
         assert not spelling.one_edit(a, b) or spelling.deletions(a) & spelling.deletions(b)
 
 
+def test_long_words_share_an_end():
+    rng = random.Random(2)
+    for n in (62, 63, 64, 65, 66, 500):
+        for _ in range(200):
+            a = [rng.choice("ab") for _ in range(n)]
+            b, at = a[:], rng.randrange(n)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "c"])
+            a, b = "".join(a), "".join(b)
+            assert not spelling.one_edit(a, b) or spelling.deletions(a) & spelling.deletions(b)
+    assert len(spelling.deletions("ab" * 500_000)) == 2
+
+
 def random_docs(rng, n):
     words = list(variants(rng, 60, "abcdefghé×ÿ", 10))
     return [(i if i % 17 else None, " ".join(rng.choice(words).title() + rng.choice(["", "'s", "1", "Āx", "İ", "\U0001f600"]) for _ in range(rng.randrange(80)))) for i in range(n)]

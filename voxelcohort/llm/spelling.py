@@ -22,6 +22,8 @@ PARTITIONS = (1, 7)
 DISTANCE = 2
 #: Buckets above so many words are dealt by the words' deletions too.
 BUCKET_WORDS = 512
+#: Longer words are told apart by their ends: deletions would take the square of the length.
+LONG = 64
 
 #: Latin-1 bytes: letters A-Z as a-z, the other word letters as they are, all else as a blank.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
@@ -127,8 +129,13 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def deletions(word: str) -> set[str]:
-    """The word itself and the word without each one of its letters; words at one edit share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    """The word itself and the word without each one of its letters; words at one edit share one of these.
+
+    Words of LONG letters or more have their first and their last letters instead,
+    which one edit cannot both touch; those of just LONG letters have both kinds.
+    """
+    ends = {"<" + word[: LONG // 2], word[len(word) - LONG // 2 :] + ">"} if len(word) >= LONG else set()
+    return ends if len(word) > LONG else {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} | ends
 
 
 def _near_in(words: list[str]) -> Iterator[tuple[str, str]]:
