@@ -346,9 +346,13 @@ def summary(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:
     after another; all others are digested where they are.
     """
     counts = ["blank", "duplicate", "truncated", "illegal", "cost"]
-    text = repaired_text(F.col("messages"))
-    short = repaired.filter("parts = 1").select(conv, *counts, "audit", F.sha2(F.coalesce(text, F.lit("")), 256).alias("repaired_sha256"))
-    long = repaired.filter("parts > 1").select(_conversation_key(F.col(conv)).alias("ck"), conv, "part", *counts, "audit", text.alias("_text"))
+    text, whole = repaired_text(F.col("messages")), F.col("parts") == 1
+    once = repaired.select(conv, "part", "parts", *counts, "audit", F.when(whole, F.sha2(F.coalesce(text, F.lit("")), 256)).alias("repaired_sha256"), F.when(~whole, text).alias("_text"))
+    once = cut_lineage(once)  # conversations are parsed once for both branches; only texts of parts are stored
+    short = once.filter("parts = 1").select(conv, *counts, "audit", "repaired_sha256")
+    long = once.filter("parts > 1").select(_conversation_key(F.col(conv)).alias("ck"), conv, "part", *counts, "audit", "_text")
+    if long.isEmpty():
+        return short
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "audit"))), lambda x: x["audit"]), "")
     sums = long.groupBy("ck").agg(F.first(conv).alias(conv), *[F.sum(c).alias(c) for c in counts], joined.alias("audit"))
     digests = long.select("ck", "part", "_text").repartition("ck").sortWithinPartitions("ck", "part").mapInArrow(_digests, "ck string, repaired_sha256 string")
