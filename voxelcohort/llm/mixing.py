@@ -1,4 +1,4 @@
-"""Mixing sources to target weights, to the word or by a low-discrepancy schedule of equal-token blocks; DataFrame functions only."""
+"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from voxelcohort.session import cut_lineage
 
-#: Slots of a schedule; a block is a slot's share of all tokens, so precision does not depend on the input's size.
-SLOTS = 1 << 20
+#: About so many slots for the blocks of all large sources, and for those of each small one.
+SLOTS, FEWEST = 1 << 20, 256
 #: 2^32 divided by the golden ratio: slot t has the point t * GOLDEN mod 2^32.
 GOLDEN = 2654435769
 SPAN = 1 << 32
@@ -44,51 +44,68 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.withColumn("target", F.least(F.col("room").cast("double"), F.max("level").over(every) * F.col("weight"))).drop("room", "level")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, slots: int, block: int, most: int = 2) -> DataFrame:
-    """Low-discrepancy order of blocks: ``(slot, place, epoch, block)``.
+def block_plan(targets: DataFrame, slots: int = SLOTS, fewest: int = FEWEST) -> DataFrame:
+    """Blocks of each source: adds ``words`` (its target in whole words), ``block`` (words of a block), ``blocks`` and ``uses``.
 
-    The golden-ratio point of a slot falls between two cumulative targets and so
+    A block is a slot's share of all words, but a small source has shorter
+    blocks, so that it has ``fewest`` uses too, and none is shorter than a word. ``uses`` is the number of slots that
+    give ``words``: whole passes over the blocks, then blocks from the first on, the last of them in part.
+    """
+    sized = targets.withColumn("words", F.round("target").cast("long")).filter("words > 0")
+    total = sized.agg(F.sum("words")).first()[0] or 0
+    longest = max(1, math.ceil(total / slots))
+    plan = sized.withColumn("block", F.least(F.lit(longest), F.ceil(F.col("words") / fewest)).cast("long"))
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    return plan.withColumn("uses", F.expr("words div source_size * blocks + cast(ceil(words % source_size / block) as long)"))
+
+
+def schedule(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """Low-discrepancy order of blocks: ``(slot, place, epoch, block, words)``.
+
+    The golden-ratio point of a slot falls between two cumulative numbers of uses and so
     names a source; the r-th slot of a source takes its block r modulo the number
-    of its blocks. Any run of slots holds each source in its share but for a few
-    slots. The few slots beyond ``most`` passes are left out.
+    of its blocks, and ``words`` of it. Any run of slots holds each source in its share but for a few
+    slots. Among n points no gap is above 1.9 / n, so twice as many points as
+    uses give every source its uses; the points beyond are left out.
     """
     order = Window.orderBy("place")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = F.round(F.sum("target").over(upto) / F.sum("target").over(every) * F.lit(float(SPAN))).cast("long")
-    bounds = targets.filter("target > 0").withColumn("hi", edge)
-    # the running sum of the last source is the sum of all
-    bounds = bounds.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0).cast("long"))).filter("hi > lo")
+    total = plan.agg(F.sum("uses")).first()[0] or 0
+    upto = F.sum("uses").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    bounds = plan.withColumn("hi", upto)
+    edge = lambda n: F.floor(n.cast("decimal(20,0)") * F.lit(SPAN).cast("decimal(11,0)") / F.lit(max(1, total)).cast("decimal(20,0)")).cast("long")
+    bounds = bounds.withColumn("lo", edge(F.col("hi") - F.col("uses"))).withColumn("hi", edge(F.col("hi")))
     step = SPAN // GRID
-    bounds = bounds.select("place", "lo", "hi", F.ceil(F.col("source_size") / block).alias("blocks"), F.explode(F.sequence(F.expr(f"lo div {step}"), F.expr(f"(hi - 1) div {step}"))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(SPAN)).alias("u")).withColumn("cell", F.expr(f"u div {step}"))
-    named = points.join(bounds, "cell").filter("u >= lo and u < hi").select("slot", "place", "blocks", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    bounds = bounds.select("place", "lo", "hi", "blocks", "uses", "words", "source_size", F.col("block").alias("length"), F.explode(F.sequence(F.expr(f"lo div {step}"), F.expr(f"(hi - 1) div {step}"))).alias("cell"))
+    points = spark.range(2 * total + 2).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(SPAN)).alias("u")).withColumn("cell", F.expr(f"u div {step}"))
+    named = points.join(bounds, "cell").filter("u >= lo and u < hi").select("slot", "place", "blocks", "uses", "words", "source_size", "length", F.expr(f"slot div {CHUNK}").alias("chunk"))
     counts = named.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("place", "chunk", (F.sum("n").over(Window.partitionBy("place").orderBy("chunk")) - F.col("n")).alias("first"))
     ranked = named.withColumn("k", F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1).join(starts, ["place", "chunk"])
-    ranked = ranked.withColumn("r", F.col("first") + F.col("k")).filter(F.col("r") < F.col("blocks") * most)
-    return ranked.select("slot", "place", F.expr("r div blocks").alias("epoch"), (F.col("r") % F.col("blocks")).alias("block"))
+    ranked = ranked.withColumn("r", F.col("first") + F.col("k")).filter(F.col("r") < F.col("uses")).withColumn("block", F.col("r") % F.col("blocks"))
+    # the last block of a pass ends with the source, and the last use with the target
+    left = F.col("source_size") - F.col("block") * F.col("length")
+    rest = F.expr("words % source_size") - F.col("block") * F.col("length")
+    last = (F.col("r") == F.col("uses") - 1) & (F.expr("words % source_size") > 0)
+    return ranked.select("slot", "place", F.expr("r div blocks").alias("epoch"), "block", F.least("length", F.when(last, rest).otherwise(left)).alias("words"))
 
 
-def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, slots: int | None = None) -> DataFrame:
+def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, slots: int = SLOTS, fewest: int = FEWEST) -> DataFrame:
     """What a mix takes of every document: ``id, source, size, source_size, target, taken``, one row for each input row.
 
     ``size`` counts words (null and empty texts: 0), ``taken`` the words that the
     mix takes, repeats counted, at most ``most`` times the size. A source is laid
-    out in the order of a hash of the ids and taken from its beginning, again and
-    again, until it has given its target, rounded to whole words: large or small,
-    a source has its share to the word. With ``slots`` it is cut into blocks of
-    equal tokens instead, and ``schedule`` says how often each block is used; a
-    block is a slot's share of all words, so a source below some thousand blocks
-    misses its target. Null sources are a source of their own, null ids a key like others; rows that repeat an id lie side by
-    side, equal rows being interchangeable. An empty table gives none; with no
+    out in the order of a hash of id and text and cut into blocks of equal length. ``schedule`` deals
+    golden-ratio slots to the sources and says how often, and with how many words, each block is used; a document
+    has what is taken of its part of the blocks. Large or small, every source has its target, rounded to
+    whole words. Null sources are a source of their own, null ids and texts count as empty; equal rows
+    lie side by side, being interchangeable. An empty table gives none; with no
     words at all nothing is taken. Extra columns are not read. Reruns agree.
 
     Running sums are taken in 4096 hash cells a source first and inside a cell
     after that, so a source with a third of all rows is not ordered in one task.
     """
     spark = df.sparkSession
-    key = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
     rows = df.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("h"))
     rows = cut_lineage(rows.withColumn("cell", F.substring("h", 1, 3)))
     sizes = rows.groupBy("source", "cell").agg(F.sum("size").alias("n"))
@@ -100,29 +117,28 @@ def mix_sources(df: DataFrame, id: str = "doc_id", text: str = "text", source: s
     placed = rows.withColumn("upto", F.sum("size").over(inside))
     placed = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell"))).withColumn("lo", F.col("base") + F.col("upto") - F.col("size")).withColumn("hi", F.col("base") + F.col("upto"))
     kept = ["id", "source", "size", "source_size", "target", "place", "lo"]
-    result = [F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "taken"]
-    if slots is None:
-        whole, rest = (F.expr(f"cast(round(target) as long) {op} source_size") for op in ("div", "%"))
-        taken = F.col("size") * whole + F.greatest(F.least("hi", rest) - F.col("lo"), F.lit(0))
-        return placed.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long")).select(*result)
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, math.ceil(total * share / slots))
-    uses = schedule(spark, targets, math.ceil(total * share / block), block, most).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
-    parts = placed.filter("size > 0").select(*kept, "hi", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("block"))
-    parts = parts.withColumn("words", F.least(F.col("hi"), (F.col("block") + 1) * block) - F.greatest(F.col("lo"), F.col("block") * block))
-    taken = parts.join(uses, ["place", "block"], "left").groupBy(*kept).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+
+    plan = cut_lineage(block_plan(targets, slots, fewest))
+    uses = schedule(spark, plan).groupBy("place", "block", "words").agg(F.count(F.lit(1)).alias("uses"))
+    length = plan.select("place", F.col("block").alias("length"))
+    parts = placed.filter("size > 0").join(length, "place").withColumn("block", F.explode(F.sequence(F.expr("lo div length"), F.expr("(hi - 1) div length"))))
+    parts = parts.withColumns({"_from": F.greatest(F.col("lo"), F.col("block") * F.col("length")), "_begin": F.col("block") * F.col("length")})
+    # a use takes the first `words` words of its block
+    used = F.greatest(F.least(F.col("hi"), F.col("_begin") + F.col("words")) - F.col("_from"), F.lit(0)) * F.col("uses")
+    met = parts.select(*kept, "hi", "block", "_from", "_begin").join(uses, ["place", "block"], "left")
+    taken = met.groupBy(*kept).agg(F.sum(F.coalesce(used, F.lit(0))).cast("long").alias("taken"))
     empty = placed.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
-    return taken.unionAll(empty).select(*result)
+    return taken.unionAll(empty).select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "taken")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all sources, weights 3, 1, 2 in turn, half as many words again, in the blocks that ``OP3_SQL`` states."""
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), slots=SLOTS).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of all sources, weights 3, 1, 2 in turn, half as many words again."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
 with docs as (select row_number() over () as row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-              md5(coalesce(doc_id::varchar, '')) as h from documents),
+              md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
 sizes as (select source, sum(size)::bigint as source_size from docs group by source),
 ranked as (select *, row_number() over (order by source nulls last) as place from sizes),
 weighed as (select *, [3, 1, 2][((place - 1) % 3 + 1)::int]::bigint as weight, source_size * 2 as room from ranked),
@@ -130,17 +146,8 @@ levels as (select *, ((sum(source_size) over ())::double * 1.5::double
              - coalesce(sum(room) over (order by room::double / weight::double, place rows between unbounded preceding and 1 preceding), 0)::double)
              / ((sum(weight) over ())::double - coalesce(sum(weight) over (order by room::double / weight::double, place rows between unbounded preceding and 1 preceding), 0)::double) as level from weighed),
 targets as (select *, least(room::double, (max(level) over ()) * weight::double) as target from levels),
-plan as (select greatest(1, ceil(sum(source_size)::double * 1.5::double / 1048576))::bigint as b, ceil(sum(source_size)::double * 1.5::double / greatest(1, ceil(sum(source_size)::double * 1.5::double / 1048576)))::bigint as slots from targets),
-edges as (select *, round((sum(target) over (order by place rows between unbounded preceding and current row)) / (sum(target) over (order by place rows between unbounded preceding and unbounded following)) * 4294967296::double)::bigint as hi from targets where target > 0),
-bounds as (select *, coalesce(lag(hi) over (order by place), 0) as lo, ceil(source_size::double / (select b from plan))::bigint as blocks from edges),
-points as (select unnest(range((select slots from plan))) as slot),
-named as (select slot, place, blocks, row_number() over (partition by place order by slot) - 1 as r
-          from points join bounds on (slot * 2654435769) % 4294967296 >= lo and (slot * 2654435769) % 4294967296 < hi),
-uses as (select place, r % blocks as block, count(*) as uses from named where r < blocks * 2 group by 1, 2),
-placed as (select d.*, t.source_size, t.target, t.place, (sum(size) over (partition by t.place order by h, size, row rows between unbounded preceding and current row))::bigint as hi
-           from docs d join targets t on d.source is not distinct from t.source),
-parts as (select row, place, unnest(range((hi - size) // (select b from plan), (hi - 1) // (select b from plan) + 1)) as block, hi - size as lo, hi from placed where size > 0),
-taken as (select p.row, sum((least(hi, (p.block + 1) * (select b from plan)) - greatest(lo, p.block * (select b from plan))) * coalesce(uses, 0))::bigint as taken
-          from parts p left join uses u on p.place = u.place and p.block = u.block group by 1)
-select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (row)
+placed as (select d.*, t.source_size, t.target, round(t.target)::bigint as words, (sum(size) over (partition by t.place order by h, size, row rows between unbounded preceding and current row))::bigint as hi
+           from docs d join targets t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       case when size > 0 then size * (words // source_size) + greatest(least(hi, words % source_size) - (hi - size), 0) else 0 end::bigint as taken from placed
 """
