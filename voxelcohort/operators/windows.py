@@ -7,7 +7,8 @@ the cut pieces travel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,15 @@ from pyspark.sql import types as T
 
 AXES = ("i", "j", "k")
 _LIST = T.ArrayType(T.IntegerType())
+#: A batch of results is handed on when it holds so many values.
+BATCH_VALUES = 1 << 22
+#: Names of padding modes, as numpy calls them.
+PADDING = {"constant": "constant", "reflect": "reflect", "replicate": "edge", "circular": "wrap"}
 
 
-def _schema(df: DataFrame, *more: str) -> T.StructType:
-    """The volume id's own type, then ``name type`` fields."""
-    own = [T.StructField("volume_id", df.schema["volume_id"].dataType)]
+def _schema(df: DataFrame, *more: str, id: str = "volume_id") -> T.StructType:
+    """The id's own type, then ``name type`` fields."""
+    own = [T.StructField(id, df.schema[id].dataType)]
     return T.StructType(own + [T.StructField(n, t) for n, t in (_field(m) for m in more)])
 
 
@@ -30,21 +35,63 @@ def _field(text: str):
     return name, {"int": T.IntegerType(), "ints": _LIST, "double": T.DoubleType(), "doubles": T.ArrayType(T.DoubleType())}[kind]
 
 
-def _arrow(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(target)], schema=target)
+    return to_arrow_schema(schema)
 
 
-def _block(row: dict) -> np.ndarray:
-    return np.array(row["data"], np.float64).reshape(row["dims"])
+def lists_of(blocks: Sequence[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column from arrays: their values are copied once, as they are."""
+    offsets = np.concatenate([[0], np.cumsum([b.size for b in blocks])]).astype(np.int32)
+    values = np.concatenate([b.ravel() for b in blocks]).astype(np.float64, copy=False) if blocks else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
 
 
-def _rows(batches, size: int = 64) -> Iterator[list[dict]]:
+def blocks_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The arrays ``data`` of a batch with their ``dims``, as views of its buffer; nothing is copied. A missing value is NaN."""
+    data = batch.column(batch.schema.get_field_index("data"))
+    values = data.values.to_numpy(zero_copy_only=data.values.null_count == 0)
+    at = data.offsets.to_numpy()
+    dims = batch.column(batch.schema.get_field_index("dims")).to_pylist()
+    return [values[a:b].reshape(-1, *d) if b - a != np.prod(d) else values[a:b].reshape(d) for a, b, d in zip(at[:-1], at[1:], dims)]
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Rows of batches: the small columns, and the block."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, size):
-            yield batch.slice(lo, size).to_pylist()
+        small = batch.select([n for n in batch.schema.names if n != "data"]).to_pylist()
+        yield from zip(small, blocks_of(batch))
+
+
+def _batches(schema: T.StructType, items: Iterable[tuple[tuple, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size from ``(small columns, block)``; ``data`` is the last column."""
+    target = _arrow_schema(schema)
+
+    def batch(rows, blocks):
+        small = [pa.array([r[n] for r in rows], f.type) for n, f in enumerate(list(target)[:-1])]
+        return pa.RecordBatch.from_arrays([*small, lists_of(blocks, target.field("data").type)], schema=target)
+
+    rows, blocks, held = [], [], 0
+    for row, block in items:
+        if held and held + block.size > BATCH_VALUES:
+            yield batch(rows, blocks)
+            rows, blocks, held = [], [], 0
+        rows.append(row)
+        blocks.append(block)
+        held += block.size
+    if rows:
+        yield batch(rows, blocks)
+
+
+def _map(df: DataFrame, fn: Callable[[Iterator[tuple[dict, np.ndarray]]], Iterable[tuple[tuple, np.ndarray]]], schema: T.StructType) -> DataFrame:
+    """Rows with blocks in, rows with blocks out, in a stream."""
+    return df.mapInArrow(lambda batches: _batches(schema, fn(_rows(batches))), schema)
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], fn, schema: T.StructType, *order: str) -> DataFrame:
+    """Like :func:`_map` on partitions sorted by ``keys``: a group's rows come one after another and are never held together."""
+    return _map(df.repartition(*keys).sortWithinPartitions(*keys, *order), fn, schema)
 
 
 # --- boxes of chunks ------------------------------------------------------------------------------------
@@ -66,17 +113,14 @@ def cut_boxes(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
         touch = touch & (at < lo + F.get("size", n)) & (at + F.get("dims", n) > lo)
     met = chunks.select("volume_id", "origin", "dims", "data").join(boxes.select("volume_id", "lo", "size"), "volume_id").filter(touch)
 
-    def cut(batches):
-        for rows in _rows(batches):
-            out = []
-            for r in rows:
-                a = [max(x, y) for x, y in zip(r["origin"], r["lo"])]
-                b = [min(x + d, y + s) for x, d, y, s in zip(r["origin"], r["dims"], r["lo"], r["size"])]
-                part = _block(r)[tuple(slice(x - o, y - o) for x, y, o in zip(a, b, r["origin"]))]
-                out.append((r["volume_id"], [x - y for x, y in zip(a, r["lo"])], list(part.shape), part.ravel()))
-            yield _arrow(schema, out)
+    def cut(rows):
+        for r, block in rows:
+            a = [max(x, y) for x, y in zip(r["origin"], r["lo"])]
+            b = [min(x + d, y + s) for x, d, y, s in zip(r["origin"], r["dims"], r["lo"], r["size"])]
+            part = block[tuple(slice(x - o, y - o) for x, y, o in zip(a, b, r["origin"]))]
+            yield (r["volume_id"], [x - y for x, y in zip(a, r["lo"])], list(part.shape)), part
 
-    return met.mapInArrow(cut, schema)
+    return _map(met, cut, schema)
 
 
 def shift(chunks: DataFrame, by: DataFrame) -> DataFrame:
@@ -92,16 +136,13 @@ def reorient(chunks: DataFrame, source: str, target: str) -> DataFrame:
     flip = [source[a] != c for a, c in zip(order, target)]
     schema = _schema(chunks, *PIECE)
 
-    def turn(batches):
-        for rows in _rows(batches):
-            out = []
-            for r in rows:
-                part = _block(r).transpose(order)[tuple(slice(None, None, -1 if f else 1) for f in flip)]
-                at = [r["shape"][a] - r["origin"][a] - r["dims"][a] if f else r["origin"][a] for a, f in zip(order, flip)]
-                out.append((r["volume_id"], at, list(part.shape), np.ascontiguousarray(part).ravel()))
-            yield _arrow(schema, out)
+    def turn(rows):
+        for r, block in rows:
+            part = block.transpose(order)[tuple(slice(None, None, -1 if f else 1) for f in flip)]
+            at = [r["shape"][a] - r["origin"][a] - r["dims"][a] if f else r["origin"][a] for a, f in zip(order, flip)]
+            yield (r["volume_id"], at, list(part.shape)), part
 
-    return chunks.select("volume_id", "shape", "origin", "dims", "data").mapInArrow(turn, schema)
+    return _map(chunks.select("volume_id", "shape", "origin", "dims", "data"), turn, schema)
 
 
 def stride_sample(chunks: DataFrame, max_n: int = 1_000_000) -> DataFrame:
@@ -112,15 +153,16 @@ def stride_sample(chunks: DataFrame, max_n: int = 1_000_000) -> DataFrame:
     schema = _schema(chunks, "i int", "j int", "k int", "value double")
 
     def sample(batches):
-        for rows in _rows(batches):
-            for r in rows:
-                _, nj, nk = r["shape"]
-                step = -(-int(np.prod(r["shape"], dtype=np.int64)) // max_n)
-                i, j, k = (np.arange(d) + o for d, o in zip(r["dims"], r["origin"]))
-                index = (i[:, None, None] * nj + j[None, :, None]) * nk + k[None, None, :]
-                at = np.nonzero(index % max(step, 1) == 0)
-                if len(at[0]):
-                    yield _arrow(schema, list(zip([r["volume_id"]] * len(at[0]), i[at[0]].tolist(), j[at[1]].tolist(), k[at[2]].tolist(), _block(r)[at].tolist())))
+        target = _arrow_schema(schema)
+        for r, block in _rows(batches):
+            _, nj, nk = r["shape"]
+            step = max(1, -(-int(np.prod(r["shape"], dtype=np.int64)) // max_n))
+            i, j, k = (np.arange(d) + o for d, o in zip(r["dims"], r["origin"]))
+            index = (i[:, None, None] * nj + j[None, :, None]) * nk + k[None, None, :]
+            at = np.nonzero(index % step == 0)
+            if len(at[0]):
+                own = pa.repeat(pa.scalar(r["volume_id"], target.field(0).type), len(at[0]))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x[p], pa.int32()) for x, p in zip((i, j, k), at)), pa.array(block[at].astype(np.float64))], schema=target)
 
     return chunks.select("volume_id", "shape", "origin", "dims", "data").mapInArrow(sample, schema)
 
@@ -136,6 +178,16 @@ def window_starts(dim: int, size: int, overlap: float) -> list[int]:
     return sorted({min(n * step, last) for n in range(-(-last // step) + 1)})
 
 
+def _pieces(r: dict, block: np.ndarray, roi: Sequence[int], overlap: float) -> Iterator[tuple[tuple, list[int], np.ndarray]]:
+    """The part of a chunk in each window that it touches: window, place in the window, values."""
+    lo, hi = r["origin"], [o + d for o, d in zip(r["origin"], r["dims"])]
+    touched = [[s for s in window_starts(n, size, overlap) if s < b and s + size > a] for n, size, a, b in zip(r["shape"], roi, lo, hi)]
+    for w in ((i, j, k) for i in touched[0] for j in touched[1] for k in touched[2]):
+        a = [max(x, y) for x, y in zip(lo, w)]
+        b = [min(x, y + s) for x, y, s in zip(hi, w, roi)]
+        yield w, [x - y for x, y in zip(a, w)], block[tuple(slice(x - o, y - o) for x, y, o in zip(a, b, lo))]
+
+
 def assign_patches(chunks: DataFrame, roi: Sequence[int], overlap: float) -> DataFrame:
     """Each window of each volume as one row ``(volume_id, shape, wi, wj, wk, dims, data)``.
 
@@ -147,29 +199,69 @@ def assign_patches(chunks: DataFrame, roi: Sequence[int], overlap: float) -> Dat
     piece = _schema(chunks, "shape ints", *WINDOW, "off ints", "dims ints", "data doubles")
     whole = _schema(chunks, "shape ints", *WINDOW, "dims ints", "data doubles")
 
-    def cut(batches):
-        for rows in _rows(batches, 8):
-            for r in rows:
-                block, out = _block(r), []
-                lo, hi = r["origin"], [o + d for o, d in zip(r["origin"], r["dims"])]
-                touched = [[s for s in window_starts(n, size, overlap) if s < b and s + size > a] for n, size, a, b in zip(r["shape"], roi, lo, hi)]
-                for w in ((i, j, k) for i in touched[0] for j in touched[1] for k in touched[2]):
-                    a = [max(x, y) for x, y in zip(lo, w)]
-                    b = [min(x, y + s) for x, y, s in zip(hi, w, roi)]
-                    part = block[tuple(slice(x - o, y - o) for x, y, o in zip(a, b, lo))]
-                    out.append((r["volume_id"], r["shape"], *w, [x - y for x, y in zip(a, w)], list(part.shape), part.ravel()))
-                yield _arrow(piece, out)
-
-    def assemble(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        dims = [min(n, s) for n, s in zip(rows[0]["shape"], roi)]
-        window = np.zeros(dims)
-        for r in rows:
-            window[tuple(slice(o, o + d) for o, d in zip(r["off"], r["dims"]))] = _block(r)
-        return pa.Table.from_batches([_arrow(whole, [(rows[0]["volume_id"], rows[0]["shape"], rows[0]["wi"], rows[0]["wj"], rows[0]["wk"], dims, window.ravel())])])
-
-    pieces = chunks.select("volume_id", "shape", "origin", "dims", "data").mapInArrow(cut, piece)
-    return pieces.groupBy("volume_id", "wi", "wj", "wk").applyInArrow(assemble, whole)
+    def cut(rows):
+        for r, block in rows:
+            for w, off, part in _pieces(r, block, roi, overlap):
+                yield (r["volume_id"], r["shape"], *w, off, list(part.shape)), part
+
+    def assemble(rows):
+        now, window = None, None
+        for r, block in rows:
+            key = (r["volume_id"], r["shape"], r["wi"], r["wj"], r["wk"])
+            if key != now:
+                if window is not None:
+                    yield (*now, list(window.shape)), window
+                now, window = key, np.zeros([min(n, s) for n, s in zip(r["shape"], roi)])
+            window[tuple(slice(o, o + d) for o, d in zip(r["off"], r["dims"]))] = block
+        if window is not None:
+            yield (*now, list(window.shape)), window
+
+    pieces = _map(chunks.select("volume_id", "shape", "origin", "dims", "data"), cut, piece)
+    return _grouped(pieces, ["volume_id", "wi", "wj", "wk"], assemble, whole)
+
+
+def assign_sequences(chunks: DataFrame, scans: DataFrame, roi: Sequence[int], overlap: float) -> DataFrame:
+    """Each window over all time steps: ``(sequence_id, shape, wi, wj, wk, length, days, dims, data)``.
+
+    ``scans`` names the volumes of every sequence: ``(volume_id, sequence_id, step,
+    days)``, ``step`` an integer and ``days`` a number; volumes of one sequence have one shape. ``data`` holds the
+    ``length`` steps one after another in the order of ``step``, each of ``dims``; ``days`` has
+    a value for each, NaN if it is missing. A task holds one window of one sequence at a time.
+    """
+    roi = tuple(roi)
+    piece = _schema(scans, "shape ints", *WINDOW, "step int", "day double", "off ints", "dims ints", "data doubles", id="sequence_id")
+    whole = _schema(scans, "shape ints", *WINDOW, "length int", "days doubles", "dims ints", "data doubles", id="sequence_id")
+    named = scans.select("volume_id", "sequence_id", F.col("step").cast("int").alias("step"), F.col("days").cast("double").alias("day"))
+    met = chunks.select("volume_id", "shape", "origin", "dims", "data").join(named, "volume_id")
+
+    def cut(rows):
+        for r, block in rows:
+            for w, off, part in _pieces(r, block, roi, overlap):
+                yield (r["sequence_id"], r["shape"], *w, r["step"], r["day"], off, list(part.shape)), part
+
+    def finished(key, shape, steps, days):
+        dims = list(steps[0].shape)
+        return (key[0], shape, *key[1:], len(steps), days, dims), np.stack(steps)
+
+    def assemble(rows):
+        now, shape, at, steps, days = None, None, None, [], []
+        for r, block in rows:
+            key = (r["sequence_id"], r["wi"], r["wj"], r["wk"])
+            if key != now:
+                if steps:
+                    yield finished(now, shape, steps, days)
+                now, shape, at, steps, days = key, r["shape"], None, [], []
+            if r["shape"] != shape:
+                raise ValueError(f"sequence {key[0]} has volumes of shape {shape} and {r['shape']}")
+            if r["step"] != at:
+                at = r["step"]
+                steps.append(np.zeros([min(n, s) for n, s in zip(shape, roi)]))
+                days.append(float("nan") if r["day"] is None else r["day"])
+            steps[-1][tuple(slice(o, o + d) for o, d in zip(r["off"], r["dims"]))] = block
+        if steps:
+            yield finished(now, shape, steps, days)
+
+    return _grouped(_map(met, cut, piece), ["sequence_id", "wi", "wj", "wk"], assemble, whole, "step")
 
 
 def window_voxels(windows: DataFrame) -> DataFrame:
@@ -180,25 +272,63 @@ def window_voxels(windows: DataFrame) -> DataFrame:
     return flat.select("volume_id", "wi", "wj", "wk", *[(F.col(f"w{a}") + x).cast("int").alias(a) for a, x in zip(AXES, at)], "value")
 
 
-def predict_patches(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], batch: int = 4) -> DataFrame:
+def _predicted(fn: Callable, x: np.ndarray, dims: Sequence[int], roi: Sequence[int] | None, padding: str, value: float, *more) -> np.ndarray:
+    """``fn`` of ``x`` padded evenly to ``roi`` on its last three axes, cut back to ``dims``."""
+    if roi is not None and any(s > d for s, d in zip(roi, dims)):
+        wide = [(max(s - d, 0) // 2, max(s - d, 0) - max(s - d, 0) // 2) for s, d in zip(roi, dims)]
+        how = {"constant_values": value} if padding == "constant" else {}
+        x = np.pad(x, [(0, 0)] * (x.ndim - 3) + wide, mode=PADDING[padding], **how)
+        cut = tuple(slice(lo, lo + d) for (lo, _), d in zip(wide, dims))
+    else:
+        cut = tuple(slice(0, d) for d in dims)
+    got = np.asarray(fn(x, *more), np.float64)
+    want = x.shape if not more else x.shape[-3:]
+    if got.shape != want:
+        raise ValueError(f"the predictor returned {got.shape} for {want}")
+    return got[(..., *cut)]
+
+
+def predict_patches(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], batch: int = 4, roi: Sequence[int] | None = None, padding: str = "constant", value: float = 0.0) -> DataFrame:
     """Replace ``data`` by the prediction of ``fn``, which gets up to ``batch`` whole windows ``(n, i, j, k)`` and returns as many.
 
-    Windows of one call have one shape.
+    Windows of one call have one shape. With ``roi``, a window shorter than that on an axis is
+    padded evenly on both sides before the call and cut back after it; ``padding`` is one of PADDING, ``value`` fills constant padding.
     """
     schema = windows.schema
 
     def predict(batches):
-        for rows in _rows(batches, batch):
-            for dims in sorted({tuple(r["dims"]) for r in rows}):
-                own = [r for r in rows if tuple(r["dims"]) == dims]
-                got = np.asarray(fn(np.stack([_block(r) for r in own])), np.float64)
-                if got.shape != (len(own), *dims):
-                    raise ValueError(f"the predictor returned {got.shape} for {(len(own), *dims)}")
-                yield _arrow(schema, [tuple(p.ravel() if f.name == "data" else r[f.name] for f in schema) for r, p in zip(own, got)])
+        target = _arrow_schema(schema)
+        at = target.get_field_index("data")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                some = whole.slice(lo, batch)
+                blocks = blocks_of(some)
+                for shape in sorted({b.shape for b in blocks}):
+                    own = [n for n, b in enumerate(blocks) if b.shape == shape]
+                    got = _predicted(fn, np.stack([blocks[n] for n in own]), shape, roi, padding, value)
+                    part = some.take(pa.array(own))
+                    columns = [lists_of(list(got), f.type) if n == at else part.column(n) for n, f in enumerate(target)]
+                    yield pa.RecordBatch.from_arrays(columns, names=target.names)
 
     return windows.mapInArrow(predict, schema)
 
 
+def predict_sequences(windows: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], roi: Sequence[int] | None = None, padding: str = "constant", value: float = 0.0) -> DataFrame:
+    """One prediction for each window of :func:`assign_sequences`, as window rows ``(volume_id, shape, wi, wj, wk, dims, data)`` with the sequence for an id.
+
+    ``fn`` gets the valid steps ``(length, i, j, k)`` and their days, and returns ``(i, j, k)``. Padding as in :func:`predict_patches`.
+    """
+    schema = T.StructType([T.StructField("volume_id", windows.schema["sequence_id"].dataType), *_schema(windows, "shape ints", *WINDOW, "dims ints", "data doubles", id="sequence_id").fields[1:]])
+
+    def predict(rows):
+        for r, block in rows:
+            steps = block.reshape(r["length"], *r["dims"])
+            got = _predicted(fn, steps, r["dims"], roi, padding, value, np.array(r["days"], np.float64))
+            yield (r["sequence_id"], r["shape"], r["wi"], r["wj"], r["wk"], r["dims"]), got
+
+    return _map(windows, predict, schema)
+
+
 def gaussian_importance(dims: Sequence[int], scale: float = 0.125) -> np.ndarray:
     """Weights of a window's voxels: a Gaussian about its middle with deviation ``scale`` times each size, kept above a thousandth of its top."""
     out = np.ones(tuple(dims))
@@ -218,31 +348,36 @@ def blend_patches(preds: DataFrame, edge: int = 64, importance: Callable[[Sequen
     chunk = _schema(preds, "shape ints", *PIECE)
     told = preds.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight).cast("double")).select("volume_id", "shape", "wi", "wj", "wk", "dims", "_w", "data")
 
-    def spread(batches):
-        for rows in _rows(batches, 8):
-            out = []
-            for r in rows:
-                block, w = _block(r), (r["wi"], r["wj"], r["wk"])
-                spans = [range(s // edge, (s + d - 1) // edge + 1) for s, d in zip(w, r["dims"])]
-                for b in ((i, j, k) for i in spans[0] for j in spans[1] for k in spans[2]):
-                    lo = [max(s, n * edge) for s, n in zip(w, b)]
-                    hi = [min(s + d, (n + 1) * edge) for s, d, n in zip(w, r["dims"], b)]
-                    off = [x - s for x, s in zip(lo, w)]
-                    part = block[tuple(slice(o, o + y - x) for o, x, y in zip(off, lo, hi))]
-                    out.append((r["volume_id"], r["shape"], *b, [x - n * edge for x, n in zip(lo, b)], off, list(part.shape), r["dims"], r["_w"], part.ravel()))
-            yield _arrow(piece, out)
-
-    def mean(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        first = rows[0]
-        origin = [first[b] * edge for b in ("bi", "bj", "bk")]
-        dims = [min(edge, n - o) for n, o in zip(first["shape"], origin)]
-        top, low = np.zeros(dims), np.zeros(dims)
-        for r in rows:
+    def spread(rows):
+        for r, block in rows:
+            w = (r["wi"], r["wj"], r["wk"])
+            spans = [range(s // edge, (s + d - 1) // edge + 1) for s, d in zip(w, r["dims"])]
+            for b in ((i, j, k) for i in spans[0] for j in spans[1] for k in spans[2]):
+                lo = [max(s, n * edge) for s, n in zip(w, b)]
+                hi = [min(s + d, (n + 1) * edge) for s, d, n in zip(w, r["dims"], b)]
+                off = [x - s for x, s in zip(lo, w)]
+                part = block[tuple(slice(o, o + y - x) for o, x, y in zip(off, lo, hi))]
+                yield (r["volume_id"], r["shape"], *b, [x - n * edge for x, n in zip(lo, b)], off, list(part.shape), r["dims"], r["_w"]), part
+
+    def mean(rows):
+        weights = lru_cache(maxsize=8)(lambda dims: np.ones(dims) if importance is None else importance(dims))
+        now, top, low = None, None, None
+
+        def finished():
+            return (now[0], now[1], [b * edge for b in now[2:]], list(top.shape)), top / np.maximum(low, 1e-5)
+
+        for r, block in rows:
+            key = (r["volume_id"], r["shape"], r["bi"], r["bj"], r["bk"])
+            if key != now:
+                if now is not None:
+                    yield finished()
+                dims = [min(edge, n - b * edge) for n, b in zip(r["shape"], key[2:])]
+                now, top, low = key, np.zeros(dims), np.zeros(dims)
             here = tuple(slice(a, a + d) for a, d in zip(r["at"], r["dims"]))
-            w = r["w"] if importance is None else r["w"] * importance(r["wdims"])[tuple(slice(o, o + d) for o, d in zip(r["off"], r["dims"]))]
-            top[here] += w * _block(r)
+            w = r["w"] * weights(tuple(r["wdims"]))[tuple(slice(o, o + d) for o, d in zip(r["off"], r["dims"]))]
+            top[here] += w * block
             low[here] += w
-        return pa.Table.from_batches([_arrow(chunk, [(first["volume_id"], first["shape"], origin, dims, (top / np.maximum(low, 1e-5)).ravel())])])
+        if now is not None:
+            yield finished()
 
-    return told.mapInArrow(spread, piece).groupBy("volume_id", "bi", "bj", "bk").applyInArrow(mean, chunk)
+    return _grouped(_map(told, spread, piece), ["volume_id", "bi", "bj", "bk"], mean, chunk)

@@ -197,6 +197,15 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def large_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One chunk of 64 x 64 x 64 values for each vector: its numbers along the third axis, the same in every row of it."""
+    edge = F.array(*[F.lit(64)] * 3)
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("volume_id"), edge.alias("shape"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("origin"), edge.alias("dims"),
+        F.flatten(F.array_repeat("embedding", 64 * 64)).alias("data"),
+    )
+
+
 def volumes(spark: SparkSession, d: str) -> DataFrame:
     """Headers with cohort columns; spacing is damaged on some volumes in `headers`."""
     v = table(spark, d, "embeddings").select(F.expr("vec_id div 4").alias("volume_id")).distinct()

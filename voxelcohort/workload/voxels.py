@@ -471,3 +471,51 @@ def _(spark, d):
 def _(spark, d):
     doubled = W.predict_patches(_windows(spark, d), lambda x: x * 2.0)
     return _ints(_r(V.explode_voxels(W.blend_patches(doubled, 4)), "value"))
+
+
+@q("U01_padded_patches", with_sql(f"""
+  SELECT {_VOX}, round(value - (sum(value) OVER (PARTITION BY volume_id) + 2 * 4 * 16 * 0.5) / (6 * 4 * 16), 6) + 0.0 AS value FROM voxels""", "voxels"))
+def _(spark, d):
+    roi = (6, 4, 16)
+    centred = W.predict_patches(W.assign_patches(T.chunks(spark, d), roi, 0.25), lambda x: x - x.mean((1, 2, 3), keepdims=True), roi=roi, padding="constant", value=0.5)
+    return _ints(_r(V.explode_voxels(W.blend_patches(centred, 4)), "value"))
+
+
+_STEPS = "(SELECT volume_id, patient_id, CAST(day * 30 + volume_id % 7 AS DOUBLE) AS days, row_number() OVER (PARTITION BY patient_id ORDER BY day) AS n, count(*) OVER (PARTITION BY patient_id) AS steps FROM volumes)"
+
+
+def _sequences(spark, d):
+    scans = T.volumes(spark, d).select("volume_id", F.col("patient_id").alias("sequence_id"), F.col("day").alias("step"), (F.col("day") * 30 + F.col("volume_id") % 7).alias("days"))
+    return W.assign_sequences(T.chunks(spark, d), scans, (3, 3, 7), 0.4)
+
+
+def _extrapolated(x, days):
+    """The last step, carried on for 30 days at the pace of the last two."""
+    return x[-1] + (x[-1] - x[-2]) * 30 / (days[-1] - days[-2]) if len(x) > 1 else x[-1]
+
+
+@q("U01_predict_sequences", with_sql(f"""
+  SELECT l.patient_id AS volume_id, a.i, a.j, a.k, round(a.value + coalesce((a.value - b.value) * 30 / (l.days - p.days), 0), 6) + 0.0 AS value
+  FROM {_STEPS} l JOIN voxels a ON a.volume_id = l.volume_id AND l.n = l.steps
+  LEFT JOIN {_STEPS} p ON p.patient_id = l.patient_id AND p.n = l.n - 1 LEFT JOIN voxels b ON b.volume_id = p.volume_id AND b.i = a.i AND b.j = a.j AND b.k = a.k""", "voxels", "volumes"))
+def _(spark, d):
+    return _ints(_r(V.explode_voxels(W.blend_patches(W.predict_sequences(_sequences(spark, d), _extrapolated), 4, W.gaussian_importance)), "value"))
+
+
+@q("G19_assign_sequences", with_sql(f"""
+  SELECT l.patient_id, wi, wj, wk, max(l.steps) AS length, round(sum(v.value * l.n), 5) + 0.0 AS moment, sum(DISTINCT l.days) AS days
+  FROM {_ASSIGN} v JOIN {_STEPS} l USING (volume_id) GROUP BY ALL""", "voxels", "volumes"))
+def _(spark, d):
+    w = _sequences(spark, d).withColumn("_n", F.size("data") / F.col("length"))
+    total = F.aggregate(F.transform("data", lambda v, p: v * (F.floor(p / F.col("_n")) + 1)), F.lit(0.0), lambda a, x: a + x)
+    days = F.aggregate("days", F.lit(0.0), lambda a, x: a + x)
+    return w.select(F.col("sequence_id").alias("patient_id"), "wi", "wj", "wk", F.col("length").cast("long").alias("length"), F.round(total, 5).alias("moment"), days.alias("days"))
+
+
+@q("V20_crop_large", """
+  SELECT vec_id AS volume_id, CAST(64 * 64 * 8 AS BIGINT) AS n, round(sum(4096 * CAST(embedding[k] AS DOUBLE)), 3) + 0.0 AS total
+  FROM embeddings, range(4, 12) r(k) GROUP BY vec_id""")
+def _(spark, d):
+    large = T.large_chunks(spark, d)
+    cut = V.crop_range(large, "k", 3, 11).select("volume_id", F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return _r(cut, "total", digits=3)
