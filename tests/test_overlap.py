@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from voxelcohort.operators import overlap as M
+from voxelcohort.operators import distance as D
 from voxelcohort.operators import surface as S
 
 BOX = [(i, j, k) for i in range(3) for j in range(3) for k in range(3)]
@@ -97,17 +98,36 @@ def test_describe_of_one_value(spark):
     assert row.asDict() == {"count": 1, "mean": 2.0, "std": None, "min": 2.0, "max": 2.0, "p25": 2.0, "p50": 2.0, "p75": 2.0}
 
 
-def test_descent_finds_the_nearest_point(spark, masks_of):
+def test_distances_of_clouds(spark, masks_of):
     rng = np.random.default_rng(11)
-    clouds = {1: rng.integers(0, 12, (40, 3)), 2: rng.integers(0, 12, (30, 3)) + [60, 25, 3], 3: rng.integers(0, 100, (50, 3))}
+    clouds = {1: rng.integers(0, 12, (40, 3)), 2: rng.integers(0, 12, (30, 3)) + [60, 25, 3], 3: rng.integers(-50, 100, (50, 3))}
     clouds = {v: np.unique(c, axis=0) for v, c in clouds.items()}
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a_id long, b_id long")
     masks = masks_of({v: [tuple(p) for p in c] for v, c in clouds.items()})
-    for cells in ((1,), (4, 12)):
-        got = {}
-        for r in S.surface_distances(pairs, masks, cells).collect():
-            got.setdefault((r["a_id"], r["b_id"], r["side"]), []).append(r["d"])
-        for a, b in ((1, 2), (2, 3)):
-            d = np.sqrt(((clouds[a][:, None] - clouds[b][None]) ** 2).sum(-1))
-            np.testing.assert_allclose(sorted(got[a, b, "a"]), sorted(d.min(1)))
-            np.testing.assert_allclose(sorted(got[a, b, "b"]), sorted(d.min(0)))
+    got = {}
+    for r in S.surface_distances(pairs, masks).collect():
+        got.setdefault((r["a_id"], r["b_id"], r["side"]), []).append(r["d"])
+    for a, b in ((1, 2), (2, 3)):
+        d = np.sqrt(((clouds[a][:, None] - clouds[b][None]) ** 2).sum(-1))
+        np.testing.assert_allclose(sorted(got[a, b, "a"]), sorted(d.min(1)))
+        np.testing.assert_allclose(sorted(got[a, b, "b"]), sorted(d.min(0)))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (5, 3), (40, 60), (7, 200)])
+def test_envelope_equals_all_pairs(shape):
+    rng = np.random.default_rng(sum(shape))
+    f = np.where(rng.random(shape) < 0.3, rng.integers(0, 900, shape), np.inf)
+    x = np.arange(shape[1])
+    for step in (1.0, 0.37):
+        want = (f[:, None, :] + (step * (x[:, None] - x[None, :])) ** 2).min(2)
+        np.testing.assert_allclose(D.envelope(f, step), want)
+
+
+def test_jobs_do_not_depend_on_the_extent(spark, masks_of):
+    pairs = spark.createDataFrame([(1, 2)], "a_id long, b_id long")
+    plans = []
+    for far in (5, 500):
+        masks = masks_of({1: [(0, 0, 0)], 2: [(far, far, 3)]})
+        plans.append(S.surface_distances(pairs, masks)._jdf.queryExecution().optimizedPlan().toString())
+        assert [r["d"] for r in S.surface_distances(pairs, masks).collect()] == [pytest.approx((2 * far * far + 9) ** 0.5)] * 2
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines()) and "explode" not in plans[1]

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelcohort.operators.distance import nearest_squared, within
 from voxelcohort.operators.windows import cut_boxes, shift
 from voxelcohort.session import cut_lineage
 
@@ -280,45 +281,32 @@ def _inside_shape(shape: str = "shape") -> Column:
     return ok
 
 
-def _sweep(points: DataFrame, radius: dict[str, Column], step: dict[str, Column], limit: Column, keep: Sequence[str]) -> DataFrame:
-    """Least squared distance ``_d`` from ``points`` to every place within ``limit``, one axis after the other.
-
-    The square of a distance is a sum over axes, so the least one needs three
-    passes of 2r + 1 rows with a minimum between them instead of (2r + 1)^3 rows.
-    ``points`` carry ``_d`` = 0 and the columns ``keep``.
-    """
-    for a in AXES:
-        reached = points.withColumn("_s", F.explode(F.sequence(-radius[a], radius[a])))
-        reached = reached.withColumn("_d", F.col("_d") + F.pow(F.col("_s") * step[a], F.lit(2.0))).filter(F.col("_d") <= limit)
-        points = reached.withColumn(a, F.col(a) + F.col("_s")).groupBy("volume_id", *AXES, *keep).agg(F.min("_d").alias("_d"))
-    return points
-
-
 def dilate(masks: DataFrame, volumes: DataFrame, mm: float) -> DataFrame:
     """Grow masks by a ball of ceil(mm / smallest spacing) voxels, cut at the volume's edge.
 
-    Only surface voxels spread: a voxel nearest to a point outside is on the surface.
+    Distances are those to surface voxels: a voxel nearest to a point outside is on the surface.
     """
-    head = volumes.select("volume_id", "shape", F.ceil(F.lit(float(mm)) / F.array_min("spacing")).cast("int").alias("_r"))
-    shell = surface(masks).join(head, "volume_id").withColumn("_d", F.lit(0.0))
-    r, one = {a: F.col("_r") for a in AXES}, {a: F.lit(1.0) for a in AXES}
-    grown = _sweep(shell, r, one, F.pow(F.col("_r").cast("double"), F.lit(2.0)), ["shape", "_r"]).filter(_inside_shape())
-    return grown.select("volume_id", *AXES).unionByName(masks.select("volume_id", *AXES)).distinct()
+    shell = surface(masks)
+    head = volumes.select("volume_id", "shape", F.ceil(F.lit(float(mm)) / F.array_min("spacing")).cast("long").alias("_r"))
+    box = shell.groupBy("volume_id").agg(*[f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).join(head, "volume_id")
+    for n, a in enumerate(AXES):
+        box = box.withColumn(f"{a}0", F.least(F.greatest(F.col(f"_lo{a}") - F.col("_r"), F.lit(0)), F.col(f"_lo{a}")).cast("long"))
+        box = box.withColumn(f"{a}1", F.greatest(F.least(F.col(f"_hi{a}") + F.col("_r"), F.get("shape", n) - 1), F.col(f"_hi{a}")).cast("long"))
+    grown = within(shell, box.withColumn("limit", (F.col("_r") * F.col("_r")).cast("double")), ["volume_id"])
+    grown = grown.join(head, "volume_id").filter(_inside_shape()).select("volume_id", *[F.col(a).cast("int").alias(a) for a in AXES])
+    return grown.unionByName(masks.select("volume_id", *AXES)).distinct()
 
 
 def inner_distance(masks: DataFrame, volumes: DataFrame, cap_mm: float) -> DataFrame:
     """Distance in mm of each mask voxel to the nearest background voxel of the volume, at most ``cap_mm``.
 
-    The nearest background voxel touches the mask, so only those spread inwards.
+    The nearest background voxel touches the mask, so only those count.
     """
-    head = volumes.select("volume_id", "shape", "spacing")
-    shell = neighbour_counts(masks).filter(~F.col("inside")).join(head, "volume_id").filter(_inside_shape()).withColumn("_d", F.lit(0.0))
-    step = {a: F.get("spacing", n) for n, a in enumerate(AXES)}
-    radius = {a: F.floor(F.lit(float(cap_mm)) / step[a]).cast("int") for a in AXES}
-    near = _sweep(shell.select("volume_id", *AXES, "spacing", "_d"), radius, step, F.lit(float(cap_mm) ** 2), ["spacing"])
-    near = near.select("volume_id", *AXES, F.sqrt("_d").alias("_d"))
-    return masks.select("volume_id", *AXES).join(near, ["volume_id", *AXES], "left").select(
-        "volume_id", *AXES, F.coalesce("_d", F.lit(float(cap_mm))).alias("dist_mm"))
+    head = volumes.select("volume_id", "shape", F.col("spacing").alias("steps"))
+    shell = neighbour_counts(masks).filter(~F.col("inside")).join(head, "volume_id").filter(_inside_shape())
+    near = nearest_squared(masks, shell, ["volume_id"], head).select("volume_id", *[F.col(a).cast("int").alias(a) for a in AXES], F.sqrt("d2").alias("_d"))
+    return masks.select("volume_id", *AXES).join(near.distinct(), ["volume_id", *AXES], "left").select(
+        "volume_id", *AXES, F.least(F.coalesce("_d", F.lit(float(cap_mm))), F.lit(float(cap_mm))).alias("dist_mm"))
 
 
 def feather_alpha(dist: DataFrame, width_mm: float) -> DataFrame:

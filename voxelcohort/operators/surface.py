@@ -2,85 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelcohort.operators.distance import nearest_squared
 from voxelcohort.operators.geometry import AXES, surface
 from voxelcohort.operators.quantiles import quantiles
 from voxelcohort.session import cut_lineage
 
+PAIR = ["a_id", "b_id", "side"]
 
-def _sides(pairs: DataFrame, shell: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points that ask, and the points of the other mask, for both directions of each pair."""
+
+def _distances(pairs: DataFrame, shell: DataFrame) -> DataFrame:
+    """Distance of every surface point to the nearest one of the other mask, in both directions of each pair."""
     both = F.array(
         F.struct(F.lit("a").alias("side"), F.col("a_id").alias("_m"), F.col("b_id").alias("_o")),
         F.struct(F.lit("b").alias("side"), F.col("b_id").alias("_m"), F.col("a_id").alias("_o")),
     )
-    asked = pairs.select("a_id", "b_id", F.inline(both)).select(F.struct("a_id", "b_id", "side").alias("pair"), "_m", "_o")
-    asks = asked.join(shell.withColumnRenamed("volume_id", "_m"), "_m").select("pair", *AXES)
-    found = asked.join(shell.withColumnRenamed("volume_id", "_o"), "_o").select("pair", *[F.col(a).alias(f"o{a}") for a in AXES])
-    return asks, found
-
-
-def _near(asks: DataFrame, found: DataFrame, cell: int) -> DataFrame:
-    """Each asking point's smallest squared distance to points in the 27 cells around it."""
-    at = [F.floor(F.col(a) / cell).cast("int") for a in AXES]
-    around = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    spread = asks
-    for a, c in zip(AXES, at):
-        spread = spread.withColumn(f"_s{a}", F.explode(around)).withColumn(f"_c{a}", c + F.col(f"_s{a}"))
-    keyed = found.withColumns({f"_c{a}": F.floor(F.col(f"o{a}") / cell).cast("int") for a in AXES})
-    d2 = sum((F.col(a) - F.col(f"o{a}")) ** 2 for a in AXES)
-    met = spread.join(keyed, ["pair", *[f"_c{a}" for a in AXES]])
-    return met.groupBy("pair", *AXES).agg(F.min(d2).alias("d2"))
+    asked = pairs.select("a_id", "b_id", F.inline(both))
+    asks = asked.join(shell.withColumnRenamed("volume_id", "_m"), "_m").select(*PAIR, *AXES)
+    found = asked.join(shell.withColumnRenamed("volume_id", "_o"), "_o").select(*PAIR, *AXES)
+    return nearest_squared(asks, found, PAIR).select(*PAIR, F.sqrt("d2").alias("d"))
 
 
-def _descend(asks: DataFrame, shell: DataFrame) -> DataFrame:
-    """Squared distance of far points to the nearest point of the other mask.
-
-    Starts from one cell around the whole mask and splits cells in eight, level
-    by level, keeping for each point only cells that can still hold its nearest
-    one: those whose least distance does not exceed the smallest greatest distance.
-    """
-    top = max(int(shell.agg(F.max(F.greatest(*AXES))).first()[0] or 0).bit_length(), 1)
-    other = F.when(F.col("pair.side") == "a", F.col("pair.b_id")).otherwise(F.col("pair.a_id"))
-    left = asks.select("pair", *AXES, other.alias("_o"), *[F.lit(0).alias(f"_p{a}") for a in AXES])
-    point = Window.partitionBy("pair", *AXES)  # the cells still open for one point
-    for level in range(top - 1, -1, -1):
-        cells = shell.select(
-            F.col("volume_id").alias("_o"), *[F.shiftright(a, level + 1).alias(f"_p{a}") for a in AXES], *[F.shiftright(a, level).alias(f"_c{a}") for a in AXES]
-        ).distinct()
-        low = {a: F.shiftleft(f"_c{a}", level) for a in AXES}
-        high = {a: low[a] + ((1 << level) - 1) for a in AXES}
-        least = sum(F.greatest(low[a] - F.col(a), F.col(a) - high[a], F.lit(0)) ** 2 for a in AXES)
-        most = sum(F.greatest(F.abs(F.col(a) - low[a]), F.abs(F.col(a) - high[a])) ** 2 for a in AXES)
-        met = left.join(cells, ["_o", *[f"_p{a}" for a in AXES]]).withColumn("d2", least).withColumn("_best", F.min(most).over(point))
-        left = met.filter(F.col("d2") <= F.col("_best")).select("pair", *AXES, "_o", *[F.col(f"_c{a}").alias(f"_p{a}") for a in AXES], "d2")
-        left = cut_lineage(left)
-    return left.groupBy("pair", *AXES).agg(F.min("d2").alias("d2"))
-
-
-def surface_distances(pairs: DataFrame, masks: DataFrame, near_cells: tuple[int, ...] = (4, 12)) -> DataFrame:
+def surface_distances(pairs: DataFrame, masks: DataFrame) -> DataFrame:
     """``(a_id, b_id, side, d)``: distance of every surface point to the nearest one of the other mask.
 
-    Most points have a neighbour close by: one found within a cell's length is
-    the nearest. Points further from the other mask than ``near_cells`` descend
-    through a hierarchy of cells instead, so far masks never meet point by
-    point. Pairs with an empty side have no rows.
+    Exact, by the distance transform of ``nearest_squared`` over the box of
+    both surfaces. Pairs with an empty side have no rows.
     """
-    shell = cut_lineage(surface(masks))
-    asks, found = _sides(pairs, shell)
-    asks = asks.join(found.select("pair").distinct(), "pair", "left_semi")
-    result = None
-    for cell in near_cells:
-        near = cut_lineage(asks.join(_near(asks, found, cell), ["pair", *AXES], "left"))
-        sure = F.coalesce(F.col("d2") <= cell * cell, F.lit(False))
-        done = near.filter(sure).select("pair", F.sqrt("d2").alias("d"))
-        result = done if result is None else result.unionByName(done)
-        asks = near.filter(~sure).drop("d2")
-    if not asks.isEmpty():
-        result = result.unionByName(_descend(asks, shell).select("pair", F.sqrt("d2").alias("d")))
-    return result.select("pair.a_id", "pair.b_id", "pair.side", "d")
+    return _distances(pairs, cut_lineage(surface(masks)))
 
 
 def hausdorff95(pairs: DataFrame, masks: DataFrame, q: float = 0.95) -> DataFrame:
@@ -92,10 +43,8 @@ def hausdorff95(pairs: DataFrame, masks: DataFrame, q: float = 0.95) -> DataFram
 
 def surface_dice(pairs: DataFrame, masks: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Share of surface points within ``tolerance`` of the other surface; null when both are empty."""
-    shell = surface(masks)
-    cell = max(int(-(-tolerance // 1)), 1)
-    close = _near(*_sides(pairs, shell), cell).filter(F.col("d2") <= tolerance * tolerance)
-    close = close.groupBy("pair.a_id", "pair.b_id").agg(F.count(F.lit(1)).alias("_c"))
+    shell = cut_lineage(surface(masks))
+    close = _distances(pairs, shell).filter(F.col("d") <= tolerance).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("_c"))
     sizes = shell.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
     out = pairs.select("a_id", "b_id").join(close, ["a_id", "b_id"], "left")
     for side in "ab":
