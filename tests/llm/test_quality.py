@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -24,19 +26,74 @@ def test_held_out_documents(spark):
     assert np.mean([(r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in hidden]) > 0.97
 
 
-def test_context_sums_equal_a_loop(spark):
-    given = ["ab cd ab", "x", "", None, "Ab, 12"]
+def plain_sums(given):
+    """Context sums by a loop over all pairs of neighbours."""
     want = np.zeros((quality.WORDS, quality.DIMENSIONS))
-    for s in slices(pa.array(given)):
+    for s in slices(pa.array(given, pa.string())):
         t, first = quality.tokens(s)
         for k in range(len(s)):
             own = t[first[k] : first[k + 1]]
             for i, a in enumerate(own):
                 for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
                     if i != j:
-                        want[a, quality.INDEX_PLACE[own[j]]] += quality.INDEX_SIGN[own[j]]
+                        want[a] += quality.index_vectors()[own[j]]
+    return want
+
+
+def test_context_sums_equal_a_loop(spark):
+    given = ["ab cd ab", "x", "", None, "Ab, 12"]
     got = quality.context_sums(spark.createDataFrame([(t,) for t in given], "text string"))
-    np.testing.assert_array_equal(got, want)
+    np.testing.assert_array_equal(got, plain_sums(given))
+    assert not quality.context_sums(spark.createDataFrame([], "text string")).any()
+
+
+def test_index_vectors_are_sparse_and_differ():
+    v = quality.index_vectors()
+    assert (np.abs(v).sum(1) == quality.PLACES).all() and len(np.unique(v[:2000], axis=0)) > 1900
+
+
+def plain_pooled(text, vectors):
+    (s,) = slices(pa.array([text], pa.string()))
+    t, _ = quality.tokens(s)
+    if not len(t):
+        return np.zeros(2 * quality.DIMENSIONS + 3, np.float32)
+    own = vectors[t].astype(np.float64)
+    mean = own.mean(0)
+    spread = np.sqrt(np.maximum((own * own).mean(0) - mean * mean, 0))
+    return np.concatenate([mean, spread, [np.log(len(t)), len(set(t.tolist())) / len(t), np.linalg.norm(mean)]])
+
+
+def test_query_equals_a_plain_version(spark, tmp_path, monkeypatch):
+    """With one linear answer in the vectors, the query's scores are those of a network fitted on vectors pooled by a loop."""
+    df, labels, truth = texts(spark, 240)
+    extra = spark.createDataFrame([(900, None), (901, ""), (902, "a " * 300_000)], "doc_id long, text string")
+    df.unionAll(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [tuple(r) for r in df.unionAll(extra).collect()]
+    vectors = quality.word_vectors(plain_sums([t for _, t in rows]))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    pooled = {i: plain_pooled(t, vectors) for i, t in rows}
+    fit = [i for i in truth if not held(i)]
+    got = {r["doc_id"]: r for r in quality.op9_quality(spark, str(tmp_path)).collect()}
+    assert set(got) == set(pooled) and all(got[i]["held_out"] == held(i) for i in got)
+    stored = quality.pooled_vectors(spark.createDataFrame(rows, "doc_id long, text string"), vectors, out="v").collect()
+    for r in stored:
+        np.testing.assert_allclose(r["v"], pooled[r["doc_id"]], atol=2e-4)
+    # the network sees rows in the order of their hash; refitted on the plain vectors in that order it gives the same scores
+    order = {r["doc_id"]: r["h"] for r in quality.pooled_vectors(spark.read.parquet(str(tmp_path / "documents.parquet")), vectors, out="v").select("doc_id", F.xxhash64("v").alias("h")).collect()}
+    fit.sort(key=lambda i: (order[i], truth[i]))
+    net = quality.TwoLayers(np.array([pooled[i] for i in fit], np.float32).astype(np.float64), np.array([truth[i] for i in fit], float))
+    for i in pooled:
+        assert abs(net.probability(pooled[i][None].astype(np.float64))[0] - got[i]["score"]) < 0.02
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_supplied_labels(spark):
+    """Held-out documents of the largest supplied tables, through the registered query."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null").collect()}
+    rows = [r for r in quality.op9_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) >= 0.99
 
 
 def test_temperature_and_probabilities_are_calibrated():

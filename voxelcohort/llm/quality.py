@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,11 @@ from voxelcohort.session import cut_lineage
 
 from .langid import crc_remainder
 from .text import BYTE_VALUES, Slice, mix, slices, small_batches, span_hashes
+from .vectors import packed, unpacked
 
-WORDS = 1 << 13
+#: Words are told apart by 18 bits of their hash: the table has a fixed size, and 100,000 words share a cell in a third of cases.
+WORD_BITS = 18
+WORDS = 1 << WORD_BITS
 DIMENSIONS = 32
 #: Nonzero places of an index vector, and neighbours on each side that make a context.
 PLACES, REACH = 4, 2
@@ -27,40 +32,75 @@ CLASSES[97:123] = CLASSES[128:] = 1
 CLASSES[65:91] = 2
 CLASSES[48:58] = 3
 
-_rng = np.random.default_rng(2718)
-INDEX_PLACE = np.stack([_rng.permutation(DIMENSIONS)[:PLACES] for _ in range(WORDS)])
-INDEX_SIGN = _rng.choice([-1, 1], (WORDS, PLACES))
+#: Cells that are added up together in one task.
+CELLS_A_TASK = 1 << 14
 
 
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Hash number of every run of one class of bytes, and the first run of each text."""
     starts, ends, first = s.runs(CLASSES)
-    return (mix(span_hashes(BYTE_VALUES[s.data], starts, ends)) >> np.uint64(64 - 13)).astype(np.int64), first
+    return (mix(span_hashes(BYTE_VALUES[s.data], starts, ends)) >> np.uint64(64 - WORD_BITS)).astype(np.int64), first
+
+
+@lru_cache(maxsize=1)
+def index_vectors() -> np.ndarray:
+    """A sparse random vector of 1 and -1 for every word: PLACES nonzero places, one in each part of the dimensions."""
+    bits = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out, width = np.zeros((WORDS, DIMENSIONS), np.int8), DIMENSIONS // PLACES
+    for p in range(PLACES):
+        part = (bits >> np.uint64(16 * p)) & np.uint64(0xFFFF)
+        out[np.arange(WORDS), p * width + (part % np.uint64(width)).astype(np.int64)] = np.where(part & np.uint64(0x8000), 1, -1)
+    return out
+
+
+def _contexts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a slice, and for each the sum of the index vectors of its neighbours."""
+    t, first = tokens(s)
+    index, owner = index_vectors(), np.repeat(np.arange(len(s)), np.diff(first))
+    near = np.zeros((len(t), DIMENSIONS), np.int32)
+    for step in range(1, REACH + 1):
+        same = (owner[step:] == owner[:-step])[:, None]
+        near[:-step] += index[t[step:]] * same
+        near[step:] += index[t[:-step]] * same
+    order = np.argsort(t, kind="stable")
+    words, start = np.unique(t[order], return_index=True)
+    return words, np.add.reduceat(near[order], start, axis=0) if len(words) else near
 
 
 def context_sums(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Sum of the index vectors of the neighbours of every word, over all texts: an array (words, dimensions)."""
+    """Sum of the index vectors of the neighbours of every word, over all texts: an array (words, dimensions).
+
+    A task hands on one row for each word that it holds; ranges of words are
+    added up in tasks of their own.
+    """
 
     def run(batches):
-        total = np.zeros(WORDS * DIMENSIONS, np.int64)
+        total = np.zeros((WORDS, DIMENSIONS), np.int32)
         for batch in batches:
             for s in slices(batch.column(0), WORK_BYTES):
-                t, first = tokens(s)
-                owner = np.repeat(np.arange(len(s)), np.diff(first))
-                for step in range(1, REACH + 1):
-                    same = owner[step:] == owner[:-step]
-                    a, b = t[:-step][same], t[step:][same]
-                    for word, near in ((a, b), (b, a)):
-                        for p in range(PLACES):
-                            total += np.bincount(word * DIMENSIONS + INDEX_PLACE[near, p], INDEX_SIGN[near, p], minlength=len(total)).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+                words, sums = _contexts(s)
+                total[words] += sums
+        yield from rows(total, "<i4")
+
+    def rows(total, kind):
+        at = np.flatnonzero(total.any(1))
+        for lo in range(0, len(at), 4096):
+            some = at[lo : lo + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed(total[some].astype(kind))], names=["cell", "v"])
+
+    def add(batches):
+        total = np.zeros((WORDS, DIMENSIONS))
+        for batch in batches:
+            np.add.at(total, batch.column(0).to_numpy(), unpacked(batch.column(1), "<i4"))
+        yield from rows(total, "<f8")
 
     small_batches(df.sparkSession)
-    got = df.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(WORDS * DIMENSIONS)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(WORDS, DIMENSIONS)
+    parts = df.select(text).mapInArrow(run, "cell int, v binary")
+    got = parts.repartition(WORDS // CELLS_A_TASK, F.expr(f"cell div {CELLS_A_TASK}")).mapInArrow(add, "cell int, v binary").toArrow()
+    out = np.zeros((WORDS, DIMENSIONS))
+    if len(got):
+        out[got["cell"].to_numpy()] = unpacked(got["v"], "<f8")
+    return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
@@ -81,8 +121,8 @@ def pool(s: Slice, vectors: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(n > 0)
     if len(some):
         own = vectors[t]
-        mean = np.add.reduceat(own, first[some], axis=0) / n[some, None]
-        square = np.add.reduceat(own * own, first[some], axis=0) / n[some, None]
+        mean = np.add.reduceat(own, first[some], axis=0, dtype=np.float64) / n[some, None]
+        square = np.add.reduceat(own * own, first[some], axis=0, dtype=np.float64) / n[some, None]
         out[some, :DIMENSIONS] = mean
         out[some, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
         owner = np.repeat(np.arange(len(s)), n)
@@ -149,23 +189,28 @@ class TwoLayers:
 def score_quality(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", usable: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every row of ``df``: ``text`` goes, ``score`` double 0 to 1 comes; every other column is kept.
 
-    Word vectors are gathered from all texts, labelled or not. The network is
-    fitted on at most ``fit_rows`` rows of ``labels`` (``id``, ``label`` 0 or 1)
-    that ``usable``, a column of ``df``, admits, chosen by hash; other labels
+    Word vectors are gathered from all texts, labelled or not; words have WORD_BITS of
+    their hash for a name. The network is
+    fitted on about ``fit_rows`` rows of ``labels`` (``id``, ``label`` 0 or 1)
+    that ``usable``, a column of ``df``, admits, chosen by the hash of the vector, equal ones once; other labels
     count as none. Null and empty texts have the zero vector and get its score.
     With labels of fewer than two kinds every score is the share of label 1, 0.5
-    without any. Repeated ids are scored row by row. Texts are never exchanged:
-    labels meet pooled vectors, which are stored in the shared folder.
+    without any. Repeated ids are scored row by row; an empty table gives none. Texts of any length are
+    read whole and never exchanged: labels meet pooled vectors, which are stored in the shared folder.
     """
     vectors = word_vectors(context_sums(df, text))
     pooled = cut_lineage(pooled_vectors(df, vectors, text, "_vector"))
     known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
-    rows = (pooled if usable is None else pooled.filter(usable)).select(F.col(id).alias("_id"), "_vector").join(known, "_id")
-    fit = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_vector"), "_label").limit(fit_rows).select("_vector", "_label").toArrow()
+    rows = (pooled if usable is None else pooled.filter(usable)).select(F.col(id).alias("_id"), F.xxhash64("_vector").alias("_hash"), "_vector").join(known, "_id")
+    # a share of the hashes, so that every partition hands on its part of about fit_rows rows
+    n, ones = rows.agg(F.count(F.lit(1)), F.sum("_label")).first()
+    fit = rows.filter(F.abs(F.col("_hash").cast("double")) <= min(1.0, fit_rows / max(1, n)) * 2.0**63)
+    fit = fit.groupBy("_hash", "_label").agg(F.first("_vector").alias("_vector")).toArrow()
+    fit = fit.sort_by([("_hash", "ascending"), ("_label", "ascending")])
     y = fit["_label"].to_numpy().astype(np.float64)
     x = fit["_vector"].combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 1))
     net = TwoLayers(x.astype(np.float64), y) if len(set(y.tolist())) == 2 else None
-    flat = float(y.mean()) if len(y) else 0.5
+    flat = ones / n if n else 0.5
     shared = df.sparkSession.sparkContext.broadcast(net)
     names = [c for c in pooled.columns if c not in ("_vector", "score")]
     schema = T.StructType([*(f for f in pooled.schema.fields if f.name in names), T.StructField("score", T.DoubleType())])
