@@ -77,3 +77,22 @@ def test_probes_start_at_home_and_are_ordered():
     first = ann.probes(position, 4)[0]
     assert first[0] == ann._pack_slots(np.array([0, 0, -4])) and first[1] == ann._pack_slots(np.array([0, 1, -4])) and first[2] == ann._pack_slots(np.array([-1, 0, -4]))
     assert len(set(ann.probes(position, 125)[0])) == 125
+
+
+def test_scales_of_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 0.001]), (3, [1e-200, 0.0]), (20, [1e200, 0.0]), (40, [3e-200, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("asks", F.lit("a")).withColumn("dim", F.lit(3))
+    got = {}
+    for q, rank, v, score in sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect())):
+        got.setdefault(q, []).append(v)
+    assert got == {0: [1, 20, 2, 40, 3], 20: [1, 0, 2, 40, 3], 40: [1, 20, 2, 0, 3]}
+
+
+def test_merging_inside_a_task(spark, monkeypatch):
+    q, v, s = np.array([1, 1, 1, 0, 1]), np.array([5, 4, 5, 9, 7]), np.array([0.5, 0.5, 0.4, 1.0, 0.1])
+    assert [a.tolist() for a in ann._top(q, v, s, 2)] == [[0, 1, 1], [9, 4, 5], [1.0, 0.5, 0.5]]
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 6)))]
+    want = ask(spark, rows, k=4)
+    monkeypatch.setattr(ann, "HELD_ROWS", 8)
+    assert ask(spark, rows, k=4) == want

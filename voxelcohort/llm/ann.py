@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.session import cut_lineage
 
-from .batches import map_groups
+from .batches import by_group
 from .vectors import as_doubles, by_dim, matrix, packed, travels_as, unpacked
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 6, 5, 1.6, 64
@@ -20,6 +20,8 @@ TABLES, PROJECTIONS, WIDTH, PROBES = 6, 5, 1.6, 64
 AWAY = 2
 #: Vectors and queries that meet in one block.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 2048
+#: Answers that a task holds to merge them.
+HELD_ROWS = 1 << 21
 
 
 @lru_cache(maxsize=16)
@@ -75,7 +77,7 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.nd
         s[q_id[lo : lo + 256, None] == v_id[None, :]] = -np.inf
         least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] - slack if len(v) > k else np.full(len(s), -np.finfo(float).max)
         for i in range(len(s)):
-            may = np.flatnonzero(s[i] >= least[i])
+            may = np.flatnonzero((s[i] >= least[i]) & (v_id != q_id[lo + i]))
             exact = (v[may] * q[lo + i]).sum(1)
             best = np.argsort(-exact, kind="stable")[:k]
             out_q.append(np.full(len(best), q_id[lo + i]))
@@ -86,14 +88,43 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.nd
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def _block(k: int, kind: str):
-    def fn(table: pa.Table) -> pa.RecordBatch:
-        asks = table["asks"].to_numpy()
-        ids, x = table["id"].to_numpy(), unpacked(table["vec"], kind)
-        a, b, s = nearest_in_block(ids[asks], x[asks], ids[~asks], x[~asks], k) if asks.any() and not asks.all() else nearest_in_block(ids[:0], x[:0], ids[:0], x[:0], k)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    return fn
+def _top(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, each vector once; ties to the smaller id."""
+    order = np.lexsort((-s, v, q))
+    q, v, s = q[order], v[order], s[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+    q, v, s = q[once], v[once], s[once]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.searchsorted(q, q, "left")
+    best = np.arange(len(q)) - first < k
+    return q[best], v[best], s[best]
+
+
+def _blocks(keys: list[str], k: int, kind: str):
+    """Answers of the blocks of a partition; what its blocks find for one query is merged before it is handed on."""
+
+    def run(batches):
+        held: list[tuple] = []
+        rows = 0
+        for table in by_group(batches, keys):
+            asks = table["asks"].to_numpy(zero_copy_only=False)
+            if not asks.any() or asks.all():
+                continue
+            ids, x = table["id"].to_numpy(), unpacked(table["vec"], kind)
+            held.append(nearest_in_block(ids[asks], x[asks], ids[~asks], x[~asks], k))
+            rows += len(held[-1][0])
+            if rows > HELD_ROWS:
+                held = [_top(*map(np.concatenate, zip(*held)), k)]
+                rows = len(held[0][0])
+                if rows > HELD_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["query_id", "vec_id", "score"])
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _top(*map(np.concatenate, zip(*held)), k)], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -107,7 +138,8 @@ def _meet(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, kind:
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     v = vectors.join(cuts, keys).select(*keys, "id", "vec", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("vs")).alias("i"), span("qs").alias("j"))
     q = queries.join(cuts, keys).select(*keys, "id", "vec", F.lit(True).alias("asks"), span("vs").alias("i"), F.pmod(F.xxhash64("id"), F.col("qs")).alias("j"))
-    return map_groups(v.unionByName(q), [*keys, "i", "j"], _block(k, kind), FOUND)
+    keys = [*keys, "i", "j"]
+    return v.unionByName(q).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks(keys, k, kind), FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -139,7 +171,9 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     asks, kind = F.coalesce(is_query, F.lit(False)), {"float": "f4", "double": "f8"}[travels_as(df, vector)]
     flagged = df.select(F.col(id).alias("id"), F.col(vector).alias("vector"), asks.alias("asks"))
     rows = cut_lineage(as_doubles(flagged, "id", "vector", "asks"))
-    longest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    # norms in units of the largest component, so that no square overflows
+    largest = rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0]
+    longest = largest and rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))))).first()[0]
     if longest is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -148,11 +182,12 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
             ids = batch.column("id").to_numpy()
             for dim, at in by_dim(batch).items():
                 x = matrix(batch.column("vec").take(pa.array(at)), dim)
-                norm = np.sqrt((x * x).sum(1))
                 if asking:
-                    full = np.concatenate([x / norm[:, None], np.zeros((len(x), 1))], 1)
+                    own = x / np.abs(x).max(axis=1, keepdims=True)
+                    full = np.concatenate([own / np.sqrt((own * own).sum(1))[:, None], np.zeros((len(x), 1))], 1)
                 else:
-                    full = np.concatenate([x / longest, np.sqrt(np.maximum(1 - (norm / longest) ** 2, 0))[:, None]], 1)
+                    own = x / largest / longest
+                    full = np.concatenate([own, np.sqrt(np.maximum(1 - (own * own).sum(1), 0))[:, None]], 1)
                 vec = packed(x.astype(kind))
                 for t in range(tables):
                     where = place(full, dim, t, projections, width)
