@@ -60,3 +60,22 @@ def test_nulls_empty_short_and_repeated_rows(spark):
 
 def test_empty_table(docs_of):
     assert jaccard.jaccard_groups(docs_of([])).count() == 0
+
+
+def test_texts_without_an_id_still_connect(docs_of):
+    """The text of the rows without an id is linked with both others, which are not linked with each other."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda a, b: " ".join(words[: 60 - a] + [f"x{i}" for i in range(b)])
+    texts = [near(3, 0), near(0, 0), near(0, 3)]
+    sets = [shingle_set(t, 5) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) >= 0.94 and share(sets[1], sets[2]) >= 0.94 and share(sets[0], sets[2]) < 0.92
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2])]
+    got = sorted(map(tuple, jaccard.jaccard_groups(docs_of(rows), words=5, num=94, den=100).select("doc_id", "component_id").collect()), key=str)
+    assert got == [(1, 1), (2, 1), (None, None), (None, None)]
+
+
+def test_a_text_above_a_slice(docs_of):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs_of([(1, long), (2, long + " more"), (3, "w1 w2 w3 w4 w5")])).collect()}
+    assert got == {1: (119_996, 1), 2: (119_997, 1), 3: (1, 3)}

@@ -215,6 +215,11 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
                 columns = [batch.column(0).slice(s.lo, len(s)), pa.array(np.diff(first).astype(np.int64)), pa.array(_signed(_set_hashes(values, first)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node"])
 
+    def named(batches):
+        for batch in batches:
+            for s in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(_set_hashes(*shingles(*s.words(LOWER_VALUES), words)))), batch.column(1).slice(s.lo, len(s))], names=["node", "text"])
+
     def sketches(batches):
         """Keys of each set, once for all copies that this task meets in a while."""
         seen: set[int] = set()
@@ -253,6 +258,10 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
         "node", "least", "family", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j")
     )
     tiled = docs.join(dealt, docs["id"] == dealt["least"]).select("family", "i", "j", "node", "text")
+    if not signed.filter("id is null and n_shingles > 0").isEmpty():
+        # sets that only rows without an id have bring a text by their hash
+        nameless = docs.filter("id is null").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+        tiled = tiled.unionByName(dealt.filter("least is null").join(apart(nameless, "node"), "node").select("family", "i", "j", "node", "text"))
 
     def verify(table: pa.Table) -> pa.RecordBatch:
         node = table["node"].to_numpy()
