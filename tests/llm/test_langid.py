@@ -56,3 +56,19 @@ def test_undetermined_nulls_and_clashes(spark):
     assert langid.train(df.filter("lang is null")) is None
     assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.predict(df.limit(0), net).count() == 0
+
+
+def test_a_hot_text_leaves_room_in_the_sample(spark):
+    rows = [("the same text", "en")] * 900 + [(f"text {i}", "en") for i in range(50)] + [(f"texte {i}", "fr") for i in range(30)]
+    sample = langid.labelled_sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 40, 100)
+    pieces = {k: [p for lang, _, p in sample if lang == k] for k in ("en", "fr")}
+    assert len(pieces["en"]) == len(set(pieces["en"])) == 40 and len(set(pieces["fr"])) == len(pieces["fr"]) == 30
+
+
+def test_a_text_above_a_slice_and_ties(spark):
+    rows = [(1, "english words and more of them " * 40_000, "en"), (2, "english words", "en"), (2, "english words", "en"), (3, "mots anglais " * 20, "fr"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df)).collect()
+    assert len(got) == 5 and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 2}) == 1
+    (long,) = (r for r in got if r["doc_id"] == 1)
+    assert sum(long["lang_bytes"].values()) == len(rows[0][1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,36 +181,35 @@ def crc_remainder(id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, text: str, label: str, per_label: int, chars: int) -> list:
-    """At most ``per_label`` rows of each label as ``(label, piece)``, chosen by hash; a bounded sample for the fit.
+    """At most ``per_label`` different texts of each label as ``(label, rank, piece)``, chosen by hash; a bounded sample for the fit.
 
-    One pass counts the labels, one takes the rows whose hash is below the share.
+    One pass counts the labels' texts, one takes those whose hash is below the share,
+    copies once, and the least hashes of each label stay.
     A piece is ``chars`` characters from a place the hash gives.
     """
+    h = F.xxhash64("text")
     rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_label / n))])
-    h = F.xxhash64("text")
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_label / max(1, n)))])
     place = F.lit(1) + F.pmod(h, F.greatest(F.length("text") - F.lit(chars), F.lit(1)).cast("long")).cast("int")
-    picked = rows.filter(F.pmod(F.shiftright(h, 7), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000)
-    picked = picked.select("label", F.substring("text", place, F.lit(chars)).alias("piece"), h.alias("h")).orderBy("h", "piece", "label").limit(4 * per_label * len(counts)).collect()
-    out: dict[str, list] = {}
-    for r in picked:
-        own = out.setdefault(r["label"], [])
-        if len(own) < per_label:
-            own.append((r["label"], r["piece"]))
-    return [x for k in sorted(out) for x in out[k]]
+    below = F.pmod(F.shiftright(h, 7), F.lit(1_000_000))
+    picked = rows.withColumn("h", below).filter(F.col("h") < F.try_element_at(share, F.col("label")) * 1_000_000)
+    picked = picked.groupBy("label", "h", F.xxhash64("text").alias("text")).agg(F.min(F.substring("text", place, F.lit(chars))).alias("piece"))
+    least = Window.partitionBy("label").orderBy("h", "text")
+    ranked = picked.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= per_label)
+    return sorted((r["label"], r["_r"], r["piece"]) for r in ranked.select("label", "_r", "piece").collect())
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 400, chars: int = 600) -> GatedNetwork | None:
     """Fit the network on at most ``per_lang`` texts of each language; None when no row has a language."""
     sample = labelled_sample(df, text, lang, per_lang, chars)
-    labels = sorted({k for k, _ in sample})
+    labels = sorted({k for k, *_ in sample})
     if not labels:
         return None
     net = GatedNetwork(labels)
-    net.fit([p.encode() for _, p in sample], np.array([labels.index(k) for k, _ in sample]))
+    net.fit([p.encode() for *_, p in sample], np.array([labels.index(k) for k, *_ in sample]))
     return net
 
 
