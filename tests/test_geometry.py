@@ -75,6 +75,30 @@ def test_components_at_any_coordinate(masks_of):
     assert {r["component"] for r in rows} == {"0,0,0", f"0,0,{far}", f"{far},0,0", "-3,-2,-1", f"{1 << 30},5,5"}
 
 
+@pytest.mark.parametrize("edge", [1, 3, 64])
+def test_components_over_many_blocks(spark, masks_of, edge):
+    rng = np.random.default_rng(edge)
+    pts = {tuple(p) for p in np.argwhere(rng.random((11, 9, 10)) < 0.35) - [4, 0, 20]}
+    winding = set(snake(9))
+    df = G.components(masks_of({0: sorted(pts), 1: sorted(winding)}).unionByName(masks_of({0: sorted(pts)[:20]})), edge)
+    for volume, own in ((0, pts), (1, winding)):
+        found = {}
+        for r in df.filter(F.col("volume_id") == volume).collect():
+            found.setdefault(r["component"], []).append((r["i"], r["j"], r["k"]))
+        assert {frozenset(v) for v in found.values()} == flood(own)
+        assert all(name == ",".join(map(str, min(v))) for name, v in found.items())
+
+
+def test_only_faces_travel_between_blocks(spark):
+    """Three chunks of 64^3 in a row, full of foreground, are one component after one round."""
+    i, j, k = np.meshgrid(np.arange(3 * 64), np.arange(8), np.arange(8), indexing="ij")
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"volume_id": 0, "i": i.ravel(), "j": j.ravel(), "k": k.ravel()}).astype({"i": "int32", "j": "int32", "k": "int32"}))
+    got = G.components(df)
+    assert got.count() == i.size and [r[0] for r in got.select("component").distinct().collect()] == ["0,0,0"]
+
+
 def test_largest_component_takes_the_first_of_equals(masks_of):
     got = G.largest_component(masks_of({0: [(4, 4, 4), (4, 4, 5), (0, 0, 0), (0, 0, 1), (9, 9, 9)]}))
     assert points(got) == {(0, 0, 0), (0, 0, 1)}

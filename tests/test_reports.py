@@ -168,6 +168,17 @@ def test_labels_spread_along_a_long_chain(spark):
     assert {r["group"] for r in N.propagate_labels(nodes, edges, "rest").collect()} == {"G"}
 
 
+def test_labels_spread_along_a_chain_with_a_plan_of_constant_size(spark):
+    plans = []
+    for n in (5, 40):
+        nodes = spark.createDataFrame([(f"n{i:03d}", "G" if i == 0 else None) for i in range(n)], "id string, group string")
+        edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n - 1)], "source string, target string")
+        done = N.propagate_labels(nodes, edges, "rest")
+        assert {r["group"] for r in done.collect()} == {"G"} and done.count() == n
+        plans.append(len(done._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
+
+
 def test_adjacency_drops_duplicates_and_unknown_ends(spark):
     nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, label string")
     edges = spark.createDataFrame([("a", "b", "r", "c"), ("a", "b", "r", "c"), ("a", "z", "r", "c")], "source string, target string, relation string, confidence string")

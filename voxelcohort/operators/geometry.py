@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxelcohort.operators.distance import nearest_squared, within
+from voxelcohort.operators.distance import groups, nearest_squared, within
 from voxelcohort.operators.windows import cut_boxes, shift
 from voxelcohort.session import cut_lineage
 
@@ -17,34 +20,65 @@ AXES = ("i", "j", "k")
 
 # --- connected components --------------------------------------------------------------------------
 
-def _node(i, j, k) -> Column:
-    """A coordinate triple; structs compare field by field, so any coordinates do, negative ones too."""
-    return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), k.cast("long").alias("k"))
+def _label_block(points: np.ndarray) -> np.ndarray:
+    """Component of each point (rows of distinct integer coordinates in order), named by the place of its first point.
 
-
-def _runs(masks: DataFrame) -> DataFrame:
-    """Unbroken stretches along the third axis, the nodes of the component search."""
-    line = Window.partitionBy("volume_id", "i", "j").orderBy("k")  # one scan line
-    gap = masks.withColumn("_g", F.col("k") - F.row_number().over(line))
-    runs = gap.groupBy("volume_id", "i", "j", "_g").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).drop("_g")
-    return runs.withColumn("n", _node(F.col("i"), F.col("j"), F.col("k0")))
-
-
-def components(masks: DataFrame) -> DataFrame:
+    Neighbours along each axis are linked; every round hooks each root to the smallest it touches and
+    follows the hooks to their ends, all points at once.
+    """
+    span = points.max(0) - points.min(0) + 2  # a gap, so that no line runs into the next
+    place = ((points - points.min(0)) * np.array([span[1] * span[2], span[2], 1])).sum(1)
+    ends = []
+    for hop in (span[1] * span[2], span[2], 1):
+        at = np.minimum(np.searchsorted(place, place + hop), len(place) - 1)
+        near = np.flatnonzero(place[at] == place + hop)
+        ends.append((near, at[near]))
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    root = np.arange(len(points))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _labelled_blocks(masks: DataFrame, edge: int) -> DataFrame:
+    """Voxels with the first voxel ``(ri, rj, rk)`` of their component inside their block of ``edge`` voxels a side."""
+    cell = [F.floor(F.col(a) / edge).cast("long").alias(f"b{a}") for a in AXES]
+    own = masks.select("volume_id", *[F.col(a).cast("long").alias(a) for a in AXES], *cell).distinct()
+    keys = ["volume_id", *[f"b{a}" for a in AXES]]
+    schema = T.StructType([T.StructField("volume_id", masks.schema["volume_id"].dataType), *(T.StructField(c, T.LongType()) for c in (*AXES, "ri", "rj", "rk"))])
+
+    def label(batches):
+        for table in groups(batches, keys):
+            points = np.stack([table[a].to_numpy() for a in AXES], 1)
+            first = points[_label_block(points)]
+            yield pa.RecordBatch.from_arrays([table["volume_id"].combine_chunks(), *(pa.array(points[:, n]) for n in range(3)), *(pa.array(first[:, n]) for n in range(3))], names=schema.names)
+
+    return own.repartition(*keys).sortWithinPartitions(*keys, *AXES).mapInArrow(label, schema)
+
+
+def components(masks: DataFrame, edge: int = 64) -> DataFrame:
     """Adds ``component`` (6-neighbour connectivity), numbered by its first voxel.
 
-    Runs that touch in a neighbouring scan line are linked. Every round hooks
+    Blocks of ``edge`` voxels a side are labelled one by one on arrays. Only voxels on the
+    faces between blocks travel after that: they link components of neighbouring blocks. Every round hooks
     each root to its smallest neighbour, follows the hooks to their ends by
     doubling and keeps only links between different roots. Each round is stored.
     """
-    runs = cut_lineage(_runs(masks))
-    hops = F.array(*[F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((1, 0), (0, 1))])
-    nxt = runs.select("volume_id", F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("n").alias("u"), F.inline(hops))
-    links = cut_lineage(
-        nxt.join(runs, ["volume_id", "i", "j"]).filter((F.col("a0") <= F.col("k1")) & (F.col("k0") <= F.col("a1")))
-        .select("volume_id", F.least("u", "n").alias("u"), F.greatest("u", "n").alias("v"))
-    )
-    parent = runs.select("volume_id", "n", F.col("n").alias("root"))
+    voxels = cut_lineage(_labelled_blocks(masks, edge).withColumn("n", F.struct(F.col("ri").alias("i"), F.col("rj").alias("j"), F.col("rk").alias("k"))).drop("ri", "rj", "rk"))
+    links = None
+    for a in AXES:  # a voxel on the last plane of its block, and the next one along the axis
+        last = voxels.filter(F.pmod(F.col(a), F.lit(edge)) == edge - 1).select("volume_id", *[(F.col(x) + int(x == a)).alias(x) for x in AXES], F.col("n").alias("u"))
+        first = voxels.filter(F.pmod(F.col(a), F.lit(edge)) == 0).select("volume_id", *AXES, F.col("n").alias("v"))
+        met = last.join(first, ["volume_id", *AXES]).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        links = met if links is None else links.unionByName(met)
+    links = cut_lineage(links.distinct())
+    parent = links.select("volume_id", F.explode(F.array("u", "v")).alias("n")).distinct().withColumn("root", F.col("n"))
     while not links.isEmpty():  # every round merges all roots that have a smaller neighbour
         hook = links.groupBy("volume_id", F.col("v").alias("root")).agg(F.min("u").alias("to"))
         while True:  # jump until every hook ends at a root; path lengths halve each time
@@ -59,9 +93,9 @@ def components(masks: DataFrame) -> DataFrame:
             links = links.join(hook.withColumnRenamed("root", end), ["volume_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = links.filter(F.col("u") != F.col("v")).select("volume_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         links, parent = cut_lineage(links.distinct()), cut_lineage(parent)
-    first = F.concat_ws(",", "root.i", "root.j", "root.k")
-    named = runs.join(parent, ["volume_id", "n"]).withColumn("component", first)
-    return named.select("volume_id", "i", "j", F.explode(F.sequence("k0", "k1")).alias("k"), "component")
+    root = F.coalesce("root", "n")
+    named = voxels.join(parent, ["volume_id", "n"], "left").withColumn("component", F.concat_ws(",", root["i"], root["j"], root["k"]))
+    return named.select("volume_id", *[F.col(a).cast(masks.schema[a].dataType).alias(a) for a in AXES], "component")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:

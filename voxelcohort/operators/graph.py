@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.functions import paths as P
 from voxelcohort.operators.skew import in_order
-from voxelcohort.session import cut_lineage
+from voxelcohort.session import cut_lineage, scratch_path
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,25 +73,35 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str) -> DataFrame:
     """Fill null ``group`` from the majority of the neighbours, round by round, until nothing changes.
 
-    Rounds are synchronous and ties go to the smallest name. Only edges out of
-    still open nodes stay in play, and a round without a new label is the last.
+    Rounds are synchronous and ties go to the smallest name. A node gets its label one
+    round after its first neighbour, so only the labels of the last round vote, and
+    only those of the last two rounds have to be left out. Each round is one part of a table in
+    the shared folder, read as a whole at the end; a round without a new label is the last.
     Nodes never reached get ``default``.
     """
+    spark = nodes.sparkSession
     known = cut_lineage(nodes.select("id", "group"))
     links = _both_ways(valid_edges(nodes, edges))
     open_ids = known.filter(F.col("group").isNull()).select("id")
     links = cut_lineage(links.join(open_ids, "id", "left_semi"))
-    labels = known.filter(F.col("group").isNotNull())
-    fresh = labels
-    while True:
+    told = scratch_path(spark, "labels")
+    schema = known.schema
+
+    def add(labels: DataFrame, number: int) -> DataFrame:
+        path = f"{told}/round={number}"
+        labels.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    fresh, before, number = add(known.filter(F.col("group").isNotNull()), 0), None, 0
+    while not fresh.isEmpty():
         # an open node had no labelled neighbour before, so only new labels vote
-        votes = _votes(links, fresh)
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "group")).alias("_b"))
-        fresh = cut_lineage(best.select("id", F.col("_b.group").alias("group")))
-        if fresh.isEmpty():
-            break
-        labels = labels.unionByName(fresh)
-        links = cut_lineage(links.join(fresh.select("id"), "id", "left_anti"), instead_of=links)
+        best = _votes(links, fresh).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "group")).alias("_b"))
+        best = best.join(fresh.select("id"), "id", "left_anti")
+        if before is not None:
+            best = best.join(before.select("id"), "id", "left_anti")
+        number += 1
+        fresh, before = add(best.select("id", F.col("_b.group").alias("group")), number), fresh
+    labels = spark.read.schema(schema).parquet(told).select("id", "group")
     return nodes.drop("group").join(labels, "id", "left").withColumn("group", F.coalesce("group", F.lit(default)))
 
 

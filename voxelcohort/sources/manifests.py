@@ -51,8 +51,12 @@ def read_graph(spark: SparkSession, path: str, lines: bool = False) -> tuple[Dat
     return graph.select(F.inline("nodes")), graph.select(F.inline("links"))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Inventory ``(path, length, mtime)``; file contents are not read."""
+def list_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """Inventory ``(path, length, mtime)`` of a folder or of several prefixes; file contents are not read.
+
+    Spark lists more than ``spark.sql.sources.parallelPartitionDiscovery.threshold``
+    prefixes, or subfolders of one, as a job and not on the driver. A prefix that does not exist is an error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

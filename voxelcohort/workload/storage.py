@@ -81,13 +81,16 @@ def _(spark, d):
 
 
 @q("S06_list_files", with_sql("""
-  SELECT 'study_type=' || study_type || '/kind.txt' AS place, length(study_type) + 1 AS length, true AS recent FROM (SELECT DISTINCT study_type FROM series)""", "series"))
+  SELECT 'study_type=' || study_type || '/part=' || (event_id // 500) AS place, CAST(sum(length(series_id) + 1) AS BIGINT) AS length, true AS recent
+  FROM series GROUP BY study_type, event_id // 500""", "series"))
 def _(spark, d):
+    # all series, 500 event numbers a part, so that the inventory grows with the table
     path = scratch_path(spark, "inventory")
-    kinds = T.series(spark, d).select("study_type").distinct().withColumn("value", F.col("study_type"))
-    kinds.repartition("study_type").write.partitionBy("study_type").text(path)
-    files = S.list_files(spark, path, "*.txt")
-    place = F.concat(F.regexp_extract("path", "(study_type=[^/]*/)[^/]*$", 1), F.lit("kind.txt"))
+    rows = T.series(spark, d).select("study_type", F.expr("event_id div 500").alias("part"), F.col("series_id").alias("value"))
+    rows.repartition("study_type", "part").write.partitionBy("study_type", "part").text(path)
+    kinds = [r[0] for r in rows.select("study_type").distinct().collect()]  # five at most
+    files = S.list_files(spark, [f"{path}/study_type={kind}" for kind in kinds], "*.txt")
+    place = F.url_decode(F.regexp_extract("path", "(study_type=[^/]*/part=[^/]*)/[^/]*$", 1))
     return files.select(place.alias("place"), F.col("length").cast("long").alias("length"), (F.col("mtime") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"))
 
 
