@@ -1,6 +1,7 @@
 """Hand-computed cases of cleaning, repair and linkage."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,25 @@ def test_repair_in_parent_tiers(spark):
                    "e": None, "f": None, "g": None, "h": None}
 
 
+def test_best_match_scores_few_names(spark, monkeypatch):
+    """A flat folder of 400 names and 60 broken ones: the picks of the plain search, with few ratios taken."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abcdefghij_0123") for _ in range(rng.randrange(3, 14))) + rng.choice([".nii", ".nii.gz"]) for _ in range(400)})
+    asks = []
+    for _ in range(60):
+        w = list(rng.choice(names))
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = rng.choice(["", "x", "a", "_"])
+        asks.append("".join(w))
+    asked, entries = (spark.createDataFrame([("d", x) for x in sorted(set(v))], f"dir string, {c} string") for v, c in ((asks, "want"), (names, "name")))
+    for cutoff in (0.4, 0.6, 0.9):
+        got = {r["want"]: r["pick"] for r in L._fuzzy_best(asked, entries, cutoff).collect()}
+        want = {a: max(((difflib.SequenceMatcher(None, n, a).ratio(), n) for n in names)) for a in asks}
+        assert got == {a: n for a, (score, n) in want.items() if score >= cutoff}
+    letters = spark.createDataFrame([("abca",), ("",), ("éé",)], "s string").select(L._letters(F.col("s")).alias("l")).collect()
+    assert [r["l"] for r in letters] == [["a0", "a1", "b0", "c0"], ["0"], ["é0", "é1"]]
+
+
 def brute_repair(path, files, cutoff=0.6):
     tree = {}
     for f in files:

@@ -28,18 +28,32 @@ def _inventory(files: DataFrame) -> DataFrame:
     return files.select("path", P.parent_dir("path").alias("dir"), P.base_name("path").alias("name")).distinct()
 
 
+def _letters(name: Column) -> Column:
+    """The characters of a name as distinct tokens: the character and which of its kind it is."""
+    chars = F.array_sort(F.split(name, ""))
+    return F.transform(chars, lambda c, n: F.concat(c, (n + 1 - F.array_position(chars, c)).cast("string")))
+
+
 def _fuzzy_best(asks: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame:
     """For each distinct ``(dir, want)`` the most similar entry of that directory at or above ``cutoff``.
 
     ``asks`` has one row per distinct question, so rows with the same broken
-    name are compared once. The length bound 2*min/(sum) is an upper limit of
-    the ratio and drops hopeless pairs before they reach Python. Equal scores
-    go to the greatest name.
+    name are compared once. Matching characters cannot be more than the names
+    have in common, which bounds the ratio; the bound is taken on arrays in the JVM. The entry of the greatest bound is
+    scored first, and after that only entries whose bound reaches its score: Python sees
+    a few names a question and not all of a directory. Equal scores go to the greatest name.
     """
+    asked = cut_lineage(asks.withColumn("_w", _letters(F.col("want"))))
+    named = cut_lineage(entries.withColumn("_e", _letters(F.col("name"))))
     la, lb = F.length("want"), F.length("name")
-    near = asks.join(entries, "dir").filter(2.0 * F.least(la, lb) >= (la + lb) * F.lit(cutoff))
-    scored = near.withColumn("_score", seq_ratio("name", "want")).filter(F.col("_score") >= cutoff)
-    return scored.groupBy("dir", "want").agg(F.max_by("name", F.struct("_score", "name")).alias("pick"))
+    near = asked.join(named, "dir").filter(2.0 * F.least(la, lb) >= (la + lb) * F.lit(cutoff))
+    near = near.withColumn("_bound", 2.0 * F.size(F.array_intersect("_w", "_e")) / (la + lb)).filter(F.col("_bound") >= cutoff)
+    near = near.select("dir", "want", "name", "_bound")
+    first = near.groupBy("dir", "want").agg(F.max_by("name", F.struct("_bound", "name")).alias("_name"))
+    first = cut_lineage(first.withColumn("_least", seq_ratio("_name", "want")))
+    rest = near.join(first, ["dir", "want"]).filter((F.col("_bound") >= F.col("_least")) & (F.col("name") != F.col("_name")))
+    scored = rest.select("dir", "want", "name", seq_ratio("name", "want").alias("_score")).unionByName(first.select("dir", "want", F.col("_name").alias("name"), F.col("_least").alias("_score")))
+    return scored.filter(F.col("_score") >= cutoff).groupBy("dir", "want").agg(F.max_by("name", F.struct("_score", "name")).alias("pick"))
 
 
 def repair_in_parent(df: DataFrame, files: DataFrame, row_id: str, path: str = "path", mask_name: str = "mask_name", cutoff: float = 0.4) -> DataFrame:
