@@ -3,17 +3,19 @@
 import gzip
 import json
 import struct
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelcohort.functions import paths as P
 from voxelcohort.operators import incremental as I
 from voxelcohort.operators.voxels import explode_voxels
 from voxelcohort.session import cut_lineage, scratch_path, scratch_scope, shared_dir
 from voxelcohort.sources import manifests as S
 from voxelcohort.sources import volumes as SV
-from voxelcohort.streaming.intake import clean, stream_intake
+from voxelcohort.streaming.intake import clean, stream_intake, stream_tracked
 
 
 def nifti(arr, kind, code, end="<", slope=1.0, inter=0.0, spacing=(0.5, 0.6, 3.0), unit=2):
@@ -178,6 +180,34 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     assert len(got) == 20 and set(got) == want
 
 
+def test_tracked_series_are_planned_again(spark, tmp_path):
+    """Versions, repeats, late rows, and a timer that finds a lost output."""
+    landing, sink, progress = (str(tmp_path / n) for n in ("landing", "sink", "progress"))
+    schema = "series_id string, tracker string, image_path string, version string, arrived timestamp"
+    outputs = spark.createDataFrame([("a_vs.nii.gz",)], "name string").limit(0)
+    names = [r["name"] for r in spark.createDataFrame([("in/b.nii.gz",)], "p string").select(F.explode(P.expected_names(P.strip_ext(P.base_name("p")))).alias("name")).collect()]
+    inputs = spark.createDataFrame([("in/a.nii.gz",), ("in/b.nii.gz",)], "path string")
+
+    def run(rows, done):
+        df = spark.createDataFrame([(s, "1_0_0", f"in/{s}.nii.gz", v, datetime.fromisoformat(t)) for s, v, t in rows], schema)
+        df.write.mode("append").parquet(landing)
+        stream_tracked(spark.readStream.schema(schema).parquet(landing), done, inputs, sink, progress, "1 day", "2 days").awaitTermination()
+        return sorted((r["series_id"], r["cause"], r["version"], r["reason"]) for r in spark.read.parquet(sink).collect())
+
+    finished = spark.createDataFrame([(names[0],)], "name string")
+    first = run([("a", "v1", "2024-01-01 00:00:00"), ("a", "v1", "2024-01-01 05:00:00"), ("b", None, "2024-01-01 00:00:00")], finished)
+    assert first == [("a", "new", "v1", None), ("b", "new", "", "already_processed")]
+    second = run([("a", "v2", "2024-01-01 08:00:00"), ("c", "v1", "2024-01-06 00:00:00")], finished)
+    # the watermark is now 5 January: both timers are due, and only a has no outputs
+    assert [x for x in second if x not in first] == [("a", "changed", "v2", None), ("a", "check", "v2", None), ("c", "new", "v1", "missing_file")]
+    third = run([("a", "v9", "2024-01-02 00:00:00"), ("c", "v1", "2024-01-09 00:00:00")], outputs)
+    fresh = third.copy()
+    for x in second:
+        fresh.remove(x)
+    # the late row is dropped, the repeat is recognised, and the output of b is gone
+    assert ("a", "changed", "v9", None) not in fresh and ("c", "repeat", "v1", "missing_file") in fresh and ("b", "check", "", None) in fresh
+
+
 def test_a_scope_removes_its_tables_and_a_loop_its_rounds(spark):
     import os
 

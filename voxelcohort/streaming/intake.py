@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,87 @@ def clean(series: DataFrame) -> DataFrame:
     return L.split_tracker(series.withColumn("image_path", P.clean_path("image_path")))
 
 
+TRACKED = "series_id string, tracker string, image_path string, version string, arrived_ms long, cause string"
+KEPT = "version string, tracker string, image_path string, planned_ms long"
+
+
+def _follow(delay_ms: int, recheck_ms: int | None):
+    """State of one series: the version planned last and when; says why an arrival, or a timer, has to be planned."""
+
+    def fn(key, frames, state):
+        (series,) = key
+        kept = state.get if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            version, tracker, path, _ = kept
+            now = state.getCurrentWatermarkMs()
+            out.append((series, tracker, path, version, now, "check"))
+            kept = (version, tracker, path, now)
+        else:
+            rows = pd.concat(list(frames)).sort_values(["arrived_ms", "version", "tracker", "image_path"])
+            for tracker, path, version, arrived in rows[["tracker", "image_path", "version", "arrived_ms"]].itertuples(index=False):
+                if kept is None:
+                    cause = "new"
+                elif version != kept[0]:
+                    cause = "changed"
+                elif arrived - kept[3] > delay_ms:
+                    cause = "repeat"
+                else:
+                    continue
+                kept = (version, tracker, path, int(arrived))
+                out.append((series, tracker, path, version, int(arrived), cause))
+        state.update(kept)
+        if recheck_ms is not None:
+            state.setTimeoutTimestamp(max(kept[3] + recheck_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["series_id", "tracker", "image_path", "version", "arrived_ms", "cause"])
+
+    return fn
+
+
+def track_series(arrivals: DataFrame, delay: str = "1 day", recheck: str | None = None) -> DataFrame:
+    """Arrivals that have to be planned, with ``cause``: ``new``, ``changed``, ``repeat`` or ``check``.
+
+    ``arrivals`` streams ``(series_id, tracker, image_path, version, arrived)``. A
+    series is planned when it is first seen, when its version is another than
+    the one planned last, and when it comes again more than ``delay`` after that;
+    other repeats are dropped, and so are rows later than ``delay`` behind the latest arrival. With ``recheck`` a timer
+    plans it once more that long after it was planned, and again as long as the stream goes on, so that lost
+    outputs are found. One small row of state is kept for each series.
+    """
+    spark = arrivals.sparkSession
+    ms = lambda text: int(spark.sql(f"select unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {text})").first()[0])
+    rows = arrivals.withWatermark("arrived", delay).withColumns({"arrived_ms": F.unix_millis("arrived"), "version": F.coalesce("version", F.lit(""))})
+    told = rows.groupBy("series_id").applyInPandasWithState(_follow(ms(delay), recheck and ms(recheck)), TRACKED, KEPT, "append", "EventTimeTimeout")
+    return told.withColumn("arrived", F.timestamp_millis("arrived_ms")).drop("arrived_ms")
+
+
+def stream_tracked(arrivals: DataFrame, outputs: DataFrame, inputs: DataFrame, sink: str, checkpoint: str, delay: str = "1 day", recheck: str | None = None) -> StreamingQuery:
+    """Plan what :func:`track_series` gives and append it with its ``cause`` to the to-do table at ``sink``.
+
+    A check of a series whose outputs are there is no work and not written.
+    Each micro-batch is written to its own folder, so a batch run again after a failure replaces itself.
+    """
+
+    def plan(batch: DataFrame, batch_id: int) -> None:
+        told = _planned(batch, outputs, inputs)
+        told = told.filter((F.col("cause") != "check") | F.coalesce(F.col("reason") != "already_processed", F.lit(True)))
+        told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.unpersist()
+
+    stream = track_series(arrivals.withColumn("image_path", P.clean_path("image_path")), delay, recheck)
+    return stream.writeStream.foreachBatch(plan).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _planned(batch: DataFrame, outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The batch planned against the outputs and inputs as they are."""
+    batch.persist()  # read by several joins; recomputed where an executor is lost
+    # the inventories are reduced to what the batch can ask for before anything else reads them
+    asked = batch.select(F.explode(P.expected_names(P.strip_ext(P.base_name("image_path")))).alias("name")).distinct()
+    done = outputs.join(asked, "name", "left_semi")
+    there = inputs.join(batch.select(F.col("image_path").alias("path")).distinct(), "path", "left_semi")
+    return I.plan_todo(batch, done, there, row_id="series_id")
+
+
 def stream_intake(
     arrivals: DataFrame, outputs: DataFrame, inputs: DataFrame, sink: str, checkpoint: str, delay: str = "1 day"
 ) -> StreamingQuery:
@@ -30,13 +112,7 @@ def stream_intake(
     fresh = clean(arrivals).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["series_id"])
 
     def plan(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read by several joins; recomputed where an executor is lost
-        # the inventories are reduced to what the batch can ask for before anything else reads them
-        asked = batch.select(F.explode(P.expected_names(P.strip_ext(P.base_name("image_path")))).alias("name")).distinct()
-        done = outputs.join(asked, "name", "left_semi")
-        there = inputs.join(batch.select(F.col("image_path").alias("path")).distinct(), "path", "left_semi")
-        told = I.plan_todo(batch, done, there, row_id="series_id")
-        told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        _planned(batch, outputs, inputs).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         batch.unpersist()
 
     return fresh.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from voxelcohort.operators import voxels as V
 from voxelcohort.session import scratch_path
 from voxelcohort.sources import manifests as S
 from voxelcohort.sources import volumes as SV
-from voxelcohort.streaming.intake import stream_intake
+from voxelcohort.streaming.intake import stream_intake, stream_tracked
 from voxelcohort.workload import tables as T
 from voxelcohort.workload.hierarchy import _PLAN, intake
 from voxelcohort.workload.tables import CTE, with_sql
@@ -194,3 +194,24 @@ def _(spark, d):
     query = stream_intake(stream, outputs, present, sink, scratch_path(spark, "progress"))
     query.awaitTermination()
     return spark.read.parquet(sink).select("series_id", "reason", "matched", "scan_order", "days")
+
+
+@q("I13_tracked_intake", with_sql("""
+  SELECT p.series_id, c.cause, c.version, c.arrived, p.reason FROM todo_plan p JOIN series s USING (series_id) JOIN (VALUES
+    ('new', 'v1', TIMESTAMP '2024-01-01 00:00:00', 1), ('repeat', 'v1', TIMESTAMP '2024-01-04 00:00:00', 5), ('changed', 'v2', TIMESTAMP '2024-01-04 12:00:00', 7)
+  ) c(cause, version, arrived, every) ON s.event_id % c.every = 0""", "todo_plan", "series"))
+def _(spark, d):
+    rows, outputs, present = intake(spark, d)
+    base = rows.join(T.series(spark, d).select("series_id", "tracker", "event_id"), "series_id")
+
+    def arrival(every, when, version):
+        return base.filter(F.col("event_id") % every == 0).select("series_id", "tracker", "image_path", F.lit(version).alias("version"), F.lit(when).cast("timestamp").alias("arrived"))
+
+    landing, sink, progress = (scratch_path(spark, x) for x in ("landing", "todo", "progress"))
+    first = arrival(1, "2024-01-01 00:00:00", "v1")
+    # all series twice; some again within the day; some after it; rows that come too late; another version
+    for part in (first.unionByName(first), arrival(3, "2024-01-01 06:00:00", "v1"), arrival(5, "2024-01-04 00:00:00", "v1"), arrival(2, "2024-01-01 12:00:00", "v9"), arrival(7, "2024-01-04 12:00:00", "v2")):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(first.schema).parquet(landing)
+        stream_tracked(stream, outputs, present, sink, progress, "1 day").awaitTermination()
+    return spark.read.parquet(sink).select("series_id", "cause", "version", "arrived", "reason")
