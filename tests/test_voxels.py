@@ -64,6 +64,29 @@ def test_entropy(spark, arrays, integer):
         assert got[v] == pytest.approx(numpy_entropy(arr.astype("f8"), 16, integer), abs=1e-9)
 
 
+@pytest.mark.parametrize("knots", [2, 7, None])
+def test_percentiles_of_many_chunks(spark, knots):
+    """Ties, infinities, missing values, chunks of one value, and a volume without any."""
+    rng = np.random.default_rng(knots or 1)
+    arrays = {0: rng.normal(size=(9, 8, 7)), 1: rng.integers(0, 4, (6, 6, 6)).astype(float), 2: np.full((3, 3, 3), np.nan), 3: np.array([[[5.0]]]), 4: rng.normal(size=(4, 4, 4))}
+    arrays[0][rng.random(arrays[0].shape) < 0.2] = np.nan
+    arrays[4][0, 0, :2] = np.inf, -np.inf
+    ps = [0, 1, 33.3, 50, 99, 100]
+    got = {r["volume_id"]: r["q"] for r in V.percentiles(chunked(spark, arrays), ps, knots).collect()}
+    assert set(got) == {0, 1, 3, 4}
+    for v, q in got.items():
+        x = np.sort(arrays[v][~np.isnan(arrays[v])])
+        for p, have in zip(ps, q):
+            at = (len(x) - 1) * p / 100
+            low, high = x[int(np.floor(at))], x[int(np.ceil(at))]
+            assert have == pytest.approx(low if low == high else low + (high - low) * (at - np.floor(at)), nan_ok=True)
+
+
+def test_percentiles_never_explode_values(spark, arrays):
+    for df in (V.percentiles(chunked(spark, arrays), [1, 99]), V.standardise(chunked(spark, arrays))):
+        assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_standardise(spark, arrays):
     out = V.explode_voxels(V.standardise(chunked(spark, arrays), 5, 90, 10, 20))
     a = arrays[0].astype("f8")

@@ -8,16 +8,18 @@ and voxels are exploded only where a histogram or a coordinate join needs them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelcohort.operators.quantiles import quantiles
-from voxelcohort.operators.windows import cut_boxes
+from voxelcohort.operators.distance import groups
+from voxelcohort.operators.windows import cut_boxes, lists_of
 
 # fixed values: largest finite float32, and cubic unit names
 FLOAT32_MAX = 3.4028234663852886e38
@@ -85,11 +87,101 @@ def entropy(chunks: DataFrame, bins: int = 256, integer: bool = False) -> DataFr
     return rng.select("volume_id").join(bits, "volume_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
 
 
-def percentiles(chunks: DataFrame, ps: Sequence[float], **how) -> DataFrame:
-    """Array ``q`` of exact percentiles (0..100) per volume, linearly interpolated."""
-    voxels = F.get("dims", 0).cast("long") * F.get("dims", 1) * F.get("dims", 2)
-    sizes = chunks.groupBy("volume_id").agg(F.sum(voxels).alias("_n"))  # from the headers of the chunks, not their values
-    return quantiles(_values(chunks).filter(~F.isnan("v")), ["volume_id"], "v", [p / 100 for p in ps], sizes=sizes, **how)
+def _sorted_values(batch: pa.RecordBatch, name: str = "data") -> Iterator[np.ndarray]:
+    """The values of each chunk of a batch in order, without the missing ones."""
+    data = batch.column(batch.schema.get_field_index(name))
+    values = data.values.to_numpy(zero_copy_only=data.values.null_count == 0)
+    at = data.offsets.to_numpy()
+    for lo, hi in zip(at[:-1], at[1:]):
+        x = np.sort(values[lo:hi].astype(np.float64))
+        yield x[: np.searchsorted(x, np.nan)]  # NaN is last
+
+
+def rank_bounds(sizes: np.ndarray, knots: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each rank of all chunks together, a value that it is above and one that it is not above.
+
+    ``knots`` are evenly spaced order statistics of each chunk. Between two knots of a
+    chunk the number of its values up to some value is known up to their distance.
+    """
+    every = np.unique(np.concatenate(knots))
+    least, most = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for n, own in zip(sizes.tolist(), knots):
+        place = _places(n, len(own))
+        upto = np.searchsorted(own, every, "right")  # knots up to each value
+        least += np.where(upto > 0, place[np.maximum(upto - 1, 0)] + 1, 0)
+        most += np.where(upto < len(own), place[np.minimum(upto, len(own) - 1)], n)
+    below = np.searchsorted(most, ranks, "right") - 1
+    lo = np.where(below >= 0, every[np.maximum(below, 0)], -np.inf)
+    return np.where(below >= 0, lo, np.nan), every[np.searchsorted(least, ranks + 1, "left")]
+
+
+def _places(n: int, knots: int) -> np.ndarray:
+    return np.round(np.linspace(0, n - 1, knots)).astype(np.int64)
+
+
+def percentiles(chunks: DataFrame, ps: Sequence[float], knots: int | None = None) -> DataFrame:
+    """Array ``q`` of exact percentiles (0..100) per volume, linearly interpolated; missing values are left out.
+
+    Chunks are read twice and no value becomes a row. First each chunk gives ``knots`` order statistics (16 for each percentile, 256 at least); those
+    of a volume bound the values at the wanted ranks. Then each chunk gives the number of its values
+    below those bounds and the values inside them, which are ordered for each volume and percentile.
+    """
+    ps, most = [float(p) for p in ps], knots or min(8192, max(256, 16 * len(ps)))
+    own = T.StructField("volume_id", chunks.schema["volume_id"].dataType)
+    schema = lambda text: T.StructType([own, *T._parse_datatype_string(text).fields])
+
+    def sketch(batches):
+        for batch in batches:
+            found = [(n, x) for n, x in enumerate(_sorted_values(batch)) if len(x)]
+            if found:
+                rows = [x[_places(len(x), min(most, len(x)))] for _, x in found]
+                sizes = pa.array([len(x) for _, x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _ in found])), sizes, lists_of(rows, pa.list_(pa.float64()))], names=["volume_id", "n", "knots"])
+
+    def bound(batches):
+        for table in groups(batches, ["volume_id"]):
+            sizes = table["n"].to_numpy()
+            knots = table["knots"].combine_chunks()
+            at, flat = np.concatenate([[0], np.cumsum(knots.value_lengths().to_numpy())]), knots.flatten().to_numpy()
+            rank = (int(sizes.sum()) - 1) * np.array(ps) / 100
+            lists = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+            lo, _ = rank_bounds(sizes, lists, np.floor(rank).astype(np.int64))
+            _, hi = rank_bounds(sizes, lists, np.ceil(rank).astype(np.int64))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([table["volume_id"].slice(0, 1).combine_chunks(), pa.array([int(sizes.sum())]), lists_of([lo], kind), lists_of([hi], kind)], names=["volume_id", "n", "lo", "hi"])
+
+    def select(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            rows, below, at, n, values = [], [], [], [], []
+            for k, x in enumerate(_sorted_values(batch)):
+                lo, hi = (column(c)[k].values.to_numpy() for c in ("lo", "hi"))
+                first = np.where(np.isnan(lo), 0, np.searchsorted(x, lo, "right"))  # no lower bound: from the first on
+                last = np.searchsorted(x, hi, "right")
+                for p, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+                    rows.append(k)
+                    below.append(a)
+                    at.append(p)
+                    n.append(column("n")[k].as_py())
+                    values.append(x[a:b])
+            yield pa.RecordBatch.from_arrays([column("volume_id").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(below, pa.int64()), pa.array(n, pa.int64()), lists_of(values, pa.list_(pa.float64()))], names=["volume_id", "at", "below", "n", "values"])
+
+    def pick(batches):
+        for table in groups(batches, ["volume_id", "at"]):
+            p, n = table["at"][0].as_py(), table["n"][0].as_py()
+            x, rank = np.sort(table["values"].combine_chunks().flatten().to_numpy()), (n - 1) * ps[p] / 100
+            before = int(pc.sum(table["below"]).as_py())
+            low, high = (float(x[int(f(rank)) - before]) for f in (np.floor, np.ceil))
+            value = low if low == high else low + (high - low) * (rank - np.floor(rank))
+            yield pa.RecordBatch.from_arrays([table["volume_id"].slice(0, 1).combine_chunks(), pa.array([p], pa.int32()), pa.array([value])], names=["volume_id", "at", "v"])
+
+    data = chunks.select("volume_id", "data")
+    told = data.mapInArrow(sketch, schema("n long, knots array<double>")).repartition("volume_id").sortWithinPartitions("volume_id")
+    bounds = told.mapInArrow(bound, schema("n long, lo array<double>, hi array<double>"))
+    inside = data.join(bounds, "volume_id").mapInArrow(select, schema("at int, below long, n long, values array<double>"))
+    found = inside.repartition("volume_id", "at").sortWithinPartitions("volume_id", "at").mapInArrow(pick, schema("at int, v double"))
+    each = found.groupBy("volume_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("q"))  # one row a percentile
+    return each.select("volume_id", F.transform("q", lambda x: x["v"]).alias("q"))
 
 
 def standardise(chunks: DataFrame, low: float = 1, high: float = 99, lo: float = 0.0, hi: float = 1.0) -> DataFrame:

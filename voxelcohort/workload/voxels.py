@@ -72,10 +72,10 @@ def _(spark, d):
     return V.percentiles(T.chunks(spark, d), ps).select("volume_id", *[F.round(F.get("q", n), 6).alias(f"p{p}") for n, p in enumerate(ps)])
 
 
-@q("V04_percentiles_split", Q["V04_percentiles"][1])  # every volume above the limit, so its ranks come from histograms
+@q("V04_percentiles_split", Q["V04_percentiles"][1])  # few order statistics a chunk, so that bounds are wide
 def _(spark, d):
     ps = [1, 25, 50, 99]
-    return V.percentiles(T.chunks(spark, d), ps, rows_per_group=50).select("volume_id", *[F.round(F.get("q", n), 6).alias(f"p{p}") for n, p in enumerate(ps)])
+    return V.percentiles(T.chunks(spark, d), ps, knots=5).select("volume_id", *[F.round(F.get("q", n), 6).alias(f"p{p}") for n, p in enumerate(ps)])
 
 
 @q("V05_standardise", with_sql(f"""
