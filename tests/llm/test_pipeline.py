@@ -87,3 +87,13 @@ def test_edge_rows(spark):
     for _, stage in cp.STAGES:
         empty = cut_lineage(stage(spark, empty, ""))
     assert empty.count() == 0
+
+
+def test_a_text_above_a_slice_goes_through_all_stages(spark, sf):
+    long = " ".join(f"word{i} of the long text" for i in range(30_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), (3, "a short text in english", "en", "b", 23), (4, "ein kurzer text", "de", "b", 15)], DOCS)
+    for name, stage in cp.STAGES:
+        docs = cut_lineage(stage(spark, docs, sf))
+        if name == "jaccard_join":
+            assert {r["doc_id"] for r in docs.collect()} == {1, 3, 4}
+    assert all(r["round_trip"] for r in docs.collect()) and 1 in {r["doc_id"] for r in docs.collect()}

@@ -47,3 +47,13 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert out.columns == ["doc_id", "text", "part", "packed", "n_words", "n_removed", "spans", "kept"]
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()), key=str) == sorted([(1, 3, 3, ""), (1, 3, 3, ""), (None, 2, 0, "x y"), (2, 0, 0, ""), (None, 4, 0, "q r s t")], key=str)
     assert mark_repeats(df.limit(0), window=3).count() == 0
+
+
+def test_a_text_above_a_slice(docs_of):
+    """A passage at the far end of a text of a megabyte, and that text twice."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, long, twice = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(90_000)), " ".join(word() for _ in range(60_000))
+    texts = [f"{long} {passage}", f"start {passage} end", twice, twice]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in mark_repeats(docs_of(list(enumerate(texts))).select("doc_id", "text")).collect()}
+    assert got == {0: (90_060, 60, long), 1: (62, 60, "start end"), 2: (60_000, 60_000, ""), 3: (60_000, 60_000, "")}
