@@ -22,6 +22,8 @@ WORDS = 1 << WORD_BITS
 DIMENSIONS = 32
 #: Nonzero places of an index vector, and neighbours on each side that make a context.
 PLACES, REACH = 4, 2
+#: A word whose context sum has this length gets half the weight of a frequent one.
+SHRINK = 64.0
 FIT_ROWS = 20_000
 WORK_BYTES = 1 << 19
 
@@ -32,9 +34,6 @@ CLASSES[97:123] = CLASSES[128:] = 1
 CLASSES[65:91] = 2
 CLASSES[48:58] = 3
 
-#: Cells that are added up together in one task.
-CELLS_A_TASK = 1 << 14
-
 
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Hash number of every run of one class of bytes, and the first run of each text."""
@@ -70,8 +69,8 @@ def _contexts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 def context_sums(df: DataFrame, text: str = "text") -> np.ndarray:
     """Sum of the index vectors of the neighbours of every word, over all texts: an array (words, dimensions).
 
-    A task hands on one row for each word that it holds; ranges of words are
-    added up in tasks of their own.
+    A task hands on one row for each word that it holds, and the rows of a word are
+    added up in one of ``spark.sql.shuffle.partitions`` tasks.
     """
 
     def run(batches):
@@ -92,21 +91,21 @@ def context_sums(df: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros((WORDS, DIMENSIONS))
         for batch in batches:
             np.add.at(total, batch.column(0).to_numpy(), unpacked(batch.column(1), "<i4"))
-        yield from rows(total, "<f8")
+        yield from rows(total, "<f4")
 
     small_batches(df.sparkSession)
     parts = df.select(text).mapInArrow(run, "cell int, v binary")
-    got = parts.repartition(WORDS // CELLS_A_TASK, F.expr(f"cell div {CELLS_A_TASK}")).mapInArrow(add, "cell int, v binary").toArrow()
+    got = parts.repartition("cell").mapInArrow(add, "cell int, v binary").toArrow()
     out = np.zeros((WORDS, DIMENSIONS))
     if len(got):
-        out[got["cell"].to_numpy()] = unpacked(got["v"], "<f8")
+        out[got["cell"].to_numpy()] = unpacked(got["v"], "<f4")
     return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Context sums centred and scaled to length one; words without context are zero."""
+    """Context sums scaled to a length below one, the shorter the rarer the word, and centred; words without context are zero."""
     size = np.linalg.norm(sums, axis=1, keepdims=True)
-    unit = sums / np.maximum(size, 1e-9)
+    unit = sums / (size + SHRINK)
     seen = size[:, 0] > 0
     if seen.any():
         unit[seen] -= unit[seen].mean(0)
