@@ -15,7 +15,7 @@ from voxelcohort.workload import REGISTERED
 HEADLINE = [
     "L04_split_by_existence", "L05_repair_in_parent", "L12_link_timeline", "C09_pick_best_mask", "C19_presence_with_seg",
     "A01_select_anchor", "A05_anchor_roles", "A07_compose_chain", "I01_plan_incremental", "I03_plan_todo", "I06_apply_updates", "Q01_propagate_flags",
-    "V02_entropy", "V04_percentiles", "V05_standardise", "G01_components", "G13_resample_trilinear", "G15_inner_distance",
+    "V02_entropy", "V04_percentiles", "V05_standardise", "V20_crop_large", "G01_components", "G13_resample_trilinear", "G15_inner_distance",
     "M01_dice", "M03_pairwise_dice", "M05_dice_per_study", "M12_hausdorff95", "P04_validate", "R03_batch_summary",
     "T03_assemble", "T09_aggregate_sequence", "E07_composite_score", "N02_adjacency", "N04_propagate_labels",
 ]
