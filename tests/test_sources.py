@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import struct
 from datetime import datetime
 
@@ -208,6 +209,24 @@ def test_tracked_series_are_planned_again(spark, tmp_path):
     assert ("a", "changed", "v9", None) not in fresh and ("c", "repeat", "v1", "missing_file") in fresh and ("b", "check", "", None) in fresh
 
 
+def test_a_batch_with_state_is_computed_once(spark, tmp_path, monkeypatch):
+    """Rows of a micro-batch reach the plan as a stored table, which is gone afterwards."""
+    from voxelcohort.streaming import intake
+
+    landing, sink, progress = (str(tmp_path / n) for n in ("landing", "sink", "progress"))
+    schema = "series_id string, tracker string, image_path string, version string, arrived timestamp"
+    names = spark.createDataFrame([("x",)], "name string").limit(0)
+    rows = [("a", None, "in/a.nii.gz", "v1"), ("a", "1_0_0", "in/a.nii.gz", "v1"), (None, "1_0_0", "in/b.nii.gz", None)]
+    spark.createDataFrame([(*r, datetime.fromisoformat("2024-01-01 00:00:00")) for r in rows], schema).write.parquet(landing)
+    seen, planned = [], intake._planned
+    monkeypatch.setattr(intake, "_planned", lambda batch, *more: (seen.append(batch.inputFiles()), planned(batch, *more))[1])
+    stream_tracked(spark.readStream.schema(schema).parquet(landing), names, names.withColumnRenamed("name", "path"), sink, progress).awaitTermination()
+    assert seen and all(files and "/stage-" in files[0] for files in seen)
+    assert not [f for files in seen for f in files if os.path.exists(f.removeprefix("file:").replace("//", "/"))]
+    # missing trackers come after the others
+    assert sorted((r["series_id"] or "", r["tracker"], r["cause"]) for r in spark.read.parquet(sink).collect()) == [("", "1_0_0", "new"), ("a", "1_0_0", "new")]
+
+
 def test_a_scope_removes_its_tables_and_a_loop_its_rounds(spark):
     import os
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxelcohort.functions import paths as P
 from voxelcohort.operators import incremental as I
 from voxelcohort.operators import linkage as L
+from voxelcohort.session import cut_lineage, drop_stored
 
 
 def clean(series: DataFrame) -> DataFrame:
@@ -34,8 +38,9 @@ def _follow(delay_ms: int, recheck_ms: int | None):
             out.append((series, tracker, path, version, now, "check"))
             kept = (version, tracker, path, now)
         else:
-            rows = pd.concat(list(frames)).sort_values(["arrived_ms", "version", "tracker", "image_path"])
-            for tracker, path, version, arrived in rows[["tracker", "image_path", "version", "arrived_ms"]].itertuples(index=False):
+            rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in ("arrived_ms", "version", "tracker", "image_path")))]
+            rows.sort(key=lambda row: [(True, 0) if x is None or x != x else (False, x) for x in row])  # missing values last
+            for arrived, version, tracker, path in rows:
                 if kept is None:
                     cause = "new"
                 elif version != kept[0]:
@@ -49,7 +54,8 @@ def _follow(delay_ms: int, recheck_ms: int | None):
         state.update(kept)
         if recheck_ms is not None:
             state.setTimeoutTimestamp(max(kept[3] + recheck_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["series_id", "tracker", "image_path", "version", "arrived_ms", "cause"])
+        if out:
+            yield pd.DataFrame(out, columns=["series_id", "tracker", "image_path", "version", "arrived_ms", "cause"])
 
     return fn
 
@@ -79,18 +85,31 @@ def stream_tracked(arrivals: DataFrame, outputs: DataFrame, inputs: DataFrame, s
     """
 
     def plan(batch: DataFrame, batch_id: int) -> None:
-        told = _planned(batch, outputs, inputs)
-        told = told.filter((F.col("cause") != "check") | F.coalesce(F.col("reason") != "already_processed", F.lit(True)))
-        told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        batch.unpersist()
+        with _stored(batch) as rows:
+            told = _planned(rows, outputs, inputs)
+            told = told.filter((F.col("cause") != "check") | F.coalesce(F.col("reason") != "already_processed", F.lit(True)))
+            told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     stream = track_series(arrivals.withColumn("image_path", P.clean_path("image_path")), delay, recheck)
     return stream.writeStream.foreachBatch(plan).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def _stored(batch: DataFrame) -> Iterator[DataFrame]:
+    """The rows of a micro-batch, written once and read by several joins, removed at the end.
+
+    Stateful tasks must run once a batch: of a cached batch, executors that do not hold a
+    part yet start its task again while another still writes that part's state.
+    """
+    rows = cut_lineage(batch)
+    try:
+        yield rows
+    finally:
+        drop_stored(rows)
+
+
 def _planned(batch: DataFrame, outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     """The batch planned against the outputs and inputs as they are."""
-    batch.persist()  # read by several joins; recomputed where an executor is lost
     # the inventories are reduced to what the batch can ask for before anything else reads them
     asked = batch.select(F.explode(P.expected_names(P.strip_ext(P.base_name("image_path")))).alias("name")).distinct()
     done = outputs.join(asked, "name", "left_semi")
@@ -112,7 +131,7 @@ def stream_intake(
     fresh = clean(arrivals).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["series_id"])
 
     def plan(batch: DataFrame, batch_id: int) -> None:
-        _planned(batch, outputs, inputs).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        batch.unpersist()
+        with _stored(batch) as rows:
+            _planned(rows, outputs, inputs).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return fresh.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
