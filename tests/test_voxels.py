@@ -165,6 +165,19 @@ def test_mutual_information_leaves_missing_voxels_out(spark, arrays):
         V.mutual_information(chunked(spark, {0: x}), chunked(spark, {5: y}, 4), pairs, 4).collect()
 
 
+def test_mutual_information_leaves_missing_chunks_out(spark, arrays):
+    x, y = arrays[0], (arrays[0] ** 2).astype("f4")
+    pairs = spark.createDataFrame([(0, 5), (5, 0)], "a_id long, b_id long")
+    less = chunked(spark, {5: y}).filter("bk < 2")
+    gone = np.where(np.arange(y.shape[2]) < 2 * EDGE, y, np.nan).astype("f4")
+    both = [chunked(spark, {0: x}).unionByName(c) for c in (less, chunked(spark, {5: gone}))]
+    got, want = ({(r["a_id"], r["b_id"]): r["mi"] for r in V.mutual_information(c, c, pairs, 4).collect()} for c in both)
+    assert got == pytest.approx(want) and len(got) == 2
+    # blocks of one size on volumes of different shapes do not belong to one grid
+    with pytest.raises(Exception, match="different grids"):
+        V.mutual_information(chunked(spark, {0: x}), chunked(spark, {5: y[:EDGE]}), spark.createDataFrame([(0, 5)], "a_id long, b_id long"), 4).collect()
+
+
 def test_coverage(masks_of, volumes_of):
     got = {r["volume_id"]: (r["coverage_pct"], r["use_all"]) for r in V.coverage_guard(masks_of({0: [(0, 0, 0)]}), volumes_of({0: (2, 2, 2), 1: (2, 2, 2)}), 12.5).collect()}
     assert got == {0: (12.5, False), 1: (0.0, True)}

@@ -286,20 +286,20 @@ def mutual_information(a: DataFrame, b: DataFrame, pairs: DataFrame, bins: int =
     """Mutual information (nats) of aligned volume pairs ``(a_id, b_id)`` from the joint histogram.
 
     Chunks of both volumes meet on their block position; volumes on different
-    grids are an error. A voxel that either volume lacks (null or NaN) counts in
-    neither.
+    grids are an error. A voxel that either volume lacks (null, NaN or in a chunk
+    that is not there) counts in neither.
     """
 
     def side(chunks, ids, name):
         needed = chunks.join(pairs.select(F.col(ids).alias("volume_id")).distinct(), "volume_id", "left_semi")
         with_range = needed.join(value_range(needed), "volume_id")
         spots = F.transform("data", lambda v: F.when(~F.isnan(v), bin_of(v, F.col("lo"), F.col("hi"), bins)))
-        here = with_range.select(F.col("volume_id").alias(ids), "bi", "bj", "bk", F.col("dims").alias(f"{name}_dims"), spots.alias(name))
+        here = with_range.select(F.col("volume_id").alias(ids), "bi", "bj", "bk", F.struct("shape", "origin", "dims").alias(f"{name}_grid"), spots.alias(name))
         return pairs.select("a_id", "b_id").distinct().join(here, ids)
 
-    joint = side(a, "a_id", "x").join(side(b, "b_id", "y"), ["a_id", "b_id", "bi", "bj", "bk"], "full")
+    joint = side(a, "a_id", "x").join(side(b, "b_id", "y"), ["a_id", "b_id", "bi", "bj", "bk"])
     odd = F.raise_error(F.lit("volumes of a pair are chunked on different grids"))
-    met = F.when(F.col("x_dims") == F.col("y_dims"), F.arrays_zip("x", "y")).otherwise(F.array(F.struct(odd.cast("int").alias("x"), F.lit(0).alias("y"))))
+    met = F.when(F.col("x_grid") == F.col("y_grid"), F.arrays_zip("x", "y")).otherwise(F.array(F.struct(odd.cast("int").alias("x"), F.lit(0).alias("y"))))
     known = joint.select("a_id", "b_id", F.explode(met).alias("z")).filter("z.x is not null and z.y is not null")
     cells = known.groupBy("a_id", "b_id", "z.x", "z.y").agg(F.count(F.lit(1)).alias("c"))
     # at most bins * bins rows per pair from here on
