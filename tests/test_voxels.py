@@ -82,6 +82,20 @@ def test_percentiles_of_many_chunks(spark, knots):
             assert have == pytest.approx(low if low == high else low + (high - low) * (at - np.floor(at)), nan_ok=True)
 
 
+def test_percentiles_hold_few_rows_at_once(spark, arrays, monkeypatch):
+    """A chunk gives one row a percentile: they leave in batches of bounded size, and come in tables of whole groups."""
+    ps = [100 * n / 255 for n in range(256)]
+    c = chunked(spark, arrays).coalesce(1)
+    want = {r["volume_id"]: r["q"] for r in V.percentiles(c, ps).collect()}
+    monkeypatch.setattr(V, "SELECTED_ROWS", 1)
+    assert {r["volume_id"]: r["q"] for r in V.percentiles(c, ps).collect()} == want
+    keys = [0] * 5 + [1] * 2 + [2] * 9 + [3]
+    batches = [V.pa.RecordBatch.from_pydict({"k": keys[a : a + 3], "n": list(range(a, min(a + 3, len(keys))))}) for a in range(0, len(keys), 3)]
+    tables = [t.to_pydict() for t in V.whole_groups(batches, ["k"])]
+    assert sum((t["n"] for t in tables), []) == list(range(len(keys)))
+    assert all(not set(a["k"]) & set(b["k"]) for n, a in enumerate(tables) for b in tables[:n]) and len(tables) < 5
+
+
 def test_percentiles_never_explode_values(spark, arrays):
     for df in (V.percentiles(chunked(spark, arrays), [1, 99]), V.standardise(chunked(spark, arrays))):
         assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()

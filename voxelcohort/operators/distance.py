@@ -30,11 +30,7 @@ def groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         if batch.num_rows == 0:
             continue
         table = pa.Table.from_batches([batch])
-        new = np.zeros(len(table), bool)
-        for k in keys:
-            col = table[k].combine_chunks()
-            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(new).tolist()
+        cuts = group_starts(table, keys)[1:]
         if rest and any(rest[-1][k][-1].as_py() != table[k][0].as_py() for k in keys):
             yield pa.concat_tables(rest)
             rest = []
@@ -47,6 +43,37 @@ def groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pa.concat_tables(rest)
 
 
+def group_starts(table: pa.Table, keys: Sequence[str]) -> list[int]:
+    """The first rows of the groups of a table that is sorted by ``keys``."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for k in keys:
+        col = pa.concat_arrays(table[k].chunks)
+        new[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Like :func:`groups`, but all groups that end in a batch come in one table; holds one group and one batch."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        table = pa.Table.from_batches([batch])
+        starts = group_starts(table, keys)
+        if all(not rest or rest[-1][k][-1].as_py() == table[k][0].as_py() for k in keys):
+            starts = starts[1:]
+        if starts:
+            done = [*rest, table.slice(0, starts[-1])]
+            rest = []
+            if sum(map(len, done)):
+                yield pa.concat_tables(done)
+            table = table.slice(starts[-1])
+        rest.append(table)
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def envelope(f: np.ndarray, step: float = 1.0) -> np.ndarray:
     """``min_y f[:, y] + (step (x - y))^2`` for every x of the rows of ``f``; infinity marks places without a source.
 

@@ -13,18 +13,20 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelcohort.operators.distance import groups
-from voxelcohort.operators.windows import cut_boxes, lists_of
+from voxelcohort.operators.distance import group_starts, groups, whole_groups
+from voxelcohort.operators.windows import cut_own_boxes, lists_of
 
 # fixed values: largest finite float32, and cubic unit names
 FLOAT32_MAX = 3.4028234663852886e38
 CUBIC_UNITS = {"mm": "mm³", "um": "um³", "cm": "cm³", "pixels": "pixels³"}
 
+#: Rows, one a chunk and percentile, that a batch of bounded values has at most.
+SELECTED_ROWS = 1 << 16
+
 
 def explode_voxels(chunks: DataFrame) -> DataFrame:
     """``(volume_id, i, j, k, value)``, one row per voxel."""
@@ -151,29 +153,40 @@ def percentiles(chunks: DataFrame, ps: Sequence[float], knots: int | None = None
             yield pa.RecordBatch.from_arrays([table["volume_id"].slice(0, 1).combine_chunks(), pa.array([int(sizes.sum())]), lists_of([lo], kind), lists_of([hi], kind)], names=["volume_id", "n", "lo", "hi"])
 
     def select(batches):
-        for batch in batches:
+        step = max(1, SELECTED_ROWS // max(1, len(ps)))
+        for batch in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
             column = lambda c: batch.column(batch.schema.get_field_index(c))
-            rows, below, at, n, values = [], [], [], [], []
-            for k, x in enumerate(_sorted_values(batch)):
-                lo, hi = (column(c)[k].values.to_numpy() for c in ("lo", "hi"))
+            los, his = (column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(ps)) for c in ("lo", "hi"))
+            below, ends, values = [], [], []
+            for x, lo, hi in zip(_sorted_values(batch), los, his):
                 first = np.where(np.isnan(lo), 0, np.searchsorted(x, lo, "right"))  # no lower bound: from the first on
                 last = np.searchsorted(x, hi, "right")
-                for p, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-                    rows.append(k)
-                    below.append(a)
-                    at.append(p)
-                    n.append(column("n")[k].as_py())
-                    values.append(x[a:b])
-            yield pa.RecordBatch.from_arrays([column("volume_id").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(below, pa.int64()), pa.array(n, pa.int64()), lists_of(values, pa.list_(pa.float64()))], names=["volume_id", "at", "below", "n", "values"])
+                below.append(first)
+                ends.append(last)
+                width = np.maximum(last - first, 0)
+                values.append(x[np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())])
+            if not below:
+                continue
+            below, ends = np.concatenate(below), np.concatenate(ends)
+            offsets = np.concatenate([[0], np.cumsum(np.maximum(ends - below, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)), type=pa.list_(pa.float64()))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), len(ps)))
+            at = pa.array(np.tile(np.arange(len(ps), dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([column("volume_id").take(rows), at, pa.array(below.astype(np.int64)), column("n").take(rows), lists], names=["volume_id", "at", "below", "n", "values"])
 
     def pick(batches):
-        for table in groups(batches, ["volume_id", "at"]):
-            p, n = table["at"][0].as_py(), table["n"][0].as_py()
-            x, rank = np.sort(table["values"].combine_chunks().flatten().to_numpy()), (n - 1) * ps[p] / 100
-            before = int(pc.sum(table["below"]).as_py())
-            low, high = (float(x[int(f(rank)) - before]) for f in (np.floor, np.ceil))
-            value = low if low == high else low + (high - low) * (rank - np.floor(rank))
-            yield pa.RecordBatch.from_arrays([table["volume_id"].slice(0, 1).combine_chunks(), pa.array([p], pa.int32()), pa.array([value])], names=["volume_id", "at", "v"])
+        for table in whole_groups(batches, ["volume_id", "at"]):
+            starts = group_starts(table, ["volume_id", "at"])
+            at, n, below = (table[c].to_numpy() for c in ("at", "n", "below"))
+            lists = table["values"].combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            values = []
+            for a, b in zip(starts, [*starts[1:], len(table)]):
+                x, rank = np.sort(flat[ends[a] : ends[b]]), (int(n[a]) - 1) * ps[at[a]] / 100
+                before = int(below[a:b].sum())
+                low, high = (float(x[int(f(rank)) - before]) for f in (np.floor, np.ceil))
+                values.append(low if low == high else low + (high - low) * (rank - np.floor(rank)))
+            yield pa.RecordBatch.from_arrays([table["volume_id"].combine_chunks().take(pa.array(starts)), pa.array(at[starts]), pa.array(values)], names=["volume_id", "at", "v"])
 
     data = chunks.select("volume_id", "data")
     told = data.mapInArrow(sketch, schema("n long, knots array<double>")).repartition("volume_id").sortWithinPartitions("volume_id")
@@ -436,7 +449,8 @@ def crop_range(chunks: DataFrame, axis: str, start: int, end: int) -> DataFrame:
     at = "ijk".index(axis)
     lo = F.array(*[F.lit(start if n == at else 0) for n in range(3)])
     size = F.array(*[F.lit(max(end - start, 0)) if n == at else F.get("shape", n) for n in range(3)])
-    return cut_boxes(chunks, chunks.select("volume_id", "shape").distinct().select("volume_id", lo.alias("lo"), size.alias("size")))
+    # the box follows from the shape that every chunk carries, so the chunks stay where they are
+    return cut_own_boxes(chunks.select("volume_id", "origin", "dims", "data", lo.alias("lo"), size.alias("size")).filter("volume_id is not null"))
 
 
 def intensity_profile(chunks: DataFrame, bins: int = 50) -> tuple[DataFrame, DataFrame]:
