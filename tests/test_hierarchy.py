@@ -117,3 +117,23 @@ def test_flags_spread_from_anchors_only(spark):
     assert {r["row_id"] for r in told.filter("manual").collect()} == {"a", "b", "c", "d", "e"}
     assert tuple(R.flag_sources(df).first()) == (3, 1, 1, 1)
     assert {r["category"]: r["n_rows"] for r in R.category_share(told).collect()} == {"manual_correction": 5, "acceptable": 1}
+
+
+def test_plans_of_two_modes_share_the_exchange_of_the_rows(spark):
+    rows = [("p", 1, "a", "x", "A"), ("p", 1, "b", None, "A"), ("p", 2, "c", "x", "B"), ("q", 1, "d", "x", "A")]
+    df = spark.createDataFrame(rows, "patient_id string, timepoint long, row_id string, coreg_image string, version string")
+    plan = lambda mode: I.plan_incremental(df, mode, "A", ["patient_id", "timepoint"]).select(F.lit(mode).alias("mode"), "row_id", "skipped", "process")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both = plan("process_new").unionByName(plan("smart"))
+        text = both._jdf.queryExecution().executedPlan().toString()
+        got = {(r["mode"], r["row_id"]): (r["skipped"], r["process"]) for r in both.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in text
+    assert got == {
+        ("process_new", "a"): (False, False), ("process_new", "b"): (False, True), ("process_new", "c"): (True, False), ("process_new", "d"): (True, False),
+        ("smart", "a"): (False, False), ("smart", "b"): (False, True), ("smart", "c"): (False, True), ("smart", "d"): (True, False)}

@@ -25,10 +25,13 @@ def plan_incremental(df: DataFrame, mode: str, version: str, group: Sequence[str
     new = F.col("coreg_image").isNull()
     if mode == "force_reprocess":
         return df.withColumns({"skipped": F.lit(False), "process": F.lit(True)})
-    row_done = ~new & ~old if mode == "smart" else ~new
-    todo_row = {"skip_all": F.lit(True), "process_new": new, "smart": new | old}[mode]
-    state = df.groupBy(*group).agg(F.bool_and(row_done).alias("skipped"))
-    return df.join(state, list(group)).withColumn("process", ~F.col("skipped") & todo_row)
+    # modes look at the same columns, so plans of several modes share the exchange of the rows
+    rows = df.withColumn("_todo", F.when(new, 2).when(old, 1).otherwise(0))
+    todo = F.col("_todo")
+    row_done = todo == 0 if mode == "smart" else todo < 2
+    todo_row = {"skip_all": todo >= 0, "process_new": todo == 2, "smart": todo > 0}[mode]
+    state = rows.groupBy(*group).agg(F.bool_and(row_done).alias("skipped"))
+    return rows.join(state, list(group)).withColumn("process", ~F.col("skipped") & todo_row).drop("_todo")
 
 
 def outdated(df: DataFrame, version: str) -> DataFrame:
