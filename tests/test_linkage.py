@@ -128,6 +128,33 @@ def test_repair_path_against_brute_force(spark):
     assert got == {a: brute_repair(a, files) for a in asks}
 
 
+def test_repair_path_looks_only_where_it_is_asked(spark, monkeypatch):
+    """Of a hundred folders one is asked about: the letters of its four names are taken, and shared folders are mended once."""
+    files = [f"vault/p{n:02d}/{x}" for n in range(100) for x in ("alpha.nii", "beta.nii", "gamma.nii", "delta.nii")]
+    asks = ["vault/p07/alpa.nii", "vault/p07/beta.nii", "vault/p07/gama.nii", "Vault/p07/x", "vault/P09/delta.nii"]
+    stored, cut = [], L.cut_lineage
+
+    def count(df, *more):
+        out = cut(df, *more)
+        stored.append((set(df.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(L, "cut_lineage", count)
+    df = spark.createDataFrame(list(enumerate(asks)), "id int, path string")
+    got = {r["path"]: r["resolved"] for r in L.repair_path(df, spark.createDataFrame([(f,) for f in files], "path string"), "id").collect()}
+    assert got == {a: brute_repair(a, files) for a in asks}
+    assert [n for cols, n in stored if "_e" in cols] == [4]
+    assert [n for cols, n in stored if "_pick" in cols] == [2, 4]
+
+
+def test_repair_path_of_blank_and_absolute_paths(spark):
+    files = ["/data/Sub/a.nii", "/data/sub/b.nii", "data/Sub/c.nii", " /x.nii", "nan/y.nii"]
+    asks = ["/Data/sub/a.nii", "/data/Sub/a.nii", "data/sub/c.nii", "/data", "", " ", "nan", "nan/y.nii", " /X.nii", "data//c.nii", "/data/SUB/B.nii", None]
+    df = spark.createDataFrame(list(enumerate(asks)), "id int, path string")
+    got = {r["id"]: r["resolved"] for r in L.repair_path(df, spark.createDataFrame([(f,) for f in files], "path string"), "id").collect()}
+    assert got == {n: None if a is None or a.strip() in ("", "nan") else brute_repair(a, files) for n, a in enumerate(asks)}
+
+
 def test_resolve_scan_files(spark):
     files = spark.createDataFrame([(f"s/{p}",) for p in (
         "1/a_T1_pre.nii.gz", "1/a_pre_tpl.nii.gz", "1/a_T1_seg.nii.gz", "2/b_T1p_pre_z.nii.gz", "2/b_T1p_pre_a.nii.gz", "2/old_label.nii.gz", "2/my_mask.nii.gz", "3/c+x_T1.nii.gz")], "path string")

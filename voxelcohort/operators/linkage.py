@@ -30,7 +30,7 @@ def _inventory(files: DataFrame) -> DataFrame:
 
 def _letters(name: Column) -> Column:
     """The characters of a name as distinct tokens: the character and which of its kind it is."""
-    chars = F.array_sort(F.split(name, ""))
+    chars = F.sort_array(F.split(name, ""))
     return F.transform(chars, lambda c, n: F.concat(c, (n + 1 - F.array_position(chars, c)).cast("string")))
 
 
@@ -38,13 +38,14 @@ def _fuzzy_best(asks: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame
     """For each distinct ``(dir, want)`` the most similar entry of that directory at or above ``cutoff``.
 
     ``asks`` has one row per distinct question, so rows with the same broken
-    name are compared once. Matching characters cannot be more than the names
+    name are compared once, and only directories that are asked about are looked at. Matching characters cannot be more than the names
     have in common, which bounds the ratio; the bound is taken on arrays in the JVM. The entry of the greatest bound is
     scored first, and after that only entries whose bound reaches its score: Python sees
     a few names a question and not all of a directory. Equal scores go to the greatest name.
     """
     asked = cut_lineage(asks.withColumn("_w", _letters(F.col("want"))))
-    named = cut_lineage(entries.withColumn("_e", _letters(F.col("name"))))
+    looked = entries.select("dir", "name").join(asked.select("dir").distinct(), "dir", "left_semi")
+    named = cut_lineage(looked.withColumn("_e", _letters(F.col("name"))))
     la, lb = F.length("want"), F.length("name")
     near = asked.join(named, "dir").filter(2.0 * F.least(la, lb) >= (la + lb) * F.lit(cutoff))
     near = near.withColumn("_bound", 2.0 * F.size(F.array_intersect("_w", "_e")) / (la + lb)).filter(F.col("_bound") >= cutoff)
@@ -79,37 +80,47 @@ def repair_in_parent(df: DataFrame, files: DataFrame, row_id: str, path: str = "
     return df.join(picked.select(row_id, resolved.alias("resolved")), row_id, "left")
 
 
+def _steps(paths: DataFrame) -> DataFrame:
+    """Every step of each ``path`` from the root: its number, the path up to there, the folder and the name in it."""
+    step = paths.select("path", F.explode(F.sequence(F.lit(1), F.size(F.split("path", "/")))).alias("_step"))
+    step = step.select("_step", F.expr("substring_index(path, '/', _step)").alias("_upto"))
+    up = F.expr("CASE WHEN _step = 1 THEN '' ELSE substring_index(_upto, '/', _step - 1) END")
+    name = F.expr("CASE WHEN _step = 1 THEN _upto ELSE substring_index(_upto, '/', -1) END")
+    return step.select("_step", "_upto", up.alias("dir"), name.alias("name"))
+
+
 def repair_path(df: DataFrame, files: DataFrame, row_id: str, path: str = "path", cutoff: float = 0.6) -> DataFrame:
     """Walk each path from the root and mend one component at a time; adds ``resolved``.
 
     A component is taken as it is, else by ignoring case, else the most similar
     entry of the resolved parent. One component without a match ends the walk.
-    The loop runs once per path depth, never per row, on distinct paths only.
+    The loop runs once per path depth, never per row: each folder that paths share is
+    mended once, and looks only at entries of its own depth.
     """
-    parts = F.split("path", "/")
-    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.slice(parts, F.lit(1), n))
-    tree = files.select(F.explode(steps).alias("p")).select(
-        F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("dir"), F.element_at("p", -1).alias("name")
-    ).distinct()
-    tree = cut_lineage(tree)
-    walk = df.select(F.col(path).alias("_asked")).filter(P.blank_to_null("_asked").isNotNull()).distinct()
-    walk = walk.select("_asked", F.split("_asked", "/").alias("_parts")).withColumn("dir", F.element_at("_parts", 1))
-    walk = walk.join(tree.filter(F.col("dir") == "").select(F.col("name").alias("dir")), "dir", "left_semi")
-    walk = cut_lineage(walk)
-    depth = walk.agg(F.max(F.size("_parts"))).first()[0] or 0
-    done = walk.filter(F.size("_parts") == 1).select("_asked", F.col("dir").alias("resolved"))
-    folded = tree.groupBy("dir", F.lower("name").alias("_low")).agg(F.max("name").alias("_folded"))
+    tree = cut_lineage(_steps(files.select("path")).select(F.greatest(F.col("_step") - 1, F.lit(1)).alias("_deep"), "dir", "name").distinct())
+    asks = df.select(F.col(path).alias("path")).filter(P.blank_to_null("path").isNotNull()).distinct()
+    asked = cut_lineage(_steps(asks).select("_step", F.col("_upto").alias("_asked"), F.col("dir").alias("_above"), F.col("name").alias("want")).distinct())
+    depth = asked.agg(F.max("_step")).first()[0] or 0
+    first = asked.filter(F.col("_step") == 1).select("_asked", F.col("want").alias("dir"))
+    walk = cut_lineage(first.join(tree.filter(F.col("dir") == "").select(F.col("name").alias("dir")), "dir", "left_semi").select("_asked", "dir"))
+    done = walk
     for level in range(2, depth + 1):
-        want = walk.filter(F.size("_parts") >= level).withColumn("want", F.element_at("_parts", level)).withColumn("_low", F.lower("want"))
-        exact = tree.select("dir", F.col("name").alias("want"), F.col("name").alias("_same"))
+        want = asked.filter(F.col("_step") == level).join(walk.withColumnRenamed("_asked", "_above"), "_above").select("_asked", "dir", "want", F.lower("want").alias("_low"))
+        here = tree.filter(F.col("_deep") == level - 1)
+        exact = here.select("dir", F.col("name").alias("want"), F.col("name").alias("_same"))
+        folded = here.groupBy("dir", F.lower("name").alias("_low")).agg(F.max("name").alias("_folded"))
         known = want.join(exact, ["dir", "want"], "left").join(folded, ["dir", "_low"], "left")
-        known = known.withColumn("_pick", F.coalesce("_same", "_folded"))
-        asks = known.filter(F.col("_pick").isNull()).select("dir", "want").distinct()
-        best = _fuzzy_best(asks, tree, cutoff)
-        step = known.join(best, ["dir", "want"], "left").withColumn("_pick", F.coalesce("_pick", "pick")).filter(F.col("_pick").isNotNull())
-        walk = cut_lineage(step.select("_asked", "_parts", F.concat_ws("/", "dir", "_pick").alias("dir")))
-        done = done.unionByName(walk.filter(F.size("_parts") == level).select("_asked", F.col("dir").alias("resolved")))
-    return df.join(done.withColumnRenamed("_asked", path), path, "left")
+        known = cut_lineage(known.select("_asked", "dir", "want", F.coalesce("_same", "_folded").alias("_pick")))
+        lost = known.filter(F.col("_pick").isNull()).drop("_pick")
+        found = known.filter(F.col("_pick").isNotNull()).drop("want")
+        if not lost.isEmpty():
+            best = _fuzzy_best(lost.select("dir", "want").distinct(), here, cutoff)
+            found = found.unionByName(lost.join(best, ["dir", "want"]).select("_asked", "dir", F.col("pick").alias("_pick")))
+        walk = cut_lineage(found.select("_asked", F.concat_ws("/", "dir", "_pick").alias("dir")))
+        done = done.unionByName(walk)
+    # folders on the way to a path are no questions of their own: a blank one stays without an answer
+    done = done.filter(P.blank_to_null("_asked").isNotNull())
+    return df.join(done.select(F.col("_asked").alias(path), F.col("dir").alias("resolved")), path, "left")
 
 
 def recover(df: DataFrame, files: DataFrame, row_id: str, path: str = "path", mask_name: str = "mask_name") -> tuple[DataFrame, DataFrame]:
