@@ -196,6 +196,28 @@ def test_rules_give_groups_and_hints_follow(spark):
     assert got == sorted([("a", 1, "one", None), ("a", 2, "src", None), ("a", 3, "docs", 1), ("c", 1, "src", 1), ("c", 2, "trial", 1), ("d", 1, "src", None)], key=str)
 
 
+def test_secondary_groups_join_the_valid_edges_once(spark, tmp_path, monkeypatch):
+    from voxelcohort.workload import REGISTERED, network
+    from voxelcohort.workload import tables as T
+
+    rows = {
+        "customer": ([(1, "A", 0, 6000.0, "BUILDING"), (2, "B", 1, -1.0, "HOUSEHOLD"), (3, "C", 2, 2000.0, "X"), (4, "D", 2, 500.0, "X"), (5, "E", 2, 9000.0, "MACHINERY")],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(1, "s1"), (2, "s2"), (3, "s3")], "s_suppkey long, s_name string"),
+        "orders": ([(n, 1 + n % 5, "LOW") for n in range(10)] + [(90, 77, "LOW"), (91, None, "LOW")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": ([(n % 10, n, 1 + n % 3, 5.0) for n in range(40)] + [(90, 1, 1, 5.0), (91, 1, 2, 5.0), (3, 1, 9, 5.0), (3, None, None, 5.0)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"),
+    }
+    for name, (data, ddl) in rows.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = sorted(map(tuple, N.secondary_groups(network._spread(spark, tmp_path), T.edges(spark, tmp_path)).collect()), key=str)
+    calls, valid = [], N.valid_edges
+    monkeypatch.setattr(N, "valid_edges", lambda *a: calls.append(1) or valid(*a))
+    got = REGISTERED["N05_secondary_groups"][0](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == plain and any(r[3] for r in plain)
+    assert len(calls) == 1
+
+
 def test_names_stay_unique(spark):
     df = spark.createDataFrame([(0, 1, "a b"), (1, 1, "a_b"), (2, 2, "a b"), (3, None, "a b"), (4, 1, "a  b")], "n int, community int, id string")
     got = {r["n"]: (r["folder"], r["note"]) for r in N.unique_names(df, "n").collect()}

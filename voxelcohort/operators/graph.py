@@ -70,18 +70,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
-def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str) -> DataFrame:
+def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str, checked: bool = False) -> DataFrame:
     """Fill null ``group`` from the majority of the neighbours, round by round, until nothing changes.
 
     Rounds are synchronous and ties go to the smallest name. A node gets its label one
     round after its first neighbour, so only the labels of the last round vote, and
     only those of the last two rounds have to be left out. Each round is one part of a table in
     the shared folder, read as a whole at the end; a round without a new label is the last.
-    Nodes never reached get ``default``.
+    Nodes never reached get ``default``. ``checked`` edges are those of :func:`valid_edges`.
     """
     spark = nodes.sparkSession
     known = cut_lineage(nodes.select("id", "group"))
-    links = _both_ways(valid_edges(nodes, edges))
+    links = _both_ways(edges if checked else valid_edges(nodes, edges))
     open_ids = known.filter(F.col("group").isNull()).select("id")
     links = cut_lineage(links.join(open_ids, "id", "left_semi"))
     told = scratch_path(spark, "labels")
@@ -105,17 +105,17 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, default: str) -> DataFr
     return nodes.drop("group").join(labels, "id", "left").withColumn("group", F.coalesce("group", F.lit(default)))
 
 
-def secondary_groups(nodes: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
+def secondary_groups(nodes: DataFrame, edges: DataFrame, n: int = 2, checked: bool = False) -> DataFrame:
     """Further groups of each node, ``(id, rank, group, n)``: those its rule gave, then hints from its neighbours.
 
     Nodes without a source file get the ``n`` most common neighbour groups other
     than their own as hints, unless a rule gave them already; a hint's ``n`` counts
-    its edges, a given group's is null.
+    its edges, a given group's is null. ``checked`` edges are those of :func:`valid_edges`.
     """
     known = "secondary" in nodes.columns
     given = nodes.select("id", F.posexplode("secondary").alias("_at", "group")) if known else nodes.limit(0).select("id", F.lit(0).alias("_at"), F.lit("").alias("group"))
     bare = nodes.filter(F.coalesce("source_file", F.lit("")) == "").select("id", F.col("group").alias("_own"), (F.size("secondary") if known else F.lit(0)).alias("_given"))
-    votes = _votes(_both_ways(valid_edges(nodes, edges)), nodes)
+    votes = _votes(_both_ways(edges if checked else valid_edges(nodes, edges)), nodes)
     w = Window.partitionBy("id").orderBy(F.desc("n"), "group")
     ranked = votes.join(bare, "id").filter(F.col("group") != F.col("_own")).withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n)
     fresh = ranked.join(given.select("id", "group"), ["id", "group"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelcohort.functions import paths as P
 from voxelcohort.operators import graph as G
+from voxelcohort.session import cut_lineage
 from voxelcohort.workload import tables as T
 from voxelcohort.workload.tables import CTE, with_sql
 
@@ -75,7 +76,11 @@ def _(spark, d):
   SELECT id, CAST(len(given) + row_number() OVER (PARTITION BY id ORDER BY rank) AS INTEGER) AS rank, "group", n FROM hints WHERE rank <= 2 AND NOT list_contains(given, "group")
   UNION ALL SELECT id, CAST(generate_subscripts(secondary, 1) AS INTEGER), unnest(secondary), NULL FROM grouped""".lstrip(), "spread"))
 def _(spark, d):
-    return G.secondary_groups(_spread(spark, d), T.edges(spark, d))
+    # both operators read the valid edges: the join that makes them runs once, and only their ends are kept
+    nodes = T.nodes(spark, d)
+    known = cut_lineage(G.valid_edges(nodes, T.edges(spark, d)).select("source", "target"))
+    spread = G.propagate_labels(G.classify(nodes, RULES), known, "infra", checked=True)
+    return G.secondary_groups(spread, known, checked=True)
 
 
 @q("N06_group_counts", with_sql('SELECT "group", count(*) AS n FROM spread GROUP BY 1', "spread"))
