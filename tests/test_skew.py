@@ -34,6 +34,21 @@ def test_in_order(spark, rows, limit):
     assert {tuple(r) for r in got.select("g", "k", "id", "pos", "n", "before", "k_before", "after").collect()} == want
 
 
+def test_in_order_sketches_hot_groups_only(spark, rows, monkeypatch):
+    df = spark.createDataFrame([*rows, *[(None, 3, 900 + n) for n in range(50)]], "g string, k int, id long")
+    sketched, sketch = [], F.percentile_approx
+
+    def count(*a):
+        sketched.append(1)
+        return sketch(*a)
+
+    monkeypatch.setattr(F, "percentile_approx", count)
+    assert in_order(df, ["g"], "k", ["id"], "pos").count() == len(rows) + 50 and not sketched
+    last = in_order(df, ["g"], "k", ["id"], "pos", rows_per_split=30).groupBy("g").agg(F.max("pos").alias("n"), F.count_distinct("pos").alias("m"))
+    got = {r["g"]: (r["n"], r["m"]) for r in last.collect()}
+    assert sketched and (got["hot"], got["same"], got[None]) == ((300, 300), (40, 40), (50, 50))
+
+
 def test_hot_groups_reports_none_without_hot_keys(spark, rows):
     df = spark.createDataFrame(rows, "g string, k int, id long")
     assert hot_groups(df, ["g"], 10_000) is None

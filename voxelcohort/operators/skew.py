@@ -75,8 +75,12 @@ def in_order(
     lag, lead = dict(lag or {}), dict(lead or {})
     group, order = list(group), [key, *ties]
     num = F.col(key).cast("double")
-    cuts = F.percentile_approx(num, F.lit([k / PIECES for k in range(1, PIECES)]), 100 * PIECES)
-    hot = hot_groups(df, group, rows_per_split, cuts.alias("_cuts"))
+    hot = hot_groups(df, group, rows_per_split)
+    if hot is not None:
+        # a sketch of the order is made for the hot groups only, not for each of many small ones
+        cuts = F.percentile_approx(num, F.lit([k / PIECES for k in range(1, PIECES)]), 100 * PIECES)
+        cuts = df.join(hot.select(*group), group, "left_semi").groupBy(*group).agg(cuts.alias("_cuts"))
+        hot = cut_lineage(hot.join(cuts, group, "left"))
     split = [] if hot is None else ["_split"]
     data = df
     if hot is not None:
