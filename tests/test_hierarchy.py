@@ -137,3 +137,26 @@ def test_plans_of_two_modes_share_the_exchange_of_the_rows(spark):
     assert got == {
         ("process_new", "a"): (False, False), ("process_new", "b"): (False, True), ("process_new", "c"): (True, False), ("process_new", "d"): (True, False),
         ("smart", "a"): (False, False), ("smart", "b"): (False, True), ("smart", "c"): (False, True), ("smart", "d"): (True, False)}
+
+
+def test_registrations_of_a_chain_do_not_read_the_lines_again(spark, tmp_path, monkeypatch):
+    """The registrations are made from the stored rows: one read of the lines, and a matrix is made after its metric has come."""
+    from voxelcohort.workload import REGISTERED, hierarchy
+
+    spark.createDataFrame([(n, 1 + n % 2) for n in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(n % 6, n, n, n, 100.0 * n, "F" if n % 3 else "O", "AFN"[n % 3].replace("F", "R"), 0.0) for n in range(1, 30)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_linestatus string, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, cut = [], hierarchy.cut_lineage
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = REGISTERED["A07_compose_chain"][0](spark, str(tmp_path)).collect()
+    rows = {r["row_id"]: r for r in hierarchy.anchored(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) == 29
+    for r in got:
+        a = rows[r["row_id"]]
+        hops = list(dict.fromkeys([a["patient_anchor"], a["timepoint_anchor"], a["row_id"]]))
+        scale, shift = 1.0, 0.0
+        for h in hops:
+            s, t = 1 + rows[h]["metric"] / 200000, rows[h]["metric"] / 10000
+            scale, shift = scale * s, shift + scale * t
+        assert (r["scale"], r["shift"]) == pytest.approx((scale, shift), abs=2e-6)
+    assert "l_orderkey" in plans[0] and not any("l_orderkey" in p for p in plans[1:])
