@@ -5,6 +5,7 @@ import json
 import os
 import struct
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from voxelcohort.session import cut_lineage, scratch_path, scratch_scope, shared
 from voxelcohort.sources import manifests as S
 from voxelcohort.sources import volumes as SV
 from voxelcohort.streaming.intake import clean, stream_intake, stream_tracked
+from voxelcohort.workload.storage import Q as STORAGE
 
 
 def nifti(arr, kind, code, end="<", slope=1.0, inter=0.0, spacing=(0.5, 0.6, 3.0), unit=2):
@@ -97,6 +99,30 @@ def test_inventory(spark, volume_files):
     assert "content" not in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
+def test_inventory_query_moves_folders_of_tasks(spark, tmp_path):
+    """One row a study type and part; what one task writes has folders of its own, so none of its files is moved alone."""
+    kinds = {"view": "T1_post", "purchase": "t2_thin", "signup": "T2_FLAIR", "error": "DWI", "click": "t1 pre", None: None}
+    rows = [(n * 97, datetime(2024, 1, 1 + n % 9), n % 11, [*kinds][n % 6], 20.0, "{}") for n in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for event_id, _, _, kind, *_ in rows:
+        want[kinds[kind], event_id // 500] = want.get((kinds[kind], event_id // 500), 0) + len(f"S{event_id}") + 1
+    named = sorted((f"study_type={k}/part={p}" if k else "", n, True) for (k, p), n in want.items())
+    made = lambda: set(Path(shared_dir(spark)).glob("inventory-*"))
+    key, here = "spark.sql.adaptive.coalescePartitions.enabled", made()
+    given = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = STORAGE["S06_list_files"][0](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, given)
+    assert sorted((r["place"] or "", r["length"], r["recent"]) for r in got) == named
+    (kept,) = made() - here
+    tops = [x for x in kept.iterdir() if x.is_dir()]
+    writers = [{f.name.split("-")[1] for f in top.rglob("part-*.txt")} for top in tops]
+    assert len(tops) > 32 and all(len(w) == 1 for w in writers)  # above 32 folders Spark lists them as a job
+
+
 def test_manifest_header_must_match(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a,b\n1,x\n")
     assert tuple(S.read_manifest(spark, str(tmp_path / "m.csv"), "a INT, b STRING").first()) == (1, "x")

@@ -87,10 +87,12 @@ def _(spark, d):
     # all series, 500 event numbers a part, so that the inventory grows with the table
     path = scratch_path(spark, "inventory")
     rows = T.series(spark, d).select("study_type", F.expr("event_id div 500").alias("part"), F.col("series_id").alias("value"))
-    rows.repartition("study_type", "part").write.partitionBy("study_type", "part").text(path)
-    kinds = [r[0] for r in rows.select("study_type").distinct().collect()]  # five at most
-    files = S.list_files(spark, [f"{path}/study_type={kind}" for kind in kinds], "*.txt")
+    # a folder for each task: the driver moves folders and not files when the write ends, and one task lists what one task wrote
+    dealt = rows.repartition(max(64, 4 * spark.sparkContext.defaultParallelism), "study_type", "part").withColumn("slice", F.spark_partition_id())
+    dealt.write.partitionBy("slice", "study_type", "part").text(path)
+    files = S.list_files(spark, path, "*.txt")
     place = F.url_decode(F.regexp_extract("path", "(study_type=[^/]*/part=[^/]*)/[^/]*$", 1))
+    place = F.when(~F.col("path").contains("/study_type=__HIVE_DEFAULT_PARTITION__/"), place)  # files of series without a type
     return files.select(place.alias("place"), F.col("length").cast("long").alias("length"), (F.col("mtime") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR")).alias("recent"))
 
 
