@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelcohort.llm import bpe, jaccard, langid, mixing, shared_text
+from voxelcohort.llm.graph import perhaps_in
 from voxelcohort.session import cut_lineage, scratch_path, scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,13 +35,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Jaccard join on five-word shingles at 0.8: of each group the document with the smallest id stays.
 
-    A row that repeats id and text goes too. Rows without an id stay.
+    A row that repeats id and text goes too. Rows without an id stay. Only rows
+    whose id may be one of those that go or repeat are exchanged.
     """
     groups = jaccard.jaccard_groups(docs, words=5, num=8, den=10)
     extra = cut_lineage(groups.filter("component_id != doc_id").select("doc_id").distinct())
-    kept = docs.select(*COLUMNS).join(extra, "doc_id", "left_anti")
-    named = kept.filter(F.col("doc_id").isNotNull()).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    return named.select(*COLUMNS).unionByName(kept.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    hashed = F.xxhash64("text").alias("_h")
+    again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", hashed).count().filter("count > 1").select("doc_id")
+    told = perhaps_in(docs.select(*COLUMNS), "doc_id", cut_lineage(extra.unionByName(again)))
+    kept = told.filter("_perhaps").join(extra, "doc_id", "left_anti").select("*", hashed).dropDuplicates(["doc_id", "_h"])
+    return kept.select(*COLUMNS).unionByName(told.filter("not _perhaps").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

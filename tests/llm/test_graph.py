@@ -1,6 +1,8 @@
 import random
 
-from voxelcohort.llm.graph import components
+from pyspark.sql import functions as F
+
+from voxelcohort.llm.graph import components, perhaps_in
 
 from brute import union_find
 
@@ -21,3 +23,12 @@ def test_chain_star_and_random(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_perhaps_in_misses_no_wanted_key(spark):
+    wanted = spark.range(0, 3000, 3).unionByName(spark.createDataFrame([(None,)], "id long"))
+    df = spark.range(3000).unionByName(spark.createDataFrame([(None,)], "id long")).withColumn("text", F.lit("x"))
+    got = perhaps_in(df, "id", wanted).collect()
+    true = {r["id"] for r in got if r["_perhaps"]}
+    assert len(got) == 3001 and set(range(0, 3000, 3)) <= true and None not in true and len(true) < 1300
+    assert not perhaps_in(df, "id", wanted.limit(0)).filter("_perhaps").count()

@@ -50,6 +50,32 @@ def test_hamming_never_exceeds_the_symmetric_difference():
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_folded_sketches_never_exceed_the_symmetric_difference():
+    rng = np.random.default_rng(4)
+    for size in (1, 150, 175, 1400):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[size // 10 :], rng.integers(0, 2**63, size // 5, dtype=np.uint64)]))
+        s = jaccard.folded(jaccard.sized_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).to_pylist())
+        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_texts_that_only_quote_each_other_are_not_verified_in_tiles(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 8)
+    texts, inner = [], jaccard.map_groups
+
+    def counted(df, keys, fn, schema):
+        if keys == ["family", "i", "j"]:
+            texts.append(df.count())
+        return inner(df, keys, fn, schema)
+
+    monkeypatch.setattr(jaccard, "map_groups", counted)
+    # each text shares 40 of its 50 words with the next; the last two are near copies of the first
+    rows = [(k, " ".join(f"w{x}" for x in range(10 * k, 10 * k + 50))) for k in range(60)]
+    rows += [(100, rows[0][1] + " a"), (101, rows[0][1] + " b")]
+    assert found(docs_of(rows), words=5, num=8, den=10) == brute(rows, 5, 8, 10)
+    assert texts[0] <= len(rows)
+
+
 def test_nulls_empty_short_and_repeated_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (6, "one two three"), (7, "é É"), (8, "é é"), (None, "one two"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("keys", F.lit("x")).withColumn("component", F.lit(2))

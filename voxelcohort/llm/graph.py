@@ -18,6 +18,23 @@ def apart(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
 
 
+def perhaps_in(df: DataFrame, key: str, wanted: DataFrame, name: str = "_perhaps") -> DataFrame:
+    """Adds boolean ``name``, true where ``key`` is one of the wanted keys and on few other rows; null keys give false.
+
+    A join that needs only some rows then exchanges little more than those. The
+    wanted keys set one bit each, 16 bits for each key up to 8 MB in all, so with
+    very many keys more rows than needed are true but none is missed.
+    """
+    bits = 1 << min(26, max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marks = wanted.filter(F.col(key).isNotNull()).select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    maps = marks.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    asked = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return asked.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, hit.alias(name))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from voxelcohort.session import cut_lineage
 
 from .batches import map_groups
-from .graph import apart, components
+from .graph import apart, components, perhaps_in
 from .shared_text import BUCKET, PART_ROWS, cells, is_in, known_keys, part_keys, repeated
 from .text import LOWER_VALUES, mix, shingles, slices, small_batches
 
@@ -21,6 +22,9 @@ GROWTH = 2.0
 CHECK_BITS = 1024
 TILE_TEXTS = 1024
 TILE_BYTES = 1 << 22
+#: Nodes of one key whose sketches one task compares, and bounds of a sketch that travels.
+TILE_NODES = 4096
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Sets whose keys one task holds at a time, and bits of a key that travel beside its part.
 BUCKET_SETS = 4096
 KEY_BITS = 46
@@ -108,12 +112,55 @@ def check_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, CHECK_BITS), axis=1).view(np.uint64)
 
 
+def sized_sketches(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Parity of shingles as bytes, in at least 1.5 bits a shingle within bounds; the upper half may be folded on the lower."""
+    size = np.diff(first).astype(np.int64)
+    bits = np.int64(1) << np.ceil(np.log2(np.clip(1.5 * size, LEAST_BITS, MOST_BITS))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    cell = base[owner] + ((values >> np.uint64(40)).astype(np.int64) & (bits[owner] - 1))
+    packed = np.packbits((np.bincount(cell, minlength=base[-1]) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded to the shortest."""
+    length = np.array([len(x) for x in sketches])
+    out = np.empty((len(sketches), int(length.min()) // 8), np.uint64)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        rows = np.frombuffer(b"".join([sketches[k] for k in at]), np.uint64).reshape(len(at), -1)
+        while rows.shape[1] > out.shape[1]:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[at] = rows
+    return out
+
+
+def near_links(size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Like ``spanning_links``, of the pairs that sizes and sketches do not rule out."""
+    return _search(size, sketch, num, den, lambda x, may: may)
+
+
 def spanning_links(values: np.ndarray, first: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what the pairs of these sets connect: a breadth-first search that asks each set for unreached ones only."""
-    n = len(first) - 1
     size = np.diff(first).astype(np.int64)
-    sketch = check_sketches(values, first)
-    left = np.arange(n)
+
+    def linked(x: int, may: np.ndarray) -> np.ndarray:
+        own = values[first[x] : first[x + 1]]
+        n_may = size[may]
+        ends = np.cumsum(n_may)
+        at = np.repeat(first[:-1][may] - (ends - n_may), n_may) + np.arange(ends[-1])
+        other = values[at]
+        same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+        shared = np.add.reduceat(same.astype(np.int64), ends - n_may)
+        return may[den * shared >= num * (size[x] + n_may - shared)]
+
+    return _search(size, check_sketches(values, first), num, den, linked)
+
+
+def _search(size: np.ndarray, sketch: np.ndarray, num: int, den: int, check: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    left = np.arange(len(size))
     found = []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
@@ -127,14 +174,7 @@ def spanning_links(values: np.ndarray, first: np.ndarray, num: int, den: int) ->
             may = may[apart * (den + num) <= (size[x] + size[may]) * (den - num)]
             if not len(may):
                 continue
-            own = values[first[x] : first[x + 1]]
-            n_may = size[may]
-            ends = np.cumsum(n_may)
-            at = np.repeat(first[:-1][may] - (ends - n_may), n_may) + np.arange(ends[-1])
-            other = values[at]
-            same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-            shared = np.add.reduceat(same.astype(np.int64), ends - n_may)
-            linked = may[den * shared >= num * (size[x] + n_may - shared)]
+            linked = check(x, may)
             if len(linked):
                 found += [(x, int(y)) for y in linked]
                 queue += linked.tolist()
@@ -186,6 +226,41 @@ def _gather_keys(keys: DataFrame) -> DataFrame:
     return keys.join(apart(shared, "key"), "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _near_edges(keys: DataFrame, nodes: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect what pairs with a common key connect, without the pairs that their sketches rule out.
+
+    Of the keys that hold the same ``nodes`` one is looked at. A key's nodes
+    are cut into tiles of bounded nodes and bytes, and every pair of tiles is
+    one task group.
+    """
+    rows = cut_lineage(keys.join(nodes, "node").select("key", "node", "n"))
+    held = (
+        rows.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"))
+        .filter("size > 1")
+        .groupBy("size", "_x", "_y")
+        .agg(F.min("key").alias("key"), F.max("n").alias("n"))
+        .select("key", F.greatest(F.ceil(F.col("size") / TILE_NODES), F.ceil(F.col("n") * 3 / 8 / TILE_BYTES)).alias("tiles"))
+    )
+    dealt = _tile_pairs(rows.join(apart(held, "key"), "key"), "key", "n")
+    sketches = perhaps_in(signed.select("node", "sketch"), "node", nodes.select("node")).filter("_perhaps").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    compared = dealt.join(apart(sketches, "node"), "node").select("key", "i", "j", "node", "n", "sketch")
+
+    def near(table: pa.Table) -> pa.RecordBatch:
+        node = table["node"].to_numpy()
+        found = np.array(near_links(table["n"].to_numpy(), folded(table["sketch"].to_pylist()), num, den), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+    return map_groups(compared, ["key", "i", "j"], near, "a long, b long")
+
+
+def _tile_pairs(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Each row once for every pair ``(i, j)`` of its key's ``tiles`` that has its own; keeps ``node``, the key and ``columns``."""
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    return df.select("node", key, *columns, own.alias("_own"), every.alias("_with")).select("node", key, *columns, F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"))
+
+
 def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Group documents linked by the Jaccard similarity num/den or more of their distinct word shingles.
 
@@ -201,7 +276,10 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     keys of its sketch blocks (``band_keys``); keys that others have too are
     found by packed fingerprints (``_shared_keys``), and nodes that share one are
     gathered into families through the smallest node of the key, so a key costs
-    as many edges as it has nodes and not pairs. Families are cut into tiles of
+    as many edges as it has nodes and not pairs. Keys of passages that many texts
+    quote chain unlike sets, the more the larger the table; a family above one
+    tile is therefore gathered anew from the pairs of its keys that sketches do
+    not rule out (``_near_edges``). Families are cut into tiles of
     bounded texts and bytes; every pair of tiles is one task group, in which
     Hamming distances of parity sketches are compared first and what they leave
     is verified on the shingles. A tile returns a spanning set of its links, and
@@ -212,8 +290,8 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
         for batch in batches:
             for s in slices(batch.column(1)):
                 values, first = shingles(*s.words(LOWER_VALUES), words)
-                columns = [batch.column(0).slice(s.lo, len(s)), pa.array(np.diff(first).astype(np.int64)), pa.array(_signed(_set_hashes(values, first)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node"])
+                columns = [batch.column(0).slice(s.lo, len(s)), pa.array(np.diff(first).astype(np.int64)), pa.array(_signed(_set_hashes(values, first))), sized_sketches(values, first)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node", "sketch"])
 
     def named(batches):
         for batch in batches:
@@ -244,20 +322,22 @@ def jaccard_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id]
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    signed = cut_lineage(docs.mapInArrow(signatures, f"id {kind}, n_shingles long, node long"))
+    signed = cut_lineage(docs.mapInArrow(signatures, f"id {kind}, n_shingles long, node long, sketch binary"))
     sets = docs.select("text").mapInArrow(sketches, "node long, keys array<long>")
-    edges = cut_lineage(_gather_keys(cut_lineage(_shared_keys(sets, signed.count()))))
-    family = components(edges)
+    keys = cut_lineage(_shared_keys(sets, signed.count()))
+    family = components(cut_lineage(_gather_keys(keys)))
 
     reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"))
-    members = family.join(reps, "node").select("node", F.col("component").alias("family"), "least", "n")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).alias("tiles"))
-    members = members.join(apart(sizes, "family"), "family")
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    dealt = members.select("node", "least", "family", tile.alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("_with")).select(
-        "node", "least", "family", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j")
-    )
-    tiled = docs.join(dealt, docs["id"] == dealt["least"]).select("family", "i", "j", "node", "text")
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_TEXTS), F.ceil(F.sum("n") * 8 / TILE_BYTES)).alias("tiles")
+    members = cut_lineage(family.join(reps, "node").select("node", F.col("component").alias("family"), "least", "n"))
+    crowded = cut_lineage(members.groupBy("family").agg(tiles).filter("tiles > 1").select("family"))
+    if not crowded.isEmpty():
+        crowd = cut_lineage(members.join(apart(crowded, "family"), "family").select("node", "least", "n"))
+        near = components(_near_edges(keys, crowd.select("node", "n"), signed, num, den)).withColumnRenamed("component", "family")
+        members = cut_lineage(members.join(apart(crowded, "family"), "family", "left_anti").unionByName(near.join(crowd, "node")))
+    dealt = _tile_pairs(members.join(apart(members.groupBy("family").agg(tiles), "family"), "family"), "family", "least")
+    wanted = perhaps_in(docs, "id", members.select(F.col("least").alias("id"))).filter("_perhaps").drop("_perhaps")
+    tiled = wanted.join(dealt, wanted["id"] == dealt["least"]).select("family", "i", "j", "node", "text")
     if not signed.filter("id is null and n_shingles > 0").isEmpty():
         # sets that only rows without an id have bring a text by their hash
         nameless = docs.filter("id is null").mapInArrow(named, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
