@@ -235,6 +235,36 @@ def test_tracked_series_are_planned_again(spark, tmp_path):
     assert ("a", "changed", "v9", None) not in fresh and ("c", "repeat", "v1", "missing_file") in fresh and ("b", "check", "", None) in fresh
 
 
+def test_tracked_series_of_one_bucket(spark, tmp_path, monkeypatch):
+    from voxelcohort.streaming import intake
+
+    monkeypatch.setattr(intake, "BUCKETS", 1)
+    test_tracked_series_are_planned_again(spark, tmp_path)
+
+
+def test_tracked_state_has_few_rows_and_parts(spark, tmp_path, monkeypatch):
+    """Series share rows of state, and its parts follow the cores whatever a shuffle has."""
+    from voxelcohort.streaming import intake
+
+    monkeypatch.setattr(intake, "BUCKETS", 4)
+    landing, sink, progress = (str(tmp_path / n) for n in ("landing", "sink", "progress"))
+    names = spark.createDataFrame([("x",)], "name string").limit(0)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived")
+    df = spark.range(50).select(F.concat(F.lit("s"), "id").alias("series_id"), F.lit("1_0_0").alias("tracker"), F.concat(F.lit("in/"), "id").alias("image_path"), F.lit("v1").alias("version"), at)
+    df.write.parquet(landing)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        query = stream_tracked(spark.readStream.schema(df.schema).parquet(landing), names, names.withColumnRenamed("name", "path"), sink, progress)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] <= 4 and state["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(sink).select("series_id").distinct().count() == 50
+
+
 def test_a_batch_with_state_is_computed_once(spark, tmp_path, monkeypatch):
     """Rows of a micro-batch reach the plan as a stored table, which is gone afterwards."""
     from voxelcohort.streaming import intake

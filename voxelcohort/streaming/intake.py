@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,38 +22,47 @@ def clean(series: DataFrame) -> DataFrame:
 
 
 TRACKED = "series_id string, tracker string, image_path string, version string, arrived_ms long, cause string"
-KEPT = "version string, tracker string, image_path string, planned_ms long"
+KEPT = "series array<string>, version array<string>, tracker array<string>, image_path array<string>, planned_ms array<long>, check_ms array<long>"
+#: Rows of state: the series of a bucket share one, because each group called for costs milliseconds.
+BUCKETS = 1 << 13
 
 
 def _follow(delay_ms: int, recheck_ms: int | None):
-    """State of one series: the version planned last and when; says why an arrival, or a timer, has to be planned."""
+    """State of a bucket of series: the version planned last, when, and when to check; says why an arrival, or a timer, has to be planned."""
 
     def fn(key, frames, state):
-        (series,) = key
-        kept = state.get if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            version, tracker, path, _ = kept
-            now = state.getCurrentWatermarkMs()
-            out.append((series, tracker, path, version, now, "check"))
-            kept = (version, tracker, path, now)
-        else:
-            rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in ("arrived_ms", "version", "tracker", "image_path")))]
+        kept = {series: row for series, *row in zip(*state.get)} if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        out, arrivals = [], {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for series, *row in zip(*(frame[c].tolist() for c in ("series_id", "arrived_ms", "version", "tracker", "image_path"))):
+                    arrivals.setdefault(series, []).append(row)
+        if recheck_ms is not None:
+            for series, (version, tracker, path, _, check) in kept.items():
+                if check < now and series not in arrivals:
+                    out.append((series, tracker, path, version, now, "check"))
+                    kept[series] = [version, tracker, path, now, max(now + recheck_ms, now + 1)]
+        for series, rows in arrivals.items():
+            own = kept.get(series)
             rows.sort(key=lambda row: [(True, 0) if x is None or x != x else (False, x) for x in row])  # missing values last
             for arrived, version, tracker, path in rows:
-                if kept is None:
+                if own is None:
                     cause = "new"
-                elif version != kept[0]:
+                elif version != own[0]:
                     cause = "changed"
-                elif arrived - kept[3] > delay_ms:
+                elif arrived - own[3] > delay_ms:
                     cause = "repeat"
                 else:
                     continue
-                kept = (version, tracker, path, int(arrived))
+                own = [version, tracker, path, int(arrived), 0]
                 out.append((series, tracker, path, version, int(arrived), cause))
-        state.update(kept)
+            if recheck_ms is not None:
+                own[4] = max(own[3] + recheck_ms, now + 1)
+            kept[series] = own
+        state.update((list(kept), *map(list, zip(*kept.values()))))
         if recheck_ms is not None:
-            state.setTimeoutTimestamp(max(kept[3] + recheck_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(min(row[4] for row in kept.values()))
         if out:
             yield pd.DataFrame(out, columns=["series_id", "tracker", "image_path", "version", "arrived_ms", "cause"])
 
@@ -68,12 +77,13 @@ def track_series(arrivals: DataFrame, delay: str = "1 day", recheck: str | None
     the one planned last, and when it comes again more than ``delay`` after that;
     other repeats are dropped, and so are rows later than ``delay`` behind the latest arrival. With ``recheck`` a timer
     plans it once more that long after it was planned, and again as long as the stream goes on, so that lost
-    outputs are found. One small row of state is kept for each series.
+    outputs are found. A small entry of state is kept for each series, in ``BUCKETS`` rows.
     """
     spark = arrivals.sparkSession
     ms = lambda text: int(spark.sql(f"select unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {text})").first()[0])
-    rows = arrivals.withWatermark("arrived", delay).withColumns({"arrived_ms": F.unix_millis("arrived"), "version": F.coalesce("version", F.lit(""))})
-    told = rows.groupBy("series_id").applyInPandasWithState(_follow(ms(delay), recheck and ms(recheck)), TRACKED, KEPT, "append", "EventTimeTimeout")
+    bucket = F.pmod(F.xxhash64("series_id"), F.lit(BUCKETS))
+    rows = arrivals.withWatermark("arrived", delay).withColumns({"arrived_ms": F.unix_millis("arrived"), "version": F.coalesce("version", F.lit("")), "_bucket": bucket})
+    told = rows.groupBy("_bucket").applyInPandasWithState(_follow(ms(delay), recheck and ms(recheck)), TRACKED, KEPT, "append", "EventTimeTimeout")
     return told.withColumn("arrived", F.timestamp_millis("arrived_ms")).drop("arrived_ms")
 
 
@@ -86,12 +96,29 @@ def stream_tracked(arrivals: DataFrame, outputs: DataFrame, inputs: DataFrame, s
 
     def plan(batch: DataFrame, batch_id: int) -> None:
         with _stored(batch) as rows:
-            told = _planned(rows, outputs, inputs)
+            told = _planned(rows, outputs, inputs).filter(F.lit(not rows.isEmpty()))  # nothing is joined to an empty batch
             told = told.filter((F.col("cause") != "check") | F.coalesce(F.col("reason") != "already_processed", F.lit(True)))
             told.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     stream = track_series(arrivals.withColumn("image_path", P.clean_path("image_path")), delay, recheck)
-    return stream.writeStream.foreachBatch(plan).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _few_parts(arrivals.sparkSession):
+        return stream.writeStream.foreachBatch(plan).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def _few_parts(spark: SparkSession) -> Iterator[None]:
+    """A stream started inside keeps its state in two parts a core at most; a checkpoint that exists keeps its number.
+
+    Each part writes files in every micro-batch, also in one without rows, and
+    micro-batches are planned without merging small partitions.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 @contextmanager
